@@ -1,33 +1,31 @@
-"""Seeded draws as plain column expressions.
+"""Seeded draws as SQL expressions.
 
 Every draw is a function of a seed and the row's own keys, so a recomputed task draws the same
-values, and any SQL engine with ``md5`` can repeat them.
+values, and any SQL engine with ``md5`` can repeat them. Keys are SQL expressions; so is the
+result, for use in ``selectExpr`` or ``F.expr``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 HASH_SPAN = 2**32
 
 
-def digest(seed, *keys: Column) -> Column:
+def digest(seed, *keys: str) -> str:
     """32 hex digits of ``seed|key|key…``; its text order is a seeded random order."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+    parts = ", ".join([f"'{seed}'"] + [f"cast({k} as string)" for k in keys])
+    return f"md5(concat_ws('|', {parts}))"
 
 
-def hash32(seed, *keys: Column) -> Column:
+def hash32(seed, *keys: str) -> str:
     """Uniform BIGINT in [0, 2^32)."""
-    return F.conv(F.substring(digest(seed, *keys), 1, 8), 16, 10).cast("bigint")
+    return f"cast(conv(substr({digest(seed, *keys)}, 1, 8), 16, 10) as bigint)"
 
 
-def draw_below(n: Column | int, seed, *keys: Column) -> Column:
+def draw_below(n: str | int, seed, *keys: str) -> str:
     """Uniform BIGINT in [0, n)."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.pmod(hash32(seed, *keys), n.cast("bigint"))
+    return f"pmod({hash32(seed, *keys)}, cast({n} as bigint))"
 
 
 def poisson_cuts(top: int = 12) -> list[int]:
@@ -39,11 +37,8 @@ def poisson_cuts(top: int = 12) -> list[int]:
     return cuts
 
 
-def poisson_one(seed, *keys: Column) -> Column:
-    """Poisson(1) draw: the number of cut points at or below the hash."""
-    h = hash32(seed, *keys)
+def poisson_of(hashed: str) -> str:
+    """Poisson(1) value of a hash32: the number of cut points at or below it."""
     cuts = poisson_cuts()
-    out = F.when(h < cuts[0], 0)
-    for k, cut in enumerate(cuts[1:], start=1):
-        out = out.when(h < cut, k)
-    return out.otherwise(len(cuts)).cast("bigint")
+    cases = " ".join(f"WHEN {hashed} < {cut} THEN {k}" for k, cut in enumerate(cuts))
+    return f"cast(CASE {cases} ELSE {len(cuts)} END as bigint)"

@@ -1,88 +1,83 @@
-"""Column expressions for single tokens and for token arrays."""
+"""SQL expressions for single tokens and for token arrays.
+
+Arguments and results are SQL text, for ``selectExpr`` or ``F.expr``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from sojourn import schema as S
 
 
-def gap_token(days: Column) -> Column:
-    """Token of a day gap, capped at the largest token of each unit; null below one day."""
-    out = None
-    for unit, size, top in reversed(S.GAP_UNITS):
-        step = F.least(F.floor(days / size), F.lit(top)).cast("string")
-        named = F.concat(F.lit(f"TIME_{unit}_"), step)
-        out = F.when(days >= size, named) if out is None else out.when(days >= size, named)
-    return out
+def text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def open_gap_token(days: Column) -> Column:
-    """Gap token without caps: always the largest unit that fits, ``DUMMY`` below one day."""
-    out = None
-    for unit, size, _ in reversed(S.GAP_UNITS):
-        named = F.concat(F.lit(f"TIME_{unit}_"), F.floor(days / size).cast("string"))
-        out = F.when(days >= size, named) if out is None else out.when(days >= size, named)
-    return out.otherwise(S.NO_GAP)
+def text_array(values: Iterable[str]) -> str:
+    return "array(" + ", ".join(text(v) for v in values) + ")"
 
 
-def visit_group(visit_type: Column) -> Column:
-    """Group of a visit name; ``Other`` for an unlisted name, null for a null name."""
-    out = F.when(visit_type.isNull(), F.lit(None).cast("string"))
-    for group, names in S.VISIT_GROUPS.items():
-        out = out.when(visit_type.isin(names), group)
-    return out.otherwise(S.UNMAPPED_VISIT)
+def cases(pairs: Iterable[tuple[str, str]], otherwise: str = "NULL") -> str:
+    whens = " ".join(f"WHEN {test} THEN {value}" for test, value in pairs)
+    return f"CASE {whens} ELSE {otherwise} END"
 
 
-def code_category(token: Column) -> Column:
-    out = None
-    for prefix, name in S.CODE_CATEGORIES.items():
-        hit = token.startswith(prefix)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+def gap_token(days: str) -> str:
+    """Token of a day gap, capped at the largest token of each unit; null below one day."""
+    return cases(
+        (
+            f"{days} >= {size}",
+            f"concat('TIME_{unit}_', cast(least({days} div {size}, {top}) as string))",
+        )
+        for unit, size, top in reversed(S.GAP_UNITS)
+    )
 
 
-def visit_label(token: Column) -> Column:
-    out = None
-    for group, label in S.VISIT_LABELS.items():
-        hit = token == group
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out
+def open_gap_token(days: str) -> str:
+    """Gap token without caps: always the largest unit that fits, ``DUMMY`` below one day."""
+    return cases(
+        (
+            (f"{days} >= {size}", f"concat('TIME_{unit}_', cast({days} div {size} as string))")
+            for unit, size, _ in reversed(S.GAP_UNITS)
+        ),
+        text(S.NO_GAP),
+    )
 
 
-def gap_days(token: Column) -> Column:
+def gap_days(token: str) -> str:
     """Days of a known gap token, null for every other token."""
-    entries = [F.lit(v) for pair in S.GAP_DAYS.items() for v in pair]
-    return F.when(token.startswith("TIME_"), F.create_map(*entries)[token])
+    entries = ", ".join(f"{text(t)}, {d}" for t, d in S.GAP_DAYS.items())
+    return f"IF(startswith({token}, 'TIME_'), map({entries})[{token}], NULL)"
 
 
-def split_tokens(text: Column) -> Column:
-    return F.split(text, " ")
+def visit_group(visit_type: str) -> str:
+    """Group of a visit name; ``Other`` for an unlisted name, null for a null name."""
+    pairs = [(f"{visit_type} IS NULL", "NULL")]
+    for group, names in S.VISIT_GROUPS.items():
+        pairs.append((f"{visit_type} IN ({', '.join(text(n) for n in names)})", text(group)))
+    return cases(pairs, text(S.UNMAPPED_VISIT))
 
 
-def first_position(tokens: Column, hit) -> Column:
-    """0-based position of the first token for which ``hit(token)`` holds, -1 if none."""
-    at = F.transform(tokens, lambda t, i: F.when(hit(t), i))
-    return F.coalesce(F.array_min(at), F.lit(-1))
+def code_category(token: str) -> str:
+    return cases((f"startswith({token}, '{p}')", text(n)) for p, n in S.CODE_CATEGORIES.items())
 
 
-def all_positions(tokens: Column, hit) -> Column:
-    """Ascending 0-based positions of the tokens for which ``hit(token)`` holds."""
-    at = F.transform(tokens, lambda t, i: F.when(hit(t), i))
-    return F.filter(at, lambda i: i.isNotNull())
+def visit_label(token: str) -> str:
+    return cases((f"{token} = '{g}'", text(n)) for g, n in S.VISIT_LABELS.items())
 
 
-def days_between(tokens: Column, start: Column | int) -> Column:
-    """Sum of gap days over ``tokens[start:]``; unknown tokens count as no time."""
-    start = F.lit(start) if isinstance(start, int) else start
-    tail = F.slice(tokens, start + 1, F.greatest(F.size(tokens), F.lit(1)))
-    return F.aggregate(
-        tail, F.lit(0), lambda total, t: total + F.coalesce(gap_days(t), F.lit(0))
-    )
+def first_position(tokens: str, hit: str) -> str:
+    """0-based position of the first token ``t`` for which ``hit`` holds, -1 if none."""
+    return f"coalesce(array_min({all_positions(tokens, hit)}), -1)"
+
 
+def all_positions(tokens: str, hit: str) -> str:
+    """Ascending 0-based positions of the tokens ``t`` for which ``hit`` holds."""
+    return f"array_compact(transform({tokens}, (t, i) -> IF({hit}, i, NULL)))"
 
-def string_array(values: Iterable[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+def days_between(tokens: str, start: str | int) -> str:
+    """Sum of gap days over ``tokens[start:]``; unknown tokens count as no time."""
+    tail = f"slice({tokens}, {start} + 1, greatest(size({tokens}), 1))"
+    return f"aggregate({tail}, 0, (total, t) -> total + coalesce({gap_days('t')}, 0))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn import schema as S
@@ -17,73 +17,52 @@ def split_rows(rows: DataFrame, seed=S.ROW_SPLIT_SEED) -> DataFrame:
     return split_events(rows, rows.select("subject_id"), S.ROW_TEST_FRACTION, seed)
 
 
-def visit_spans(tokens: Column) -> Column:
-    """Array of ``(first, last)`` token positions of the visits, in order.
+def with_visit_spans(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """Add ``spans``: the ``(first, last)`` token positions of the visits, in order.
 
     A visit opens at a visit token when none is open and closes at the next end token, or with the
     sequence. Among the visit marks alone, an opening is thus one whose predecessor is an end.
     """
-
-    def is_mark(t: Column) -> Column:
-        return t.startswith("VI")
-
-    marks = F.filter(
-        F.transform(
-            tokens,
-            lambda t, i: F.when(
-                is_mark(t), F.struct(i.alias("at"), (t == S.VISIT_END).alias("closes"))
-            ),
-        ),
-        lambda m: m.isNotNull(),
-    )
-    ends = X.all_positions(tokens, lambda t: t == S.VISIT_END)
-    openings = F.filter(
-        marks,
-        lambda m, i: ~m["closes"] & ((i == 0) | F.get(marks, i - 1)["closes"]),
-    )
-    return F.transform(
-        openings,
-        lambda m: F.struct(
-            m["at"].alias("first"),
-            F.coalesce(
-                F.array_min(F.filter(ends, lambda e: e > m["at"])), F.size(tokens) - 1
-            ).alias("last"),
-        ),
+    mark = f"IF(startswith(t, 'VI'), struct(i AS at, t = '{S.VISIT_END}' AS closes), NULL)"
+    opening = "NOT m.closes AND (i = 0 OR get(marks, i - 1).closes)"
+    last = f"coalesce(array_min(filter(ends, e -> e > m.at)), size({tokens}) - 1)"
+    ends = X.all_positions(tokens, f"t = '{S.VISIT_END}'")
+    return (
+        rows.selectExpr(
+            "*",
+            f"array_compact(transform({tokens}, (t, i) -> {mark})) AS marks",
+            f"{ends} AS ends",
+        )
+        .selectExpr("*", f"filter(marks, (m, i) -> {opening}) AS openings")
+        .selectExpr(
+            *rows.columns,
+            f"transform(openings, m -> struct(m.at AS first, {last} AS last)) AS spans",
+        )
     )
 
 
-def drop_count(sizes: Column, length: Column, target: int | None, extra: Column) -> Column:
-    """How many visits go, given their sizes in drawing order.
+def drop_count(sizes: str, length: str, target: int | None, extra: str) -> str:
+    """How many visits go (SQL), given their sizes in drawing order.
 
     A visit goes while the text is longer than the target; once it is not, as long as fewer than
     ``extra`` visits have gone since. Both limits only tighten, so what goes is a leading part.
     """
-    limit = length if target is None else F.lit(target)
-    start = F.struct(F.lit(0).alias("gone"), F.lit(0).alias("fits"), F.lit(0).alias("n"))
-
-    def step(s: Column, size: Column) -> Column:
-        over = length - s["gone"] > limit
-        goes = over | (s["fits"] < extra)
-        return F.struct(
-            F.when(goes, s["gone"] + size).otherwise(s["gone"]).alias("gone"),
-            F.when(over, s["fits"]).otherwise(s["fits"] + 1).alias("fits"),
-            F.when(goes, s["n"] + 1).otherwise(s["n"]).alias("n"),
-        )
-
-    return F.aggregate(sizes, start, step, lambda s: s["n"])
+    over = f"{length} - s.gone > {length if target is None else target}"
+    goes = f"({over} OR s.fits < {extra})"
+    step = (
+        f"named_struct('gone', s.gone + IF({goes}, z, 0), "
+        f"'fits', s.fits + IF({over}, 0, 1), 'n', s.n + IF({goes}, 1, 0))"
+    )
+    start = "named_struct('gone', 0, 'fits', 0, 'n', 0)"
+    return f"aggregate({sizes}, {start}, (s, z) -> {step}, s -> s.n)"
 
 
-def without_spans(tokens: Column, spans: Column) -> Column:
-    """Tokens outside of non-overlapping ``(first, last)`` spans: the pieces between them."""
-    ordered = F.array_sort(spans)
-    starts = F.concat(F.array(F.lit(0)), F.transform(ordered, lambda s: s["last"] + 1))
-    stops = F.concat(F.transform(ordered, lambda s: s["first"]), F.array(F.size(tokens)))
-    return F.flatten(
-        F.transform(
-            F.arrays_zip(starts.alias("a"), stops.alias("b")),
-            lambda z: F.slice(tokens, z["a"] + 1, z["b"] - z["a"]),
-        )
-    )
+def without_spans(tokens: str, spans: str) -> str:
+    """Tokens outside of sorted, non-overlapping spans (SQL): the pieces between them."""
+    begin = f"IF(i = 0, 0, element_at({spans}, i).last + 1)"
+    stop = f"IF(i = size({spans}), size({tokens}), get({spans}, i).first)"
+    piece = f"slice({tokens}, {begin} + 1, {stop} - {begin})"
+    return f"flatten(transform(sequence(0, size({spans})), i -> {piece}))"
 
 
 def visit_dropped_copies(
@@ -93,49 +72,38 @@ def visit_dropped_copies(
 
     Time tokens between visits stay. Other columns repeat.
     """
-    subject, copy = F.col("subject_id"), F.col("copy")
-    drawn = F.array_sort(
-        F.transform(
-            "_spans",
-            lambda s, i: F.struct(
-                digest(f"{seed}|visit", subject, copy, i).alias("d"),
-                s["first"].alias("first"),
-                s["last"].alias("last"),
-            ),
+    drawn = digest(f"{seed}|visit", "subject_id", "copy", "i")
+    extra = draw_below(settings.max_extra_visits + 2, f"{seed}|extra", "subject_id", "copy")
+    spanned = with_visit_spans(rows.withColumn("tokens", F.expr("split(text, ' ')")))
+    counted = (
+        spanned.selectExpr("*", f"explode(sequence(0, {settings.copies - 1})) AS copy")
+        .selectExpr(
+            "*",
+            f"{extra} AS extra",
+            "array_sort(transform(spans, (s, i) -> "
+            f"struct({drawn} AS d, s.first AS first, s.last AS last))) AS drawn",
         )
+        .selectExpr("*", "transform(drawn, s -> s.last - s.first + 1) AS sizes")
     )
-    extra = draw_below(settings.max_extra_visits + 2, f"{seed}|extra", subject, copy)
-    sizes = F.transform("_drawn", lambda s: s["last"] - s["first"] + 1)
-    dropped = F.transform(
-        F.slice("_drawn", 1, F.col("_n")), lambda s: F.struct(s["first"], s["last"])
-    )
-    return (
-        rows.withColumn("_tokens", X.split_tokens(F.col("text")))
-        .withColumn("_spans", visit_spans(F.col("_tokens")))
-        .withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(settings.copies - 1))))
-        .withColumn("_drawn", drawn)
-        .withColumn(
-            "_n", drop_count(sizes, F.size("_tokens"), settings.target_tokens, extra)
-        )
-        .withColumn("text", F.array_join(without_spans(F.col("_tokens"), dropped), " "))
-        .drop("_tokens", "_spans", "_drawn", "_n")
+    n = drop_count("sizes", "size(tokens)", settings.target_tokens, "extra")
+    dropped = f"array_sort(transform(slice(drawn, 1, {n}), s -> struct(s.first, s.last)))"
+    others = [c for c in rows.columns if c != "text"]
+    return counted.selectExpr(*others, "copy", "tokens", f"{dropped} AS dropped").selectExpr(
+        *others, "copy", f"array_join({without_spans('tokens', 'dropped')}, ' ') AS text"
     )
 
 
 def with_zero_prs_copies(rows: DataFrame) -> DataFrame:
     """Each row, and for a row with any nonzero score a copy with all scores zero."""
-    prs = F.col("prs")
-    variants = F.when(P.any_nonzero(prs), F.array(prs, P.zeros_like(prs))).otherwise(
-        F.array(prs)
-    )
+    variants = f"IF({P.any_nonzero('prs')}, array(prs, {P.zeros_like('prs')}), array(prs))"
     others = [c for c in rows.columns if c != "prs"]
-    return rows.select(*others, F.posexplode(variants).alias("zeroed", "prs"))
+    return rows.selectExpr(*others, f"posexplode({variants}) AS (zeroed, prs)")
 
 
 def augmented(rows: DataFrame, settings: S.Augmentation = S.Augmentation(), seed=0) -> DataFrame:
     """Variants of the training rows; test rows pass unchanged as copy 0."""
-    train = rows.where(F.col("split") == "train")
-    test = rows.where(F.col("split") != "train").withColumn("copy", F.lit(0))
+    train = rows.where("split = 'train'")
+    test = rows.where("split <> 'train'").withColumn("copy", F.lit(0))
     if settings.drops_visits:
         train = visit_dropped_copies(train, settings, seed)
     else:

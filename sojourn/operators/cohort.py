@@ -1,6 +1,7 @@
 """Evaluation cohorts: stopping points and horizon labels.
 
-Everything is a function of a subject's own token array, so no step shuffles.
+Everything is a function of a subject's own token array, so no step shuffles. Expressions are SQL
+text over the columns ``tokens`` and ``subject_id``.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn import schema as S
@@ -40,103 +41,95 @@ class Task:
 
 
 def task_targets(task_codes: DataFrame) -> DataFrame:
-    """``task, targets`` from ``task, concept_id``: a list of condition codes per task."""
-    code = F.concat(F.lit(S.CONDITION), F.col("concept_id").cast("string"))
-    return task_codes.groupBy("task").agg(F.sort_array(F.collect_set(code)).alias("targets"))
+    """``task, targets`` from ``task, concept_id``: a sorted list of condition codes per task."""
+    code = f"concat('{S.CONDITION}', cast(concept_id as string))"
+    return task_codes.groupBy("task").agg(F.expr(f"sort_array(collect_set({code})) AS targets"))
 
 
 def with_birth(rows: DataFrame) -> DataFrame:
     """Rows whose text has a birth token, with ``tokens``, ``len`` and ``birth_token``."""
     return (
-        rows.withColumn("tokens", X.split_tokens(F.col("text")))
-        .where(F.array_contains("tokens", S.BIRTH_CODE))
-        .withColumn("len", F.size("tokens"))
-        .withColumn(
-            "birth_token", (F.array_position("tokens", F.lit(S.BIRTH_CODE)) - 1).cast("int")
+        rows.where(f"array_contains(split(text, ' '), '{S.BIRTH_CODE}')")
+        .selectExpr("*", "split(text, ' ') AS tokens")
+        .selectExpr(
+            "*",
+            "size(tokens) AS len",
+            f"cast(array_position(tokens, '{S.BIRTH_CODE}') - 1 as int) AS birth_token",
         )
     )
 
 
-def years_from(tokens: Column, start: Column | int = 0) -> Column:
-    return X.days_between(tokens, start) / 365
+def years_from(tokens: str, start: str | int = 0) -> str:
+    return f"{X.days_between(tokens, start)} / 365"
 
 
-def record_years(tokens: Column, birth: Column) -> Column:
-    """Years covered by the record, without the gap from birth to the first event."""
-    return years_from(tokens, birth + 2)
+def candidates(rows: DataFrame, min_years: float | None = None) -> DataFrame:
+    """Birth rows with ``time_ehr``, the years covered from two tokens after birth on.
+
+    That skips the gap from birth to the first event. ``min_years`` keeps longer records only.
+    """
+    years = years_from("tokens", "birth_token + 2")
+    out = with_birth(rows).selectExpr("*", f"{years} AS time_ehr")
+    return out if min_years is None else out.where(f"time_ehr > {min_years}")
 
 
 def cumulative_ages(rows: DataFrame) -> DataFrame:
     """``subject_id, pos, token, age_years``: the age reached at each token."""
-    w = (
-        Window.partitionBy("subject_id")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    days = F.sum(F.coalesce(X.gap_days(F.col("token")), F.lit(0))).over(w)
-    return rows.select("subject_id", F.posexplode("tokens").alias("pos", "token")).select(
-        "subject_id", "pos", "token", (days / 365).alias("age_years")
-    )
+    days = f"sum(coalesce({X.gap_days('token')}, 0)) OVER (PARTITION BY subject_id ORDER BY pos)"
+    exploded = rows.selectExpr("subject_id", "posexplode(tokens) AS (pos, token)")
+    return exploded.selectExpr("subject_id", "pos", "token", f"{days} / 365 AS age_years")
 
 
-def token_years_after(tokens: Column, birth: Column, years: int = 3) -> Column:
+def token_years_after(tokens: str, birth: str, years: int = 3) -> str:
     """First position, from the token after birth on, whose age is ``years`` above the age there.
 
     -1 if the sequence ends earlier. Ages are compared in whole days.
     """
-    start = F.struct(
-        F.lit(0).alias("days"), F.lit(0).alias("base"), F.lit(0).alias("i"), F.lit(-1).alias("at")
+    days = f"s.days + coalesce({X.gap_days('t')}, 0)"
+    base = f"IF(s.i = {birth} + 1, {days}, s.base)"
+    hit = f"s.at < 0 AND s.i > {birth} AND {days} >= {base} + {years * 365}"
+    step = (
+        f"named_struct('days', {days}, 'base', {base}, 'i', s.i + 1, 'at', IF({hit}, s.i, s.at))"
     )
+    start = "named_struct('days', 0, 'base', 0, 'i', 0, 'at', -1)"
+    return f"aggregate({tokens}, {start}, (s, t) -> {step}, s -> s.at)"
 
-    def step(s: Column, t: Column) -> Column:
-        days = s["days"] + F.coalesce(X.gap_days(t), F.lit(0))
-        base = F.when(s["i"] == birth + 1, days).otherwise(s["base"])
-        hit = (s["at"] < 0) & (s["i"] > birth) & (days >= base + years * 365)
-        return F.struct(
-            days.alias("days"),
-            base.alias("base"),
-            (s["i"] + 1).alias("i"),
-            F.when(hit, s["i"]).otherwise(s["at"]).alias("at"),
-        )
-
-    return F.aggregate(tokens, start, step, lambda s: s["at"])
 
-
-def first_target(tokens: Column, targets: Column) -> Column:
+def first_target(tokens: str, targets: str) -> str:
     """Position of the first token equal to a target, -1 if none."""
-    return X.first_position(tokens, lambda t: F.array_contains(targets, t))
+    return X.first_position(tokens, f"array_contains({targets}, t)")
 
 
 # ---- Stopping points: number of leading tokens that form the input, -1 for none ----
 
 
-def stop_first_target(tokens, target_at, task, subject) -> Column:
-    return F.when(target_at >= 0, target_at + 1).otherwise(F.lit(-1))
+def stop_first_target(task: Task, target_at: str) -> str:
+    return f"IF({target_at} >= 0, {target_at} + 1, -1)"
 
 
-def stop_random(tokens, target_at, task, subject) -> Column:
-    low = F.floor(F.size(tokens) / 4).cast("int")
-    drawn = draw_below(low * 2 + 1, f"{task.seed}|random", subject)
-    return (low + drawn).cast("int")
+def stop_random(task: Task, target_at: str) -> str:
+    """Uniform between a quarter and three quarters of the length."""
+    low = "size(tokens) div 4"
+    return f"cast({low} + {draw_below(f'{low} * 2 + 1', f'{task.seed}|random', 'subject_id')} as int)"
 
 
-def stop_demo_age(tokens, target_at, task, subject) -> Column:
-    at = X.first_position(tokens, lambda t: t.contains("TIME"))
-    return F.when(at >= 0, at + 1).otherwise(F.lit(-1))
+def stop_demo_age(task: Task, target_at: str) -> str:
+    at = X.first_position("tokens", "contains(t, 'TIME')")
+    return f"{at} + IF({at} >= 0, 1, 0)"
 
 
-def stop_end_visit(tokens, target_at, task, subject) -> Column:
+def stop_end_visit(task: Task, target_at: str) -> str:
     """After a random end of visit before the first target, the last ones excluded."""
-    none = F.size(tokens) if task.strict_no_target else F.size(tokens) - 1
-    upto = F.when(target_at >= 0, target_at).otherwise(none)
-    ends = X.all_positions(F.slice(tokens, 1, upto), lambda t: t == S.VISIT_END)
-    n = F.size(ends) - task.exclude_visits
-    drawn = draw_below(F.greatest(n, F.lit(1)), f"{task.seed}|end_visit", subject)
-    usable = (F.size(ends) > 1) & (n > 0)
-    return F.when(usable, F.get(ends, drawn.cast("int")) + 1).otherwise(F.lit(-1))
+    none = "size(tokens)" if task.strict_no_target else "size(tokens) - 1"
+    before = f"slice(tokens, 1, IF({target_at} >= 0, {target_at}, {none}))"
+    ends = X.all_positions(before, f"t = '{S.VISIT_END}'")
+    n = f"size(e) - {task.exclude_visits}"
+    drawn = draw_below(f"greatest({n}, 1)", f"{task.seed}|end_visit", "subject_id")
+    pick = f"IF(size(e) > 1 AND {n} > 0, get(e, cast({drawn} as int)) + 1, -1)"
+    return f"get(transform(array({ends}), e -> {pick}), 0)"
 
 
-STOPS: dict[str, Callable[..., Column]] = {
+STOPS: dict[str, Callable[[Task, str], str]] = {
     "first_target": stop_first_target,
     "random": stop_random,
     "demo_age": stop_demo_age,
@@ -144,58 +137,48 @@ STOPS: dict[str, Callable[..., Column]] = {
 }
 
 
-def stopping_point(name: str, tokens: Column, target_at: Column, task: Task, subject: Column):
+def stopping_point(name: str, task: Task, target_at: str = "first_target") -> str:
     if name not in STOPS:
         raise ValueError(f"unknown stopping rule: {name}")
-    return STOPS[name](tokens, target_at, task, subject)
+    return STOPS[name](task, target_at)
 
 
 def horizon_label(
-    tokens: Column,
-    start: Column | int,
-    targets: Column,
-    horizon_days: Column | int,
-    match: str = "contains",
-) -> Column:
+    tokens: str, start: str | int, targets: str, horizon_days: int, match: str = "contains"
+) -> str:
     """1 if a target comes at or after ``start`` before the gaps exceed the horizon, else 0.
 
-    Only gap tokens and target hits matter, so the fold runs over those. An unlisted ``TIME_``
-    token is an error.
+    An unlisted ``TIME_`` token is an error.
     """
-    start = F.lit(start) if isinstance(start, int) else start
-    horizon = F.lit(horizon_days) if isinstance(horizon_days, int) else horizon_days
-    tail = F.slice(tokens, start + 1, F.greatest(F.size(tokens), F.lit(1)))
-
-    def hits(t: Column) -> Column:
-        if match == "exact":
-            return F.array_contains(targets, t)
-        return F.exists(targets, lambda x: t.contains(x))
-
-    def step(s: Column, t: Column) -> Column:
-        known = X.gap_days(t)
-        bad = F.raise_error(F.concat(F.lit("unknown gap token: "), t)).cast("int")
-        days = s["days"] + F.when(known.isNotNull(), known).otherwise(bad)
-        late = F.struct(
-            days.alias("days"), F.when(days > horizon, 0).otherwise(F.lit(-1)).alias("label")
-        )
-        hit = F.struct(s["days"].alias("days"), F.lit(1).alias("label"))
-        return (
-            F.when(s["label"] >= 0, s)
-            .when(t.startswith("TIME_"), late)
-            .when(hits(t), hit)
-            .otherwise(s)
-        )
+    tail = f"slice({tokens}, {start} + 1, greatest(size({tokens}), 1))"
+    if match == "exact":
+        hit = f"array_contains({targets}, t)"
+    else:
+        hit = f"exists({targets}, x -> contains(t, x))"
+    bad = "cast(raise_error(concat('unknown gap token: ', t)) as int)"
+    days = f"s.days + coalesce({X.gap_days('t')}, {bad})"
+    late = f"named_struct('days', {days}, 'label', IF({days} > {horizon_days}, 0, -1))"
+    step = X.cases(
+        [
+            ("s.label >= 0", "s"),
+            ("startswith(t, 'TIME_')", late),
+            (hit, "named_struct('days', s.days, 'label', 1)"),
+        ],
+        "s",
+    )
+    begin = "named_struct('days', 0, 'label', -1)"
+    return f"aggregate({tail}, {begin}, (s, t) -> {step}, s -> greatest(s.label, 0))"
 
-    begin = F.struct(F.lit(0).alias("days"), F.lit(-1).alias("label"))
-    return F.aggregate(tail, begin, step, lambda s: F.greatest(s["label"], F.lit(0)))
 
+def all_eos_tail(ids: str, eos_id: int) -> str:
+    """Whether the last five ids are all the end token; true also for no ids at all."""
+    return f"forall(slice({ids}, greatest(size({ids}) - 4, 1), 5), x -> x = {eos_id})"
 
-def candidates(rows: DataFrame, min_years: float | None = None) -> DataFrame:
-    """Birth rows with their record span, optionally longer than ``min_years``."""
-    out = with_birth(rows).withColumn(
-        "time_ehr", record_years(F.col("tokens"), F.col("birth_token"))
-    )
-    return out if min_years is None else out.where(F.col("time_ehr") > min_years)
+
+def checked_tail(ids: str, eos_id: int) -> str:
+    """The ids, or an error for a row that ends in end tokens only."""
+    wrong = "raise_error('a truncated sequence ends in end tokens')"
+    return f"IF({all_eos_tail(ids, eos_id)}, cast({wrong} as array<bigint>), {ids})"
 
 
 def labelled(
@@ -206,52 +189,32 @@ def labelled(
 ) -> DataFrame:
     """Candidates with first target, stopping point and label; encoded columns cut at the stop."""
     found = candidates(rows, task.min_years)
-    targets = X.string_array(task.targets)
+    targets = X.text_array(task.targets)
     return _labelled(found, task, targets, stop_before_stopping_time, eos_id)
 
 
 def _labelled(
-    found: DataFrame, task: Task, targets: Column, stop_early: bool, eos_id: int | None
+    found: DataFrame, task: Task, targets: str, stop_early: bool, eos_id: int | None
 ) -> DataFrame:
-    later = X.string_array(task.followup_targets) if task.followup_targets else targets
-    out = found.withColumn("first_target", first_target(F.col("tokens"), targets))
+    later = X.text_array(task.followup_targets) if task.followup_targets else targets
+    out = found.selectExpr("*", f"{first_target('tokens', targets)} AS first_target")
     if stop_early:
         return out
-    stop = stopping_point(
-        task.stop, F.col("tokens"), F.col("first_target"), task, F.col("subject_id")
-    )
-    out = (
-        out.withColumn("stopping_time", stop)
-        .where((F.col("stopping_time") > 0) & (F.col("stopping_time") < F.col("len")))
-        .withColumn(
-            "label_token",
-            horizon_label(
-                F.col("tokens"), F.col("stopping_time"), later, task.horizon_days, task.match
-            ),
-        )
-    )
+    stop = stopping_point(task.stop, task)
+    label = horizon_label("tokens", "stopping_time", later, task.horizon_days, task.match)
+    out = out.selectExpr("*", f"{stop} AS stopping_time")
+    out = out.where("stopping_time > 0 AND stopping_time < len")
+    out = out.selectExpr("*", f"{label} AS label_token")
     for column in ("input_ids", "attention_mask"):
         if column in out.columns:
-            out = out.withColumn(column, F.slice(column, 1, F.col("stopping_time")))
+            out = out.withColumn(column, F.expr(f"slice({column}, 1, stopping_time)"))
     if eos_id is not None and "input_ids" in out.columns:
-        out = out.withColumn("input_ids", checked_tail(F.col("input_ids"), eos_id))
+        out = out.withColumn("input_ids", F.expr(checked_tail("input_ids", eos_id)))
     return out
 
 
-def all_eos_tail(ids: Column, eos_id: int) -> Column:
-    """Whether the last five ids are all the end token; true also for no ids at all."""
-    tail = F.slice(ids, F.greatest(F.size(ids) - 4, F.lit(1)), 5)
-    return F.forall(tail, lambda x: x == eos_id)
-
-
-def checked_tail(ids: Column, eos_id: int) -> Column:
-    """The ids, or an error for a row that ends in end tokens only."""
-    wrong = F.raise_error(F.lit("a truncated sequence ends in end tokens")).cast("array<bigint>")
-    return F.when(all_eos_tail(ids, eos_id), wrong).otherwise(ids)
-
-
 def fits_window(df: DataFrame, window: int = S.WINDOW_TOKENS, new: int = S.NEW_TOKENS) -> DataFrame:
-    return df.where(F.col("stopping_time") < window - new)
+    return df.where(f"stopping_time < {window - new}")
 
 
 def evaluation_set(
@@ -278,12 +241,11 @@ def evaluation_sets(
     Task lists are small definitions; they become a literal that each row is expanded by.
     """
     defined = task_targets(task_codes).orderBy("task").collect()
-    entries = [
-        F.struct(F.lit(r["task"]).alias("task"), X.string_array(r["targets"]).alias("targets"))
+    entries = ", ".join(
+        f"named_struct('task', {X.text(r['task'])}, 'targets', {X.text_array(r['targets'])})"
         for r in defined
-    ]
+    )
     found = candidates(rows, task.min_years)
-    expanded = found.select("*", F.explode(F.array(*entries)).alias("_t"))
-    flat = expanded.select(*found.columns, "_t.task", "_t.targets")
-    out = _labelled(flat, task, F.col("targets"), False, eos_id)
+    flat = found.selectExpr("*", f"inline(array({entries}))")
+    out = _labelled(flat, task, "targets", False, eos_id)
     return fits_window(out, window, new_tokens).drop("targets")

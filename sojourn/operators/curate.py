@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,39 +25,34 @@ from sojourn.session import materialise, shared_dir
 PART_EVENTS = 10_000
 
 
-def event_order() -> list[Column]:
-    return [F.asc_nulls_first(c) for c in S.EVENT_ORDER]
-
-
-def visit_key() -> Column:
-    return F.coalesce(F.col("visit_id").cast("bigint"), F.lit(0))
+# Spark sorts nulls first when ascending.
+ORDER = ", ".join(S.EVENT_ORDER)
+VISIT_KEY = "coalesce(cast(visit_id as bigint), 0)"
 
 
 def with_time_columns(events: DataFrame) -> DataFrame:
     """``time`` as double seconds, from numbers or timestamps, plus µs and datetime columns."""
     kind = events.schema["time"].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        zoned = F.col("time").cast("timestamp")
-        events = events.withColumn("time", F.unix_micros(zoned) / 1e6)
-    elif not isinstance(kind, (T.LongType, T.IntegerType, T.DoubleType, T.FloatType)):
+        seconds = "unix_micros(cast(time as timestamp)) / 1e6D"
+    elif isinstance(kind, (T.LongType, T.IntegerType, T.DoubleType, T.FloatType)):
+        seconds = "cast(time as double)"
+    else:
         raise ValueError(f"unsupported type of time: {kind.simpleString()}")
-    seconds = F.col("time").cast("double")
-    return (
-        events.withColumn("time", seconds)
-        .withColumn("timestamp", seconds * 1e6)
-        .withColumn("datetime", F.timestamp_seconds(seconds))
+    return events.withColumn("time", F.expr(seconds)).selectExpr(
+        "*", "time * 1e6D AS timestamp", "timestamp_seconds(time) AS datetime"
     )
 
 
 def _ordered(events: DataFrame) -> DataFrame:
     """Neighbours and 1-based position over whole subjects."""
-    w = Window.partitionBy("subject_id").orderBy(*event_order())
-    return events.select(
+    w = f"(PARTITION BY subject_id ORDER BY {ORDER})"
+    return events.selectExpr(
         "*",
-        F.lag("time").over(w).alias("prev_time"),
-        F.lag(visit_key()).over(w).alias("prev_visit"),
-        F.lead(visit_key()).over(w).alias("next_visit"),
-        F.row_number().over(w).cast("bigint").alias("pos"),
+        f"lag(time) OVER {w} AS prev_time",
+        f"lag({VISIT_KEY}) OVER {w} AS prev_visit",
+        f"lead({VISIT_KEY}) OVER {w} AS next_visit",
+        f"cast(row_number() OVER {w} as bigint) AS pos",
     )
 
 
@@ -65,39 +60,38 @@ def _ordered_in_lanes(events: DataFrame, n: int, lane_rows: int) -> DataFrame:
     """The same columns for heavy subjects, lane by lane.
 
     A row number joins the order, so that even a mass of equal events spreads over lanes. It is
-    written out before the rows are shuffled by it, so a lost task cannot renumber them.
+    written out before the rows are shuffled by it, so a lost task cannot renumber them. Across a
+    lane border the neighbours come from the lanes' first and last rows.
     """
     uid = F.lit(0) if shared_dir(events.sparkSession) is None else F.monotonically_increasing_id()
     rows = materialise(events.withColumn("uid", uid))
-    laned = range_lanes(rows, ["subject_id", *event_order(), "uid"], n, lane_rows)
-    edge = F.struct(*S.EVENT_ORDER, "uid", visit_key().alias("visit"))
+    laned = range_lanes(rows, ["subject_id", *S.EVENT_ORDER, "uid"], n, lane_rows)
+    edge = f"struct({ORDER}, uid, {VISIT_KEY} AS visit)"
     edges = laned.groupBy("subject_id", "lane").agg(
-        F.min(edge).alias("first"), F.max(edge).alias("last"), F.count("*").alias("n")
+        F.expr(f"min({edge}) AS first"), F.expr(f"max({edge}) AS last"), F.expr("count(*) AS n")
     )
-    across = Window.partitionBy("subject_id").orderBy("lane")
-    edges = edges.select(
+    across = "(PARTITION BY subject_id ORDER BY lane)"
+    edges = edges.selectExpr(
         "subject_id",
         "lane",
-        F.lag("last").over(across).alias("before"),
-        F.lead("first").over(across).alias("after"),
-        (F.sum("n").over(across) - F.col("n")).alias("offset"),
+        f"lag(last) OVER {across} AS before",
+        f"lead(first) OVER {across} AS after",
+        f"sum(n) OVER {across} - n AS offset",
     )
-    w = Window.partitionBy("subject_id", "lane").orderBy(*event_order(), "uid")
-    prev_visit = F.lag(visit_key()).over(w)
-    return (
-        laned.join(F.broadcast(edges), ["subject_id", "lane"])
-        .withColumn(
-            "prev_time",
-            F.when(prev_visit.isNotNull(), F.lag("time").over(w)).otherwise(
-                F.col("before.time")
-            ),
-        )
-        .withColumn("prev_visit", F.coalesce(prev_visit, F.col("before.visit")))
-        .withColumn(
-            "next_visit", F.coalesce(F.lead(visit_key()).over(w), F.col("after.visit"))
-        )
-        .withColumn("pos", F.col("offset") + F.row_number().over(w))
-        .drop("lane", "uid", "before", "after", "offset")
+    w = f"(PARTITION BY subject_id, lane ORDER BY {ORDER}, uid)"
+    within = laned.join(F.broadcast(edges), ["subject_id", "lane"]).selectExpr(
+        "*",
+        f"lag(time) OVER {w} AS lag_time",
+        f"lag({VISIT_KEY}) OVER {w} AS lag_visit",
+        f"lead({VISIT_KEY}) OVER {w} AS lead_visit",
+        f"row_number() OVER {w} AS row",
+    )
+    return within.selectExpr(
+        *events.columns,
+        "IF(lag_visit IS NULL, before.time, lag_time) AS prev_time",
+        "coalesce(lag_visit, before.visit) AS prev_visit",
+        "coalesce(lead_visit, after.visit) AS next_visit",
+        "offset + row AS pos",
     )
 
 
@@ -107,7 +101,7 @@ def ordered_frames(
     """Events with neighbours and position: one frame, or two when there are heavy subjects."""
     if bounded:
         return [_ordered(events)]
-    counts = events.groupBy("subject_id").agg(F.count("*").alias("n"))
+    counts = events.groupBy("subject_id").agg(F.expr("count(*) AS n"))
     heavy = heavy_keys(counts, min_rows=heavy_rows)
     if not heavy:
         return [_ordered(events)]
@@ -122,24 +116,18 @@ def ordered_frames(
 
 def with_event_tokens(ordered: DataFrame) -> DataFrame:
     """Gap, visit-start and visit-end tokens and the event's own text."""
-    gap = F.floor((F.col("time") - F.col("prev_time")) / 86400)
-    days = F.coalesce(gap, F.lit(0))
-    starts = visit_key() - F.col("prev_visit") != 0
-    ends = (F.col("next_visit") - visit_key() != 0) & F.col("visit_id").isNotNull()
-    return (
-        ordered.withColumn("day_gap", days)
-        .withColumn("time_token", X.gap_token(F.col("day_gap")))
-        .withColumn("visit_token", F.when(starts, X.visit_group(F.col("visit_type"))))
-        .withColumn("visit_end_token", F.when(ends, F.lit(S.VISIT_END)))
-        .withColumn(
-            "event_text",
-            F.trim(
-                F.concat_ws(
-                    " ", "time_token", "visit_token", "code", "quantile_token", "visit_end_token"
-                )
-            ),
-        )
-        .drop("prev_time", "prev_visit", "next_visit")
+    columns = [c for c in ordered.columns if c not in ("prev_time", "prev_visit", "next_visit")]
+    starts = f"{VISIT_KEY} - prev_visit <> 0"
+    ends = f"next_visit - {VISIT_KEY} <> 0 AND visit_id IS NOT NULL"
+    gaps = ordered.selectExpr(
+        *columns,
+        "coalesce(floor((time - prev_time) / 86400), 0) AS day_gap",
+        f"IF({starts}, {X.visit_group('visit_type')}, NULL) AS visit_token",
+        f"IF({ends}, '{S.VISIT_END}', NULL) AS visit_end_token",
+    )
+    parts = "time_token, visit_token, code, quantile_token, visit_end_token"
+    return gaps.withColumn("time_token", F.expr(X.gap_token("day_gap"))).withColumn(
+        "event_text", F.expr(f"trim(concat_ws(' ', {parts}))")
     )
 
 
@@ -164,14 +152,15 @@ def tokenised_events(
     return reduce(DataFrame.unionByName, frames)
 
 
-def head(text: Column, max_tokens: int) -> Column:
-    return F.array_join(F.slice(X.split_tokens(text), 1, max_tokens), " ")
+def head(text: str, max_tokens: int) -> str:
+    return f"array_join(slice(split({text}, ' '), 1, {max_tokens}), ' ')"
 
 
 def _joined(frame: DataFrame, *keys: str) -> DataFrame:
-    listed = F.array_sort(F.collect_list(F.struct("pos", "event_text")))
-    texts = F.transform(listed, lambda e: e["event_text"])
-    return frame.groupBy(*keys).agg(F.array_join(texts, " ").alias("text"))
+    listed = "array_sort(collect_list(struct(pos, event_text)))"
+    return frame.groupBy(*keys).agg(
+        F.expr(f"array_join(transform({listed}, e -> e.event_text), ' ') AS text")
+    )
 
 
 def sequences(
@@ -192,10 +181,10 @@ def sequences(
     out = []
     for frame in event_token_frames(events, breaks, bounded, heavy_rows):
         if max_tokens is not None:
-            frame = frame.where(F.col("pos") <= max_tokens)
+            frame = frame.where(f"pos <= {max_tokens}")
         joined = _joined(frame, "subject_id")
         if max_tokens is not None:
-            joined = joined.withColumn("text", head(F.col("text"), max_tokens))
+            joined = joined.withColumn("text", F.expr(head("text", max_tokens)))
         out.append(joined)
     return reduce(DataFrame.unionByName, out)
 
@@ -211,7 +200,7 @@ def sequence_parts(
     Part 0 is the whole text of a subject with up to ``part_events`` events; longer subjects
     continue in parts 1, 2, …, to be joined by a space.
     """
-    part = F.floor((F.col("pos") - 1) / part_events).cast("int")
+    part = F.expr(f"cast((pos - 1) div {part_events} as int)")
     out = [
         _joined(frame.withColumn("part", part), "subject_id", "part")
         for frame in event_token_frames(events, breaks, False, heavy_rows)

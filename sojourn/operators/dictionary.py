@@ -27,36 +27,31 @@ def data_dictionary(t: ClinicalTables) -> DataFrame:
     parts = [
         df.select(concept, "standard_concept_name")
         .distinct()
-        .select(
-            prefixed(prefix, concept).alias("code"),
-            F.col("standard_concept_name").alias("concept_name"),
-        )
+        .selectExpr(f"{prefixed(prefix, concept)} AS code", "standard_concept_name AS concept_name")
         for df, prefix, concept in named
     ]
     person_concepts = [
-        t.person.select(
-            F.lit(prefix).alias("prefix"), F.col(concept).cast("bigint").alias("concept_id")
-        ).distinct()
+        t.person.selectExpr(f"'{prefix}' AS prefix", f"cast({concept} as bigint) AS concept_id")
+        .distinct()
         for prefix, concept in [
             (S.GENDER, "gender_concept_id"),
             (S.SEX, "sex_at_birth_concept_id"),
             (S.RACE, "race_concept_id"),
         ]
     ]
-    wanted = reduce(DataFrame.unionByName, person_concepts)
+    wanted = reduce(DataFrame.union, person_concepts)
     # The concept table is large and the wanted ids are few: keep only those before joining.
-    concepts = t.concept.select(F.col("concept_id").cast("bigint"), "concept_name")
+    concepts = t.concept.selectExpr("cast(concept_id as bigint) AS concept_id", "concept_name")
     found = lookup_join(concepts, wanted.select("concept_id").distinct(), "concept_id", "left_semi")
     parts.append(
-        wanted.join(found, "concept_id", "left").select(
-            F.concat("prefix", F.col("concept_id").cast("string")).alias("code"), "concept_name"
+        wanted.join(found, "concept_id", "left").selectExpr(
+            "concat(prefix, cast(concept_id as string)) AS code", "concept_name"
         )
     )
-    spark = t.person.sparkSession
-    parts.append(
-        spark.createDataFrame([(S.BIRTH_CODE, "Birth date")], "code string, concept_name string")
+    birth = t.person.sparkSession.sql(
+        f"SELECT '{S.BIRTH_CODE}' AS code, 'Birth date' AS concept_name"
     )
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.union, [*parts, birth])
 
 
 def token_names(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -66,20 +61,18 @@ def token_names(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     has several.
     """
     names = dictionary.groupBy(F.col("code").alias("token")).agg(
-        F.max("concept_name").alias("concept_name")
+        F.expr("max(concept_name) AS concept_name")
     )
-    distinct = tokens.select("token").distinct()
-    labelled = distinct.select(
-        "token",
-        X.code_category(F.col("token")).alias("category"),
-        X.visit_label(F.col("token")).alias("visit_label"),
+    labelled = (
+        tokens.select("token")
+        .distinct()
+        .selectExpr(
+            "token",
+            f"{X.code_category('token')} AS category",
+            f"{X.visit_label('token')} AS visit_label",
+        )
     )
-    missing = F.lit("(not in dictionary)")
-    return lookup_join(labelled, names, "token", "left").select(
-        "token",
-        "category",
-        "visit_label",
-        F.when(F.col("category").isNotNull(), F.coalesce("concept_name", missing)).alias(
-            "concept_name"
-        ),
+    name = "IF(category IS NULL, NULL, coalesce(concept_name, '(not in dictionary)'))"
+    return lookup_join(labelled, names, "token", "left").selectExpr(
+        "token", "category", "visit_label", f"{name} AS concept_name"
     )

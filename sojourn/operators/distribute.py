@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sojourn.functions.seeded import digest
@@ -28,12 +28,14 @@ def heavy_keys(
 ) -> list[Row]:
     """Rows of ``counts(key…, n)`` that hold at least ``1/shares`` of the total.
 
-    At most ``shares`` rows can qualify whatever the data size, so the answer fits the driver.
+    At most ``shares`` rows can qualify whatever the data size, so the answer fits the driver. One
+    small job settles the usual case of no such key.
     """
+    size = counts.selectExpr("sum(n) AS total", "max(n) AS top").first()
+    if (size["top"] or 0) < min_rows:
+        return []
     shares = shares or shares_of(counts)
-    counts = materialise(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where((F.col("n") >= min_rows) & (F.col("n") * shares >= total)).collect()
+    return counts.where(f"n >= {min_rows} AND n * {shares} >= {size['total']}").collect()
 
 
 def lookup_join(
@@ -52,7 +54,7 @@ def lookup_join(
     small = materialise(small)
     if small.count() <= max_broadcast:
         return big.join(F.broadcast(small), key, how)
-    counts = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    counts = big.where(f"{key} IS NOT NULL").groupBy(key).agg(F.expr("count(*) AS n"))
     heavy = [row[key] for row in heavy_keys(counts)]
     if not heavy:
         return big.join(small, key, how)
@@ -61,26 +63,23 @@ def lookup_join(
     return hot.unionByName(big.where(~in_heavy).join(small, key, how))
 
 
-def numbered(df: DataFrame, order: str, bucket: Column, name: str = "row_id") -> DataFrame:
+def numbered(df: DataFrame, order: str, bucket: str, name: str = "row_id") -> DataFrame:
     """0-based global position by ``order`` without ordering everything in one task.
 
-    ``bucket`` must grow with ``order``; rows are ordered inside their bucket and shifted by the
-    number of rows in earlier buckets. Only the bucket counts meet in a single task.
+    ``bucket``, an SQL expression, must grow with ``order``; rows are ordered inside their bucket
+    and shifted by the number of rows in earlier buckets. Only the bucket counts meet in one task.
     """
-    df = df.withColumn("_bucket", bucket)
+    df = df.withColumn("_bucket", F.expr(bucket))
     offsets = (
         df.groupBy("_bucket")
-        .agg(F.count("*").alias("_n"))
-        .select(
-            "_bucket",
-            (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"),
-        )
+        .agg(F.expr("count(*) AS _n"))
+        .selectExpr("_bucket", "sum(_n) OVER (ORDER BY _bucket) - _n AS _before")
     )
-    inner = Window.partitionBy("_bucket").orderBy(order)
+    rank = f"row_number() OVER (PARTITION BY _bucket ORDER BY {order})"
     return (
-        df.withColumn("_rank", F.row_number().over(inner))
+        df.withColumn("_rank", F.expr(rank))
         .join(offsets, "_bucket")
-        .withColumn(name, F.col("_before") + F.col("_rank") - 1)
+        .withColumn(name, F.expr("_before + _rank - 1"))
         .drop("_bucket", "_before", "_rank")
     )
 
@@ -93,28 +92,27 @@ def digest_cutoff(ids: DataFrame, key: str, seed, keep: int) -> str | None:
     """
     if keep <= 0:
         return None
-    drawn = materialise(ids.select(digest(seed, F.col(key)).alias("d")))
-    prefix = F.substring("d", 1, 4)
+    drawn = materialise(ids.selectExpr(f"{digest(seed, key)} AS d"))
     running = (
-        drawn.groupBy(prefix.alias("p"))
-        .agg(F.count("*").alias("n"))
-        .select("p", "n", F.sum("n").over(Window.orderBy("p")).alias("upto"))
+        drawn.groupBy(F.expr("substr(d, 1, 4) AS p"))
+        .agg(F.expr("count(*) AS n"))
+        .selectExpr("p", "n", "sum(n) OVER (ORDER BY p) AS upto")
     )
-    hit = running.where(F.col("upto") >= keep).orderBy("p").first()
+    hit = running.where(f"upto >= {keep}").orderBy("p").first()
     if hit is None:
         return "g"
     nth = keep - (hit["upto"] - hit["n"])
-    ranked = drawn.where(prefix == hit["p"]).withColumn(
-        "r", F.row_number().over(Window.orderBy("d"))
+    ranked = drawn.where(f"substr(d, 1, 4) = '{hit['p']}'").selectExpr(
+        "d", "row_number() OVER (ORDER BY d) AS r"
     )
-    return ranked.where(F.col("r") == nth).first()["d"]
+    return ranked.where(f"r = {nth}").first()["d"]
 
 
-def drawn_within(cutoff: str | None, seed, key: Column) -> Column:
-    """Row-level membership test that belongs to :func:`digest_cutoff`."""
+def drawn_within(cutoff: str | None, seed, key: str) -> str:
+    """Row-level membership test (SQL) that belongs to :func:`digest_cutoff`."""
     if cutoff is None:
-        return F.lit(False)
-    return F.coalesce(digest(seed, key) <= cutoff, F.lit(False))
+        return "false"
+    return f"coalesce({digest(seed, key)} <= '{cutoff}', false)"
 
 
 def range_lanes(df: DataFrame, order: Sequence, n: int, lane_rows: int) -> DataFrame:
@@ -131,40 +129,47 @@ def range_lanes(df: DataFrame, order: Sequence, n: int, lane_rows: int) -> DataF
 def lanes_by_value(
     cells: DataFrame, value: str, groups: Sequence[str] = (), lane_rows: int = LANE_ROWS
 ) -> DataFrame:
-    """Add a ``lane`` that grows with ``value`` and bounds the rows of each (group, lane).
+    """Add a ``lane`` that grows with ``value`` where some group is too large for one task.
 
-    ``cells`` has one row per group and value, and should be materialised. Where the largest group
-    already fits one task, everything is lane 0.
+    ``cells`` has one row per group and value, and should be materialised. Usually the largest
+    group fits and ``cells`` comes back as it is.
     """
-    counts = cells.groupBy(*groups).agg(F.count("*").alias("n"))
-    size = counts.agg(F.max("n").alias("largest"), F.sum("n").alias("n")).first()
+    counts = cells.groupBy(*groups).agg(F.expr("count(*) AS n"))
+    size = counts.selectExpr("max(n) AS largest", "sum(n) AS n").first()
     if (size["largest"] or 0) <= lane_rows:
-        return cells.withColumn("lane", F.lit(0))
+        return cells
     return range_lanes(cells, [*groups, value], size["n"], lane_rows)
 
 
 def running_before(
     cells: DataFrame, value: str, groups: Sequence[str], count: str
 ) -> DataFrame:
-    """Add ``before``: the sum of ``count`` over smaller values of the same group.
+    """Add ``before``, the sum of ``count`` over smaller values of the same group, and ``total``.
 
-    Runs over (group, lane) windows and shifts by the totals of the earlier lanes.
+    With a ``lane`` column, windows run over (group, lane) and are shifted by the totals of the
+    earlier lanes.
     """
-    inner = (
-        Window.partitionBy(*groups, "lane")
-        .orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    totals = cells.groupBy(*groups, "lane").agg(F.sum(count).alias("_lane_total"))
-    across = Window.partitionBy(*groups).orderBy("lane")
-    offsets = totals.select(
-        *groups,
-        "lane",
-        (F.sum("_lane_total").over(across) - F.col("_lane_total")).alias("_offset"),
+    by_group = f"PARTITION BY {', '.join(groups)}" if groups else ""
+    if "lane" not in cells.columns:
+        return cells.selectExpr(
+            "*",
+            f"sum({count}) OVER ({by_group} ORDER BY {value}) - {count} AS before",
+            f"sum({count}) OVER ({by_group}) AS total",
+        )
+    keys = [*groups, "lane"]
+    offsets = (
+        cells.groupBy(*keys)
+        .agg(F.expr(f"sum({count}) AS _n"))
+        .selectExpr(
+            *keys,
+            f"sum(_n) OVER ({by_group} ORDER BY lane) - _n AS _offset",
+            f"sum(_n) OVER ({by_group}) AS total",
+        )
     )
+    run = f"sum({count}) OVER (PARTITION BY {', '.join(keys)} ORDER BY {value}) - {count}"
     return (
-        cells.withColumn("_run", F.sum(count).over(inner) - F.col(count))
-        .join(offsets, [*groups, "lane"])
-        .withColumn("before", F.col("_run") + F.col("_offset"))
+        cells.withColumn("_run", F.expr(run))
+        .join(offsets, keys)
+        .withColumn("before", F.expr("_run + _offset"))
         .drop("_run", "_offset")
     )

@@ -2,44 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn import schema as S
-from sojourn.functions import tokens as X
-from sojourn.functions.seeded import poisson_one
+from sojourn.functions.seeded import hash32, poisson_of
+from sojourn.functions.tokens import cases, text
 from sojourn.operators.cohort import years_from
 from sojourn.operators.distribute import LANE_ROWS, lanes_by_value, running_before
 from sojourn.operators.prs import any_nonzero
 from sojourn.session import materialise
 
-WIDE = "decimal(38,0)"
+# Replicates beyond this multiple of the wanted number are not tried.
+MAX_REDRAWS = 64
 
 
-def aggregated(scores: Column, how: str = "mean") -> Column:
-    """Mean, max or median of a list of probabilities; null for an empty list."""
-    n = F.size(scores)
+def aggregated(scores: str, how: str = "mean") -> str:
+    """Mean, max or median of a list of probabilities (SQL); null for an empty list."""
     if how == "max":
-        return F.array_max(scores)
+        return f"array_max({scores})"
     if how == "mean":
-        total = F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
-        return F.when(n > 0, total / n)
+        total = f"aggregate({scores}, 0.0D, (a, x) -> a + x)"
+        return f"{total} / nullif(size({scores}), 0)"
     if how == "median":
-        ordered = F.array_sort(scores)
-        low = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-        high = F.get(ordered, F.floor(n / 2).cast("int"))
-        return F.when(n > 0, (low + high) / 2)
+        low = f"get(array_sort({scores}), (size({scores}) - 1) div 2)"
+        high = f"get(array_sort({scores}), size({scores}) div 2)"
+        return f"IF(size({scores}) > 0, ({low} + {high}) / 2, NULL)"
     raise ValueError(f"unknown aggregation: {how}")
 
 
-def age_bucket(age: Column) -> Column:
-    out = None
-    for below, label in S.AGE_BUCKETS:
-        if below is None:
-            return out.when(age >= 0, label)
-        hit = (age >= 0) & (age < below)
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out
+def age_bucket(age: str) -> str:
+    return cases(
+        (f"{age} >= 0" if below is None else f"{age} >= 0 AND {age} < {below}", text(label))
+        for below, label in S.AGE_BUCKETS
+    )
 
 
 def prepared(predictions: DataFrame, how: str = "mean", prs: DataFrame | None = None) -> DataFrame:
@@ -47,67 +45,57 @@ def prepared(predictions: DataFrame, how: str = "mean", prs: DataFrame | None =
 
     ``prs`` must hold one row per prediction; other counts are an error.
     """
-    out = (
-        predictions.withColumn("probability_agg", aggregated(F.col("probability_scores"), how))
-        .withColumn("age", years_from(X.split_tokens(F.col("original_text"))))
-        .withColumn("age_bucket", age_bucket(F.col("age")))
-    )
+    out = predictions.selectExpr(
+        "*",
+        f"{aggregated('probability_scores', how)} AS probability_agg",
+        years_from("split(original_text, ' ')") + " AS age",
+    ).withColumn("age_bucket", F.expr(age_bucket("age")))
     if prs is None:
         return out
-    if out.count() != prs.count():
+    if predictions.count() != prs.count():
         raise ValueError("predictions and PRS rows differ in number")
     return out.join(prs_presence(prs), "subject_id")
 
 
 def prs_presence(prs: DataFrame) -> DataFrame:
-    return prs.select("subject_id", any_nonzero(F.col("prs")).alias("has_prs"))
+    return prs.selectExpr("subject_id", f"{any_nonzero('prs')} AS has_prs")
 
 
-def score_cells(df: DataFrame, score: str, label: str, groups: list[str]) -> DataFrame:
+def score_cells(df: DataFrame, score: str, label: str, groups: Sequence[str]) -> DataFrame:
     """``groups, score, neg, pos``: class counts per distinct score."""
-    return (
-        df.where(F.col(score).isNotNull())
-        .groupBy(*groups, F.col(score).alias("score"))
-        .agg(
-            F.count_if(F.col(label) == 0).alias("neg"),
-            F.count_if(F.col(label) == 1).alias("pos"),
-        )
+    scored = df.where(f"{score} IS NOT NULL").selectExpr(
+        *groups, f"{score} AS score", f"{label} AS _label"
+    )
+    return scored.groupBy(*groups, "score").agg(
+        F.expr("count_if(_label = 0) AS neg"), F.expr("count_if(_label = 1) AS pos")
     )
 
 
-def pair_auc(cells: DataFrame, groups: list[str]) -> DataFrame:
-    """AUC per group from laned score cells; groups with one class are left out.
+def pair_auc(cells: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """AUC per group from score cells; groups with one class are left out.
 
     Twice the number of rightly ordered pairs, ties half, is Σ pos·(2·negatives below + neg): a
     whole number, so the result does not depend on the order of summation.
     """
     ranked = running_before(cells, "score", groups, "neg")
-    twice = F.col("pos").cast(WIDE) * (2 * F.col("before") + F.col("neg")).cast(WIDE)
-    return (
-        ranked.groupBy(*groups)
-        .agg(
-            F.sum(twice).cast("double").alias("_u"),
-            F.sum("pos").alias("n_pos"),
-            F.sum("neg").alias("n_neg"),
-        )
-        .where((F.col("n_pos") > 0) & (F.col("n_neg") > 0))
-        .withColumn(
-            "auc",
-            F.col("_u") / (2.0 * F.col("n_pos").cast("double") * F.col("n_neg").cast("double")),
-        )
-        .drop("_u")
+    twice = "cast(pos as decimal(19,0)) * cast(2 * before + neg as decimal(19,0))"
+    sums = ranked.groupBy(*groups).agg(
+        F.expr(f"cast(sum({twice}) as double) AS u"),
+        F.expr("sum(pos) AS n_pos"),
+        F.expr("sum(neg) AS n_neg"),
     )
+    auc = "u / (2.0D * cast(n_pos as double) * cast(n_neg as double)) AS auc"
+    return sums.where("n_pos > 0 AND n_neg > 0").selectExpr(*groups, "n_pos", "n_neg", auc)
 
 
 def roc_auc(
     df: DataFrame,
     score: str = "probability_agg",
     label: str = "label_token",
-    groups: list[str] | None = None,
+    groups: Sequence[str] = (),
     lane_rows: int = LANE_ROWS,
 ) -> DataFrame:
-    """``groups, n_pos, n_neg, auc``. Exact, with ties; scores are ordered lane by lane."""
-    groups = list(groups or [])
+    """``groups, n_pos, n_neg, auc``. Exact, with ties; many scores are ordered lane by lane."""
     cells = materialise(score_cells(df, score, label, groups))
     return pair_auc(lanes_by_value(cells, "score", groups, lane_rows), groups)
 
@@ -118,75 +106,73 @@ def replicate_aucs(
     key: str = "subject_id",
     score: str = "probability_agg",
     label: str = "label_token",
-    groups: list[str] | None = None,
+    groups: Sequence[str] = (),
     seed=0,
     lane_rows: int = LANE_ROWS,
 ) -> DataFrame:
     """``groups, b, auc`` of Poisson bootstrap replicates ``first ≤ b < last``.
 
     Each row enters each replicate Poisson(1) times, drawn from its key, so replicates need no
-    common order of rows. Draws are summed per (replicate, score) before the shuffle, and the lanes
-    cut from the whole sample's scores serve every replicate.
+    common order of rows. Draws are summed per (replicate, score) before the shuffle. Lanes cut
+    from the whole sample's scores serve every replicate.
     """
-    groups = list(groups or [])
-    rows = df.where(F.col(score).isNotNull()).select(
-        *groups, F.col(key).alias("_key"), F.col(score).alias("score"), F.col(label).alias("_label")
+    rows = df.where(f"{score} IS NOT NULL").selectExpr(
+        *groups, f"{key} AS _key", f"{score} AS score", f"{label} AS _label"
     )
-    n_scores = rows.select("score").distinct()
-    laned = lanes_by_value(materialise(n_scores), "score", (), lane_rows)
-    b = F.explode(F.sequence(F.lit(replicates[0]), F.lit(replicates[1] - 1))).alias("b")
+    scores = materialise(rows.select("score").distinct())
+    laned = lanes_by_value(scores, "score", (), lane_rows)
     drawn = (
-        rows.select("*", b)
-        .withColumn("w", poisson_one(seed, F.col("b"), F.col("_key")))
-        .where(F.col("w") > 0)
+        rows.selectExpr("*", f"explode(sequence({replicates[0]}, {replicates[1] - 1})) AS b")
+        .selectExpr("*", f"{hash32(seed, 'b', '_key')} AS h")
+        .selectExpr(*groups, "b", "score", "_label", f"{poisson_of('h')} AS w")
+        .where("w > 0")
         .groupBy(*groups, "b", "score")
         .agg(
-            F.sum(F.when(F.col("_label") == 0, F.col("w")).otherwise(0)).alias("neg"),
-            F.sum(F.when(F.col("_label") == 1, F.col("w")).otherwise(0)).alias("pos"),
+            F.expr("sum(IF(_label = 0, w, 0)) AS neg"), F.expr("sum(IF(_label = 1, w, 0)) AS pos")
         )
     )
-    if laned.select(F.max("lane")).first()[0]:
-        cells = drawn.join(laned, "score")
-    else:
-        cells = drawn.withColumn("lane", F.lit(0))
-    return pair_auc(cells, [*groups, "b"]).select(*groups, "b", "auc")
+    if "lane" in laned.columns:
+        drawn = drawn.join(laned, "score")
+    return pair_auc(drawn, [*groups, "b"]).select(*groups, "b", "auc")
 
 
 def bootstrap_interval(
     df: DataFrame,
     iterations: int = 1000,
     confidence: float = 0.95,
-    groups: list[str] | None = None,
+    groups: Sequence[str] = (),
     **options,
 ) -> DataFrame:
     """``groups, n_valid, ci_low, ci_high``: percentile interval over the bootstrap AUCs.
 
-    A replicate with a single class has no AUC. It is replaced by a further replicate, so that each
-    group has ``iterations`` valid ones, as long as the groups have both classes at all.
+    A replicate with a single class has no AUC. Further replicates take its place, until every
+    group that has any valid one has ``iterations`` of them.
     """
-    groups = list(groups or [])
+
+    def short(aucs: DataFrame) -> bool:
+        counts = aucs.groupBy(*groups).agg(F.expr("count(*) AS n"))
+        return (counts.agg(F.expr("min(n)")).first()[0] or 0) < iterations
+
     aucs = materialise(replicate_aucs(df, (0, iterations), groups=groups, **options))
-    short = _valid(aucs, groups).where(F.col("n_valid") < iterations)
     upto = iterations
-    while upto < 64 * iterations and not short.isEmpty():
+    while upto < MAX_REDRAWS * iterations and short(aucs):
         more = replicate_aucs(df, (upto, 2 * upto), groups=groups, **options)
-        aucs = materialise(aucs.unionByName(more))
+        aucs = materialise(aucs.union(more))
         upto *= 2
-        short = _valid(aucs, groups).where(F.col("n_valid") < iterations)
-    w = Window.partitionBy(*groups).orderBy("b") if groups else Window.orderBy("b")
-    first = aucs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= iterations)
+    by_group = f"PARTITION BY {', '.join(groups)}" if groups else ""
+    first = aucs.selectExpr("*", f"row_number() OVER ({by_group} ORDER BY b) AS r")
     alpha = (1.0 - confidence) / 2.0
-    return first.groupBy(*groups).agg(
-        F.count("*").alias("n_valid"),
-        F.percentile("auc", F.lit(alpha)).alias("ci_low"),
-        F.percentile("auc", F.lit(1.0 - alpha)).alias("ci_high"),
+    return (
+        first.where(f"r <= {iterations}")
+        .groupBy(*groups)
+        .agg(
+            F.expr("count(*) AS n_valid"),
+            F.expr(f"percentile(auc, {alpha}D) AS ci_low"),
+            F.expr(f"percentile(auc, {1.0 - alpha}D) AS ci_high"),
+        )
     )
 
 
-def _valid(aucs: DataFrame, groups: list[str]) -> DataFrame:
-    return aucs.groupBy(*groups).agg(F.count("*").alias("n_valid"))
-
-
 def report(
     df: DataFrame,
     strata: str | None = None,
@@ -196,19 +182,16 @@ def report(
     key: str = "subject_id",
     seed=0,
 ) -> DataFrame:
-    """``[stratum,] n, auc, ci_low, ci_high``, overall or per stratum with both classes."""
+    """``[stratum,] n, auc, ci_low, ci_high, n_valid``, overall or per stratum with both classes."""
     groups = [strata] if strata else []
     if strata:
-        df = df.where(F.col(strata).isNotNull())
+        df = df.where(f"{strata} IS NOT NULL")
     df = materialise(df.select(*groups, key, score, label))
-    points = roc_auc(df, score, label, groups)
+    points = roc_auc(df, score, label, groups).withColumn("n", F.expr("n_pos + n_neg"))
     spans = bootstrap_interval(
         df, iterations, groups=groups, key=key, score=score, label=label, seed=seed
     )
-    points = points.withColumn("n", F.col("n_pos") + F.col("n_neg"))
-    if groups:
-        joined = points.join(spans, groups)
-    else:
-        one = F.lit(1).alias("_one")
-        joined = points.select("*", one).join(spans.select("*", one), "_one")
-    return joined.select(*groups, "n", "auc", "ci_low", "ci_high", "n_valid")
+    if not groups:
+        groups, points, spans = ["one"], points.withColumn("one", F.lit(1)), spans.withColumn("one", F.lit(1))
+    joined = points.join(spans, groups)
+    return joined.select(*([strata] if strata else []), "n", "auc", "ci_low", "ci_high", "n_valid")

@@ -4,94 +4,71 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn import schema as S
-from sojourn.functions.seeded import digest
 from sojourn.operators.distribute import digest_cutoff, drawn_within
 from sojourn.sources.clinical import ClinicalTables
 
 
-def epoch(ts: str) -> Column:
+def epoch(ts: str) -> str:
     """Whole seconds since 1970 UTC, for zoned and zoneless timestamps."""
-    return F.unix_seconds(F.col(ts).cast("timestamp")).cast("double")
+    return f"cast(unix_seconds(cast({ts} as timestamp)) as double)"
 
 
 def event_rows(
     table: DataFrame,
-    code: Column,
-    time: Column | None = None,
+    code: str,
+    time: str | None = None,
     value: str | None = None,
     in_visit: bool = False,
 ) -> DataFrame:
     """Project a clinical table on the event schema. Empty visit names count as unknown."""
-    missing = F.lit(None)
-    return table.select(
-        F.col("person_id").cast("bigint").alias("subject_id"),
-        (time if time is not None else missing.cast("double")).alias("time"),
-        code.alias("code"),
-        (F.col(value) if value else missing).cast("double").alias("numeric_value"),
-        (F.col("visit_occurrence_id") if in_visit else missing)
-        .cast("bigint")
-        .alias("visit_id"),
-        F.nullif(F.col("visit_occurrence_concept_name"), F.lit(""))
-        .alias("visit_type")
-        if in_visit
-        else missing.cast("string").alias("visit_type"),
+    visit_id = "visit_occurrence_id" if in_visit else "NULL"
+    visit_type = "nullif(visit_occurrence_concept_name, '')" if in_visit else "NULL"
+    return table.selectExpr(
+        "cast(person_id as bigint) AS subject_id",
+        f"{epoch(time) if time else 'cast(NULL as double)'} AS time",
+        f"{code} AS code",
+        f"cast({value or 'NULL'} as double) AS numeric_value",
+        f"cast({visit_id} as bigint) AS visit_id",
+        f"cast({visit_type} as string) AS visit_type",
     )
 
 
-def prefixed(prefix: str, concept: str) -> Column:
-    return F.concat(F.lit(prefix), F.col(concept).cast("string"))
+def prefixed(prefix: str, concept: str) -> str:
+    return f"concat('{prefix}', cast({concept} as string))"
 
 
 def condition_events(t: ClinicalTables) -> DataFrame:
-    return event_rows(
-        t.condition,
-        prefixed(S.CONDITION, "condition_concept_id"),
-        epoch("condition_start_datetime"),
-        in_visit=True,
-    )
+    code = prefixed(S.CONDITION, "condition_concept_id")
+    return event_rows(t.condition, code, "condition_start_datetime", in_visit=True)
 
 
 def procedure_events(t: ClinicalTables) -> DataFrame:
-    return event_rows(
-        t.procedure,
-        prefixed(S.PROCEDURE, "procedure_concept_id"),
-        epoch("procedure_datetime"),
-        in_visit=True,
-    )
+    code = prefixed(S.PROCEDURE, "procedure_concept_id")
+    return event_rows(t.procedure, code, "procedure_datetime", in_visit=True)
 
 
 def measurement_events(t: ClinicalTables) -> DataFrame:
-    return event_rows(
-        t.measurement,
-        prefixed(S.MEASUREMENT, "measurement_concept_id"),
-        epoch("measurement_datetime"),
-        value="value_as_number",
-        in_visit=True,
-    )
+    code = prefixed(S.MEASUREMENT, "measurement_concept_id")
+    return event_rows(t.measurement, code, "measurement_datetime", "value_as_number", True)
 
 
 def drug_events(t: ClinicalTables) -> DataFrame:
-    return event_rows(
-        t.drug,
-        prefixed(S.DRUG, "drug_concept_id"),
-        epoch("drug_exposure_start_datetime"),
-        value="quantity",
-        in_visit=True,
-    )
+    code = prefixed(S.DRUG, "drug_concept_id")
+    return event_rows(t.drug, code, "drug_exposure_start_datetime", "quantity", True)
 
 
 def exported_visits(t: ClinicalTables) -> DataFrame:
-    return t.visit.where(F.col("standard_concept_name").isin(S.EXPORTED_VISITS))
+    names = ", ".join(f"'{n}'" for n in S.EXPORTED_VISITS)
+    return t.visit.where(f"standard_concept_name IN ({names})")
 
 
 def visit_events(t: ClinicalTables) -> DataFrame:
-    return event_rows(
-        exported_visits(t), prefixed(S.VISIT, "visit_concept_id"), epoch("visit_start_datetime")
-    )
+    code = prefixed(S.VISIT, "visit_concept_id")
+    return event_rows(exported_visits(t), code, "visit_start_datetime")
 
 
 def gender_events(t: ClinicalTables) -> DataFrame:
@@ -107,7 +84,7 @@ def race_events(t: ClinicalTables) -> DataFrame:
 
 
 def birth_events(t: ClinicalTables) -> DataFrame:
-    return event_rows(t.person, F.lit(S.BIRTH_CODE), epoch("birth_datetime"))
+    return event_rows(t.person, f"'{S.BIRTH_CODE}'", "birth_datetime")
 
 
 BRANCHES = {
@@ -131,62 +108,55 @@ def all_events(t: ClinicalTables, limit: int | None = None) -> DataFrame:
     """
     parts = [branch(t) for branch in BRANCHES.values()]
     if limit is not None:
-        parts = [
-            p.orderBy("subject_id", *[F.asc_nulls_first(c) for c in S.EVENT_ORDER]).limit(limit)
-            for p in parts
-        ]
-    return reduce(DataFrame.unionByName, parts)
+        parts = [p.orderBy("subject_id", *S.EVENT_ORDER).limit(limit) for p in parts]
+    return reduce(DataFrame.union, parts)
 
 
 def subject_events(t: ClinicalTables, subject_id: int) -> DataFrame:
     """One subject's events; the predicate reaches each branch's scan."""
-    return all_events(t).where(F.col("subject_id") == subject_id)
+    return all_events(t).where(f"subject_id = {subject_id}")
 
 
 def before_cutoff(events: DataFrame, cutoff: float) -> DataFrame:
     """Undated events and those strictly before ``cutoff`` epoch seconds."""
-    return events.where(F.col("time").isNull() | (F.col("time") < cutoff))
+    return events.where(f"time IS NULL OR time < {cutoff}")
 
 
 def cutoff_counts(events: DataFrame, cutoff: float) -> DataFrame:
-    kept = F.count_if(F.col("time").isNull() | (F.col("time") < cutoff))
-    return events.agg(
-        F.count("*").alias("n_before"),
-        kept.alias("n_after"),
-        (F.count("*") - kept).alias("n_removed"),
+    kept = f"count_if(time IS NULL OR time < {cutoff})"
+    return events.selectExpr(
+        "count(*) AS n_before", f"{kept} AS n_after", f"count(*) - {kept} AS n_removed"
     )
 
 
-def event_date(time: Column) -> Column:
-    return F.to_date(F.timestamp_seconds(time))
+def with_event_date(events: DataFrame) -> DataFrame:
+    return events.withColumn("date", F.expr("to_date(timestamp_seconds(time))"))
 
 
 def source_row_counts(t: ClinicalTables) -> DataFrame:
     """Rows per source and in total. People count three times, once per demographic."""
     sources = {
-        "condition": t.condition,
-        "procedure": t.procedure,
-        "measurement": t.measurement,
-        "drug": t.drug,
-        "visit": exported_visits(t),
-        "demographics": t.person,
+        "condition": (t.condition, 1),
+        "procedure": (t.procedure, 1),
+        "measurement": (t.measurement, 1),
+        "drug": (t.drug, 1),
+        "visit": (exported_visits(t), 1),
+        "demographics": (t.person, 3),
     }
     parts = [
-        df.agg((F.count("*") * (3 if name == "demographics" else 1)).alias("n_row")).select(
-            F.lit(name).alias("source"), "n_row"
-        )
-        for name, df in sources.items()
+        df.selectExpr(f"'{name}' AS source", f"count(*) * {times} AS n_row")
+        for name, (df, times) in sources.items()
     ]
     return (
-        reduce(DataFrame.unionByName, parts)
+        reduce(DataFrame.union, parts)
         .rollup("source")
-        .agg(F.sum("n_row").alias("n_row"))
-        .select(F.coalesce("source", F.lit("total")).alias("source"), "n_row")
+        .agg(F.expr("sum(n_row) AS n_row"))
+        .selectExpr("coalesce(source, 'total') AS source", "n_row")
     )
 
 
 def distinct_subjects(t: ClinicalTables) -> DataFrame:
-    return t.person.select(F.col("person_id").cast("bigint").alias("subject_id")).distinct()
+    return t.person.selectExpr("cast(person_id as bigint) AS subject_id").distinct()
 
 
 def split_cutoff(subjects: DataFrame, test_fraction: float, seed) -> str | None:
@@ -197,8 +167,8 @@ def split_cutoff(subjects: DataFrame, test_fraction: float, seed) -> str | None:
 
 def with_split(df: DataFrame, cutoff: str | None, seed) -> DataFrame:
     """Route rows by their subject's digest; whatever is not train is test."""
-    is_train = drawn_within(cutoff, seed, F.col("subject_id"))
-    return df.withColumn("split", F.when(is_train, "train").otherwise("test"))
+    is_train = drawn_within(cutoff, seed, "subject_id")
+    return df.withColumn("split", F.expr(f"IF({is_train}, 'train', 'test')"))
 
 
 def split_events(
@@ -216,8 +186,4 @@ def split_events(
 def seeded_sample(df: DataFrame, n: int, key: str = "subject_id", seed=42) -> DataFrame:
     """Exactly ``n`` rows by seeded order of a unique key, or all rows if there are fewer."""
     cutoff = digest_cutoff(df.select(key), key, seed, n)
-    return df.where(drawn_within(cutoff, seed, F.col(key)))
-
-
-def seeded_order(seed, key: str = "subject_id") -> Column:
-    return digest(seed, F.col(key))
+    return df.where(drawn_within(cutoff, seed, key))

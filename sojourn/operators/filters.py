@@ -12,29 +12,20 @@ from sojourn.session import materialise
 
 def subject_code_counts(events: DataFrame) -> DataFrame:
     """``subject_id, code, n``: all the filters need, combined before the shuffle."""
-    return (
-        events.where(F.col("code").isNotNull())
-        .groupBy("subject_id", "code")
-        .agg(F.count("*").alias("n"))
-    )
+    coded = events.where("code IS NOT NULL")
+    return coded.groupBy("subject_id", "code").agg(F.expr("count(*) AS n"))
 
 
 def common_codes(pairs: DataFrame, min_subjects: int) -> DataFrame:
     """Codes seen in at least ``min_subjects`` subjects; ``pairs`` rows are distinct pairs."""
-    return (
-        pairs.groupBy("code")
-        .agg(F.count("*").alias("subject_count"))
-        .where(F.col("subject_count") >= min_subjects)
-    )
+    counts = pairs.groupBy("code").agg(F.expr("count(*) AS subject_count"))
+    return counts.where(f"subject_count >= {min_subjects}")
 
 
 def active_subjects(pairs: DataFrame, low: int, high: int) -> DataFrame:
     """Subjects whose number of coded events lies in ``[low, high]``."""
-    return (
-        pairs.groupBy("subject_id")
-        .agg(F.sum("n").alias("event_count"))
-        .where(F.col("event_count").between(low, high))
-    )
+    counts = pairs.groupBy("subject_id").agg(F.expr("sum(n) AS event_count"))
+    return counts.where(f"event_count BETWEEN {low} AND {high}")
 
 
 def rare_code_filter(events: DataFrame, min_subjects: int) -> DataFrame:
@@ -53,11 +44,11 @@ def keep_subjects(events: DataFrame, pairs: DataFrame, subjects: DataFrame) -> D
     A dropped subject may hold a large share of all events, so the heaviest dropped ones, few by
     definition, go first and without a shuffle.
     """
-    totals = pairs.groupBy("subject_id").agg(F.sum("n").alias("n"))
+    totals = pairs.groupBy("subject_id").agg(F.expr("sum(n) AS n"))
     dropped = totals.join(subjects, "subject_id", "left_anti")
-    heavy = [row["subject_id"] for row in heavy_keys(dropped)]
+    heavy = [str(row["subject_id"]) for row in heavy_keys(dropped)]
     if heavy:
-        events = events.where(~F.col("subject_id").isin(heavy))
+        events = events.where(f"subject_id NOT IN ({', '.join(heavy)})")
     return events.join(subjects.select("subject_id"), "subject_id", "left_semi")
 
 
@@ -72,13 +63,18 @@ def frequency_filter(events: DataFrame, limits: Thresholds) -> DataFrame:
         return rare_code_filter(events, limits.min_subjects_per_code)
     pairs = materialise(subject_code_counts(events))
     live, codes, subjects = pairs, None, None
-    for _ in range(limits.rounds):
-        codes = materialise(common_codes(live, limits.min_subjects_per_code).select("code"))
-        live = lookup_join(live, codes, "code", "left_semi")
+    for round_ in range(limits.rounds):
+        if round_:
+            live = materialise(live)
+        codes = common_codes(live, limits.min_subjects_per_code).select("code")
+        if round_ == limits.rounds - 1:
+            codes = materialise(codes)
+        coded = live.join(codes, "code", "left_semi")
         subjects = active_subjects(
-            live, limits.min_events_per_subject, limits.max_events_per_subject
+            coded, limits.min_events_per_subject, limits.max_events_per_subject
         )
-        live = live.join(subjects, "subject_id", "left_semi")
+        live = coded.join(subjects, "subject_id", "left_semi")
+    subjects = materialise(subjects)
     kept = lookup_join(events, codes, "code", "left_semi")
-    in_codes = lookup_join(pairs, codes, "code", "left_semi")
-    return keep_subjects(kept, in_codes, materialise(subjects))
+    in_codes = pairs.join(codes, "code", "left_semi")
+    return keep_subjects(kept, in_codes, subjects)

@@ -1,35 +1,29 @@
-"""Preparation of the nested score matrices (``prs``) of a subject."""
+"""Preparation of the nested score matrices (``prs``) of a subject. Expressions are SQL text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from sojourn import schema as S
 
 
-def scaled(prs: Column, clip: float = S.PRS_CLIP) -> Column:
+def scaled(prs: str, clip: float = S.PRS_CLIP) -> str:
     """Every element clipped to ``±clip`` and divided by ``clip``."""
+    one = f"greatest(least(x, {clip}D), -{clip}D) / {clip}D"
+    return f"transform({prs}, r -> transform(r, x -> {one}))"
 
-    def one(x: Column) -> Column:
-        return F.greatest(F.least(x, F.lit(clip)), F.lit(-clip)) / clip
 
-    return F.transform(prs, lambda row: F.transform(row, one))
+def any_nonzero(prs: str) -> str:
+    return f"exists(flatten({prs}), x -> x <> 0)"
 
 
-def any_nonzero(prs: Column) -> Column:
-    return F.exists(F.flatten(prs), lambda x: x != 0)
-
-
-def zeros_like(prs: Column) -> Column:
-    return F.transform(prs, lambda row: F.transform(row, lambda x: F.lit(0.0)))
-
-
-def flat(prs: Column) -> Column:
-    return F.flatten(prs)
+def zeros_like(prs: str) -> str:
+    return f"transform({prs}, r -> transform(r, x -> 0.0D))"
 
 
 def prepared(df: DataFrame, clip: float = S.PRS_CLIP) -> DataFrame:
     """Add the flat scaled vector and whether any of it is nonzero."""
-    matrix = scaled(F.col("prs"), clip)
-    return df.withColumn("features", flat(matrix)).withColumn("has_prs", any_nonzero(matrix))
+    made = df.selectExpr("*", f"{scaled('prs', clip)} AS _scaled")
+    return made.selectExpr(
+        *df.columns, "flatten(_scaled) AS features", f"{any_nonzero('_scaled')} AS has_prs"
+    )

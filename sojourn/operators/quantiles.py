@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn.operators.distribute import LANE_ROWS, lanes_by_value, lookup_join, running_before
@@ -20,48 +20,35 @@ def decile_breaks(events: DataFrame, lane_rows: int = LANE_ROWS) -> DataFrame:
     comparing with the running count.
     """
     cells = materialise(
-        events.where(F.col("numeric_value").isNotNull() & F.col("code").isNotNull())
-        .groupBy("code", F.col("numeric_value").alias("value"))
-        .agg(F.count("*").alias("n"))
+        events.where("numeric_value IS NOT NULL AND code IS NOT NULL")
+        .groupBy("code", F.expr("numeric_value AS value"))
+        .agg(F.expr("count(*) AS n"))
     )
     laned = lanes_by_value(cells, "value", ["code"], lane_rows)
     ranked = running_before(laned, "value", ["code"], "n")
-    totals = cells.groupBy("code").agg(F.sum("n").alias("total"))
-    # One total per (code, value) count: the counts are far fewer than the events.
-    ranked = lookup_join(ranked, totals, "code")
-
-    def value_at(rank: Column) -> Column:
-        inside = (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
-        return F.max(F.when(inside, F.col("value")))
-
     picks = []
     for k, p in enumerate(INNER_DECILES, start=1):
-        at = (F.col("total") - 1).cast("double") * p
-        picks += [
-            value_at(F.floor(at)).alias(f"low{k}"),
-            value_at(F.ceil(at)).alias(f"high{k}"),
-            F.max(at - F.floor(at)).alias(f"part{k}"),
-        ]
-    found = ranked.groupBy("code").agg(*picks)
-    breaks = []
-    for k in range(1, 10):
-        low, high, part = F.col(f"low{k}"), F.col(f"high{k}"), F.col(f"part{k}")
-        between = low * (1 - part) + high * part
-        breaks.append(F.when((low == high) | (part == 0), low).otherwise(between))
-    return found.select("code", F.array(*breaks).alias("breaks"))
+        at = f"cast(total - 1 as double) * {p}D"
+        for name, rank in [("low", f"floor({at})"), ("high", f"ceil({at})")]:
+            picks.append(f"max(IF(before <= {rank} AND {rank} < before + n, value, NULL)) AS {name}{k}")
+        picks.append(f"max({at} - floor({at})) AS part{k}")
+    found = ranked.groupBy("code").agg(*[F.expr(p) for p in picks])
+    breaks = ", ".join(
+        f"IF(low{k} = high{k} OR part{k} = 0, low{k}, low{k} * (1 - part{k}) + high{k} * part{k})"
+        for k in range(1, 10)
+    )
+    return found.selectExpr("code", f"array({breaks}) AS breaks")
 
 
-def decile_token(value: Column, breaks: Column) -> Column:
+def decile_token(value: str, breaks: str) -> str:
     """``Q0``…``Q9``: the number of breaks strictly below the value; null for a null value."""
-    below = F.size(F.filter(breaks, lambda b: b < value))
-    return F.when(value.isNotNull() & breaks.isNotNull(), F.concat(F.lit("Q"), below))
+    below = " + ".join(f"cast({breaks}[{i}] < {value} as int)" for i in range(9))
+    return f"IF({value} IS NULL OR {breaks} IS NULL, NULL, concat('Q', cast({below} as string)))"
 
 
 def with_decile_tokens(events: DataFrame, breaks: DataFrame | None = None) -> DataFrame:
     if breaks is None:
         breaks = decile_breaks(events)
-    return (
-        lookup_join(events, breaks, "code", "left")
-        .withColumn("quantile_token", decile_token(F.col("numeric_value"), F.col("breaks")))
-        .drop("breaks")
-    )
+    token = F.expr(decile_token("numeric_value", "breaks"))
+    joined = lookup_join(events, breaks, "code", "left")
+    return joined.withColumn("quantile_token", token).drop("breaks")

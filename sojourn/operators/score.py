@@ -9,23 +9,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn import schema as S
 from sojourn.functions import tokens as X
 from sojourn.operators.cohort import horizon_label
+from sojourn.operators.vocab import IS_SPECIAL
 
+LABEL_USED = f"label <> {S.IGNORED_LABEL}"
 
-def target_mass(logits: Column, target_ids: Sequence[int]) -> Column:
-    """Softmax mass of the target ids; ids outside the vocabulary add nothing."""
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    hit = F.lit(0.0)
-    for i in target_ids:
-        hit = hit + F.coalesce(F.exp(F.get(logits, F.lit(i)) - top), F.lit(0.0))
-    return hit / total
+
+def target_mass(logits: str, target_ids: Sequence[int]) -> str:
+    """Softmax mass of the target ids (SQL); ids outside the vocabulary add nothing."""
+    top = f"array_max({logits})"
+    total = f"aggregate({logits}, 0.0D, (a, x) -> a + exp(x - {top}))"
+    hit = " + ".join(f"coalesce(exp(get({logits}, {i}) - {top}), 0.0D)" for i in target_ids)
+    return f"({hit}) / {total}"
 
 
 def first_hit_probability(
@@ -37,29 +37,21 @@ def first_hit_probability(
     chance of no hit is the product of ``1 - p``, taken in logarithms; a certain step makes it 0.
     ``time_bound=False`` counts every step.
     """
-    w = (
-        Window.partitionBy("subject_id", "seq")
-        .orderBy("step")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    days = F.coalesce(X.gap_days(F.col("token")), F.lit(0))
-    earlier = F.coalesce(F.sum(days).over(w), F.lit(0))
-    counted = steps.withColumn("earlier", earlier)
     if time_bound:
-        counted = counted.where(F.col("earlier") <= horizon_days)
-    miss = F.sum(F.when(F.col("p") < 1, F.log1p(-F.col("p"))))
-    certain = F.max((F.col("p") >= 1).cast("int")) == 1
-    score = F.when(certain, 1.0).otherwise(1 - F.exp(F.coalesce(miss, F.lit(0.0))))
-    return counted.groupBy("subject_id", "seq").agg(score.alias("score"))
+        days = f"coalesce({X.gap_days('token')}, 0)"
+        upto = f"sum({days}) OVER (PARTITION BY subject_id, seq ORDER BY step)"
+        steps = steps.selectExpr("*", f"{upto} - {days} AS earlier")
+        steps = steps.where(f"earlier <= {horizon_days}")
+    miss = "exp(coalesce(sum(IF(p < 1, log1p(-p), NULL)), 0.0D))"
+    score = f"IF(max(p) >= 1, 1.0D, 1 - {miss}) AS score"
+    return steps.groupBy("subject_id", "seq").agg(F.expr(score))
 
 
 def generated_texts(steps: DataFrame) -> DataFrame:
     """``subject_id, seq, generated_text``: a sequence's tokens in step order, specials skipped."""
-    plain = ~F.col("token").isin([S.UNKNOWN, S.BOS, S.EOS, S.PAD])
-    listed = F.array_sort(F.collect_list(F.when(plain, F.struct("step", "token"))))
-    texts = F.transform(listed, lambda s: s["token"])
+    listed = f"array_sort(collect_list(IF({IS_SPECIAL}, NULL, struct(step, token))))"
     return steps.groupBy("subject_id", "seq").agg(
-        F.array_join(texts, " ").alias("generated_text")
+        F.expr(f"array_join(transform({listed}, s -> s.token), ' ') AS generated_text")
     )
 
 
@@ -68,9 +60,9 @@ def with_predicted_label(
 ) -> DataFrame:
     """``pred_label``: the horizon label of the generated text from its start."""
     label = horizon_label(
-        X.split_tokens(F.col("generated_text")), 0, X.string_array(targets), horizon_days, match
+        "split(generated_text, ' ')", 0, X.text_array(targets), horizon_days, match
     )
-    return texts.withColumn("pred_label", label)
+    return texts.withColumn("pred_label", F.expr(label))
 
 
 def scored_sequences(
@@ -78,23 +70,22 @@ def scored_sequences(
 ) -> DataFrame:
     """``subject_id, seq, generated_text, pred_label, score``."""
     texts = with_predicted_label(generated_texts(steps), targets, horizon_days)
-    return texts.join(
-        first_hit_probability(steps, horizon_days, time_bound), ["subject_id", "seq"], "left"
-    )
+    scores = first_hit_probability(steps, horizon_days, time_bound)
+    return texts.join(scores, ["subject_id", "seq"], "left")
 
 
 def regrouped(scored: DataFrame) -> DataFrame:
     """One row per subject with lists in sequence order and the vote share."""
-    listed = F.array_sort(
-        F.collect_list(F.struct("seq", "generated_text", "pred_label", "score"))
+    listed = "array_sort(collect_list(struct(seq, generated_text, pred_label, score)))"
+    grouped = scored.groupBy("subject_id").agg(
+        F.expr(f"{listed} AS s"), F.expr("avg(pred_label) AS probability")
     )
-    out = scored.groupBy("subject_id").agg(listed.alias("_s"), F.avg("pred_label").alias("probability"))
-    return out.select(
+    return grouped.selectExpr(
         "subject_id",
-        F.transform("_s", lambda s: s["generated_text"]).alias("generated_text"),
-        F.transform("_s", lambda s: s["pred_label"]).alias("pred_labels"),
+        "s.generated_text AS generated_text",
+        "s.pred_label AS pred_labels",
         "probability",
-        F.transform("_s", lambda s: s["score"]).alias("probability_scores"),
+        "s.score AS probability_scores",
     )
 
 
@@ -109,49 +100,44 @@ def prediction_rows(
 
     ``subjects`` has ``subject_id, original_text, label_token``.
     """
-    lists = regrouped(scored)
-    out = subjects.join(lists, "subject_id", "left")
-    for name, kind in [
-        ("generated_text", "array<string>"),
-        ("pred_labels", "array<int>"),
-        ("probability_scores", "array<double>"),
-    ]:
-        out = out.withColumn(name, F.coalesce(name, F.array().cast(kind)))
-    return (
-        out.withColumn("num_predictions", F.lit(num_predictions))
-        .withColumn("max_new_tokens", F.lit(max_new_tokens))
-        .withColumn("model_name", F.lit(model_name))
+    lists = ["generated_text", "pred_labels", "probability_scores"]
+    return subjects.join(regrouped(scored), "subject_id", "left").selectExpr(
+        *subjects.columns,
+        *[f"coalesce({name}, array()) AS {name}" for name in lists],
+        "probability",
+        f"{num_predictions} AS num_predictions",
+        f"{max_new_tokens} AS max_new_tokens",
+        f"{X.text(model_name)} AS model_name",
     )
 
 
 def mean_validation_loss(losses: DataFrame, column: str = "loss") -> DataFrame:
     """One row: mean of the losses that are numbers, and a message if there are none."""
-    number = F.when(~F.isnan(column), F.col(column))
-    none = F.lit("No valid losses computed - unable to calculate average")
-    return losses.agg(
-        F.avg(number).alias("avg_loss"), F.when(F.count(number) == 0, none).alias("message")
+    number = f"nanvl({column}, NULL)"
+    none = X.text("No valid losses computed - unable to calculate average")
+    return losses.selectExpr(
+        f"avg({number}) AS avg_loss", f"IF(count({number}) = 0, {none}, NULL) AS message"
     )
 
 
 def example_losses(token_losses: DataFrame, *keys: str) -> DataFrame:
     """Mean token loss per example over labels that are not ignored; 0 if all are."""
-    keys = keys or ("subject_id",)
-    used = F.col("label") != S.IGNORED_LABEL
-    total = F.sum(F.when(used, F.col("loss")).otherwise(0.0))
-    n = F.greatest(F.count_if(used), F.lit(1))
-    return token_losses.groupBy(*keys).agg((total / n).alias("test_loss"))
+    total = f"sum(IF({LABEL_USED}, loss, 0.0D))"
+    mean = f"{total} / greatest(count_if({LABEL_USED}), 1) AS test_loss"
+    return token_losses.groupBy(*(keys or ("subject_id",))).agg(F.expr(mean))
 
 
 def subject_losses(token_losses: DataFrame) -> DataFrame:
     """``subject_id, test_loss``; a subject in several batches keeps its last batch's value."""
     per_example = example_losses(token_losses, "subject_id", "batch_id")
     return per_example.groupBy("subject_id").agg(
-        F.max_by("test_loss", "batch_id").alias("test_loss")
+        F.expr("max_by(test_loss, batch_id) AS test_loss")
     )
 
 
 def overall_loss(token_losses: DataFrame) -> DataFrame:
     """One row: mean over batches of each batch's mean loss over labels that are not ignored."""
-    used = F.col("label") != S.IGNORED_LABEL
-    batches = token_losses.groupBy("batch_id").agg(F.avg(F.when(used, F.col("loss"))).alias("loss"))
-    return batches.agg(F.avg("loss").alias("test_loss"), F.count("*").alias("n_batches"))
+    batches = token_losses.groupBy("batch_id").agg(
+        F.expr(f"avg(IF({LABEL_USED}, loss, NULL)) AS loss")
+    )
+    return batches.selectExpr("avg(loss) AS test_loss", "count(*) AS n_batches")

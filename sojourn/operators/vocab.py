@@ -4,63 +4,57 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn import schema as S
-from sojourn.functions import tokens as X
 from sojourn.functions.seeded import digest
+from sojourn.functions.tokens import text_array
 from sojourn.operators.distribute import lookup_join, numbered
 
 # Runs of word characters, or runs of other visible characters.
-PIECES = r"(?U)\w+|[^\w\s]+"
+PIECES = r"(?U)\\w+|[^\\w\\s]+"
+SPECIALS = [S.UNKNOWN, S.BOS, S.EOS, S.PAD]
+IS_SPECIAL = f"token IN ({', '.join(repr(t) for t in SPECIALS)})"
 
 
 def distinct_codes(events: DataFrame) -> DataFrame:
-    return events.where(F.col("code") != "").select("code").distinct()
+    return events.where("code <> ''").select("code").distinct()
 
 
-def fixed_tokens(spark: SparkSession) -> DataFrame:
+def ordered_fixed_tokens() -> list[str]:
     """The three blocks in front of the codes: gaps, deciles, visit groups, each sorted."""
     blocks = [[*S.GAP_DAYS, S.NO_GAP], S.DECILE_TOKENS, list(S.VISIT_GROUPS)]
-    ordered = [t for block in blocks for t in sorted(block)]
-    return spark.createDataFrame(list(enumerate(ordered)), "token_id bigint, token string")
+    return [token for block in blocks for token in sorted(block)]
 
 
-def vocabulary(events: DataFrame, specials: bool = True) -> DataFrame:
-    """``token, token_id``: fixed tokens, then the sorted codes, then the special tokens."""
-    spark = events.sparkSession
-    fixed = fixed_tokens(spark)
-    n_fixed = len(S.GAP_DAYS) + 1 + len(S.DECILE_TOKENS) + len(S.VISIT_GROUPS)
-    codes = numbered(distinct_codes(events), "code", F.substring("code", 1, 8)).select(
-        F.col("code").alias("token"), (F.col("row_id") + n_fixed).alias("token_id")
+def numbered_list(spark: SparkSession, tokens: list[str]) -> DataFrame:
+    return spark.sql(
+        f"SELECT token, cast(pos as bigint) AS token_id FROM "
+        f"(SELECT posexplode({text_array(tokens)}) AS (pos, token))"
     )
-    parts = [fixed.select("token", "token_id"), codes]
-    if specials:
-        size = codes.agg(F.count("*").alias("n"))
-        for i, token in enumerate([S.UNKNOWN, S.BOS, S.EOS, S.PAD]):
-            parts.append(
-                size.select(F.lit(token).alias("token"), (F.col("n") + n_fixed + i).alias("token_id"))
-            )
-    return reduce(DataFrame.unionByName, parts)
 
 
-def special_ids(vocab: DataFrame) -> dict[str, int]:
-    wanted = [S.UNKNOWN, S.BOS, S.EOS, S.PAD]
-    return {r["token"]: r["token_id"] for r in vocab.where(F.col("token").isin(wanted)).collect()}
+def with_special_tokens(words: DataFrame) -> DataFrame:
+    """Add the four special tokens behind the ids of a plain vocabulary."""
+    behind = words.agg(F.expr("count(*) AS n")).selectExpr(
+        "n", f"posexplode({text_array(SPECIALS)}) AS (pos, token)"
+    )
+    return words.select("token", "token_id").union(behind.selectExpr("token", "n + pos"))
 
 
-def with_special_tokens(lines: DataFrame) -> DataFrame:
-    """Add the four special tokens behind the ids of a plain vocabulary."""
-    size = lines.agg(F.count("*").alias("n"))
-    parts = [lines.select("token", F.col("token_id").cast("bigint"))]
-    for i, token in enumerate([S.UNKNOWN, S.BOS, S.EOS, S.PAD]):
-        parts.append(size.select(F.lit(token).alias("token"), (F.col("n") + i).alias("token_id")))
-    return reduce(DataFrame.unionByName, parts)
+def vocabulary(events: DataFrame, specials: bool = True) -> DataFrame:
+    """``token, token_id``: fixed tokens, then the sorted codes, then the special tokens."""
+    fixed = ordered_fixed_tokens()
+    codes = numbered(distinct_codes(events), "code", "substr(code, 1, 8)")
+    words = numbered_list(events.sparkSession, fixed).union(
+        codes.selectExpr("code", f"row_id + {len(fixed)}")
+    )
+    return with_special_tokens(words) if specials else words
 
 
-def pieces(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PIECES), F.lit(0))
+def special_ids(vocab: DataFrame) -> dict[str, int]:
+    return {r["token"]: r["token_id"] for r in vocab.where(IS_SPECIAL).collect()}
 
 
 def encode(
@@ -79,31 +73,27 @@ def encode(
     the texts. ``keep_text=False`` drops the text and the keys.
     """
     ids = special_ids(vocab)
-    exploded = rows.select(*keys, F.posexplode(pieces(F.col(text))).alias("pos", "token"))
+    pieces = f"regexp_extract_all({text}, '{PIECES}', 0)"
+    exploded = rows.selectExpr(*keys, f"posexplode({pieces}) AS (pos, token)")
     known = lookup_join(exploded, vocab.select("token", "token_id"), "token", "left")
-    unk = F.lit(ids[S.UNKNOWN])
-    collected = F.array_sort(
-        F.collect_list(F.struct("pos", F.coalesce("token_id", unk).alias("id")))
-    )
+    named = f"struct(pos, coalesce(token_id, {ids[S.UNKNOWN]}L) AS id)"
     encoded = known.groupBy(*keys).agg(
-        F.transform(collected, lambda e: e["id"]).alias("input_ids")
+        F.expr(f"transform(array_sort(collect_list({named})), e -> e.id) AS _ids")
     )
-    out = rows.join(encoded, list(keys), "left")
-    tokens = F.coalesce("input_ids", F.array().cast("array<bigint>"))
-    if add_eos:
-        tokens = F.concat(tokens, F.array(F.lit(ids[S.EOS]).cast("bigint")))
-    out = out.withColumn("input_ids", tokens)
-    if pad_to is not None:
-        cut = F.slice("input_ids", 1, pad_to)
-        missing = F.greatest(F.lit(pad_to) - F.size("input_ids"), F.lit(0))
-        mask = F.concat(
-            F.array_repeat(F.lit(0), missing), F.array_repeat(F.lit(1), F.lit(pad_to) - missing)
-        )
-        padded = F.concat(F.array_repeat(F.lit(ids[S.PAD]).cast("bigint"), missing), cut)
-        out = out.withColumn("attention_mask", mask).withColumn("input_ids", padded)
+    end = f"array({ids[S.EOS]}L)" if add_eos else "array()"
+    out = rows.join(encoded, list(keys), "left").withColumn(
+        "_ids", F.expr(f"concat(coalesce(_ids, array()), {end})")
+    )
+    if pad_to is None:
+        made = ["_ids AS input_ids", "array_repeat(1, size(_ids)) AS attention_mask"]
     else:
-        mask = F.array_repeat(F.lit(1), F.size("input_ids"))
-        out = out.withColumn("attention_mask", mask)
+        missing = f"greatest({pad_to} - size(_ids), 0)"
+        made = [
+            f"concat(array_repeat({ids[S.PAD]}L, {missing}), slice(_ids, 1, {pad_to})) AS input_ids",
+            f"concat(array_repeat(0, {missing}), array_repeat(1, {pad_to} - {missing})) "
+            "AS attention_mask",
+        ]
+    out = out.selectExpr(*rows.columns, *made)
     return out if keep_text else out.drop(text, *keys)
 
 
@@ -111,28 +101,28 @@ def decode(
     rows: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ("subject_id",), ids: str = "input_ids"
 ) -> DataFrame:
     """``keys, text``: token texts in order without special tokens."""
-    exploded = rows.select(*keys, F.posexplode(F.col(ids)).alias("pos", "token_id"))
+    exploded = rows.selectExpr(*keys, f"posexplode({ids}) AS (pos, token_id)")
     named = lookup_join(exploded, vocab.select("token", "token_id"), "token_id", "left")
-    special = F.col("token").isin([S.UNKNOWN, S.BOS, S.EOS, S.PAD])
-    kept = F.when(~special, F.struct("pos", "token"))
-    listed = F.array_sort(F.collect_list(kept))
+    listed = f"array_sort(collect_list(IF({IS_SPECIAL}, NULL, struct(pos, token))))"
     return named.groupBy(*keys).agg(
-        F.array_join(F.transform(listed, lambda e: e["token"]), " ").alias("text")
+        F.expr(f"array_join(transform({listed}, e -> e.token), ' ') AS text")
     )
 
 
 def unknown_tokens(
     rows: DataFrame, vocab: DataFrame, key: str = "subject_id", text: str = "text"
 ) -> DataFrame:
-    """``subject_id, token, n``: tokens of each text that the vocabulary lacks."""
-    exploded = rows.select(key, F.explode(pieces(F.col(text))).alias("token"))
-    counted = exploded.groupBy(key, "token").agg(F.count("*").alias("n"))
-    known = vocab.where(F.col("token") != S.UNKNOWN).select("token", F.lit(True).alias("known"))
-    return lookup_join(counted, known, "token", "left").where("known IS NULL").drop("known")
+    """``key, token, n``: tokens of each text that the vocabulary lacks."""
+    pieces = f"regexp_extract_all({text}, '{PIECES}', 0)"
+    exploded = rows.selectExpr(key, f"explode({pieces}) AS token")
+    counted = exploded.groupBy(key, "token").agg(F.expr("count(*) AS n"))
+    known = vocab.where(f"token <> '{S.UNKNOWN}'").select("token")
+    return lookup_join(counted, known, "token", "left_anti")
 
 
-def last_tokens(ids: Column, n: int = S.WINDOW_TOKENS) -> Column:
-    return F.slice(ids, F.greatest(F.size(ids) - n + 1, F.lit(1)), n)
+def last_tokens(ids: str, n: int = S.WINDOW_TOKENS) -> str:
+    """The last ``n`` ids (SQL)."""
+    return f"slice({ids}, greatest(size({ids}) - {n} + 1, 1), {n})"
 
 
 def training_examples(
@@ -140,38 +130,29 @@ def training_examples(
 ) -> DataFrame:
     """``row_id, input_ids`` cut to ``seq_len``, numbered in key order or in seeded order."""
     if shuffle_seed is None:
-        bucket = F.floor(F.col(key) / 10_000)
-        numbered_rows = numbered(rows, key, bucket)
+        ordered = numbered(rows, key, f"{key} div 10000")
     else:
-        drawn = rows.withColumn("_d", digest(shuffle_seed, F.col(key)))
-        numbered_rows = numbered(drawn, "_d", F.substring("_d", 1, 4)).drop("_d")
-    return numbered_rows.select("row_id", F.slice("input_ids", 1, seq_len).alias("input_ids"))
+        drawn = rows.withColumn("_d", F.expr(digest(shuffle_seed, key)))
+        ordered = numbered(drawn, "_d", "substr(_d, 1, 4)")
+    return ordered.selectExpr("row_id", f"slice(input_ids, 1, {seq_len}) AS input_ids")
 
 
-def _batch_length(batch_size: int) -> tuple[Column, Column]:
-    batch = F.floor(F.col("row_id") / batch_size)
-    return batch, F.max(F.size("input_ids")).over(Window.partitionBy(batch))
+def _in_batches(rows: DataFrame, batch_size: int) -> DataFrame:
+    """Add ``batch_id`` and how many ids the row lacks to the longest of its batch."""
+    longest = "max(size(input_ids)) OVER (PARTITION BY batch_id)"
+    return rows.withColumn("batch_id", F.expr(f"row_id div {batch_size}")).withColumn(
+        "missing", F.expr(f"{longest} - size(input_ids)")
+    )
 
 
 def shifted_batches(examples: DataFrame, batch_size: int, pad_id: int) -> DataFrame:
     """Right-padded batches whose labels are the next token; -100 where there is none."""
-    batch, longest = _batch_length(batch_size)
-    return (
-        examples.withColumn("batch_id", batch)
-        .withColumn("_missing", longest - F.size("input_ids"))
-        .select(
-            "batch_id",
-            "row_id",
-            F.concat(
-                "input_ids", F.array_repeat(F.lit(pad_id).cast("bigint"), F.col("_missing"))
-            ).alias("input_ids"),
-            F.concat(
-                F.slice("input_ids", 2, F.greatest(F.size("input_ids"), F.lit(1))),
-                F.array_repeat(
-                    F.lit(S.IGNORED_LABEL).cast("bigint"), F.col("_missing") + 1
-                ),
-            ).alias("labels"),
-        )
+    tail = "slice(input_ids, 2, greatest(size(input_ids), 1))"
+    return _in_batches(examples, batch_size).selectExpr(
+        "batch_id",
+        "row_id",
+        f"concat(input_ids, array_repeat({pad_id}L, missing)) AS input_ids",
+        f"concat({tail}, array_repeat({S.IGNORED_LABEL}L, missing + 1)) AS labels",
     )
 
 
@@ -188,23 +169,22 @@ def causal_batches(
     """
     if side not in ("left", "right"):
         raise ValueError(f"unknown padding side: {side}")
-    batch, longest = _batch_length(batch_size)
 
-    def padded(values: Column, fill: Column) -> Column:
-        pads = F.array_repeat(fill, F.col("_missing"))
-        return F.concat(pads, values) if side == "left" else F.concat(values, pads)
+    def padded(values: str, fill: str) -> str:
+        pads = f"array_repeat({fill}, missing)"
+        return f"concat({pads}, {values})" if side == "left" else f"concat({values}, {pads})"
 
-    ids = padded(F.col("input_ids"), F.lit(pad_id).cast("bigint"))
-    mask = padded(F.transform("input_ids", lambda _: F.lit(1)), F.lit(0))
-    ignored = F.lit(S.IGNORED_LABEL).cast("bigint")
     return (
-        rows.withColumn("batch_id", batch)
-        .withColumn("_missing", longest - F.size("input_ids"))
-        .withColumn("attention_mask", mask)
-        .withColumn("input_ids", ids)
+        _in_batches(rows, batch_size)
+        .selectExpr(
+            "batch_id",
+            "row_id",
+            *kept,
+            f"{padded('array_repeat(1, size(input_ids))', '0')} AS attention_mask",
+            f"{padded('input_ids', f'{pad_id}L')} AS input_ids",
+        )
         .withColumn(
             "labels",
-            F.transform("input_ids", lambda x: F.when(x == pad_id, ignored).otherwise(x)),
+            F.expr(f"transform(input_ids, x -> IF(x = {pad_id}, {S.IGNORED_LABEL}L, x))"),
         )
-        .select("batch_id", "row_id", *kept, "input_ids", "attention_mask", "labels")
     )

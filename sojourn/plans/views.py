@@ -7,8 +7,8 @@ library's jobs run over every row of them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from sojourn.functions.tokens import cases, text_array
 from sojourn.operators.export import all_events
 from sojourn.schema import Thresholds
 from sojourn.sources.clinical import ClinicalTables
@@ -18,6 +18,21 @@ LIMITS = Thresholds(
     min_subjects_per_code=5, min_events_per_subject=20, max_events_per_subject=500
 )
 
+# Schemas are fixed, so that opening a table reads no file footers.
+SCHEMAS = {
+    "customer": "c_custkey bigint, c_nationkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+    "l_returnflag string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint",
+    "embeddings": "vec_id bigint, embedding array<float>",
+    "documents": "doc_id bigint, lang string, n_chars bigint",
+    "labels": "doc_id bigint, quality int",
+}
+
 # Visit names by the first digit of the order priority; one is outside the visit map on purpose.
 PRIORITY_VISITS = {
     "1": "Emergency Room Visit",
@@ -30,102 +45,73 @@ EVENT_KINDS = ["view", "click", "purchase", "signup", "error"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def clinical_views(spark: SparkSession, sf_dir: str) -> ClinicalTables:
-    customer = table(spark, sf_dir, "customer")
     orders = table(spark, sf_dir, "orders")
     lines = table(spark, sf_dir, "lineitem")
-    events = table(spark, sf_dir, "events")
-    nation = table(spark, sf_dir, "nation")
-
-    key = F.col("c_custkey")
-    day = ((key * 7919) % 18000).cast("int")
-    person = customer.select(
-        key.alias("person_id"),
-        (8500 + key % 4).alias("gender_concept_id"),
-        (8600 + key % 3).alias("sex_at_birth_concept_id"),
-        (8700 + F.col("c_nationkey")).cast("bigint").alias("race_concept_id"),
-        F.date_add(F.lit("1940-01-01").cast("date"), day)
-        .cast("timestamp_ntz")
-        .alias("birth_datetime"),
-    )
-
-    digit = F.substring("o_orderpriority", 1, 1)
-    visit_name = None
-    for d, name in PRIORITY_VISITS.items():
-        visit_name = (
-            F.when(digit == d, name) if visit_name is None else visit_name.when(digit == d, name)
-        )
-    visit = orders.select(
-        F.col("o_custkey").alias("person_id"),
-        F.col("o_orderdate").alias("visit_start_datetime"),
-        (9000 + digit.cast("bigint")).alias("visit_concept_id"),
-        visit_name.alias("standard_concept_name"),
-    )
-
-    placed = orders.select(
-        F.col("o_orderkey").alias("l_orderkey"),
-        F.col("o_custkey").alias("person_id"),
-        visit_name.alias("visit_occurrence_concept_name"),
+    digit = "substr(o_orderpriority, 1, 1)"
+    visit_name = cases((f"{digit} = '{d}'", f"'{v}'") for d, v in PRIORITY_VISITS.items())
+    placed = orders.selectExpr(
+        "o_orderkey AS l_orderkey",
+        "o_custkey AS person_id",
+        f"{visit_name} AS visit_occurrence_concept_name",
     )
 
-    def order_lines(flag: str, concept, concept_name: str, when: str, *more) -> DataFrame:
-        return (
-            lines.where(F.col("l_returnflag") == flag)
-            .join(placed, "l_orderkey")
-            .select(
-                "person_id",
-                F.col("l_shipdate").alias(when),
-                concept.alias(concept_name),
-                F.col("l_orderkey").alias("visit_occurrence_id"),
-                "visit_occurrence_concept_name",
-                F.concat(F.lit("Concept "), concept.cast("string")).alias(
-                    "standard_concept_name"
-                ),
-                *more,
-            )
+    def order_lines(flag: str, concept: str, name: str, when: str, *more: str) -> DataFrame:
+        joined = lines.where(f"l_returnflag = '{flag}'").join(placed, "l_orderkey")
+        return joined.selectExpr(
+            "person_id",
+            f"l_shipdate AS {when}",
+            f"{concept} AS {name}",
+            "l_orderkey AS visit_occurrence_id",
+            "visit_occurrence_concept_name",
+            f"concat('Concept ', cast({concept} as string)) AS standard_concept_name",
+            *more,
         )
 
-    condition = order_lines(
-        "R", 50000 + F.col("l_partkey") % 40, "condition_concept_id", "condition_start_datetime"
-    )
-    procedure = order_lines(
-        "A", 30000 + F.col("l_suppkey") % 100, "procedure_concept_id", "procedure_datetime"
-    )
-    drug = order_lines(
-        "N",
-        70000 + F.col("l_partkey") % 200,
-        "drug_concept_id",
-        "drug_exposure_start_datetime",
-        F.col("l_quantity").alias("quantity"),
-    )
-
-    kinds = F.array(*[F.lit(k) for k in EVENT_KINDS])
-    kind_id = (19999 + F.array_position(kinds, F.col("event_type"))).cast("bigint")
-    measurement = events.select(
-        F.col("user_id").alias("person_id"),
-        F.col("ts").alias("measurement_datetime"),
-        kind_id.alias("measurement_concept_id"),
-        F.col("value").alias("value_as_number"),
-        (F.col("user_id") * 1000 + F.dayofmonth("ts")).alias("visit_occurrence_id"),
-        F.lit("Laboratory Visit").alias("visit_occurrence_concept_name"),
-        F.concat(F.lit("Concept "), kind_id.cast("string")).alias("standard_concept_name"),
-    )
-
-    concept = nation.select(
-        (8700 + F.col("n_nationkey")).cast("bigint").alias("concept_id"),
-        F.col("n_name").alias("concept_name"),
-    )
+    kind_id = "19999 + array_position({}, event_type)".format(text_array(EVENT_KINDS))
     return ClinicalTables(
-        condition=condition,
-        procedure=procedure,
-        measurement=measurement,
-        drug=drug,
-        visit=visit,
-        person=person,
-        concept=concept,
+        condition=order_lines(
+            "R", "50000 + l_partkey % 40", "condition_concept_id", "condition_start_datetime"
+        ),
+        procedure=order_lines(
+            "A", "30000 + l_suppkey % 100", "procedure_concept_id", "procedure_datetime"
+        ),
+        drug=order_lines(
+            "N",
+            "70000 + l_partkey % 200",
+            "drug_concept_id",
+            "drug_exposure_start_datetime",
+            "l_quantity AS quantity",
+        ),
+        measurement=table(spark, sf_dir, "events").selectExpr(
+            "user_id AS person_id",
+            "ts AS measurement_datetime",
+            f"{kind_id} AS measurement_concept_id",
+            "value AS value_as_number",
+            "user_id * 1000 + dayofmonth(ts) AS visit_occurrence_id",
+            "'Laboratory Visit' AS visit_occurrence_concept_name",
+            f"concat('Concept ', cast({kind_id} as string)) AS standard_concept_name",
+        ),
+        visit=orders.selectExpr(
+            "o_custkey AS person_id",
+            "o_orderdate AS visit_start_datetime",
+            f"9000 + cast({digit} as bigint) AS visit_concept_id",
+            f"{visit_name} AS standard_concept_name",
+        ),
+        person=table(spark, sf_dir, "customer").selectExpr(
+            "c_custkey AS person_id",
+            "8500 + c_custkey % 4 AS gender_concept_id",
+            "8600 + c_custkey % 3 AS sex_at_birth_concept_id",
+            "cast(8700 + c_nationkey as bigint) AS race_concept_id",
+            "cast(date_add(date'1940-01-01', cast((c_custkey * 7919) % 18000 as int)) "
+            "as timestamp_ntz) AS birth_datetime",
+        ),
+        concept=table(spark, sf_dir, "nation").selectExpr(
+            "cast(8700 + n_nationkey as bigint) AS concept_id", "n_name AS concept_name"
+        ),
     )
 
 
@@ -135,11 +121,10 @@ def events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prs_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``subject_id, prs`` (one row of scores per subject), all zero for every fifth subject."""
-    scores = F.col("embedding").cast("array<double>")
-    zeros = F.transform(scores, lambda x: F.lit(0.0))
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("subject_id"),
-        F.array(F.when(F.col("vec_id") % 5 == 0, zeros).otherwise(scores)).alias("prs"),
+    scores = "cast(embedding as array<double>)"
+    zeros = "transform(embedding, x -> 0.0D)"
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS subject_id", f"array(IF(vec_id % 5 = 0, {zeros}, {scores})) AS prs"
     )
 
 
@@ -149,41 +134,33 @@ def steps_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     32 consecutive event ids make one generated sequence and four sequences one subject, so that a
     sequence has a fixed length whatever the data size.
     """
-    words = ["TIME_M_6", "CDzz50003", "TIME_Y_1", "VIEnd", "CDzz50012"]
-    kinds = F.array(*[F.lit(k) for k in EVENT_KINDS])
-    tokens = F.array(*[F.lit(w) for w in words])
-    eid = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
-        F.floor(eid / 128).alias("subject_id"),
-        (F.floor(eid / 32) % 4).alias("seq"),
-        (eid % 32).alias("step"),
-        F.get(tokens, (F.array_position(kinds, F.col("event_type")) - 1).cast("int")).alias(
-            "token"
-        ),
-        (F.col("value") / 1000).alias("p"),
+    words = text_array(["TIME_M_6", "CDzz50003", "TIME_Y_1", "VIEnd", "CDzz50012"])
+    kind = "cast(array_position({}, event_type) as int)".format(text_array(EVENT_KINDS))
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id div 128 AS subject_id",
+        "event_id div 32 % 4 AS seq",
+        "event_id % 32 AS step",
+        f"element_at({words}, {kind}) AS token",
+        "value / 1000 AS p",
     )
 
 
 def loss_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token losses with labels, from the event log; every seventh label is ignored."""
-    eid = F.col("event_id")
-    return table(spark, sf_dir, "events").select(
-        F.floor(eid / 32).alias("subject_id"),
-        F.floor(eid / 128).alias("batch_id"),
-        (eid % 32).alias("step"),
-        F.when(eid % 7 == 0, -100).otherwise(F.col("user_id")).cast("bigint").alias("label"),
-        (F.col("value") / 100).alias("loss"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id div 32 AS subject_id",
+        "event_id div 128 AS batch_id",
+        "event_id % 32 AS step",
+        "IF(event_id % 7 = 0, -100, user_id) AS label",
+        "value / 100 AS loss",
     )
 
 
 def task_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten tasks of four condition concepts each, cut from the part keys by their last digit."""
-    concept = 50000 + F.col("p_partkey") % 40
+    concept = "50000 + p_partkey % 40"
     return (
         table(spark, sf_dir, "part")
-        .select(
-            F.concat(F.lit("TASK"), (concept % 10).cast("string")).alias("task"),
-            concept.alias("concept_id"),
-        )
+        .selectExpr(f"concat('TASK', cast(({concept}) % 10 as string)) AS task", f"{concept} AS concept_id")
         .distinct()
     )

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sojourn import schema as S
 from sojourn.operators.export import seeded_sample
-from sojourn.operators.vocab import with_special_tokens
+from sojourn.operators.vocab import IS_SPECIAL, with_special_tokens
 from sojourn.sources.guard import check_egress
 
 LISTS = {
@@ -41,8 +41,8 @@ def write_split_events(
 ) -> None:
     """One folder per ``split``, each sorted by subject and time across its files."""
     check_egress(external, synthetic=synthetic)
-    ordered = events.repartitionByRange("split", "subject_id", F.asc_nulls_first("time"))
-    ordered = ordered.sortWithinPartitions("split", "subject_id", F.asc_nulls_first("time"))
+    ordered = events.repartitionByRange("split", "subject_id", "time")
+    ordered = ordered.sortWithinPartitions("split", "subject_id", "time")
     writer = ordered.write.mode("overwrite").partitionBy("split")
     if form == "csv":
         writer.option("header", True).csv(path)
@@ -82,8 +82,7 @@ def write_vocabulary(vocab: DataFrame, path: str) -> None:
 
     The vocabulary is bounded by the code system, so one file is right here.
     """
-    specials = [S.UNKNOWN, S.BOS, S.EOS, S.PAD]
-    lines = vocab.where(~F.col("token").isin(specials)).orderBy("token_id").select("token")
+    lines = vocab.where(f"NOT ({IS_SPECIAL})").orderBy("token_id").select("token")
     lines.coalesce(1).write.mode("overwrite").text(path)
 
 
@@ -94,11 +93,9 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     order part of the data.
     """
     whole = spark.read.option("wholetext", True).text(path)
-    body = F.regexp_replace("value", r"\n$", "")
-    lines = whole.select(F.posexplode(F.split(body, "\n")).alias("token_id", "token"))
-    return with_special_tokens(
-        lines.select(F.trim("token").alias("token"), F.col("token_id").cast("bigint"))
-    )
+    lines = "split(regexp_replace(value, '\\n$', ''), '\n')"
+    indexed = whole.selectExpr(f"posexplode({lines}) AS (pos, token)")
+    return with_special_tokens(indexed.selectExpr("trim(token) AS token", "cast(pos as bigint) AS token_id"))
 
 
 # ---- Datasets ----
@@ -140,11 +137,11 @@ def read_dataset(
         if split != "all":
             if split not in names:
                 raise ValueError(f"split {split!r} not found; available: {names}")
-            rows, names = rows.where(F.col("split") == split), [split]
+            rows, names = rows.where(f"split = '{split}'"), [split]
         if sample_size is None:
             return rows
         parts = [
-            seeded_sample(rows.where(F.col("split") == name), sample_size, seed=seed)
+            seeded_sample(rows.where(f"split = '{name}'"), sample_size, seed=seed)
             for name in names
         ]
         out = parts[0]
