@@ -238,7 +238,7 @@ def tokenised_events(spark, sf_dir):
     return curate.tokenised_events(V.events_view(spark, sf_dir)).selectExpr(
         "subject_id",
         "pos",
-        nine("timestamp"),
+        "cast(timestamp as bigint) AS timestamp",
         "date_format(datetime, 'yyyy-MM-dd HH:mm:ss') AS datetime",
         "code",
         "time_token",

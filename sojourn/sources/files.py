@@ -16,10 +16,18 @@ from sojourn.operators.export import seeded_sample
 from sojourn.operators.vocab import IS_SPECIAL, with_special_tokens
 from sojourn.sources.guard import check_egress
 
-LISTS = {
+# Prediction columns in file order; lists are JSON in the file.
+PREDICTION = {
+    "original_text": "string",
     "generated_text": "array<string>",
     "pred_labels": "array<int>",
+    "subject_id": "bigint",
+    "label_token": "int",
+    "probability": "double",
     "probability_scores": "array<double>",
+    "num_predictions": "int",
+    "max_new_tokens": "int",
+    "model_name": "string",
 }
 
 
@@ -92,10 +100,11 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     The id is the line index. The whole file is read as one value, because only then is its line
     order part of the data.
     """
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = "split(regexp_replace(value, '\\n$', ''), '\n')"
     indexed = whole.selectExpr(f"posexplode({lines}) AS (pos, token)")
-    return with_special_tokens(indexed.selectExpr("trim(token) AS token", "cast(pos as bigint) AS token_id"))
+    words = indexed.selectExpr("trim(token) AS token", "cast(pos as bigint) AS token_id")
+    return with_special_tokens(words)
 
 
 # ---- Datasets ----
@@ -159,27 +168,27 @@ def write_predictions(
 ) -> None:
     """CSV with list columns as JSON."""
     check_egress(external, synthetic=synthetic)
-    flat = predictions
-    for name in LISTS:
-        flat = flat.withColumn(name, F.to_json(name))
+    flat = predictions.selectExpr(
+        *[f"to_json({c}) AS {c}" if t.startswith("array") else c for c, t in PREDICTION.items()]
+    )
     flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     """Predictions CSV with its lists parsed as data, never evaluated."""
-    flat = (
-        spark.read.schema(
-            "subject_id bigint, original_text string, label_token int, generated_text string, "
-            "pred_labels string, probability double, probability_scores string, "
-            "num_predictions int, max_new_tokens int, model_name string"
-        )
-        .option("header", True)
+    kinds = {c: "string" if t.startswith("array") else t for c, t in PREDICTION.items()}
+    flat = spark.read.schema(", ".join(f"{c} {t}" for c, t in kinds.items()))
+    return (
+        flat.option("header", True)
         .option("escape", '"')
         .csv(path)
+        .selectExpr(
+            *[
+                f"from_json({c}, '{t}') AS {c}" if t.startswith("array") else c
+                for c, t in PREDICTION.items()
+            ]
+        )
     )
-    for name, kind in LISTS.items():
-        flat = flat.withColumn(name, F.from_json(name, kind))
-    return flat
 
 
 def write_subject_losses(
