@@ -80,13 +80,13 @@ def visit_dropped_copies(
         .selectExpr(
             "*",
             f"{extra} AS extra",
-            "array_sort(transform(spans, (s, i) -> "
+            "sort_array(transform(spans, (s, i) -> "
             f"struct({drawn} AS d, s.first AS first, s.last AS last))) AS drawn",
         )
         .selectExpr("*", "transform(drawn, s -> s.last - s.first + 1) AS sizes")
     )
     n = drop_count("sizes", "size(tokens)", settings.target_tokens, "extra")
-    dropped = f"array_sort(transform(slice(drawn, 1, {n}), s -> struct(s.first, s.last)))"
+    dropped = f"sort_array(transform(slice(drawn, 1, {n}), s -> struct(s.first, s.last)))"
     others = [c for c in rows.columns if c != "text"]
     return counted.selectExpr(*others, "copy", "tokens", f"{dropped} AS dropped").selectExpr(
         *others, "copy", f"array_join({without_spans('tokens', 'dropped')}, ' ') AS text"

@@ -157,7 +157,7 @@ def head(text: str, max_tokens: int) -> str:
 
 
 def _joined(frame: DataFrame, *keys: str) -> DataFrame:
-    listed = "array_sort(collect_list(struct(pos, event_text)))"
+    listed = "sort_array(collect_list(struct(pos, event_text)))"
     return frame.groupBy(*keys).agg(
         F.expr(f"array_join(transform({listed}, e -> e.event_text), ' ') AS text")
     )

@@ -44,14 +44,16 @@ def lookup_join(
     key: str,
     how: str = "inner",
     max_broadcast: int = BROADCAST_ROWS,
+    computed: bool = False,
 ) -> DataFrame:
     """Join a large side to a lookup side that has one row per ``key``.
 
-    The lookup is computed once and counted. Up to ``max_broadcast`` rows it is broadcast and the
+    The lookup is computed once (unless it is ``computed`` already) and counted. Up to ``max_broadcast`` rows it is broadcast and the
     large side does not move. Beyond that the rows of heavy keys, at most ``shares`` keys, are
     joined by broadcast and only the rest is shuffled.
     """
-    small = materialise(small)
+    if not computed:
+        small = materialise(small)
     if small.count() <= max_broadcast:
         return big.join(F.broadcast(small), key, how)
     counts = big.where(f"{key} IS NOT NULL").groupBy(key).agg(F.expr("count(*) AS n"))

@@ -27,8 +27,8 @@ def aggregated(scores: str, how: str = "mean") -> str:
         total = f"aggregate({scores}, 0.0D, (a, x) -> a + x)"
         return f"{total} / nullif(size({scores}), 0)"
     if how == "median":
-        low = f"get(array_sort({scores}), (size({scores}) - 1) div 2)"
-        high = f"get(array_sort({scores}), size({scores}) div 2)"
+        low = f"get(sort_array({scores}), (size({scores}) - 1) div 2)"
+        high = f"get(sort_array({scores}), size({scores}) div 2)"
         return f"IF(size({scores}) > 0, ({low} + {high}) / 2, NULL)"
     raise ValueError(f"unknown aggregation: {how}")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sojourn.operators.distribute import heavy_keys, lookup_join
+from sojourn.operators.distribute import lookup_join
 from sojourn.schema import Thresholds
 from sojourn.session import materialise
 
@@ -34,22 +34,8 @@ def rare_code_filter(events: DataFrame, min_subjects: int) -> DataFrame:
 
 
 def subject_activity_filter(events: DataFrame, low: int, high: int) -> DataFrame:
-    pairs = materialise(subject_code_counts(events))
-    return keep_subjects(events, pairs, active_subjects(pairs, low, high))
-
-
-def keep_subjects(events: DataFrame, pairs: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Semi join on the subject. The shuffle by subject serves the later windows too.
-
-    A dropped subject may hold a large share of all events, so the heaviest dropped ones, few by
-    definition, go first and without a shuffle.
-    """
-    totals = pairs.groupBy("subject_id").agg(F.expr("sum(n) AS n"))
-    dropped = totals.join(subjects, "subject_id", "left_anti")
-    heavy = [str(row["subject_id"]) for row in heavy_keys(dropped)]
-    if heavy:
-        events = events.where(f"subject_id NOT IN ({', '.join(heavy)})")
-    return events.join(subjects.select("subject_id"), "subject_id", "left_semi")
+    subjects = active_subjects(subject_code_counts(events), low, high)
+    return lookup_join(events, subjects.select("subject_id"), "subject_id", "left_semi")
 
 
 def frequency_filter(events: DataFrame, limits: Thresholds) -> DataFrame:
@@ -57,7 +43,7 @@ def frequency_filter(events: DataFrame, limits: Thresholds) -> DataFrame:
 
     The rounds run on the (subject, code) counts. A round only ever removes codes and subjects, so
     the events that survive are those of the last round's codes and subjects, and the event rows
-    themselves are filtered once.
+    themselves are filtered once, without moving as long as both lists can be broadcast.
     """
     if limits.codes_only:
         return rare_code_filter(events, limits.min_subjects_per_code)
@@ -73,8 +59,7 @@ def frequency_filter(events: DataFrame, limits: Thresholds) -> DataFrame:
         subjects = active_subjects(
             coded, limits.min_events_per_subject, limits.max_events_per_subject
         )
-        live = coded.join(subjects, "subject_id", "left_semi")
-    subjects = materialise(subjects)
-    kept = lookup_join(events, codes, "code", "left_semi")
-    in_codes = pairs.join(codes, "code", "left_semi")
-    return keep_subjects(kept, in_codes, subjects)
+        live = coded.join(subjects.select("subject_id"), "subject_id", "left_semi")
+    subjects = materialise(subjects.select("subject_id"))
+    kept = lookup_join(events, codes, "code", "left_semi", computed=True)
+    return lookup_join(kept, subjects, "subject_id", "left_semi", computed=True)

@@ -49,7 +49,7 @@ def first_hit_probability(
 
 def generated_texts(steps: DataFrame) -> DataFrame:
     """``subject_id, seq, generated_text``: a sequence's tokens in step order, specials skipped."""
-    listed = f"array_sort(collect_list(IF({IS_SPECIAL}, NULL, struct(step, token))))"
+    listed = f"sort_array(collect_list(IF({IS_SPECIAL}, NULL, struct(step, token))))"
     return steps.groupBy("subject_id", "seq").agg(
         F.expr(f"array_join(transform({listed}, s -> s.token), ' ') AS generated_text")
     )
@@ -76,7 +76,7 @@ def scored_sequences(
 
 def regrouped(scored: DataFrame) -> DataFrame:
     """One row per subject with lists in sequence order and the vote share."""
-    listed = "array_sort(collect_list(struct(seq, generated_text, pred_label, score)))"
+    listed = "sort_array(collect_list(struct(seq, generated_text, pred_label, score)))"
     grouped = scored.groupBy("subject_id").agg(
         F.expr(f"{listed} AS s"), F.expr("avg(pred_label) AS probability")
     )

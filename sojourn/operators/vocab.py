@@ -78,7 +78,7 @@ def encode(
     known = lookup_join(exploded, vocab.select("token", "token_id"), "token", "left")
     named = f"struct(pos, coalesce(token_id, {ids[S.UNKNOWN]}L) AS id)"
     encoded = known.groupBy(*keys).agg(
-        F.expr(f"transform(array_sort(collect_list({named})), e -> e.id) AS _ids")
+        F.expr(f"transform(sort_array(collect_list({named})), e -> e.id) AS _ids")
     )
     end = f"array({ids[S.EOS]}L)" if add_eos else "array()"
     out = rows.join(encoded, list(keys), "left").withColumn(
@@ -103,7 +103,7 @@ def decode(
     """``keys, text``: token texts in order without special tokens."""
     exploded = rows.selectExpr(*keys, f"posexplode({ids}) AS (pos, token_id)")
     named = lookup_join(exploded, vocab.select("token", "token_id"), "token_id", "left")
-    listed = f"array_sort(collect_list(IF({IS_SPECIAL}, NULL, struct(pos, token))))"
+    listed = f"sort_array(collect_list(IF({IS_SPECIAL}, NULL, struct(pos, token))))"
     return named.groupBy(*keys).agg(
         F.expr(f"array_join(transform({listed}, e -> e.token), ' ') AS text")
     )
