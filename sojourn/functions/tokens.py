@@ -51,6 +51,12 @@ def gap_days(token: str) -> str:
     return f"IF(startswith({token}, 'TIME_'), map({entries})[{token}], NULL)"
 
 
+def gaps(tokens: str) -> str:
+    """``(pos, days)`` of every ``TIME_`` token in order; days are null for an unlisted one."""
+    entry = f"struct(i AS pos, {gap_days('t')} AS days)"
+    return f"array_compact(transform({tokens}, (t, i) -> IF(startswith(t, 'TIME_'), {entry}, NULL)))"
+
+
 def visit_group(visit_type: str) -> str:
     """Group of a visit name; ``Other`` for an unlisted name, null for a null name."""
     pairs = [(f"{visit_type} IS NULL", "NULL")]
@@ -77,7 +83,17 @@ def all_positions(tokens: str, hit: str) -> str:
     return f"array_compact(transform({tokens}, (t, i) -> IF({hit}, i, NULL)))"
 
 
-def days_between(tokens: str, start: str | int) -> str:
-    """Sum of gap days over ``tokens[start:]``; unknown tokens count as no time."""
-    tail = f"slice({tokens}, {start} + 1, greatest(size({tokens}), 1))"
-    return f"aggregate({tail}, 0, (total, t) -> total + coalesce({gap_days('t')}, 0))"
+def days_from(gaps_: str, start: str | int = 0) -> str:
+    """Sum of the known gap days at or after position ``start``."""
+    tail = f"filter({gaps_}, g -> g.pos >= {start})"
+    return f"aggregate({tail}, 0, (total, g) -> total + coalesce(g.days, 0))"
+
+
+def once(*named: str) -> str:
+    """Generator of one row with the given ``expression AS name`` columns.
+
+    A filter on a plain column is pushed below the projection that makes it, with a copy of the
+    expression per mention. A generator's output stops that, so costly expressions run once.
+    """
+    fields = ", ".join(f"'{n.rsplit(' AS ', 1)[1]}', {n.rsplit(' AS ', 1)[0]}" for n in named)
+    return f"inline(array(named_struct({fields})))"

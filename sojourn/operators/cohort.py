@@ -47,20 +47,30 @@ def task_targets(task_codes: DataFrame) -> DataFrame:
 
 
 def with_birth(rows: DataFrame) -> DataFrame:
-    """Rows whose text has a birth token, with ``tokens``, ``len`` and ``birth_token``."""
+    """Rows with a birth token, with ``tokens``, ``len``, ``birth_token`` and landmarks.
+
+    Landmarks are ``gaps``, the positions and days of the gap tokens, and ``visit_ends``, the
+    positions of the visit ends. Later steps read these short lists instead of all tokens.
+    """
+    birth = f"cast(array_position(tokens, '{S.BIRTH_CODE}') - 1 as int)"
+    ends = X.all_positions("tokens", f"t = '{S.VISIT_END}'")
+    landmarks = X.once(
+        "size(tokens) AS len",
+        f"{birth} AS birth_token",
+        f"{X.gaps('tokens')} AS gaps",
+        f"{ends} AS visit_ends",
+    )
     return (
-        rows.where(f"array_contains(split(text, ' '), '{S.BIRTH_CODE}')")
+        rows.where(f"contains(text, '{S.BIRTH_CODE}')")
         .selectExpr("*", "split(text, ' ') AS tokens")
-        .selectExpr(
-            "*",
-            "size(tokens) AS len",
-            f"cast(array_position(tokens, '{S.BIRTH_CODE}') - 1 as int) AS birth_token",
-        )
+        .selectExpr("*", landmarks)
+        .where("birth_token >= 0")
     )
 
 
-def years_from(tokens: str, start: str | int = 0) -> str:
-    return f"{X.days_between(tokens, start)} / 365"
+def years_of(tokens: str) -> str:
+    """Years covered by all gap tokens."""
+    return f"{X.days_from(X.gaps(tokens))} / 365"
 
 
 def candidates(rows: DataFrame, min_years: float | None = None) -> DataFrame:
@@ -68,8 +78,8 @@ def candidates(rows: DataFrame, min_years: float | None = None) -> DataFrame:
 
     That skips the gap from birth to the first event. ``min_years`` keeps longer records only.
     """
-    years = years_from("tokens", "birth_token + 2")
-    out = with_birth(rows).selectExpr("*", f"{years} AS time_ehr")
+    years = f"{X.days_from('gaps', 'birth_token + 2')} / 365 AS time_ehr"
+    out = with_birth(rows).selectExpr("*", years)
     return out if min_years is None else out.where(f"time_ehr > {min_years}")
 
 
@@ -97,7 +107,8 @@ def token_years_after(tokens: str, birth: str, years: int = 3) -> str:
 
 def first_target(tokens: str, targets: str) -> str:
     """Position of the first token equal to a target, -1 if none."""
-    return X.first_position(tokens, f"array_contains({targets}, t)")
+    found = f"filter(transform({targets}, x -> array_position({tokens}, x)), p -> p > 0)"
+    return f"IF(arrays_overlap({tokens}, {targets}), cast(array_min({found}) - 1 as int), -1)"
 
 
 # ---- Stopping points: number of leading tokens that form the input, -1 for none ----
@@ -120,9 +131,8 @@ def stop_demo_age(task: Task, target_at: str) -> str:
 
 def stop_end_visit(task: Task, target_at: str) -> str:
     """After a random end of visit before the first target, the last ones excluded."""
-    none = "size(tokens)" if task.strict_no_target else "size(tokens) - 1"
-    before = f"slice(tokens, 1, IF({target_at} >= 0, {target_at}, {none}))"
-    ends = X.all_positions(before, f"t = '{S.VISIT_END}'")
+    none = "len" if task.strict_no_target else "len - 1"
+    ends = f"filter(visit_ends, e -> e < IF({target_at} >= 0, {target_at}, {none}))"
     n = f"size(e) - {task.exclude_visits}"
     drawn = draw_below(f"greatest({n}, 1)", f"{task.seed}|end_visit", "subject_id")
     pick = f"IF(size(e) > 1 AND {n} > 0, get(e, cast({drawn} as int)) + 1, -1)"
@@ -143,31 +153,46 @@ def stopping_point(name: str, task: Task, target_at: str = "first_target") -> st
     return STOPS[name](task, target_at)
 
 
+def horizon_end(gaps: str, start: str, length: str, horizon_days: int) -> str:
+    """Position of the gap token that passes the horizon, counted from ``start``; else length.
+
+    An unlisted ``TIME_`` token on the way is an error.
+    """
+    bad = "cast(raise_error('unknown gap token') as int)"
+    days = f"s.days + coalesce(g.days, {bad})"
+    step = f"named_struct('days', {days}, 'at', IF({days} > {horizon_days}, g.pos, -1))"
+    return (
+        f"aggregate(filter({gaps}, g -> g.pos >= {start}), named_struct('days', 0, 'at', -1), "
+        f"(s, g) -> IF(s.at >= 0, s, {step}), s -> IF(s.at >= 0, s.at, {length}))"
+    )
+
+
+def target_pattern(targets: str, match: str) -> str:
+    """Regular expression for a text with a target token: one containing or being a target."""
+    quoted = f"array_join(transform({targets}, x -> concat('\\\\Q', x, '\\\\E')), '|')"
+    if match == "exact":
+        return f"concat('(?:^| )(?!TIME_)(?:', {quoted}, ')(?: |$)')"
+    return f"concat('(?:^| )(?!TIME_)[^ ]*(?:', {quoted}, ')')"
+
+
 def horizon_label(
-    tokens: str, start: str | int, targets: str, horizon_days: int, match: str = "contains"
+    tokens: str,
+    start: str | int,
+    targets: str,
+    horizon_days: int,
+    match: str = "contains",
+    gaps: str | None = None,
 ) -> str:
     """1 if a target comes at or after ``start`` before the gaps exceed the horizon, else 0.
 
-    An unlisted ``TIME_`` token is an error.
+    ``gaps`` names a column with the tokens' gaps, if there is one. The tokens up to the horizon
+    are matched as one text.
     """
-    tail = f"slice({tokens}, {start} + 1, greatest(size({tokens}), 1))"
-    if match == "exact":
-        hit = f"array_contains({targets}, t)"
-    else:
-        hit = f"exists({targets}, x -> contains(t, x))"
-    bad = "cast(raise_error(concat('unknown gap token: ', t)) as int)"
-    days = f"s.days + coalesce({X.gap_days('t')}, {bad})"
-    late = f"named_struct('days', {days}, 'label', IF({days} > {horizon_days}, 0, -1))"
-    step = X.cases(
-        [
-            ("s.label >= 0", "s"),
-            ("startswith(t, 'TIME_')", late),
-            (hit, "named_struct('days', s.days, 'label', 1)"),
-        ],
-        "s",
-    )
-    begin = "named_struct('days', 0, 'label', -1)"
-    return f"aggregate({tail}, {begin}, (s, t) -> {step}, s -> greatest(s.label, 0))"
+    start = f"cast({start} as int)"
+    end = horizon_end(gaps or X.gaps(tokens), start, f"size({tokens})", horizon_days)
+    window = f"array_join(slice({tokens}, {start} + 1, greatest({end} - {start}, 0)), ' ')"
+    hit = f"size({targets}) > 0 AND rlike({window}, {target_pattern(targets, match)})"
+    return f"IF({hit}, 1, 0)"
 
 
 def all_eos_tail(ids: str, eos_id: int) -> str:
@@ -197,12 +222,15 @@ def _labelled(
     found: DataFrame, task: Task, targets: str, stop_early: bool, eos_id: int | None
 ) -> DataFrame:
     later = X.text_array(task.followup_targets) if task.followup_targets else targets
-    out = found.selectExpr("*", f"{first_target('tokens', targets)} AS first_target")
+    found_at = X.once(f"{first_target('tokens', targets)} AS first_target")
+    out = found.selectExpr("*", found_at)
     if stop_early:
         return out
     stop = stopping_point(task.stop, task)
-    label = horizon_label("tokens", "stopping_time", later, task.horizon_days, task.match)
-    out = out.selectExpr("*", f"{stop} AS stopping_time")
+    label = horizon_label(
+        "tokens", "stopping_time", later, task.horizon_days, task.match, "gaps"
+    )
+    out = out.selectExpr("*", X.once(f"{stop} AS stopping_time"))
     out = out.where("stopping_time > 0 AND stopping_time < len")
     out = out.selectExpr("*", f"{label} AS label_token")
     for column in ("input_ids", "attention_mask"):

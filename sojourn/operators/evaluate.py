@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sojourn import schema as S
 from sojourn.functions.seeded import hash32, poisson_of
 from sojourn.functions.tokens import cases, text
-from sojourn.operators.cohort import years_from
+from sojourn.operators.cohort import years_of
 from sojourn.operators.distribute import LANE_ROWS, lanes_by_value, running_before
 from sojourn.operators.prs import any_nonzero
 from sojourn.session import materialise
@@ -48,7 +48,7 @@ def prepared(predictions: DataFrame, how: str = "mean", prs: DataFrame | None =
     out = predictions.selectExpr(
         "*",
         f"{aggregated('probability_scores', how)} AS probability_agg",
-        years_from("split(original_text, ' ')") + " AS age",
+        years_of("split(original_text, ' ')") + " AS age",
     ).withColumn("age_bucket", F.expr(age_bucket("age")))
     if prs is None:
         return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +57,17 @@ def special_ids(vocab: DataFrame) -> dict[str, int]:
     return {r["token"]: r["token_id"] for r in vocab.where(IS_SPECIAL).collect()}
 
 
+def pieces_of(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """``keys, pos, token``: the pieces of a text.
+
+    The outer generator keeps Spark from running the split a second time, in a filter for rows
+    without pieces; those are filtered here instead.
+    """
+    pieces = f"regexp_extract_all({text}, '{PIECES}', 0)"
+    exploded = rows.selectExpr(*keys, f"posexplode_outer({pieces}) AS (pos, token)")
+    return exploded.where("token IS NOT NULL")
+
+
 def encode(
     rows: DataFrame,
     vocab: DataFrame,
@@ -73,8 +84,7 @@ def encode(
     the texts. ``keep_text=False`` drops the text and the keys.
     """
     ids = special_ids(vocab)
-    pieces = f"regexp_extract_all({text}, '{PIECES}', 0)"
-    exploded = rows.selectExpr(*keys, f"posexplode({pieces}) AS (pos, token)")
+    exploded = pieces_of(rows, keys, text)
     known = lookup_join(exploded, vocab.select("token", "token_id"), "token", "left")
     named = f"struct(pos, coalesce(token_id, {ids[S.UNKNOWN]}L) AS id)"
     encoded = known.groupBy(*keys).agg(
@@ -113,9 +123,7 @@ def unknown_tokens(
     rows: DataFrame, vocab: DataFrame, key: str = "subject_id", text: str = "text"
 ) -> DataFrame:
     """``key, token, n``: tokens of each text that the vocabulary lacks."""
-    pieces = f"regexp_extract_all({text}, '{PIECES}', 0)"
-    exploded = rows.selectExpr(key, f"explode({pieces}) AS token")
-    counted = exploded.groupBy(key, "token").agg(F.expr("count(*) AS n"))
+    counted = pieces_of(rows, [key], text).groupBy(key, "token").agg(F.expr("count(*) AS n"))
     known = vocab.where(f"token <> '{S.UNKNOWN}'").select("token")
     return lookup_join(counted, known, "token", "left_anti")
 

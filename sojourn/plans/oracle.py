@@ -483,7 +483,7 @@ FINAL: dict[str, str] = {
     ),
     "rare_code_filter": f"""
     {EVENT_SELECT} FROM ev WHERE code IN (
-      SELECT code FROM ev GROUP BY code HAVING count(DISTINCT subject_id) >= 40)""",
+      SELECT code FROM ev GROUP BY code HAVING count(DISTINCT subject_id) >= 100)""",
     "subject_activity_filter": f"""
     {EVENT_SELECT} FROM ev WHERE subject_id IN (
       SELECT subject_id FROM ev GROUP BY subject_id HAVING count(code) BETWEEN 40 AND 62)""",
@@ -526,7 +526,7 @@ FINAL: dict[str, str] = {
     SELECT subject_id, token, count(*) AS n FROM (
       SELECT subject_id, unnest(regexp_extract_all(event_text, '\w+|[^\w\s]+')) AS token FROM tok)
     WHERE token NOT IN (SELECT token FROM fixed) AND token NOT IN ('<s>', '</s>', '<pad>')
-      AND token NOT IN (SELECT code FROM ev GROUP BY code HAVING count(DISTINCT subject_id) >= 40)
+      AND token NOT IN (SELECT code FROM ev GROUP BY code HAVING count(DISTINCT subject_id) >= 100)
     GROUP BY subject_id, token""",
     "last_tokens": f"SELECT subject_id, {ids_text(f'list_slice(ids, greatest(n - {R.TAIL} + 1, 1), n)')} AS input_ids FROM enc",
     "training_examples": f"""

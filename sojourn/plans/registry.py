@@ -209,7 +209,7 @@ def token_names(spark, sf_dir):
 
 @query
 def rare_code_filter(spark, sf_dir):
-    return filters.rare_code_filter(V.events_view(spark, sf_dir), 40)
+    return filters.rare_code_filter(V.events_view(spark, sf_dir), 100)
 
 
 @query
@@ -433,7 +433,7 @@ def horizon_labels(spark, sf_dir):
     targets = X.text_array(TARGETS)
 
     def label(days: int, match: str = "contains") -> str:
-        return cohort.horizon_label("tokens", "size(tokens) div 2", targets, days, match)
+        return cohort.horizon_label("tokens", "len div 2", targets, days, match, "gaps")
 
     return rows.selectExpr(
         "subject_id",
@@ -568,7 +568,7 @@ def _scored_documents(spark, sf_dir) -> DataFrame:
 def _subject_predictions(spark, sf_dir) -> DataFrame:
     """Every candidate with four seeded probabilities, and the real horizon label."""
     rows = cohort.with_birth(curated_sequences(spark, sf_dir))
-    label = cohort.horizon_label("tokens", "size(tokens) div 2", X.text_array(TARGETS), 730)
+    label = cohort.horizon_label("tokens", "len div 2", X.text_array(TARGETS), 730, gaps="gaps")
     draws = ", ".join(f"{draw_below(101, f'score|{i}', 'subject_id')} / 100" for i in range(4))
     return rows.selectExpr(
         "subject_id",
