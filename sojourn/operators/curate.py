@@ -153,7 +153,8 @@ def tokenised_events(
 
 
 def head(text: str, max_tokens: int) -> str:
-    return f"array_join(slice(split({text}, ' '), 1, {max_tokens}), ' ')"
+    """The first ``max_tokens`` tokens of a text (SQL)."""
+    return f"substring_index({text}, ' ', {max_tokens})"
 
 
 def _joined(frame: DataFrame, *keys: str) -> DataFrame:

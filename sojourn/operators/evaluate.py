@@ -17,6 +17,7 @@ from sojourn.session import materialise
 
 # Replicates beyond this multiple of the wanted number are not tried.
 MAX_REDRAWS = 64
+DRAWS_PER_TASK = 50_000_000
 
 
 def aggregated(scores: str, how: str = "mean") -> str:
@@ -100,6 +101,12 @@ def roc_auc(
     return pair_auc(lanes_by_value(cells, "score", groups, lane_rows), groups)
 
 
+def draw_tasks(rows: DataFrame, replicates: int) -> int:
+    """Tasks for drawing replicates of all rows: every core, and a bounded number of draws each."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return max(cores, -(-rows.count() * replicates // DRAWS_PER_TASK))
+
+
 def replicate_aucs(
     df: DataFrame,
     replicates: tuple[int, int],
@@ -121,8 +128,10 @@ def replicate_aucs(
     )
     scores = materialise(rows.select("score").distinct())
     laned = lanes_by_value(scores, "score", (), lane_rows)
+    # Each row becomes a thousand, so even a small table is spread over all cores first.
+    spread = rows.repartition(draw_tasks(rows, replicates[1] - replicates[0]))
     drawn = (
-        rows.selectExpr("*", f"explode(sequence({replicates[0]}, {replicates[1] - 1})) AS b")
+        spread.selectExpr("*", f"explode(sequence({replicates[0]}, {replicates[1] - 1})) AS b")
         .selectExpr("*", f"{hash32(seed, 'b', '_key')} AS h")
         .selectExpr(*groups, "b", "score", "_label", f"{poisson_of('h')} AS w")
         .where("w > 0")

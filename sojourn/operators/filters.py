@@ -47,19 +47,16 @@ def frequency_filter(events: DataFrame, limits: Thresholds) -> DataFrame:
     """
     if limits.codes_only:
         return rare_code_filter(events, limits.min_subjects_per_code)
-    pairs = materialise(subject_code_counts(events))
-    live, codes, subjects = pairs, None, None
-    for round_ in range(limits.rounds):
-        if round_:
-            live = materialise(live)
-        codes = common_codes(live, limits.min_subjects_per_code).select("code")
-        if round_ == limits.rounds - 1:
-            codes = materialise(codes)
-        coded = live.join(codes, "code", "left_semi")
-        subjects = active_subjects(
-            coded, limits.min_events_per_subject, limits.max_events_per_subject
+    live = materialise(subject_code_counts(events))
+    codes = subjects = None
+    for _ in range(limits.rounds):
+        codes = materialise(common_codes(live, limits.min_subjects_per_code).select("code"))
+        live = lookup_join(live, codes, "code", "left_semi", computed=True)
+        subjects = materialise(
+            active_subjects(
+                live, limits.min_events_per_subject, limits.max_events_per_subject
+            ).select("subject_id")
         )
-        live = coded.join(subjects.select("subject_id"), "subject_id", "left_semi")
-    subjects = materialise(subjects.select("subject_id"))
+        live = lookup_join(live, subjects, "subject_id", "left_semi", computed=True)
     kept = lookup_join(events, codes, "code", "left_semi", computed=True)
     return lookup_join(kept, subjects, "subject_id", "left_semi", computed=True)
