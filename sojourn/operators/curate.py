@@ -19,7 +19,7 @@ from sojourn.functions import tokens as X
 from sojourn.operators.distribute import HEAVY_ROWS, heavy_keys, range_lanes
 from sojourn.operators.filters import frequency_filter
 from sojourn.operators.quantiles import decile_breaks, with_decile_tokens
-from sojourn.session import materialise, shared_dir
+from sojourn.session import materialise, shared_dir, stored
 
 # Events per text row where a subject is not bounded by the activity filter.
 PART_EVENTS = 10_000
@@ -222,7 +222,7 @@ def curated(
     if limits is None:
         kept = events
     else:
-        kept = materialise(frequency_filter(events, limits))
+        kept = stored(frequency_filter(events, limits))
     bounded = limits is not None and not limits.codes_only
     text = sequences(kept, decile_breaks(kept), max_tokens, bounded)
     return kept, text

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from sojourn.functions.seeded import digest
 from sojourn.session import materialise
 
-# A side is broadcast only when counted at or below this many rows.
-BROADCAST_ROWS = 2_000_000
+# A side is broadcast only when counted at or below this many rows. Lookup rows here are at most
+# a key and nine doubles, so this stays within some 150 MB.
+BROADCAST_ROWS = 1_000_000
 # A key is heavy from this many rows on, if it also holds 1/shares of all rows.
 HEAVY_ROWS = 1_000_000
 # Rows that one window task may order.

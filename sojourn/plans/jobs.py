@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sojourn import schema as S
 from sojourn.operators import augment, cohort, curate, evaluate, export, vocab
-from sojourn.session import materialise
+from sojourn.session import materialise, stored
 from sojourn.sources import files
 from sojourn.sources.clinical import ClinicalTables
 
@@ -43,7 +43,7 @@ def curation_job(
     Code rarity and deciles are taken over all events at once. An empty result is an error.
     """
     kept, texts = curate.curated(events, limits, max_tokens)
-    texts = materialise(texts)
+    texts = stored(texts)
     if texts.isEmpty():
         raise ValueError("no sequences were generated; try lower filter thresholds")
     words = materialise(vocab.vocabulary(kept))

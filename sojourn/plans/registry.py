@@ -6,7 +6,6 @@ doubles rounded to nine places, so that results compare across engines.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +30,7 @@ from sojourn.operators import (
 from sojourn.operators.distribute import numbered
 from sojourn.plans import jobs
 from sojourn.plans import views as V
-from sojourn.session import materialise, shared_dir
+from sojourn.session import materialise, new_folder
 from sojourn.sources import files
 
 TARGETS = ("CDzz50003", "CDzz50017")
@@ -72,11 +71,6 @@ def rounded_list(c: str, name: str | None = None) -> str:
     return f"array_join({whole}, ' ') AS {name or c}"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared directory."""
-    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-
-
 # ---- Shared inputs ----
 
 
@@ -640,7 +634,7 @@ def report_by_prs(spark, sf_dir):
 
 @query
 def event_csv_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     files.write_split_events(split_events(spark, sf_dir), path)
     back = [
         files.read_events_csv(spark, f"{path}/split={name}").withColumn("split", F.lit(name))
@@ -651,7 +645,7 @@ def event_csv_round_trip(spark, sf_dir):
 
 @query
 def csv_row_counts(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     files.write_split_events(split_events(spark, sf_dir), path)
     counts = [
         (name, files.count_csv_rows(spark, f"{path}/split={name}")) for name in ("train", "test")
@@ -661,42 +655,42 @@ def csv_row_counts(spark, sf_dir):
 
 @query
 def sequence_text_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     files.write_sequence_text(curated_sequences(spark, sf_dir), path)
     return spark.read.text(path).withColumnRenamed("value", "text")
 
 
 @query
 def sequence_csv_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     files.write_sequence_csv(curated_sequences(spark, sf_dir), path)
     return files.read_sequence_csv(spark, path)
 
 
 @query
 def vocabulary_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     files.write_vocabulary(vocabulary(spark, sf_dir), path)
     return files.read_vocabulary(spark, path)
 
 
 @query
 def dataset_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     files.write_dataset(augment.split_rows(curated_sequences(spark, sf_dir)), path)
     return files.read_dataset(spark, path, "test").select("subject_id", "text")
 
 
 @query
 def sampled_dataset(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     files.write_dataset(augment.split_rows(curated_sequences(spark, sf_dir)), path)
     return files.read_dataset(spark, path, "all", sample_size=50).select("subject_id", "split")
 
 
 @query
 def evaluation_set_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     rows = task_evaluation_sets(spark, sf_dir).withColumn("label_time_range", F.lit(730))
     files.write_evaluation_set(rows, path)
     back = spark.read.parquet(path).where("label_time_range = 730")
@@ -705,7 +699,7 @@ def evaluation_set_round_trip(spark, sf_dir):
 
 @query
 def prediction_csv_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     files.write_predictions(_predictions(spark, sf_dir), path)
     return files.read_predictions(spark, path).selectExpr(
         "subject_id",
@@ -718,14 +712,14 @@ def prediction_csv_round_trip(spark, sf_dir):
 
 @query
 def dictionary_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     files.write_dictionary(data_dictionary(spark, sf_dir), path)
     return spark.read.schema("code string, concept_name string").option("header", True).csv(path)
 
 
 @query
 def subject_loss_round_trip(spark, sf_dir):
-    path = scratch(spark)
+    path = new_folder(spark)
     files.write_subject_losses(score.subject_losses(V.loss_view(spark, sf_dir)), path)
     back = spark.read.schema("subject_id bigint, test_loss double").option("header", True).csv(path)
     return back.selectExpr("subject_id", nine("test_loss"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +54,32 @@ def shared_dir(spark: SparkSession) -> str | None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute once and cut the lineage with a reliable checkpoint."""
+    """Compute a small or medium result once and cut the lineage with a reliable checkpoint."""
     if shared_dir(df.sparkSession) is None:
         return df
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession) -> str | None:
+    """A new path in the shared folder, deleted when the application ends."""
+    folder = shared_dir(spark)
+    if folder is None:
+        return None
+    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Compute a large result once as a Parquet table in the shared folder.
+
+    Unlike a checkpoint it is compressed and later readers fetch only the columns they use.
+    """
+    path = new_folder(df.sparkSession)
+    if path is None:
+        return df
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
