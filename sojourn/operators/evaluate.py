@@ -200,7 +200,9 @@ def report(
     spans = bootstrap_interval(
         df, iterations, groups=groups, key=key, score=score, label=label, seed=seed
     )
-    if not groups:
-        groups, points, spans = ["one"], points.withColumn("one", F.lit(1)), spans.withColumn("one", F.lit(1))
-    joined = points.join(spans, groups)
-    return joined.select(*([strata] if strata else []), "n", "auc", "ci_low", "ci_high", "n_valid")
+    if groups:
+        joined = points.join(spans, groups)
+    else:
+        one = F.lit(1)
+        joined = points.withColumn("one", one).join(spans.withColumn("one", one), "one")
+    return joined.select(*groups, "n", "auc", "ci_low", "ci_high", "n_valid")

@@ -11,6 +11,7 @@ from sojourn import schema as S
 from sojourn.functions.seeded import digest
 from sojourn.functions.tokens import text_array
 from sojourn.operators.distribute import lookup_join, numbered
+from sojourn.session import stored
 
 # Runs of word characters, or runs of other visible characters.
 PIECES = r"(?U)\\w+|[^\\w\\s]+"
@@ -81,9 +82,11 @@ def encode(
 
     ``add_eos`` appends the end token. ``pad_to`` cuts to that length on the right and pads on the
     left. ``keys`` identify a row. Only keys and single tokens are exploded for the lookup, not
-    the texts. ``keep_text=False`` drops the text and the keys.
+    the texts; the rows, read for both, are stored first. ``keep_text=False`` drops the text and
+    the keys.
     """
     ids = special_ids(vocab)
+    rows = stored(rows)
     exploded = pieces_of(rows, keys, text)
     known = lookup_join(exploded, vocab.select("token", "token_id"), "token", "left")
     named = f"struct(pos, coalesce(token_id, {ids[S.UNKNOWN]}L) AS id)"
