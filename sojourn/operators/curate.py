@@ -79,6 +79,7 @@ def _ordered_in_lanes(events: DataFrame, n: int, lane_rows: int) -> DataFrame:
         f"sum(n) OVER {across} - n AS offset",
     )
     w = f"(PARTITION BY subject_id, lane ORDER BY {ORDER}, uid)"
+    # One edge per lane and subject in it: no more than lanes and heavy subjects together.
     within = laned.join(F.broadcast(edges), ["subject_id", "lane"]).selectExpr(
         "*",
         f"lag(time) OVER {w} AS lag_time",
