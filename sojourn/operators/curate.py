@@ -19,7 +19,7 @@ from sojourn.functions import tokens as X
 from sojourn.operators.distribute import HEAVY_ROWS, heavy_keys, range_lanes
 from sojourn.operators.filters import frequency_filter
 from sojourn.operators.quantiles import decile_breaks, with_decile_tokens
-from sojourn.session import materialise, shared_dir, stored
+from sojourn.session import materialise, stored
 
 # Events per text row where a subject is not bounded by the activity filter.
 PART_EVENTS = 10_000
@@ -63,8 +63,7 @@ def _ordered_in_lanes(events: DataFrame, n: int, lane_rows: int) -> DataFrame:
     written out before the rows are shuffled by it, so a lost task cannot renumber them. Across a
     lane border the neighbours come from the lanes' first and last rows.
     """
-    uid = F.lit(0) if shared_dir(events.sparkSession) is None else F.monotonically_increasing_id()
-    rows = materialise(events.withColumn("uid", uid))
+    rows = materialise(events.withColumn("uid", F.monotonically_increasing_id()))
     laned = range_lanes(rows, ["subject_id", *S.EVENT_ORDER, "uid"], n, lane_rows)
     edge = f"struct({ORDER}, uid, {VISIT_KEY} AS visit)"
     edges = laned.groupBy("subject_id", "lane").agg(

@@ -17,7 +17,6 @@ BROADCAST_ROWS = 1_000_000
 HEAVY_ROWS = 1_000_000
 # Rows that one window task may order.
 LANE_ROWS = 1_000_000
-MAX_LANES = 20_000
 
 
 def shares_of(df: DataFrame) -> int:
@@ -123,7 +122,7 @@ def range_lanes(df: DataFrame, order: Sequence, n: int, lane_rows: int) -> DataF
 
     Spark's range partitioning draws the borders; writing the rows out fixes the assignment.
     """
-    pieces = max(1, min(MAX_LANES, -(-n // lane_rows)))
+    pieces = max(1, -(-n // lane_rows))
     return materialise(
         df.repartitionByRange(pieces, *order).withColumn("lane", F.spark_partition_id())
     )

@@ -17,7 +17,9 @@ JOB_SETTINGS = {
 }
 
 
-def local_session(app: str = "sojourn", cpus: str | None = None) -> SparkSession:
+def local_session(
+    app: str = "sojourn", cpus: str | None = None, folder: str | None = None
+) -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -25,6 +27,7 @@ def local_session(app: str = "sojourn", cpus: str | None = None) -> SparkSession
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", folder or tempfile.mkdtemp(prefix="sojourn-"))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in JOB_SETTINGS.items():
@@ -34,38 +37,42 @@ def local_session(app: str = "sojourn", cpus: str | None = None) -> SparkSession
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str | None:
-    """The folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, or the one set on the context.
 
-    Only a local master, which has no cluster folder, gets one made for it. On a cluster that
-    names none the answer is ``None`` and callers keep the lineage instead of guessing a folder.
+    Every job that cuts its lineage needs a folder that driver and executors share. There is no
+    other way to run, so a session that names none is refused.
     """
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
-    if current:
-        return named or current
-    if named is None:
-        if not context.master.startswith("local"):
-            return None
-        named = tempfile.mkdtemp(prefix="sojourn-")
-    context.setCheckpointDir(named)
+    named = spark.conf.get("spark.checkpoint.dir", None) or current
+    if not named:
+        raise RuntimeError(
+            "this job stores intermediate results: set spark.checkpoint.dir to a folder that the "
+            "driver and all executors share"
+        )
+    if not current:
+        context.setCheckpointDir(named)
     return named
 
 
+def use_local_folder(spark: SparkSession) -> None:
+    """Name a scratch folder on a session with a local master that has none."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named and context.master.startswith("local") and "cluster" not in context.master:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sojourn-"))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute a small or medium result once and cut the lineage with a reliable checkpoint."""
-    if shared_dir(df.sparkSession) is None:
-        return df
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def new_folder(spark: SparkSession) -> str | None:
+def new_folder(spark: SparkSession) -> str:
     """A new path in the shared folder, deleted when the application ends."""
-    folder = shared_dir(spark)
-    if folder is None:
-        return None
-    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())
     files.mkdirs(target)
@@ -79,7 +86,5 @@ def stored(df: DataFrame) -> DataFrame:
     Unlike a checkpoint it is compressed and later readers fetch only the columns they use.
     """
     path = new_folder(df.sparkSession)
-    if path is None:
-        return df
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
