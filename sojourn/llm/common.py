@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -11,6 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sojourn.operators.distribute import lookup_join
 from sojourn.session import materialise, stored
@@ -25,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(root)
+    if any(os.path.basename(path) == f"{name}.zip" for path in context.listFiles):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix=f"{name}-code-"), name)
+    context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(root), name))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}
@@ -56,6 +71,12 @@ def mix64(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(33))
 
 
+def plus(df: DataFrame, **columns: str) -> StructType:
+    """The schema of ``df`` with further columns."""
+    more = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items()))
+    return StructType([*df.schema.fields, *more.fields])
+
+
 def texts_of(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each value; null counts as empty."""
     for value in column.cast(pa.large_binary()):

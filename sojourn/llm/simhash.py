@@ -69,8 +69,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, name: str = "fp")
                 [*batch.columns, signed], names=[*batch.schema.names, name]
             )
 
-    schema = docs.schema.add(name, "bigint")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, common.plus(docs, **{name: "bigint"}))
 
 
 def _same_half(fps: DataFrame, half: str, other: str, bucket: int) -> list[DataFrame]:
