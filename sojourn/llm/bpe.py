@@ -324,6 +324,9 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", name: str = "deco
     return docs.mapInArrow(run, common.plus(docs, **{name: "binary"}))
 
 
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def id_arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
     """Ids of each row; null rows have none."""
     values, offsets = column.values, column.offsets.to_pylist()
@@ -331,8 +334,10 @@ def id_arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield values[offsets[i] : offsets[i + 1]].to_numpy(False) if valid else np.empty(0, int)
 
 
-def digests(coded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``doc_id, n_tokens``, and SHA-256 of the decimal ids and of the decoded bytes."""
+def digests(
+    coded: DataFrame, ids: str = "ids", decoded: str = "decoded", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The columns to ``keep``, ``n_tokens``, and SHA-256 of the decimal ids and of the decoded bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimal: list[bytes] = []
@@ -345,10 +350,9 @@ def digests(coded: DataFrame, ids: str = "ids", decoded: str = "decoded") -> Dat
                 joined = b" ".join(map(decimal.__getitem__, value.tolist()))
                 hashes.append(hashlib.sha256(joined).hexdigest())
             whole = [hashlib.sha256(t).hexdigest() for t in common.texts_of(batch[decoded])]
-            yield pa.record_batch(
-                [batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(whole)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            made = [pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(whole)]
+            yield pa.record_batch([batch[c] for c in keep] + made, names=[*keep, *DIGESTS])
 
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return coded.select("doc_id", ids, decoded).mapInArrow(run, schema)
+    made = dict(zip(DIGESTS, ("bigint", "string", "string"), strict=True))
+    schema = common.plus(coded.select(*keep), **made)
+    return coded.select(*dict.fromkeys((*keep, ids, decoded))).mapInArrow(run, schema)

@@ -22,13 +22,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sojourn.llm import common
 from sojourn.operators.distribute import lookup_join
 from sojourn.session import materialise, stored
 
 MOST = 3
-SHARDS = 16
+SHARDS = 16  # at least; more when a shard would get more than SHARD_BLOCKS blocks
+SHARD_BLOCKS = 64
 BLOCK_DOCS = 1000
 SEED = 11
+DRAW = f"xxhash64({SEED}L, doc_id, text)"
 WORDS = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -40,7 +43,7 @@ def sized(docs: DataFrame) -> DataFrame:
         "source",
         "IF(source IS NULL, '0', concat('1', source)) AS s",
         f"coalesce(cast(regexp_count(text, '{WORDS}') as bigint), 0L) AS size",
-        f"xxhash64({SEED}L, doc_id, text) AS draw",
+        f"{DRAW} AS draw",
     )
 
 
@@ -194,14 +197,16 @@ def split(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
     return leaves.selectExpr("shard", "s", f"{upto} - k AS lo", f"{upto} AS hi").where("lo < hi")
 
 
-def mixed(docs: DataFrame, most: int = MOST, shards: int = SHARDS) -> DataFrame:
+def mixed(docs: DataFrame, most: int = MOST, shards: int | None = None) -> DataFrame:
     """One row per take: the document's key columns, ``pass``, ``shard`` and ``place``, the seeded
     key that orders a shard. Documents that the mix does not take have one row with a null shard."""
     rows = stored(drawn(docs, most))
     quotas = rows.groupBy("s").agg(
         F.expr("min(full) * min(blocks) + coalesce(max(IF(extra = 1, block + 1, NULL)), 0L) AS k")
     )
-    ranges = split(materialise(quotas), shards)
+    quotas = materialise(quotas)
+    blocks = quotas.selectExpr("bigint(coalesce(sum(k), 0)) AS n").first()["n"]
+    ranges = split(quotas, shards or max(SHARDS, -(-blocks // SHARD_BLOCKS)))
     by_source = materialise(
         ranges.groupBy("s").agg(F.expr("array_sort(collect_list(struct(hi, shard))) AS cuts"))
     )
@@ -216,6 +221,28 @@ def mixed(docs: DataFrame, most: int = MOST, shards: int = SHARDS) -> DataFrame:
     )
 
 
+def mixed_texts(docs: DataFrame, most: int = MOST) -> DataFrame:
+    """The mix itself: all columns of ``docs``, a row per take, shard by shard in seeded order.
+
+    The texts move twice: to their takes, and to their shard.
+    """
+    draw, takes, mine = (common.fresh(docs, n) for n in ("mix_draw", "mix_takes", "mix_id"))
+    plan = mixed(docs, most).groupBy("doc_id", "draw").agg(
+        F.expr("count(*) FILTER (WHERE pass IS NULL OR pass = 0) AS rows"),
+        F.expr("collect_list(IF(shard IS NULL, NULL, struct(shard, place))) AS all"),
+    )
+    # Rows that agree in id and text share a plan row; it gives them all the same takes.
+    plan = plan.where("size(all) > 0").selectExpr(
+        f"doc_id AS {mine}",
+        f"draw AS {draw}",
+        f"array_sort(slice(array_sort(all), 1, int(ceil(size(all) / rows)))) AS {takes}",
+    )
+    both = docs.withColumn(draw, F.expr(DRAW)).join(plan, draw).where(f"doc_id <=> {mine}")
+    rows = both.selectExpr(*[f"`{c}`" for c in docs.columns], f"inline({takes})")
+    rows = rows.toDF(*docs.columns, takes, mine)
+    return rows.repartition(takes).sortWithinPartitions(takes, mine).select(*docs.columns)
+
+
 def taken(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` per document: words taken, repeats counted."""
     rows = mixed(docs)

@@ -159,3 +159,18 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return joined.selectExpr(
         "doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """All columns of one document of each group of near-duplicates: the one with the least id.
+
+    Of rows that repeat that id one stays. Rows without id go if their group has an id, and stay if
+    it has none.
+    """
+    fp, own = common.fresh(docs, "fp"), common.fresh(docs, "component_id")
+    rows = stored(fingerprints(docs, width, fp))
+    found = groups(rows.selectExpr("doc_id", f"{fp} AS fp"))
+    found = found.selectExpr(f"fp AS {fp}", f"component_id AS {own}")
+    kept = lookup_join(rows, found, fp, max_broadcast=common.BROADCAST_ROWS)
+    kept = kept.where(f"doc_id <=> {own}").select(*docs.columns)
+    return common.one_row_per(kept, "doc_id")
