@@ -420,7 +420,7 @@ def masked(docs: DataFrame, model: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; spans that overlap become one."""
     names = [common.fresh(docs, n) for n in ("base", "added")]
     found = find(docs, model, *names)
-    at = docs.columns.index("text")
+    own, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -435,9 +435,9 @@ def masked(docs: DataFrame, model: DataFrame) -> DataFrame:
                         out += [text[free : span["start"]], f"[{span['kind'].upper()}]"]
                     free = max(free, span["end"])
                 texts[i] = "".join([*out, text[free:]])
-            columns = batch.columns[: len(docs.columns)]
+            columns = batch.columns[: len(own)]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=own)
 
     return found.mapInArrow(run, docs.schema)
 

@@ -81,10 +81,10 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 STATEMENTS: dict[str, str] = {
     "op2_top_k": """
         WITH sound AS (
-          SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
           FROM embeddings
           WHERE embedding IS NOT NULL
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), scored AS (
           SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
                  CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
@@ -101,15 +101,15 @@ STATEMENTS: dict[str, str] = {
           SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
           FROM documents
         ), starts AS (
-          SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS at FROM split
+          SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM split
           WHERE len(words) >= 13
         ), windows AS (
-          SELECT doc_id, at, array_to_string(words[at:at + 12], ' ') AS w FROM starts
+          SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS w FROM starts
         ), hits AS (
-          SELECT doc_id, at, min(doc_id) OVER (PARTITION BY w) < doc_id AS hit FROM windows
+          SELECT doc_id, i, min(doc_id) OVER (PARTITION BY w) < doc_id AS hit FROM windows
         ), covered AS (
           SELECT doc_id, list(DISTINCT p) AS gone
-          FROM (SELECT doc_id, unnest(range(at, at + 13)) AS p FROM hits WHERE hit) GROUP BY doc_id
+          FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM hits WHERE hit) GROUP BY doc_id
         ), one AS (
           SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM split
         ), gone AS (

@@ -107,9 +107,8 @@ def _ball(fps: DataFrame, bucket: int) -> list[DataFrame]:
     load = hits.groupBy("at").agg(F.expr("count(*) AS probes"))
     hits = hits.join(load, "at")
     crowded = f"(rows > {bucket} AND probes > {bucket})"
-    near = f"p.at = t.hi AND NOT p.{crowded[1:]} AND bit_count(p.lo ^ t.lo) = 1"
-    near = near.replace("AND probes", "AND p.probes")
-    pairs = hits.alias("p").join(fps.alias("t"), F.expr(near))
+    near = "p.at = t.hi AND bit_count(p.lo ^ t.lo) = 1"
+    pairs = hits.where(f"NOT {crowded}").alias("p").join(fps.alias("t"), F.expr(near))
     pairs = pairs.selectExpr("p.fp AS a", "t.fp AS b")
     crowd = hits.where(crowded)
     places = crowd.selectExpr("at", "i").distinct()
