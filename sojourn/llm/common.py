@@ -179,10 +179,9 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.selectExpr("a AS vertex", "b AS component").unionByName(tops)
 
 
-def one_row_per(df: DataFrame, key: str) -> DataFrame:
-    """Drop repeats of ``key``; only rows whose key repeats are shuffled. Null keys all stay."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.expr("count(*) AS _n"))
-    repeated = materialise(counts.where("_n > 1").select(key))
+def one_row_per(df: DataFrame, key: str, repeated: DataFrame) -> DataFrame:
+    """One row of each of the ``repeated`` keys; only their rows are shuffled. Null keys all stay."""
+    repeated = materialise(repeated)
     if repeated.isEmpty():
         return df
     single = lookup_join(df, repeated, key, "left_anti", BROADCAST_ROWS, computed=True)

@@ -164,12 +164,17 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """All columns of one document of each group of near-duplicates: the one with the least id.
 
     Of rows that repeat that id one stays. Rows without id go if their group has an id, and stay if
-    it has none.
+    it has none. Groups are found on ids and fingerprints alone; the texts move only if the list of
+    documents to drop is too long to broadcast.
     """
-    fp, own = common.fresh(docs, "fp"), common.fresh(docs, "component_id")
-    rows = stored(fingerprints(docs, width, fp))
-    found = groups(rows.selectExpr("doc_id", f"{fp} AS fp"))
-    found = found.selectExpr(f"fp AS {fp}", f"component_id AS {own}")
-    kept = lookup_join(rows, found, fp, max_broadcast=common.BROADCAST_ROWS)
-    kept = kept.where(f"doc_id <=> {own}").select(*docs.columns)
-    return common.one_row_per(kept, "doc_id")
+    own = common.fresh(docs, "mark")
+    mark = "concat_ws(':', doc_id, xxhash64(text))"
+    slim = fingerprints(docs.selectExpr("doc_id", "text", f"{mark} AS mark"), width).drop("text")
+    slim = stored(slim)
+    placed = lookup_join(slim, groups(slim), "fp", max_broadcast=common.BROADCAST_ROWS)
+    gone = placed.where("NOT doc_id <=> component_id").selectExpr(f"mark AS {own}").distinct()
+    kept = lookup_join(
+        docs.withColumn(own, F.expr(mark)), gone, own, "left_anti", common.BROADCAST_ROWS
+    ).drop(own)
+    ids = slim.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.expr("count(*) AS n"))
+    return common.one_row_per(kept, "doc_id", ids.where("n > 1").select("doc_id"))
