@@ -208,7 +208,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.expr("concat(flatten(collect_list(known)), collect_list(IF(known IS NULL, anchor, NULL))) AS shared")
     )
     shared = shared.join(copies, ["doc_id", "mark"], "left_anti")
-    seeded = _beside(rows, stored(shared), "shared")
+    # Most documents share some anchor, so the texts go to the lists, at any size.
+    seeded = rows.join(stored(shared).hint("merge"), ["doc_id", "mark"])
     tried = seeded.select("doc_id", "mark", "text", "shared").mapInArrow(
         _windowed, "w1 bigint, w2 int, doc_id bigint, mark int, at int, known array<int>"
     )
