@@ -40,6 +40,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, shard by shard."""
+    common.ship(spark)
     return mixing.mixed_texts(docs)
 
 

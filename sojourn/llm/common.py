@@ -21,6 +21,8 @@ from sojourn.session import materialise, stored
 
 # Lookup sides are broadcast up to this many counted rows of a few numbers each.
 BROADCAST_ROWS = 200_000
+# Rows that a worker gets at once.
+ARROW_ROWS = 1000
 # A worker's cache of word hashes is emptied at this size.
 CACHE_WORDS = 200_000
 
@@ -30,7 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application, and keep Arrow batches small.
+
+    Texts differ much in length, so batches are bounded by rows; workers hold a few MB of text.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     context = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     name = os.path.basename(root)

@@ -98,11 +98,11 @@ class Found:
         ids, sizes = rows["class"].to_numpy(), rows["size"].to_numpy()
         u = _units(rows["v"].combine_chunks(), dim)
         h = np.frombuffer(b"".join(rows["h"].to_pylist()), np.int16).reshape(n, TABLES)[:, :t]
-        side = rows["side"].to_numpy().astype(bool)
-        right = np.flatnonzero(side) if side.any() else np.arange(n)
+        side, own = rows["side"].to_numpy().astype(bool), rows["own"][0].as_py()
+        right = np.arange(n) if own else np.flatnonzero(side)
         for part in np.array_split(np.flatnonzero(~side), -(-n // 256)):
             near = u[part] @ u[right].T >= COSINE - 1e-9
-            if not side.any():
+            if own:
                 near &= part[:, None] < right
             i, j = np.nonzero(near)
             i, j = part[i], right[j]
@@ -183,7 +183,7 @@ def near_duplicates(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         "mine",
     ).selectExpr(
         "class",
-        "struct(t, int(other < mine) AS side, concat_ws(':', place, least(mine, other), "
+        "struct(t, other = mine AS own, int(other < mine) AS side, concat_ws(':', place, least(mine, other), "
         "greatest(mine, other)) AS meet) AS m",
     )
     meetings = meetings.groupBy("class").agg(F.expr("collect_list(m) AS ms"))

@@ -58,18 +58,18 @@ def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(first)).tolist())
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS, name: str = "fp") -> DataFrame:
-    """All columns of ``docs`` and the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """The columns of ``docs`` but the text, and ``fp``: the fingerprint as a signed long."""
+    kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t, width) for t in common.texts_of(batch["text"])]
             signed = pa.array(np.array(found, np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, signed], names=[*batch.schema.names, name]
-            )
+            columns = [*(batch[c] for c in kept), signed]
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "fp"])
 
-    return docs.mapInArrow(run, common.plus(docs, **{name: "bigint"}))
+    return docs.mapInArrow(run, common.plus(docs.drop("text"), fp="bigint"))
 
 
 def _same_half(fps: DataFrame, half: str, other: str, bucket: int) -> list[DataFrame]:
@@ -153,7 +153,7 @@ def groups(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per document; copies are rows, never pairs."""
-    rows = stored(fingerprints(docs.select("doc_id", "text"), width).select("doc_id", "fp"))
+    rows = stored(fingerprints(docs.select("doc_id", "text"), width))
     joined = lookup_join(rows, groups(rows), "fp", max_broadcast=common.BROADCAST_ROWS)
     return joined.selectExpr(
         "doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id"
@@ -169,8 +169,7 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """
     own = common.fresh(docs, "mark")
     mark = "concat_ws(':', doc_id, xxhash64(text))"
-    slim = fingerprints(docs.selectExpr("doc_id", "text", f"{mark} AS mark"), width).drop("text")
-    slim = stored(slim)
+    slim = stored(fingerprints(docs.selectExpr("doc_id", "text", f"{mark} AS mark"), width))
     placed = lookup_join(slim, groups(slim), "fp", max_broadcast=common.BROADCAST_ROWS)
     gone = placed.where("NOT doc_id <=> component_id").selectExpr(f"mark AS {own}").distinct()
     kept = lookup_join(

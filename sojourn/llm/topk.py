@@ -35,7 +35,9 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
     """``vec_id, dim, v`` with ``v = floor(256 * x)`` as doubles, one row per id."""
     sound = "embedding IS NOT NULL AND vec_id IS NOT NULL AND forall(embedding, "
     sound += "x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
-    whole = "transform(embedding, x -> floor(256 * cast(x as double), 0))"
+    # A double of 2^53 or more is a whole number already.
+    whole = "transform(transform(embedding, x -> 256D * double(x)), "
+    whole += "y -> IF(abs(y) < 9e15D, double(floor(y)), y))"
     rows = vectors.where(sound).selectExpr("vec_id", "embedding")
     rows = rows.groupBy("vec_id").agg(F.expr("min(embedding) AS embedding"))
     return rows.selectExpr("vec_id", "size(embedding) AS dim", f"{whole} AS v")
