@@ -35,11 +35,15 @@ class Task:
 
     def __post_init__(self):
         if self.exclude_visits < 1:
-            raise ValueError("exclude_visits should be >= 1")
+            raise ValueError(f"at least one visit must be excluded, not {self.exclude_visits}")
         if self.match not in ("contains", "exact"):
             raise ValueError(f"unknown match: {self.match}")
 
 
+# Columns that label building works with; evaluation sets do not keep them.
+HELPERS = ("tokens", "gaps", "visit_ends")
+
+
 def task_targets(task_codes: DataFrame) -> DataFrame:
     """``task, targets`` from ``task, concept_id``: a sorted list of condition codes per task."""
     code = f"concat('{S.CONDITION}', cast(concept_id as string))"
@@ -253,7 +257,7 @@ def evaluation_set(
     new_tokens: int = S.NEW_TOKENS,
 ) -> DataFrame:
     """One task's evaluation rows."""
-    return fits_window(labelled(rows, task, eos_id=eos_id), window, new_tokens)
+    return fits_window(labelled(rows, task, eos_id=eos_id), window, new_tokens).drop(*HELPERS)
 
 
 def evaluation_sets(
@@ -276,4 +280,4 @@ def evaluation_sets(
     found = candidates(rows, task.min_years)
     flat = found.selectExpr("*", f"inline(array({entries}))")
     out = _labelled(flat, task, "targets", False, eos_id)
-    return fits_window(out, window, new_tokens).drop("targets")
+    return fits_window(out, window, new_tokens).drop("targets", *HELPERS)

@@ -15,8 +15,8 @@ from sojourn.operators.distribute import LANE_ROWS, lanes_by_value, running_befo
 from sojourn.operators.prs import any_nonzero
 from sojourn.session import materialise
 
-# Replicates beyond this multiple of the wanted number are not tried.
-MAX_REDRAWS = 64
+# Rounds of further replicates, each doubling those tried, before a short group is an error.
+REDRAW_ROUNDS = 6
 DRAWS_PER_TASK = 50_000_000
 
 
@@ -44,7 +44,7 @@ def age_bucket(age: str) -> str:
 def prepared(predictions: DataFrame, how: str = "mean", prs: DataFrame | None = None) -> DataFrame:
     """Predictions with aggregated probability, age and age bucket, and PRS presence if given.
 
-    ``prs`` must hold one row per prediction; other counts are an error.
+    ``prs`` must hold exactly one row for every prediction's subject, and no others.
     """
     out = predictions.selectExpr(
         "*",
@@ -53,8 +53,12 @@ def prepared(predictions: DataFrame, how: str = "mean", prs: DataFrame | None =
     ).withColumn("age_bucket", F.expr(age_bucket("age")))
     if prs is None:
         return out
-    if predictions.count() != prs.count():
-        raise ValueError("predictions and PRS rows differ in number")
+    asked = predictions.select("subject_id").distinct().selectExpr("subject_id", "1 AS asked")
+    given = prs.groupBy("subject_id").agg(F.expr("count(*) AS given"))
+    odd = asked.join(given, "subject_id", "full").where("asked IS NULL OR given IS NULL OR given > 1")
+    n = odd.count()
+    if n:
+        raise ValueError(f"{n} subjects lack a prediction or a single PRS row")
     return out.join(prs_presence(prs), "subject_id")
 
 
@@ -145,6 +149,17 @@ def replicate_aucs(
     return pair_auc(drawn, [*groups, "b"]).select(*groups, "b", "auc")
 
 
+def _short_groups(
+    wanted: DataFrame, aucs: DataFrame, groups: Sequence[str], iterations: int
+) -> DataFrame:
+    """Groups (at most as many as there are strata) with fewer than ``iterations`` AUCs."""
+    counts = aucs.groupBy(*groups).agg(F.expr("count(*) AS _n"))
+    if not groups:
+        return counts.where(f"_n < {iterations}")
+    joined = wanted.join(counts, [*groups], "left")
+    return materialise(joined.where(f"coalesce(_n, 0) < {iterations}").select(*groups))
+
+
 def bootstrap_interval(
     df: DataFrame,
     iterations: int = 1000,
@@ -154,20 +169,22 @@ def bootstrap_interval(
 ) -> DataFrame:
     """``groups, n_valid, ci_low, ci_high``: percentile interval over the bootstrap AUCs.
 
-    A replicate with a single class has no AUC. Further replicates take its place, until every
-    group that has any valid one has ``iterations`` of them.
+    A replicate with a single class has no AUC; further replicates of that group take its place.
+    Groups must hold both classes. One that stays short of ``iterations`` is an error.
     """
-
-    def short(aucs: DataFrame) -> bool:
-        counts = aucs.groupBy(*groups).agg(F.expr("count(*) AS n"))
-        return (counts.agg(F.expr("min(n)")).first()[0] or 0) < iterations
-
+    wanted = materialise(df.selectExpr(*groups, "1 AS _one").distinct())
     aucs = materialise(replicate_aucs(df, (0, iterations), groups=groups, **options))
     upto = iterations
-    while upto < MAX_REDRAWS * iterations and short(aucs):
-        more = replicate_aucs(df, (upto, 2 * upto), groups=groups, **options)
+    for _ in range(REDRAW_ROUNDS):
+        short = _short_groups(wanted, aucs, groups, iterations)
+        if short.isEmpty():
+            break
+        some = df.join(F.broadcast(short), [*groups], "left_semi") if groups else df
+        more = replicate_aucs(some, (upto, 2 * upto), groups=groups, **options)
         aucs = materialise(aucs.union(more))
         upto *= 2
+    if not _short_groups(wanted, aucs, groups, iterations).isEmpty():
+        raise ValueError(f"a group has both classes in fewer than {iterations} of {upto} replicates")
     by_group = f"PARTITION BY {', '.join(groups)}" if groups else ""
     first = aucs.selectExpr("*", f"row_number() OVER ({by_group} ORDER BY b) AS r")
     alpha = (1.0 - confidence) / 2.0
@@ -190,13 +207,31 @@ def report(
     label: str = "label_token",
     key: str = "subject_id",
     seed=0,
+    allow_missing: bool = False,
 ) -> DataFrame:
-    """``[stratum,] n, auc, ci_low, ci_high, n_valid``, overall or per stratum with both classes."""
+    """``[stratum,] n, auc, ci_low, ci_high, n_valid``, overall or per stratum with both classes.
+
+    Scores that are null or NaN and labels other than 0 and 1 are an error, unless
+    ``allow_missing``: then such rows are left out and ``n`` counts the others.
+    """
     groups = [strata] if strata else []
     if strata:
         df = df.where(f"{strata} IS NOT NULL")
-    df = materialise(df.select(*groups, key, score, label))
+    sound = f"coalesce({score} IS NOT NULL AND NOT isnan({score}) AND {label} IN (0, 1), false)"
+    df = materialise(df.selectExpr(*groups, key, score, label, f"{sound} AS _sound"))
+    size = df.selectExpr("count(*) AS n_total", "count_if(_sound) AS n_scored").first()
+    if size["n_scored"] < size["n_total"] and not allow_missing:
+        raise ValueError(f"only {size['n_scored']} of {size['n_total']} rows have score and label")
+    df = df.where("_sound").drop("_sound")
     points = roc_auc(df, score, label, groups).withColumn("n", F.expr("n_pos + n_neg"))
+    points = materialise(points)
+    if points.isEmpty():  # one class only: nothing to draw
+        none = "cast(NULL AS double)"
+        return points.selectExpr(
+            *groups, "n", "auc", f"{none} AS ci_low", f"{none} AS ci_high", "0L AS n_valid"
+        )
+    if groups:
+        df = df.join(F.broadcast(points.select(*groups)), groups, "left_semi")
     spans = bootstrap_interval(
         df, iterations, groups=groups, key=key, score=score, label=label, seed=seed
     )

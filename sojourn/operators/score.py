@@ -114,7 +114,7 @@ def prediction_rows(
 def mean_validation_loss(losses: DataFrame, column: str = "loss") -> DataFrame:
     """One row: mean of the losses that are numbers, and a message if there are none."""
     number = f"nanvl({column}, NULL)"
-    none = X.text("No valid losses computed - unable to calculate average")
+    none = X.text("there is no numeric loss to average")
     return losses.selectExpr(
         f"avg({number}) AS avg_loss", f"IF(count({number}) = 0, {none}, NULL) AS message"
     )

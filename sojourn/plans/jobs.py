@@ -10,12 +10,14 @@ from sojourn.operators import augment, cohort, curate, evaluate, export, vocab
 from sojourn.session import materialise, stored
 from sojourn.sources import files
 from sojourn.sources.clinical import ClinicalTables
+from sojourn.sources.guard import CLOSED, Egress
 
 
-def export_job(tables: ClinicalTables, path: str, form: str = "parquet", **egress) -> None:
+def export_job(tables: ClinicalTables, path: str, form: str = "parquet", egress: Egress = CLOSED) -> None:
     """All events, split by subject, to ``path/split=train|test``."""
+    egress.admit(path)
     events = export.split_events(export.all_events(tables), export.distinct_subjects(tables))
-    files.write_split_events(events, path, form, **egress)
+    files.write_split_events(events, path, form, egress=egress)
 
 
 def encoded_dataset(
@@ -36,33 +38,35 @@ def curation_job(
     limits: S.Thresholds | None = S.Thresholds(),
     max_tokens: int = S.WINDOW_TOKENS,
     settings: S.Augmentation = S.Augmentation(),
-    **egress,
+    egress: Egress = CLOSED,
 ) -> None:
     """Sequences (text, CSV, unsplit dataset), vocabulary and encoded dataset under ``path``.
 
     Code rarity and deciles are taken over all events at once. An empty result is an error.
     """
+    egress.admit(path)
     kept, texts = curate.curated(events, limits, max_tokens)
     texts = stored(texts)
     if texts.isEmpty():
         raise ValueError("no sequences were generated; try lower filter thresholds")
     words = materialise(vocab.vocabulary(kept))
-    files.write_sequence_text(texts, f"{path}/sequences_text", **egress)
-    files.write_sequence_csv(texts, f"{path}/sequences_csv", **egress)
-    files.write_vocabulary(words, f"{path}/vocabulary")
-    files.write_dataset(texts, f"{path}/dataset_unsplit", (), **egress)
+    files.write_sequence_text(texts, f"{path}/sequences_text", egress=egress)
+    files.write_sequence_csv(texts, f"{path}/sequences_csv", egress=egress)
+    files.write_vocabulary(words, f"{path}/vocabulary", egress=egress)
+    files.write_dataset(texts, f"{path}/dataset_unsplit", (), egress=egress)
     files.write_dataset(
-        encoded_dataset(texts, words, settings), f"{path}/dataset", ("split",), **egress
+        encoded_dataset(texts, words, settings), f"{path}/dataset", ("split",), egress=egress
     )
 
 
 def evaluation_set_job(
-    dataset: DataFrame, task_codes: DataFrame, path: str, task: cohort.Task, **egress
+    dataset: DataFrame, task_codes: DataFrame, path: str, task: cohort.Task, egress: Egress = CLOSED
 ) -> None:
     """Evaluation rows of every task, partitioned by task and horizon."""
+    egress.admit(path)
     rows = cohort.evaluation_sets(dataset, task_codes, task)
     rows = rows.withColumn("label_time_range", F.lit(task.horizon_days))
-    files.write_evaluation_set(rows, path, **egress)
+    files.write_evaluation_set(rows, path, egress=egress)
 
 
 def evaluation_job(

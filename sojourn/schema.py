@@ -145,8 +145,6 @@ AGE_BUCKETS = [
     (None, "65+"),
 ]
 
-TASK_NAMES = ["AD", "T2D", "DEPR", "GLAUC", "CAD", "RA", "COPD", "IBD", "STROKE", "SCZ"]
-
 # ---- End of fixed values ----
 
 GAP_DAYS = {

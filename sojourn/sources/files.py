@@ -1,7 +1,7 @@
 """File sources and sinks.
 
 Sinks overwrite their target, so that a repeated run does not duplicate rows, and take
-``external``/``synthetic`` for the egress guard.
+an ``egress`` policy, which judges the target before any work.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sojourn import schema as S
 from sojourn.operators.export import seeded_sample
 from sojourn.operators.vocab import IS_SPECIAL, with_special_tokens
-from sojourn.sources.guard import check_egress
+from sojourn.sources.guard import CLOSED, Egress
 
 # Prediction columns in file order; lists are JSON in the file.
 PREDICTION = {
@@ -33,6 +33,9 @@ PREDICTION = {
 
 # ---- Events ----
 
+# Rows of a file that one task writes.
+SINGLE_FILE_ROWS = 10_000_000
+
 
 def read_events_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Event CSV with a fixed schema; empty fields are null."""
@@ -45,10 +48,10 @@ def count_csv_rows(spark: SparkSession, path: str) -> int:
 
 
 def write_split_events(
-    events: DataFrame, path: str, form: str = "csv", external: bool = False, synthetic: bool = False
+    events: DataFrame, path: str, form: str = "csv", egress: Egress = CLOSED
 ) -> None:
     """One folder per ``split``, each sorted by subject and time across its files."""
-    check_egress(external, synthetic=synthetic)
+    egress.admit(path)
     ordered = events.repartitionByRange("split", "subject_id", "time")
     ordered = ordered.sortWithinPartitions("split", "subject_id", "time")
     writer = ordered.write.mode("overwrite").partitionBy("split")
@@ -62,17 +65,17 @@ def write_split_events(
 
 
 def write_sequence_text(
-    sequences: DataFrame, path: str, external: bool = False, synthetic: bool = False
+    sequences: DataFrame, path: str, egress: Egress = CLOSED
 ) -> None:
     """One sequence per line."""
-    check_egress(external, synthetic=synthetic)
+    egress.admit(path)
     sequences.select("text").write.mode("overwrite").text(path)
 
 
 def write_sequence_csv(
-    sequences: DataFrame, path: str, external: bool = False, synthetic: bool = False
+    sequences: DataFrame, path: str, egress: Egress = CLOSED
 ) -> None:
-    check_egress(external, synthetic=synthetic)
+    egress.admit(path)
     named = sequences.select("subject_id", F.col("text").alias("sequence"))
     named.write.mode("overwrite").option("header", True).csv(path)
 
@@ -85,11 +88,13 @@ def read_sequence_csv(spark: SparkSession, path: str) -> DataFrame:
 # ---- Vocabulary ----
 
 
-def write_vocabulary(vocab: DataFrame, path: str) -> None:
+def write_vocabulary(vocab: DataFrame, path: str, egress: Egress = CLOSED) -> None:
     """Tokens one per line in id order, special tokens left out, as a single small text file.
 
-    The vocabulary is bounded by the code system, so one file is right here.
+    The vocabulary is bounded by the code system, so one file is right here; a larger one raises.
     """
+    egress.admit(path)
+    _small(vocab)
     lines = vocab.where(f"NOT ({IS_SPECIAL})").orderBy("token_id").select("token")
     lines.coalesce(1).write.mode("overwrite").text(path)
 
@@ -114,18 +119,17 @@ def write_dataset(
     dataset: DataFrame,
     path: str,
     by: Sequence[str] = ("split",),
-    external: bool = False,
-    synthetic: bool = False,
+    egress: Egress = CLOSED,
 ) -> None:
     """Parquet, one folder per value of ``by``; ``by=()`` writes an unsplit dataset."""
-    check_egress(external, synthetic=synthetic)
+    egress.admit(path)
     dataset.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
 def write_evaluation_set(
-    rows: DataFrame, path: str, external: bool = False, synthetic: bool = False
+    rows: DataFrame, path: str, egress: Egress = CLOSED
 ) -> None:
-    write_dataset(rows, path, ("task", "label_time_range"), external, synthetic)
+    write_dataset(rows, path, ("task", "label_time_range"), egress=egress)
 
 
 def read_dataset(
@@ -164,10 +168,10 @@ def read_dataset(
 
 
 def write_predictions(
-    predictions: DataFrame, path: str, external: bool = False, synthetic: bool = False
+    predictions: DataFrame, path: str, egress: Egress = CLOSED
 ) -> None:
     """CSV with list columns as JSON."""
-    check_egress(external, synthetic=synthetic)
+    egress.admit(path)
     flat = predictions.selectExpr(
         *[f"to_json({c}) AS {c}" if t.startswith("array") else c for c, t in PREDICTION.items()]
     )
@@ -192,14 +196,22 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_subject_losses(
-    losses: DataFrame, path: str, external: bool = False, synthetic: bool = False
+    losses: DataFrame, path: str, egress: Egress = CLOSED
 ) -> None:
-    check_egress(external, synthetic=synthetic)
+    egress.admit(path)
     losses.select("subject_id", "test_loss").write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_dictionary(dictionary: DataFrame, path: str) -> None:
+def _small(df: DataFrame) -> None:
+    n = df.count()
+    if n > SINGLE_FILE_ROWS:
+        raise ValueError(f"{n} rows are too many for one file of {SINGLE_FILE_ROWS}")
+
+
+def write_dictionary(dictionary: DataFrame, path: str, egress: Egress = CLOSED) -> None:
     """Code dictionary CSV, sorted by code; a small lookup table."""
+    egress.admit(path)
+    _small(dictionary)
     dictionary.orderBy("code").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -111,3 +111,24 @@ def test_prs_preparation(spark):
     assert row["features"] == [-1.0, 0.5, 0.0, 1.0] and row["has_prs"]
     zero = spark.sql("SELECT array(array(0D)) AS prs")
     assert not prs.prepared(zero).first()["has_prs"]
+
+
+def test_missing_scores_and_single_class(spark, monkeypatch):
+    rows = [(1, 0.1, 0), (2, 0.9, 1), (3, None, 1), (4, float("nan"), 0), (5, 0.5, None)]
+    df = spark.createDataFrame(rows, "subject_id int, probability_agg double, label_token int")
+    with pytest.raises(ValueError, match="only 2 of 5"):
+        evaluate.report(df, iterations=5)
+    assert evaluate.report(df, iterations=5, allow_missing=True).first()["n"] == 2
+    drawn = []
+    monkeypatch.setattr(evaluate, "replicate_aucs", lambda *a, **k: drawn.append(a))
+    assert evaluate.report(df.where("label_token = 1 AND subject_id = 2")).collect() == []
+    assert not drawn
+
+
+def test_prs_rows_must_match_by_subject(spark):
+    rows = [(1, "AGE_3", [0.5], 0), (2, "AGE_3", [0.5], 1)]
+    kind = "subject_id int, original_text string, probability_scores array<double>, label_token int"
+    predictions = spark.createDataFrame(rows, kind)
+    prs = spark.createDataFrame([(1, [0.0]), (3, [1.0])], "subject_id int, prs array<double>")
+    with pytest.raises(ValueError, match="2 subjects"):
+        evaluate.prepared(predictions, prs=prs)

@@ -6,22 +6,24 @@ from sojourn.plans import jobs
 from sojourn.sources import files, guard
 
 
-def test_guard(monkeypatch):
-    monkeypatch.delenv(guard.WORKSPACE_VARIABLE, raising=False)
-    guard.check_egress(False, synthetic=False)
-    guard.check_egress(False, synthetic=True)
-    guard.check_egress(True, synthetic=True)
-    with pytest.raises(RuntimeError):
-        guard.check_egress(True, synthetic=False)
-    monkeypatch.setenv(guard.WORKSPACE_VARIABLE, "project.dataset")
-    guard.check_egress(False, synthetic=True)
-    with pytest.raises(RuntimeError):
-        guard.check_egress(True, synthetic=True)
+def test_policy(monkeypatch):
+    monkeypatch.delenv(guard.CLOSED.workspace_variable, raising=False)
+    open_ = guard.Egress(made_up_rows=True)
+    for target in ("/data/x", "hdfs://name/x", "file:///x"):
+        guard.CLOSED.admit(target)
+    for target in ("s3a://bucket/x", "gs://bucket/x", "odd://x"):
+        open_.admit(target)
+        with pytest.raises(guard.EgressRefused, match="made up"):
+            guard.CLOSED.admit(target)
+    monkeypatch.setenv(guard.CLOSED.workspace_variable, "project.dataset")
+    guard.CLOSED.admit("/data/x")
+    with pytest.raises(guard.EgressRefused, match="real data"):
+        open_.admit("s3a://bucket/x")
 
 
 def test_sinks_ask_the_guard(texts, tmp_path):
-    with pytest.raises(RuntimeError):
-        files.write_sequence_text(texts((1, "a")), str(tmp_path / "x"), external=True)
+    with pytest.raises(guard.EgressRefused):
+        files.write_sequence_text(texts((1, "a")), "s3a://bucket/x")
     assert not (tmp_path / "x").exists()
 
 

@@ -78,4 +78,4 @@ def test_validation_loss_skips_nan(spark):
     row = score.mean_validation_loss(rows).first()
     assert (row["avg_loss"], row["message"]) == (2.0, None)
     row = score.mean_validation_loss(rows.where("isnan(loss)")).first()
-    assert row["avg_loss"] is None and "No valid losses" in row["message"]
+    assert row["avg_loss"] is None and "no numeric loss" in row["message"]
