@@ -305,7 +305,7 @@ def encode(
                 values = np.concatenate(ids) if ids else np.empty(0, np.int32)
                 yield with_column(part, pa.ListArray.from_arrays(ends, values), name)
 
-    return docs.mapInArrow(run, common.plus(docs, **{name: "array<int>"}))
+    return docs.mapInArrow(common.tidied(run), common.plus(docs, **{name: "array<int>"}))
 
 
 def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
@@ -321,7 +321,7 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", name: str = "deco
                 found = [b"".join(map(token, v.tolist())) for v in id_arrays(part[ids])]
                 yield with_column(part, pa.array(found, pa.binary()), name)
 
-    return docs.mapInArrow(run, common.plus(docs, **{name: "binary"}))
+    return docs.mapInArrow(common.tidied(run), common.plus(docs, **{name: "binary"}))
 
 
 DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -355,4 +355,4 @@ def digests(
 
     made = dict(zip(DIGESTS, ("bigint", "string", "string"), strict=True))
     schema = common.plus(coded.select(*keep), **made)
-    return coded.select(*dict.fromkeys((*keep, ids, decoded))).mapInArrow(run, schema)
+    return coded.select(*dict.fromkeys((*keep, ids, decoded))).mapInArrow(common.tidied(run), schema)

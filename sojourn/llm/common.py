@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -111,7 +113,24 @@ def per_batch(
         for batch in batches:
             yield function(batch)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
+
+
+def tidied(function: Callable) -> Callable:
+    """``function`` for ``mapInArrow``, with its memory given back when the task ends.
+
+    Workers live on for later tasks; what they had grown to would stay with them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
 
 
 def held_out(doc_id: str = "doc_id") -> str:
@@ -172,7 +191,7 @@ def components(edges: DataFrame) -> DataFrame:
     changes, after about log(n)^2 rounds at worst. Loops are ignored; no edges give no rows.
     """
     edges = edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").where("a > b")
-    edges = stored(edges.mapInArrow(_forests, "a bigint, b bigint").distinct())
+    edges = stored(edges.mapInArrow(tidied(_forests), "a bigint, b bigint").distinct())
     before = None
     while True:
         edges = stored(_stars(_stars(edges, large=True), large=False))

@@ -191,7 +191,7 @@ def near_duplicates(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         "class", "size", "dim", "v", "h", "inline(ms)"
     )
     met = met.repartition("meet").sortWithinPartitions("meet")
-    met = stored(met.mapInArrow(_linked, "a bigint, b bigint, n bigint"))
+    met = stored(met.mapInArrow(common.tidied(_linked), "a bigint, b bigint, n bigint"))
     linked = met.where("n IS NOT NULL").groupBy("a").agg(F.expr("sum(n) AS links"))
     tied = common.components(met.where("b IS NOT NULL").select("a", "b"))
     named = (

@@ -86,7 +86,7 @@ def counts(docs: DataFrame, target: DataFrame) -> DataFrame:
                 }
             )
 
-    parts = rows.mapInArrow(run, "place int, background bigint, target bigint")
+    parts = rows.mapInArrow(common.tidied(run), "place int, background bigint, target bigint")
     return parts.groupBy("place").agg(
         F.expr("sum(background) AS background"), F.expr("sum(target) AS target")
     )
@@ -148,6 +148,6 @@ def scored(docs: DataFrame, target: DataFrame) -> DataFrame:
             )
 
     return flagged(docs, target).mapInArrow(
-        run,
+        common.tidied(run),
         "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double",
     )

@@ -358,10 +358,10 @@ def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``kind, place, weight``: feature weights; steps between kinds have negative places."""
-    sample = docs.select("text").mapInArrow(_sampled, "stretch string, draw bigint")
+    sample = docs.select("text").mapInArrow(common.tidied(_sampled), "stretch string, draw bigint")
     sample = sample.distinct().orderBy("draw", "stretch").limit(limit)
     sample = sample.repartition(1).sortWithinPartitions("draw", "stretch")
-    return sample.mapInArrow(_fitted, "kind int, place int, weight double")
+    return sample.mapInArrow(common.tidied(_fitted), "kind int, place int, weight double")
 
 
 def loaded(weights: pa.Table) -> SemiMarkov:
@@ -413,33 +413,33 @@ def find(docs: DataFrame, model: DataFrame, base: str = "base", added: str = "ad
             )
 
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return docs.mapInArrow(run, common.plus(docs, **{base: kind, added: kind}))
+    return docs.mapInArrow(common.tidied(run), common.plus(docs, **{base: kind, added: kind}))
 
 
 def masked(docs: DataFrame, model: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; spans that overlap become one."""
-    names = [common.fresh(docs, n) for n in ("base", "added")]
-    found = find(docs, model, *names)
+    shared = docs.sparkSession.sparkContext.broadcast(model.toArrow())
     own, at = docs.columns, docs.columns.index("text")
 
+    def clean(text: str | None, crf: SemiMarkov) -> str | None:
+        base = base_spans(text or "")
+        spans = sorted(base + added_spans(text or "", base, crf), key=lambda s: (s[1], -s[2]))
+        out, free = [], 0
+        for kind, start, end in spans:
+            if start >= free:
+                out += [text[free:start], f"[{KINDS[kind].upper()}]"]
+            free = max(free, end)
+        return "".join([*out, text[free:]]) if spans else text
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crf = loaded(shared.value)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for i, spans in enumerate(zip(*(batch[n].to_pylist() for n in names), strict=True)):
-                spans = sorted(spans[0] + spans[1], key=lambda s: (s["start"], -s["end"]))
-                if not spans:
-                    continue
-                text, out, free = texts[i], [], 0
-                for span in spans:
-                    if span["start"] >= free:
-                        out += [text[free : span["start"]], f"[{span['kind'].upper()}]"]
-                    free = max(free, span["end"])
-                texts[i] = "".join([*out, text[free:]])
-            columns = batch.columns[: len(own)]
+            columns = list(batch.columns)
+            texts = [clean(t.as_py(), crf) for t in batch["text"]]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=own)
 
-    return found.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidied(run), docs.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
             columns = [*(batch[c] for c in kept), signed]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "fp"])
 
-    return docs.mapInArrow(run, common.plus(docs.drop("text"), fp="bigint"))
+    return docs.mapInArrow(common.tidied(run), common.plus(docs.drop("text"), fp="bigint"))
 
 
 def _same_half(fps: DataFrame, half: str, other: str, bucket: int) -> list[DataFrame]:

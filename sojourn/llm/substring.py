@@ -199,7 +199,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     copies = lookup_join(texts, least, "t2", max_broadcast=common.BROADCAST_ROWS)
     copies = stored(copies.where("doc_id > least").select("doc_id", "mark").distinct())
 
-    sent = rows.mapInArrow(_anchored, "anchor bigint, doc_id bigint, mark int, known array<bigint>")
+    sent = rows.mapInArrow(common.tidied(_anchored), "anchor bigint, doc_id bigint, mark int, known array<bigint>")
     sent = sent.selectExpr(
         "*", "min(doc_id) OVER (PARTITION BY anchor) AS low",
         "max(doc_id) OVER (PARTITION BY anchor) AS high",
@@ -211,7 +211,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     # Most documents share some anchor, so the texts go to the lists, at any size.
     seeded = rows.join(stored(shared).hint("merge"), ["doc_id", "mark"])
     tried = seeded.select("doc_id", "mark", "text", "shared").mapInArrow(
-        _windowed, "w1 bigint, w2 int, doc_id bigint, mark int, at int, known array<int>"
+        common.tidied(_windowed), "w1 bigint, w2 int, doc_id bigint, mark int, at int, known array<int>"
     )
     tried = tried.selectExpr(
         "doc_id", "mark", "at", "known", "min(doc_id) OVER (PARTITION BY w1, w2) AS low"
@@ -219,7 +219,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     hits = tried.where("known IS NOT NULL OR low < doc_id").groupBy("doc_id", "mark").agg(
         F.expr("concat(flatten(collect_list(known)), collect_list(at)) AS hits")
     )
-    spans = hits.mapInArrow(_joined, "doc_id bigint, mark int, spans array<int>")
+    spans = hits.mapInArrow(common.tidied(_joined), "doc_id bigint, mark int, spans array<int>")
     return spans.unionByName(copies.selectExpr("doc_id", "mark", "array(0, -1) AS spans"))
 
 
@@ -265,5 +265,5 @@ def removed(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     rows = docs.selectExpr("doc_id", "hash(text) AS mark", "text")
     spans = stored(repeats(docs)) if found is None else found
     return _beside(rows, spans, "spans", "left").select("doc_id", "text", "spans").mapInArrow(
-        _kept, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
+        common.tidied(_kept), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string"
     )

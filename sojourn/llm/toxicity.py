@@ -98,11 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LIMIT) -> DataFrame:
     rows = docs.select("doc_id", "text")
     rows = lookup_join(rows, sample, "doc_id", max_broadcast=limit, computed=True)
     rows = rows.select("draw", "label", "text").mapInArrow(
-        _featured, "draw bigint, label int, places array<int>"
+        common.tidied(_featured), "draw bigint, label int, places array<int>"
     )
     rounds = rows.selectExpr("*", f"explode(sequence(1, {EPOCHS})) AS epoch").repartition(1)
     rounds = rounds.sortWithinPartitions("epoch", "draw", "label").drop("draw", "epoch")
-    return rounds.mapInArrow(_fitted, "place int, weight double")
+    return rounds.mapInArrow(common.tidied(_fitted), "place int, weight double")
 
 
 def score(docs: DataFrame, model: DataFrame, name: str = "score") -> DataFrame:
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: DataFrame, name: str = "score") -> DataFrame:
                 names=[*batch.schema.names, name],
             )
 
-    return docs.mapInArrow(run, common.plus(docs, **{name: "double"}))
+    return docs.mapInArrow(common.tidied(run), common.plus(docs, **{name: "double"}))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -247,7 +247,7 @@ def write(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_BYTES) ->
             yield package.closed()
 
     rows = with_originals(pages)
-    return stored(rows.mapInArrow(run, "package string, size bigint, records bigint"))
+    return stored(rows.mapInArrow(common.tidied(run), "package string, size bigint, records bigint"))
 
 
 class _Package:
@@ -299,7 +299,7 @@ def records(packages: DataFrame, folder: str) -> DataFrame:
                     }
                 )
 
-    return packages.mapInArrow(run, "package string, offset bigint, length bigint")
+    return packages.mapInArrow(common.tidied(run), "package string, offset bigint, length bigint")
 
 
 def read(places: DataFrame, folder: str) -> DataFrame:
@@ -358,7 +358,7 @@ def read(places: DataFrame, folder: str) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    return places.mapInArrow(run, made)
+    return places.mapInArrow(common.tidied(run), made)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
