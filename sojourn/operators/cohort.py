@@ -6,7 +6,7 @@ text over the columns ``tokens`` and ``subject_id``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -179,6 +179,16 @@ def target_pattern(targets: str, match: str) -> str:
     return f"concat('(?:^| )(?!TIME_)[^ ]*(?:', {quoted}, ')')"
 
 
+def has_target(window: str, targets: Iterable[str], match: str) -> str:
+    """Whether the text has one of the given targets; the expression is compiled once per task."""
+    quoted = "|".join(f"\\Q{target}\\E" for target in targets)
+    if not quoted:
+        return "false"
+    if match == "exact":
+        return f"rlike({window}, {X.text(f'(?:^| )(?!TIME_)(?:{quoted})(?: |$)')})"
+    return f"rlike({window}, {X.text(f'(?:^| )(?!TIME_)[^ ]*(?:{quoted})')})"
+
+
 def horizon_label(
     tokens: str,
     start: str | int,
@@ -186,17 +196,20 @@ def horizon_label(
     horizon_days: int,
     match: str = "contains",
     gaps: str | None = None,
+    hit: Callable[[str], str] | None = None,
 ) -> str:
     """1 if a target comes at or after ``start`` before the gaps exceed the horizon, else 0.
 
     ``gaps`` names a column with the tokens' gaps, if there is one. The tokens up to the horizon
-    are matched as one text.
+    are matched as one text, by ``hit`` if targets are known beforehand: a pattern that is made of a
+    column is compiled for every row.
     """
     start = f"cast({start} as int)"
     end = horizon_end(gaps or X.gaps(tokens), start, f"size({tokens})", horizon_days)
     window = f"array_join(slice({tokens}, {start} + 1, greatest({end} - {start}, 0)), ' ')"
-    hit = f"size({targets}) > 0 AND rlike({window}, {target_pattern(targets, match)})"
-    return f"IF({hit}, 1, 0)"
+    if hit:
+        return f"IF({hit(window)}, 1, 0)"
+    return f"IF(size({targets}) > 0 AND rlike({window}, {target_pattern(targets, match)}), 1, 0)"
 
 
 def all_eos_tail(ids: str, eos_id: int) -> str:
@@ -219,20 +232,29 @@ def labelled(
     """Candidates with first target, stopping point and label; encoded columns cut at the stop."""
     found = candidates(rows, task.min_years)
     targets = X.text_array(task.targets)
-    return _labelled(found, task, targets, stop_before_stopping_time, eos_id)
+    later = task.followup_targets or task.targets
+
+    def hit(window: str) -> str:
+        return has_target(window, later, task.match)
+
+    return _labelled(found, task, targets, hit, stop_before_stopping_time, eos_id)
 
 
 def _labelled(
-    found: DataFrame, task: Task, targets: str, stop_early: bool, eos_id: int | None
+    found: DataFrame,
+    task: Task,
+    targets: str,
+    hit: Callable[[str], str],
+    stop_early: bool,
+    eos_id: int | None,
 ) -> DataFrame:
-    later = X.text_array(task.followup_targets) if task.followup_targets else targets
     found_at = X.once(f"{first_target('tokens', targets)} AS first_target")
     out = found.selectExpr("*", found_at)
     if stop_early:
         return out
     stop = stopping_point(task.stop, task)
     label = horizon_label(
-        "tokens", "stopping_time", later, task.horizon_days, task.match, "gaps"
+        "tokens", "stopping_time", targets, task.horizon_days, task.match, "gaps", hit
     )
     out = out.selectExpr("*", X.once(f"{stop} AS stopping_time"))
     out = out.where("stopping_time > 0 AND stopping_time < len")
@@ -277,7 +299,17 @@ def evaluation_sets(
         f"named_struct('task', {X.text(r['task'])}, 'targets', {X.text_array(r['targets'])})"
         for r in defined
     )
+
+    def hit(window: str) -> str:
+        if task.followup_targets or not defined:
+            return has_target(window, task.followup_targets, task.match)
+        tests = [
+            (f"task = {X.text(r['task'])}", has_target("w", r["targets"], task.match))
+            for r in defined
+        ]
+        return f"transform(array({window}), w -> {X.cases(tests, 'false')})[0]"
+
     found = candidates(rows, task.min_years)
     flat = found.selectExpr("*", f"inline(array({entries}))")
-    out = _labelled(flat, task, "targets", False, eos_id)
+    out = _labelled(flat, task, "targets", hit, False, eos_id)
     return fits_window(out, window, new_tokens).drop("targets", *HELPERS)
