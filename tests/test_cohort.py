@@ -1,9 +1,11 @@
+import dataclasses
 import hashlib
 import random
 
 import pytest
 
 from sojourn import schema as S
+from sojourn.functions import tokens as X
 from sojourn.operators import cohort
 
 BIRTH = S.BIRTH_CODE
@@ -162,6 +164,28 @@ def test_all_tasks_in_one_pass(spark, rows):
     assert want and sorted(map(tuple, many.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("match", ["contains", "exact"])
+def test_known_targets_match_like_a_column_of_targets(rows, match):
+    for targets in (("CDzz1", "Q.1"), ("it's", "a\\d", "[x"), ("TIME_1",), ()):
+        column = X.text_array(targets) if targets else "cast(array() as array<string>)"
+        args = ("tokens", "len div 3", column, 730, match, "gaps")
+        given = cohort.horizon_label(*args, hit=lambda w, t=targets: cohort.has_target(w, t, match))
+        both = cohort.with_birth(rows).selectExpr(f"{cohort.horizon_label(*args)} AS a", f"{given} AS b")
+        assert both.where("a <=> b").count() == both.count() > 0
+
+
+@pytest.mark.parametrize("match", ["contains", "exact"])
+def test_follow_up_targets_label_every_task(spark, rows, match):
+    codes = spark.createDataFrame([("x", 1), ("y", 12)], "task string, concept_id bigint")
+    task = cohort.Task(followup_targets=("CDzz3",), match=match)
+    many = cohort.evaluation_sets(rows, codes, task).select("task", "subject_id", "label_token")
+    want = []
+    for name, target in (("x", "CDzz1"), ("y", "CDzz12")):
+        one = cohort.evaluation_set(rows, dataclasses.replace(task, targets=(target,)))
+        want += [(name, r["subject_id"], r["label_token"]) for r in one.collect()]
+    assert want and sorted(map(tuple, many.collect())) == sorted(want)
+
+
 def test_task_checks():
     for wrong in ({"exclude_visits": 0}, {"match": "fuzzy"}):
         with pytest.raises(ValueError):
