@@ -39,23 +39,30 @@ BUCKET = 64
 CHUNK = 1 << 15
 
 
-def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
-    """Unsigned fingerprint of the whole text, in bounded memory beside its words."""
+def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of a text, some at a time; nothing if there are no words."""
     words = text.lower().split()  # of bytes: only A-Z change, and the six ASCII spaces split
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(width, len(words))
     first, last = starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(first), CHUNK):
         spans = zip(first[at : at + CHUNK], last[at : at + CHUNK], strict=True)
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), "<u8")
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in spans), "<u8")
+
+
+def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
+    """Unsigned fingerprint of the whole text, in bounded memory beside its words."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(2 * counts > len(first)).tolist())
+        n += len(hashes)
+    return sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -158,22 +165,3 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     return joined.selectExpr(
         "doc_id", "lpad(lower(hex(fp)), 16, '0') AS fingerprint", "component_id"
     )
-
-
-def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """All columns of one document of each group of near-duplicates: the one with the least id.
-
-    Of rows that repeat that id one stays. Rows without id go if their group has an id, and stay if
-    it has none. Groups are found on ids and fingerprints alone; the texts move only if the list of
-    documents to drop is too long to broadcast.
-    """
-    own = common.fresh(docs, "mark")
-    mark = "concat_ws(':', doc_id, xxhash64(text))"
-    slim = stored(fingerprints(docs.selectExpr("doc_id", "text", f"{mark} AS mark"), width))
-    placed = lookup_join(slim, groups(slim), "fp", max_broadcast=common.BROADCAST_ROWS)
-    gone = placed.where("NOT doc_id <=> component_id").selectExpr(f"mark AS {own}").distinct()
-    kept = lookup_join(
-        docs.withColumn(own, F.expr(mark)), gone, own, "left_anti", common.BROADCAST_ROWS
-    ).drop(own)
-    ids = slim.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.expr("count(*) AS n"))
-    return common.one_row_per(kept, "doc_id", ids.where("n > 1").select("doc_id"))

@@ -12,8 +12,8 @@ import tiktoken
 import xxhash
 
 import corpus_pipeline
-from sojourn.llm import bpe, common, embeddings, lm, mixing, pii, queries, simhash, substring, topk
-from sojourn.llm import toxicity, warc
+from sojourn.llm import bpe, common, embeddings, lm, mixing, pii, queries, simhash, similar
+from sojourn.llm import substring, topk, toxicity, warc
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, fp string"
 WORDS = "the cat sat on a mat and saw one old dog run by that red barn at noon today".split()
@@ -182,9 +182,9 @@ def test_simhash_groups(spark, bucket):
 def test_simhash_of_texts(docs, empty, texts):
     got = by_id(simhash.near_duplicates(docs), "doc_id", "fingerprint")
     assert got == sorted([(i, f"{slow_fingerprint(t):016x}") for i, t in texts], key=repr)
-    kept = [r["doc_id"] for r in simhash.one_of_each(docs).collect()]
+    kept = [r["doc_id"] for r in similar.one_of_each(docs).collect()]
     assert len(kept) == len(set(kept)) and 3 in kept and not {20, 21} & set(kept)
-    assert simhash.near_duplicates(empty).count() == simhash.one_of_each(empty).count() == 0
+    assert simhash.near_duplicates(empty).count() == similar.one_of_each(empty).count() == 0
 
 
 def test_substring_against_all_windows(docs, empty, texts):
