@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sojourn.llm import bpe, common, mixing, pii, queries, simhash, toxicity
+from sojourn.llm import bpe, common, mixing, pii, queries, similar, toxicity
 from sojourn.session import stored
 
 SHINGLE_WORDS = 5
@@ -23,9 +23,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group with similar sets of five-word shingles."""
     common.ship(spark)
-    return simhash.one_of_each(docs, SHINGLE_WORDS)
+    return similar.one_of_each(docs, SHINGLE_WORDS)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
