@@ -39,6 +39,7 @@ from sojourn.session import stored
 SHINGLE_WORDS = 5
 MOST_BITS = 42
 TABLES = 24
+FIRST_TABLES = 3
 SEGMENT = 24
 HALF = SEGMENT // 2
 # Cells of up to this many fingerprints are compared pair by pair.
@@ -90,13 +91,15 @@ def _words(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch[w].to_numpy() for w in WORDS], axis=1).view(np.uint64)
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(
+    batches: Iterator[pa.RecordBatch], first: int = 0, last: int = TABLES
+) -> Iterator[pa.RecordBatch]:
     """Two rows per table and fingerprint: ``place`` names table and one half, ``rest`` is the other."""
     powers, tables = 1 << np.arange(HALF), _table_bits()
     for batch in batches:
         fps = np.ascontiguousarray(_words(batch))
         bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
-        for t, chosen in enumerate(tables):
+        for t, chosen in enumerate(tables[first:last], first):
             halves = bits[:, chosen[:HALF]] @ powers, bits[:, chosen[HALF:]] @ powers
             for side in (0, 1):
                 place = ((2 * t + side) << HALF) + halves[side]
@@ -135,6 +138,9 @@ class _Meeting:
             self.code, return_index=True, return_counts=True
         )
         self.leaders: dict[int, list[int]] = {}
+        # Trees of what is linked so far, over the distinct vertices of the rows.
+        self.vertices, self.vertex = np.unique(self.ids, return_inverse=True)
+        self.root = np.arange(len(self.vertices))
 
     def led(self, cell: int) -> list[int]:
         """The rows of a cell's leaders."""
@@ -159,7 +165,19 @@ class _Meeting:
                 for leader in self.led(led):
                     yield np.full(len(rows), leader), rows
 
-    def links(self) -> Iterator[pa.RecordBatch]:
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Put the vertices ``a[i]`` and ``b[i]`` into one tree; roots are the least vertices."""
+        while True:
+            x, y = self.root[a], self.root[b]
+            apart = x != y
+            if not apart.any():
+                return
+            np.minimum.at(self.root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+            while (up := self.root[self.root]).tobytes() != self.root.tobytes():
+                self.root = up
+
+    def links(self) -> pa.RecordBatch:
+        """A spanning forest of all links among these rows; one edge per vertex at most."""
         # Equal segments meet in both halves of a table; one of the two is enough.
         first_side = np.flatnonzero((self.cells >> (2 * HALF)) % 2 == 0)
         several = first_side[self.size[first_side] > 1]
@@ -172,10 +190,13 @@ class _Meeting:
             meeting.append((around[hit], at[hit]))
         for a, b in meeting:
             for x, y in self._pairs(a, b):
-                near = _near(self.fps[x], self.fps[y]) & (self.ids[x] != self.ids[y])
-                ends = np.unique(np.stack([self.ids[x[near]], self.ids[y[near]]]), axis=1)
-                if ends.size:
-                    yield pa.record_batch({"a": pa.array(ends[0]), "b": pa.array(ends[1])})
+                open_ = self.root[self.vertex[x]] != self.root[self.vertex[y]]
+                x, y = x[open_], y[open_]
+                near = _near(self.fps[x], self.fps[y])
+                self._join(self.vertex[x[near]], self.vertex[y[near]])
+        tied = np.flatnonzero(self.root != np.arange(len(self.root)))
+        ends = self.vertices[tied], self.vertices[self.root[tied]]
+        return pa.record_batch({"a": pa.array(ends[0]), "b": pa.array(ends[1])})
 
     def carried(self, place: int) -> np.ndarray:
         """The rows of the leaders of all cells of a place."""
@@ -194,26 +215,49 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = held[0][-1]
         ended = int(np.searchsorted(held[0], last))
         if ended:
-            yield from _Meeting(*(c[:ended] for c in held)).links()
+            yield _Meeting(*(c[:ended] for c in held)).links()
             held, at_least = tuple(c[ended:] for c in held), ROWS
         else:
             meeting = _Meeting(*held)
-            yield from meeting.links()
+            yield meeting.links()
             on = meeting.carried(int(last))
             held = meeting.place[on], meeting.rest[on], meeting.ids[on], meeting.fps[on]
             at_least = len(on) + ROWS
     if held is not None and len(held[0]):
-        yield from _Meeting(*held).links()
+        yield _Meeting(*held).links()
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Edges ``a, b`` between the ids of distinct fingerprints ``id, f0, f1, f2, f3``."""
-    dealt = fps.mapInArrow(
-        common.tidied(_dealt),
+def links(fps: DataFrame, first: int = 0, last: int = TABLES) -> DataFrame:
+    """Edges ``a, b`` that connect what is linked in some tables: rows ``id, f0, f1, f2, f3``.
+
+    Fingerprints with the same ``id`` count as linked.
+    """
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _dealt(batches, first, last)
+
+    rows = fps.mapInArrow(
+        common.tidied(dealt),
         "place int, rest smallint, id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint",
     )
-    sorted_rows = dealt.repartition("place").sortWithinPartitions("place")
-    return sorted_rows.mapInArrow(common.tidied(_met), "a bigint, b bigint")
+    rows = rows.repartition("place").sortWithinPartitions("place")
+    return rows.mapInArrow(common.tidied(_met), "a bigint, b bigint")
+
+
+def linked(fps: DataFrame) -> DataFrame:
+    """``id, component`` of each of the distinct fingerprints ``id, f0, f1, f2, f3``.
+
+    The first tables link most of a large group. The others then look at whole components, so that
+    its members are not tied to one another once more in every table.
+    """
+    tied = common.components(links(fps, 0, FIRST_TABLES))
+    joined = fps.join(tied, F.expr("id = vertex"), "left")
+    early = stored(joined.selectExpr("id", "coalesce(component, id) AS early", *WORDS))
+    rest = links(early.selectExpr("early AS id", *WORDS), FIRST_TABLES, TABLES)
+    tied = common.components(rest)
+    return early.join(tied, F.expr("early = vertex"), "left").selectExpr(
+        "id", "coalesce(component, early) AS component"
+    )
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -224,12 +268,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     least = "min(doc_id) AS least"
     first = [f"first({w}) AS {w}" for w in WORDS]
     fps = stored(rows.groupBy("id").agg(*map(F.expr, [least, *first])))
-    tied = common.components(links(fps.select("id", *WORDS)))
-    named = stored(
-        fps.join(tied, F.expr("id = vertex"), "left").selectExpr(
-            "id", "least", "coalesce(component, id) AS component"
-        )
-    )
+    named = stored(fps.select("id", "least").join(linked(fps.select("id", *WORDS)), "id"))
     ids = named.groupBy("component").agg(F.expr("min(least) AS component_id"))
     groups = named.join(ids, "component").select("id", "component_id")
     joined = lookup_join(rows, groups, "id", max_broadcast=common.BROADCAST_ROWS)
