@@ -1,25 +1,31 @@
-"""Near-duplicates by word shingles at a similarity of 0.8, by SimHash and multi-index hashing.
+"""Near-duplicates: a Jaccard similarity of 0.8 or more of the sets of five-word shingles.
 
-Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 differ in about 15 % of
-their SimHash bits. In 64 bits that is too near to chance for a large corpus, so fingerprints here
-have 256 bits, in four words: bit i is set where more than half of the distinct shingles set it.
-Fingerprints link at ``MOST_BITS`` or fewer differing bits.
+Links are exact: each is found by counting the shingles that two sets have in common. What is
+compared is found by SimHash and multi-index hashing. Texts at a similarity of 0.8 differ in about
+15 % of their SimHash bits, so fingerprints here have 256 bits, in four words: bit i is set where
+more than half of the distinct shingles set it, and of a tie the least shingle decides. Up to ``MOST_BITS`` differing bits make a candidate:
+at 0.8 the mean is 38.8 with a deviation of 5.7, so a pair in 3,000 is beyond.
 
 Each of ``TABLES`` index tables takes ``SEGMENT`` of the bits. Two fingerprints are compared whole
-if their segments in any table differ by one bit at most: for a pair at 0.8 that holds with a
-probability of 0.93, at 0.85 with 0.99, and copies of one text have several chances. Of a segment
+if their segments in any table differ by one bit at most: with 39 differing bits that holds with a
+probability of 0.999, with 45 of 0.99, with 50 of 0.96, and above 0.8 there are fewer. Of a segment
 with at most one differing bit one half is equal, so a fingerprint is sent to its two halves per
-table, and the Hamming ball around the other half is enumerated where they meet. Segments of 24
-bits suit up to some 10^8 different texts; beyond that use longer ones and more tables.
+table, and the Hamming ball around the other half is enumerated where they meet.
 
-Equal fingerprints are one row. Where many share a segment, pairs would grow with their square.
+Candidates are tied to components, and within a component every set is compared with every other,
+so a pair also has the ways through its neighbours to be compared. Components are dealt into blocks
+of about ``BLOCK`` sets that tasks compare completely; of a component with several blocks, first
+each block for itself, then the first members of the groups found, then all pairs of blocks that do
+not belong to one group already.
+
+Equal sets are one row. Where many share a segment, pairs would grow with their square.
 Such a cell elects leaders: the first member, then the first that is far from all leaders, and so
 on; every member is compared with all of them, in this cell and in those around it. Links that no
 leader shows there have the other tables to be found in.
 
 Null text counts as empty; texts without words are copies of one another. A text of fewer than five
 words is one shingle. Rows with a null id stay if their whole group has none. Documents with
-clashing fingerprint hashes would share a group; of 10^8 fingerprints that is one case in 3,000.
+clashing hashes of their sets would share a group; of 10^8 sets that is one case in 3,000.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,48 +44,71 @@ from sojourn.operators.distribute import lookup_join
 from sojourn.session import stored
 
 SHINGLE_WORDS = 5
-MOST_BITS = 42
-TABLES = 24
+MOST_BITS = 58
+TABLES = 40
 FIRST_TABLES = 3
-SEGMENT = 24
+SEGMENT = 20
 HALF = SEGMENT // 2
 # Cells of up to this many fingerprints are compared pair by pair.
 CELL = 64
 # Rows that a task looks through at once; a larger group goes on with its leaders.
 ROWS = 1 << 17
 SHINGLES = 1 << 14
+# Sets, and shingles of all of them, that a task compares with one another.
+BLOCK = 256
+BLOCK_SHINGLES = 1 << 21
 WORDS = ["f0", "f1", "f2", "f3"]
 SALTS = np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def wide(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """The 256-bit fingerprint of the whole text, as four uint64."""
+def shingle_set(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct shingle hashes of the whole text, in order."""
     parts = list(shingle_hashes(text, width))
-    if not parts:
-        return np.zeros(4, np.uint64)
-    hashes = np.unique(np.concatenate(parts))
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+
+
+def set_id(hashes: np.ndarray) -> int:
+    """A signed hash of a whole set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def _bits_of(hashes: np.ndarray) -> np.ndarray:
     counts = np.zeros(256, np.int64)
     for at in range(0, len(hashes), SHINGLES):
         spread = common.mix64(hashes[at : at + SHINGLES, None] ^ SALTS)
         bits = np.unpackbits(spread.view(np.uint8).reshape(-1, 32), axis=1, bitorder="little")
         counts += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+    if len(hashes):  # the least shingle decides ties, else short texts would have few bits
+        least = common.mix64(hashes[0] ^ SALTS).view(np.uint8)
+        counts = 2 * counts + np.unpackbits(least, bitorder="little")
+    return np.packbits(counts > len(hashes), bitorder="little").view(np.uint64)
+
+
+def wide(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """The 256-bit fingerprint of the whole text, as four uint64."""
+    return _bits_of(shingle_set(text, width))
 
 
 def wide_fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """The columns of ``docs`` but the text, and the fingerprint in ``f0`` to ``f3``."""
+    """The columns of ``docs`` but the text, the set's ``id`` and ``size``, and ``f0`` to ``f3``."""
     kept = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [wide(t, width) for t in common.texts_of(batch["text"])]
+            ids, sizes, found = [], [], []
+            for text in common.texts_of(batch["text"]):
+                hashes = shingle_set(text, width)
+                ids.append(set_id(hashes))
+                sizes.append(len(hashes))
+                found.append(_bits_of(hashes))
             found = np.array(found, np.uint64).reshape(-1, 4).view(np.int64)
             columns = [batch[c] for c in kept]
+            columns += [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())]
             columns += [pa.array(np.ascontiguousarray(found[:, i])) for i in range(4)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *WORDS])
+            yield pa.RecordBatch.from_arrays(columns, names=[*kept, "id", "size", *WORDS])
 
-    schema = common.plus(docs.drop("text"), **dict.fromkeys(WORDS, "bigint"))
-    return docs.mapInArrow(common.tidied(run), schema)
+    more = dict.fromkeys(["id", "size", *WORDS], "bigint")
+    return docs.mapInArrow(common.tidied(run), common.plus(docs.drop("text"), **more))
 
 
 def _table_bits() -> list[np.ndarray]:
@@ -260,15 +290,137 @@ def linked(fps: DataFrame) -> DataFrame:
     )
 
 
+def _links_of(ids: list[int], early: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    """A spanning forest of the links between sets that have not one ``early`` group already."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    root = np.unique(early, return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values, value = np.unique(np.concatenate(sets), return_inverse=True)
+    holders = owner[np.argsort(value, kind="stable")]
+    n = np.bincount(value, minlength=len(values))
+    start, own = np.cumsum(n) - n, np.split(value, np.cumsum(sizes)[:-1])
+    ends = [], []
+    for i in range(len(sets) - 1):
+        if (root[i + 1 :] == root[i]).all():
+            continue
+        common_ = np.bincount(holders[_spread(start[own[i]], n[own[i]])], minlength=len(sets))
+        # a similarity of 4/5: 5 both >= 4 (one + other - both)
+        near = (9 * common_ >= 4 * (sizes[i] + sizes)) & (sizes > 0) & (root != root[i])
+        for j in np.flatnonzero(near).tolist():
+            if root[j] != root[i]:
+                ends[0].append(ids[i])
+                ends[1].append(ids[j])
+                root[root == root[j]] = root[i]
+    return pa.record_batch({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+
+def _compared(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """Links ``a, b`` among the sets of each task: ``key, id, early, task`` of every member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, early, sets = None, [], [], []
+        for batch in batches:
+            rows = (batch[c].to_pylist() for c in ("task", "id", "early"))
+            for task, own, group, text in zip(*rows, common.texts_of(batch["text"]), strict=True):
+                if task != now:
+                    if len(ids) > 1:
+                        yield _links_of(ids, early, sets)
+                    now, ids, early, sets = task, [], [], []
+                if not ids or own != ids[-1]:  # rows that repeat id and text come once
+                    ids.append(own)
+                    early.append(group)
+                    sets.append(shingle_set(text, width))
+        if len(ids) > 1:
+            yield _links_of(ids, early, sets)
+
+    lists = members.groupBy("key").agg(
+        F.expr("first(id) AS id"), F.expr("first(early) AS early"), F.expr("collect_list(task) AS tasks")
+    )
+    rows = lookup_join(texts, lists, "key", max_broadcast=common.BROADCAST_ROWS)
+    rows = rows.selectExpr("explode(tasks) AS task", "id", "early", "text")
+    rows = rows.repartition("task").sortWithinPartitions("task", "id")
+    return rows.mapInArrow(common.tidied(run), "a bigint, b bigint")
+
+
+def _regrouped(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with ``early`` brought up to date by links between ids."""
+    names = links.selectExpr("a AS id", "b AS other")
+    tied = names.join(members.select("id", "early"), "id").selectExpr("other AS id", "early AS a")
+    tied = tied.join(members.selectExpr("id", "early AS b"), "id").select("a", "b")
+    tied = common.components(tied).selectExpr("vertex AS early", "component AS to")
+    rows = lookup_join(members, tied, "early", "left", common.BROADCAST_ROWS)
+    return stored(rows.withColumn("early", F.expr("coalesce(to, early)")).select(*members.columns))
+
+
+def _blocks(n: str, size: str) -> str:
+    return f"greatest(1, int(ceil({n} / {BLOCK})), int(ceil({size} / {BLOCK_SHINGLES})))"
+
+
+def similar_sets(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """``id, early``: the group that each member of a component of candidates is in.
+
+    ``members`` has ``key`` (of a row of ``texts``), ``id``, ``size`` and ``component``. Two sets of
+    one component are in one group if similar sets of the component connect them.
+    """
+    whole = members.groupBy("component").agg(F.expr("count(*) AS n"), F.expr("sum(size) AS total"))
+    whole = whole.where("n > 1").selectExpr("component", f"{_blocks('n', 'total')} AS blocks")
+    rows = lookup_join(members, whole, "component", max_broadcast=common.BROADCAST_ROWS)
+    rows = stored(rows.selectExpr("*", "id AS early", "pmod(xxhash64(id, 7L), blocks) AS block"))
+    task = "xxhash64(component, block) AS task"
+    found = _compared(texts, rows.selectExpr("key", "id", "early", task), width)
+    rows = _regrouped(rows, stored(found))
+    done, large = rows.where("blocks = 1"), rows.where("blocks > 1")
+    if large.isEmpty():
+        return done.select("id", "early")
+    # One member per group, as blocks of their own.
+    firsts = large.where("id = early")
+    many = firsts.groupBy("component").agg(F.expr("count(*) AS n"), F.expr("sum(size) AS total"))
+    many = many.selectExpr("component", f"{_blocks('n', 'total')} AS parts")
+    firsts = firsts.join(many, "component").selectExpr(
+        "key", "id", "early", "xxhash64(component, pmod(xxhash64(id, 8L), parts)) AS task"
+    )
+    large = _regrouped(large, stored(_compared(texts, firsts, width)))
+    # Every pair of blocks that are not both of one group; large groups have blocks of their own.
+    groups = large.groupBy("component", "early").agg(F.expr("count(*) AS n"), F.expr("sum(size) AS total"))
+    groups = groups.selectExpr("*", f"IF({_blocks('n * 2', 'total * 2')} > 1, early, NULL) AS owner")
+    pools = groups.groupBy("component", "owner").agg(F.expr("sum(n) AS n"), F.expr("sum(total) AS total"))
+    pools = pools.selectExpr("component", "owner", f"{_blocks('n', 'total')} AS parts")
+    own = large.join(groups.select("component", "early", "owner"), ["component", "early"])
+    own = own.alias("x").join(
+        pools.alias("y"), F.expr("x.component = y.component AND x.owner <=> y.owner")
+    ).selectExpr(
+        "key", "id", "early", "x.component AS component", "x.owner AS owner",
+        "xxhash64(coalesce(x.owner, 0L), isnull(x.owner), pmod(xxhash64(id, 9L), parts)) AS block",
+    )
+    own = stored(own)
+    blocks = own.groupBy("component", "owner", "block").agg(F.expr("count(*) AS n"))
+    pairs = blocks.alias("x").join(
+        blocks.alias("y"),
+        F.expr("x.component = y.component AND x.block <= y.block AND NOT coalesce(x.owner = y.owner, false)"),
+    )
+    pairs = pairs.selectExpr(
+        "x.component AS component", "x.block AS one", "y.block AS other",
+        "xxhash64(x.component, x.block, y.block) AS task",
+    )
+    pairs = pairs.selectExpr("component", "task", "explode(array_distinct(array(one, other))) AS block")
+    tasks = own.join(pairs, ["component", "block"]).select("key", "id", "early", "task")
+    large = _regrouped(large, stored(_compared(texts, tasks, width)))
+    return done.unionByName(large).select("id", "early")
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """The columns of ``docs`` but the text, and ``component_id``: the least id of the group."""
-    rows = wide_fingerprints(docs, width)
-    kept = [c for c in rows.columns if c not in WORDS]
-    rows = stored(rows.selectExpr("*", f"xxhash64({', '.join(WORDS)}) AS id"))
-    least = "min(doc_id) AS least"
-    first = [f"first({w}) AS {w}" for w in WORDS]
-    fps = stored(rows.groupBy("id").agg(*map(F.expr, [least, *first])))
-    named = stored(fps.select("id", "least").join(linked(fps.select("id", *WORDS)), "id"))
+    key = "xxhash64(doc_id, xxhash64(text)) AS key"
+    rows = stored(wide_fingerprints(docs.selectExpr("*", key), width))
+    kept = [c for c in docs.columns if c != "text"]
+    first = [f"first({c}) AS {c}" for c in ("size", *WORDS)]
+    fps = rows.groupBy("id").agg(*map(F.expr, ["min(doc_id) AS least", "min(key) AS key", *first]))
+    fps = stored(fps)
+    candidates = linked(fps.select("id", *WORDS))
+    members = stored(fps.select("id", "key", "size").join(candidates, "id"))
+    found = similar_sets(docs.selectExpr("text", key), members, width)
+    named = fps.select("id", "least").join(found, "id", "left")
+    named = stored(named.selectExpr("id", "least", "coalesce(early, id) AS component"))
     ids = named.groupBy("component").agg(F.expr("min(least) AS component_id"))
     groups = named.join(ids, "component").select("id", "component_id")
     joined = lookup_join(rows, groups, "id", max_broadcast=common.BROADCAST_ROWS)

@@ -96,3 +96,36 @@ def test_crowded_cells_and_long_places(monkeypatch, cell, size):
             if a != b:
                 own = [min(a, b) if c in (a, b) else c for c in own]
     assert own == [25 * (i // 25) for i in range(len(fps))]
+
+
+def jaccard(a, b):
+    a, b = (similar.shingle_set(t.encode()) for t in (a, b))
+    both = len(np.intersect1d(a, b))
+    return both / (len(a) + len(b) - both)
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_groups_are_those_of_all_pairs_of_shingle_sets(spark, monkeypatch, block):
+    """Pairs about the limit, and one group whose blocks and leaders do not tell all."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    draw = np.random.default_rng(11)
+    texts = []
+    for seed in range(150):  # groups of two, similarity about 0.7 to 0.9
+        base = list(draw.choice(VOCABULARY, 400))
+        texts += [" ".join(base), variant(base, seed, int(draw.integers(4, 15)))]
+    chain = list(draw.choice(VOCABULARY, 400))  # members are near their neighbours only
+    for seed in range(25):
+        texts.append(" ".join(chain))
+        chain = variant(chain, 1000 + seed, 6).split()
+    pairs = [(jaccard(texts[i], texts[i + 1])) for i in range(0, 300, 2)]
+    assert sum(0.8 <= j < 0.84 for j in pairs) > 15 and sum(0.7 < j < 0.8 for j in pairs) > 15
+    common.ship(spark)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+    own = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in [i - 1] if i < 300 and i % 2 else range(300, i):
+            if own[i] != own[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                a, b = own[i], own[j]
+                own = [min(a, b) if c in (a, b) else c for c in own]
+    assert [got[i] for i in range(len(texts))] == own
