@@ -348,6 +348,39 @@ def test_losses_leave_the_document_out(docs, empty, texts):
     assert lm.scored(empty, good).count() == 0
 
 
+def test_losses_tell_all_words_apart(spark):
+    """Exact words and pairs, of more words than 2^18 places; several chunks count as one."""
+    common.ship(spark)
+    many = [(100 + i, " ".join(f"v{i}x{j}" for j in range(15_000))) for i in range(20)]
+    rows = [(1, "blue cats sleep all day"), (2, "blue cats sleep at night"), (3, "Blue dogs run"), *many]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    good = spark.createDataFrame([(1,), (100,)], "doc_id bigint")
+    got = {r["doc_id"]: r for r in lm.scored(docs, good).collect()}
+    assert sorted(got) == sorted(i for i, _ in rows)
+    vocabulary = len({w for _, t in rows for w in t.lower().split()} | {None})
+    assert vocabulary > 1 << lm.WORD_BITS
+
+    def cost(own, target):
+        from collections import Counter
+
+        seen = Counter()
+        for i, text in rows:
+            if i != own and (not target or i in (1, 100)):
+                marked = [None, *text.lower().split()]
+                seen.update(marked)
+                seen.update(zip(marked, marked[1:], strict=False))
+        size = sum(n for k, n in seen.items() if not isinstance(k, tuple))
+        marked, total = [None, *dict(rows)[own].lower().split()], 0.0
+        for v, w in zip(marked, marked[1:], strict=False):
+            single = (seen[w] + lm.ADDED) / (size + lm.ADDED * vocabulary)
+            total -= math.log((seen[v, w] + lm.PRIOR * single) / (seen[v] + lm.PRIOR))
+        return total / (len(marked) - 1)
+
+    for i in (1, 2, 3, 100, 110):
+        assert got[i]["target_loss"] == pytest.approx(cost(i, True), rel=1e-12)
+        assert got[i]["background_loss"] == pytest.approx(cost(i, False), rel=1e-12)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000)]
     rows = common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
