@@ -18,10 +18,11 @@ of about ``BLOCK`` sets that tasks compare completely; of a component with sever
 each block for itself, then the first members of the groups found, then all pairs of blocks that do
 not belong to one group already.
 
-Equal sets are one row. Where many share a segment, pairs would grow with their square.
-Such a cell elects leaders: the first member, then the first that is far from all leaders, and so
-on; every member is compared with all of them, in this cell and in those around it. Links that no
-leader shows there have the other tables to be found in.
+Equal sets are one row. Where many share a segment, pairs would grow with their square. Such a cell
+elects leaders: the first member, then the first that is far from all leaders, and so on. Members are
+compared with the leaders of this cell and those around it first, and then with all members that are
+not in their tree yet, in bounded pieces. A place of more than ``ROWS`` rows is written to a local
+file in blocks, and each block meets itself and every later one.
 
 Null text counts as empty; texts without words are copies of one another. A text of fewer than five
 words is one shingle. Rows with a null id stay if their whole group has none. Documents with
@@ -30,6 +31,8 @@ clashing hashes of their sets would share a group; of 10^8 sets that is one case
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +54,7 @@ SEGMENT = 20
 HALF = SEGMENT // 2
 # Cells of up to this many fingerprints are compared pair by pair.
 CELL = 64
-# Rows that a task looks through at once; a larger group goes on with its leaders.
+# Rows that a task looks through at once, and of a block of a longer place.
 ROWS = 1 << 17
 SHINGLES = 1 << 14
 # Sets, and shingles of all of them, that a task compares with one another.
@@ -180,7 +183,7 @@ class _Meeting:
         return self.leaders[cell]
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row pairs between cells ``a`` and ``b``, some at a time; crowded cells by their leaders."""
+        """Row pairs between cells ``a`` and ``b``, some at a time; crowded cells by leaders first."""
         work = self.size[a] * self.size[b]
         small = work <= CELL * CELL
         bounds = np.cumsum(work[small]) // (ROWS * 4)
@@ -194,6 +197,21 @@ class _Meeting:
                 rows = np.arange(self.start[other], self.start[other] + self.size[other])
                 for leader in self.led(led):
                     yield np.full(len(rows), leader), rows
+            yield from self._rest(x, y)
+
+    def _rest(self, x: int, y: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Row pairs of two crowded cells that are not in one tree; trees grow in between."""
+        left, right = (np.arange(self.start[c], self.start[c] + self.size[c]) for c in (x, y))
+        for tree in np.unique(self.root[self.vertex[left]]).tolist():
+            mine = left[self.root[self.vertex[left]] == tree]
+            while len(mine):
+                others = right[self.root[self.vertex[right]] != self.root[self.vertex[mine[0]]]]
+                if not len(others):
+                    break
+                some, mine = np.split(mine, [max(1, ROWS * 4 // len(others))])
+                for at in range(0, len(others), ROWS * 4):
+                    piece = others[at : at + ROWS * 4]
+                    yield np.repeat(some, len(piece)), np.tile(piece, len(some))
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         """Put the vertices ``a[i]`` and ``b[i]`` into one tree; roots are the least vertices."""
@@ -228,33 +246,63 @@ class _Meeting:
         ends = self.vertices[tied], self.vertices[self.root[tied]]
         return pa.record_batch({"a": pa.array(ends[0]), "b": pa.array(ends[1])})
 
-    def carried(self, place: int) -> np.ndarray:
-        """The rows of the leaders of all cells of a place."""
-        cells = np.flatnonzero(self.cells >> HALF == place)
-        return np.array([row for cell in cells.tolist() for row in self.led(cell)], np.int64)
+
+class _Block:
+    """Rows of a place in a local file."""
+
+    def __init__(self, folder: str, number: int, rows: tuple[np.ndarray, ...]):
+        self.path = os.path.join(folder, f"{number}.npz")
+        np.savez(self.path, *rows)
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        with np.load(self.path) as held:
+            return tuple(held[k] for k in held.files)
+
+
+def _together(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    return tuple(map(np.concatenate, zip(a, b, strict=True)))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among rows sorted by place; a place goes on in the next rows with its leaders alone."""
-    held, at_least = None, ROWS
-    for batch in batches:
-        rows = (batch["place"].to_numpy(), batch["rest"].to_numpy(), batch["id"].to_numpy(), _words(batch))
-        held = rows if held is None else tuple(map(np.concatenate, zip(held, rows, strict=True)))
-        if len(held[0]) < at_least:
-            continue
-        last = held[0][-1]
-        ended = int(np.searchsorted(held[0], last))
-        if ended:
-            yield _Meeting(*(c[:ended] for c in held)).links()
-            held, at_least = tuple(c[ended:] for c in held), ROWS
-        else:
-            meeting = _Meeting(*held)
-            yield meeting.links()
-            on = meeting.carried(int(last))
-            held = meeting.place[on], meeting.rest[on], meeting.ids[on], meeting.fps[on]
-            at_least = len(on) + ROWS
-    if held is not None and len(held[0]):
-        yield _Meeting(*held).links()
+    """Links among rows sorted by place; of a long place every two blocks of rows meet."""
+    held, blocks = None, []
+    with tempfile.TemporaryDirectory(prefix="sojourn-places-") as folder:
+
+        def ended(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            if len(rows[0]):
+                yield _Meeting(*rows).links()
+            for block in blocks:
+                yield _Meeting(*_together(block.rows(), rows)).links()
+
+        for batch in batches:
+            rows = (batch["place"].to_numpy(), batch["rest"].to_numpy(), batch["id"].to_numpy(), _words(batch))
+            held = rows if held is None else _together(held, rows)
+            if len(held[0]) < ROWS:
+                continue
+            if blocks and held[0][0] != blocks[0].place:
+                blocks = []
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if blocks or not last:
+                # the first place of these rows is long, or goes on from blocks
+                first = int(np.searchsorted(held[0], held[0][0], side="right"))
+                yield from ended(tuple(c[:first] for c in held))
+                if first == len(held[0]):
+                    blocks.append(_Block(folder, len(blocks), held))
+                    blocks[0].place = held[0][0]
+                    held = None
+                    continue
+                blocks, held = [], tuple(c[first:] for c in held)
+                last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield _Meeting(*(c[:last] for c in held)).links()
+                held = tuple(c[last:] for c in held)
+        if held is not None and len(held[0]):
+            if blocks and held[0][0] == blocks[0].place:
+                first = int(np.searchsorted(held[0], held[0][0], side="right"))
+                yield from ended(tuple(c[:first] for c in held))
+                held = tuple(c[first:] for c in held)
+            if len(held[0]):
+                yield _Meeting(*held).links()
 
 
 def links(fps: DataFrame, first: int = 0, last: int = TABLES) -> DataFrame:

@@ -129,3 +129,37 @@ def test_groups_are_those_of_all_pairs_of_shingle_sets(spark, monkeypatch, block
                 a, b = own[i], own[j]
                 own = [min(a, b) if c in (a, b) else c for c in own]
     assert [got[i] for i in range(len(texts))] == own
+
+
+@pytest.mark.parametrize("cell,size", [(64, 1 << 17), (2, 1 << 17), (2, 40)])
+def test_chains_around_distant_leaders(monkeypatch, cell, size):
+    """Neighbours whose leaders differ, all of one cell, and more of them than a block of rows."""
+    monkeypatch.setattr(similar, "CELL", cell)
+    monkeypatch.setattr(similar, "ROWS", size)
+    used = set(np.concatenate([similar._table_bits()[0]]).tolist())
+    free = [b for b in range(256) if b not in used]
+    fps = [np.zeros(4, np.uint64)]
+    for row in range(1, 5):  # each far from all but its neighbours
+        fps.append(fps[-1].copy())
+        for bit in free[(row - 1) * 50 : row * 50]:
+            fps[-1][bit // 64] ^= np.uint64(1 << bit % 64)
+    # The first and the fourth lead; the link of the second and third is not one of a leader.
+    fps = np.array([fps[i] for i in (0, 3, 1, 2, 4)])
+    near = [(i, j) for i in range(5) for j in range(i) if similar._near(fps[i], fps[j])]
+    assert len(near) == 4
+    lone = np.random.default_rng(3).integers(0, 2**63, (120, 4), dtype=np.uint64)
+    for bit in used:  # the same segment, else far apart
+        lone[:, bit // 64] &= ~np.uint64(1 << bit % 64)
+    signed = np.concatenate([fps[:2], lone[:60], fps[2:4], lone[60:], fps[4:]]).view(np.int64)
+    batch = {"id": pa.array(np.arange(len(signed)))} | {
+        w: pa.array(np.ascontiguousarray(signed[:, k])) for k, w in enumerate(similar.WORDS)
+    }
+    dealt = pa.Table.from_batches(list(similar._dealt([pa.record_batch(batch)], 0, 1)))
+    dealt = dealt.sort_by("place").combine_chunks()
+    own = list(range(len(signed)))
+    for found in similar._met(dealt.to_batches(max_chunksize=16)):
+        for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True):
+            a, b = own[a], own[b]
+            own = [min(a, b) if c in (a, b) else c for c in own]
+    chain = [0, 1, 62, 63, 124]
+    assert own == [0 if i in chain else i for i in range(len(signed))]
