@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn.llm import bpe, common, mixing, pii, queries, similar, toxicity
-from sojourn.session import stored
+from sojourn.session import materialise, stored
 
 SHINGLE_WORDS = 5
 # Stages fit models, draw at random and hash in ways that SQL cannot express.
@@ -14,9 +14,14 @@ ORACLE_SQL = None
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the toxicity threshold; the model learns from the labelled ones."""
+    """Documents scored below the toxicity threshold; the model learns from the labelled ones.
+
+    Without a usable label, or if nothing was learnt from them, nothing is known and all stay.
+    """
     common.ship(spark)
-    model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    model = materialise(toxicity.fit(docs, common.table(spark, sf_dir, "labels")))
+    if model.isEmpty():
+        return docs
     name = common.fresh(docs, "score")
     scored = toxicity.score(docs, model, name)
     return scored.where(f"{name} < {toxicity.THRESHOLD}D").select(*docs.columns)

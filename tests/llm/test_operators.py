@@ -393,3 +393,12 @@ def test_stages_keep_the_columns(spark, docs, empty):
     for frame in (empty,):
         for name, stage in corpus_pipeline.STAGES[1:-1]:
             assert stage(spark, frame, "").columns == docs.columns, name
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None), (2, None)], [(10**9, 1), (None, 0)]])
+def test_no_document_is_toxic_without_usable_labels(spark, docs, tmp_path, rows):
+    labels = spark.createDataFrame(rows, "doc_id bigint, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = corpus_pipeline.without_toxic(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert by_id(kept, "doc_id", "text") == by_id(docs, "doc_id", "text")
