@@ -456,8 +456,11 @@ def similar_sets(texts: DataFrame, members: DataFrame, width: int) -> DataFrame:
     return done.unionByName(large).select("id", "early")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """The columns of ``docs`` but the text, and ``component_id``: the least id of the group."""
+def grouped(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """The columns of ``docs`` but the text, ``component_id`` (the group's least id), ``component``.
+
+    Groups that share a least id, as ids may repeat, differ in ``component``.
+    """
     key = "xxhash64(doc_id, xxhash64(text)) AS key"
     rows = stored(wide_fingerprints(docs.selectExpr("*", key), width))
     kept = [c for c in docs.columns if c != "text"]
@@ -470,24 +473,35 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     named = fps.select("id", "least").join(found, "id", "left")
     named = stored(named.selectExpr("id", "least", "coalesce(early, id) AS component"))
     ids = named.groupBy("component").agg(F.expr("min(least) AS component_id"))
-    groups = named.join(ids, "component").select("id", "component_id")
+    groups = named.join(ids, "component").select("id", "component_id", "component")
     joined = lookup_join(rows, groups, "id", max_broadcast=common.BROADCAST_ROWS)
-    return joined.select(*kept, "component_id")
+    return joined.select(*kept, "component_id", "component")
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
+    """The columns of ``docs`` but the text, and ``component_id``: the least id of the group."""
+    return grouped(docs, width).drop("component")
 
 
 def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """All columns of one document of each group of near-duplicates: the one with the least id.
 
-    Of rows that repeat that id one stays. Rows without id go if their group has an id, and stay if
+    Of rows of the group that repeat that id the one with the least hash of its text stays; an id that
+    stands in several groups stays in each. Rows without id go if their group has an id, and stay if
     it has none. Groups are found on ids and fingerprints alone; the texts move only if the list of
     documents to drop is too long to broadcast.
     """
     own = common.fresh(docs, "mark")
     mark = "concat_ws(':', doc_id, xxhash64(text))"
-    placed = stored(near_duplicates(docs.selectExpr("doc_id", "text", f"{mark} AS mark"), width))
-    gone = placed.where("NOT doc_id <=> component_id").selectExpr(f"mark AS {own}").distinct()
-    kept = lookup_join(
-        docs.withColumn(own, F.expr(mark)), gone, own, "left_anti", common.BROADCAST_ROWS
-    ).drop(own)
-    ids = placed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.expr("count(*) AS n"))
-    return common.one_row_per(kept, "doc_id", ids.where("n > 1").select("doc_id"))
+    placed = stored(grouped(docs.selectExpr("doc_id", "text", f"{mark} AS mark"), width))
+    first = placed.where("doc_id = component_id").groupBy("component")
+    first = first.agg(F.expr("min(mark) AS stays"), F.expr("max(mark) AS last"))
+    first = first.where("stays < last").select("component", "stays")
+    others = lookup_join(placed, first, "component", max_broadcast=common.BROADCAST_ROWS)
+    gone = placed.where("NOT doc_id <=> component_id").select("mark")
+    gone = gone.unionByName(others.where("doc_id = component_id AND mark > stays").select("mark"))
+    gone = gone.selectExpr(f"mark AS {own}").distinct()
+    kept = lookup_join(docs.withColumn(own, F.expr(mark)), gone, own, "left_anti", common.BROADCAST_ROWS)
+    marks = placed.where("doc_id IS NOT NULL").groupBy("mark").agg(F.expr("count(*) AS n"))
+    repeated = marks.where("n > 1").selectExpr(f"mark AS {own}")
+    return common.one_row_per(kept, own, repeated).select(*docs.columns)

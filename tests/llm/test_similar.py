@@ -163,3 +163,17 @@ def test_chains_around_distant_leaders(monkeypatch, cell, size):
             own = [min(a, b) if c in (a, b) else c for c in own]
     chain = [0, 1, 62, 63, 124]
     assert own == [0 if i in chain else i for i in range(len(signed))]
+
+
+def test_texts_that_only_share_an_id_all_stay(spark):
+    common.ship(spark)
+    draw = np.random.default_rng(8)
+    one, other = (list(draw.choice(VOCABULARY, 200)) for _ in range(2))
+    near = [variant(one, seed, 1) for seed in range(3)]
+    rows = [(7, " ".join(one)), (7, " ".join(other)), (7, " ".join(other)), (9, " ".join(other))]
+    rows += [(7, text) for text in near]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [tuple(r) for r in similar.one_of_each(docs).collect()]
+    again = [tuple(r) for r in similar.one_of_each(docs.orderBy("text")).collect()]
+    assert sorted(kept) == sorted(again) and len(kept) == 2
+    assert (7, " ".join(other)) in kept and {i for i, _ in kept} == {7}
