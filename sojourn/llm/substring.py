@@ -7,7 +7,7 @@ that it stands for are tried, to the left and to the right, against the same win
 documents; consecutive hits join to maximal repeats of at least 13 words.
 
 Documents meet through the least id that has an anchor or window, never pair by pair. Each task
-settles among its own documents first and sends on one row per anchor and one document per window,
+settles among its own documents first and sends on the texts of one id per anchor and per window,
 so a passage that a third of all documents hold is a row per task. A copy of a whole earlier text is
 found by the text's hash and sends no windows.
 
@@ -77,7 +77,7 @@ def _least_by(docs: np.ndarray, ids: np.ndarray, *keys: np.ndarray):
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per anchor for its least document here, and per document its anchors known as shared."""
+    """A row per anchor and text of its least id here, and per document its anchors known as shared."""
     hashes = common.WordHashes()
     for batch in batches:
         for part in common.slices(batch, "text", TEXT_BYTES):
@@ -86,6 +86,9 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [
                 np.unique(anchors_of(hashes.of(t.split()))) for t in common.texts_of(part["text"])
             ]
+            # Rows in the order of id and mark, so that those of one id stand by their marks.
+            rank = np.lexsort((marks, ids))
+            ids, marks, found = ids[rank], marks[rank], [found[i] for i in rank]
             docs = np.repeat(np.arange(len(ids)), [len(f) for f in found])
             anchors = np.concatenate(found) if found else np.empty(0, np.uint64)
             if not len(anchors):
@@ -93,7 +96,10 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order, change, group, by_id, least = _least_by(docs, ids, anchors)
             shared = np.zeros(group[-1] + 1, bool)
             shared[group[by_id != least]] = True
-            send = order[change]
+            own = marks[docs[order]]
+            first = change.copy()
+            first[1:] |= (by_id[1:] == least[1:]) & (own[1:] != own[:-1])
+            send = order[first]
             yield pa.record_batch(
                 {
                     "anchor": pa.array(_signed(anchors[send])),

@@ -402,3 +402,20 @@ def test_no_document_is_toxic_without_usable_labels(spark, docs, tmp_path, rows)
     kept = corpus_pipeline.without_toxic(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns
     assert by_id(kept, "doc_id", "text") == by_id(docs, "doc_id", "text")
+
+
+def test_two_texts_of_one_id_are_both_looked_up(spark):
+    """They share an anchor, not its windows; a later document elsewhere repeats the second."""
+    common.ship(spark)
+    hashes = common.WordHashes()
+    for seed in range(2000):
+        run, *sides = (prose(9000 + 10 * seed + k, n) for k, n in enumerate((5, 4, 4, 4, 4)))
+        one, other = f"{sides[0]} {run} {sides[1]}", f"{sides[2]} {run} {sides[3]}"
+        anchors = [substring.anchors_of(hashes.of(t.encode().split())) for t in (one, other)]
+        if anchors[0][0] == anchors[1][0]:
+            break
+    assert len(anchors[0]) == 1 and anchors[0][0] == anchors[1][0]
+    rows = [(1, one), (1, other), (9, f"{other} and more"), (10, f"so {one}")]
+    parts = spark.sparkContext.parallelize(rows, 2)  # the early rows in one task, the late in another
+    got = substring.removed(spark.createDataFrame(parts, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (9, 13), (10, 13)]
