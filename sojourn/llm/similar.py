@@ -488,8 +488,8 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 
     Of rows of the group that repeat that id the one with the least hash of its text stays; an id that
     stands in several groups stays in each. Rows without id go if their group has an id, and stay if
-    it has none. Groups are found on ids and fingerprints alone; the texts move only if the list of
-    documents to drop is too long to broadcast.
+    it has none. Of candidates one text per set moves to be compared; the others move only if the
+    list of documents to drop is too long to broadcast.
     """
     own = common.fresh(docs, "mark")
     mark = "concat_ws(':', doc_id, xxhash64(text))"
