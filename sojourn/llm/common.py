@@ -27,6 +27,7 @@ BROADCAST_ROWS = 200_000
 ARROW_ROWS = 1000
 # A worker's cache of word hashes is emptied at this size.
 CACHE_WORDS = 200_000
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def lowered(word: str) -> str:
+    """A word with A-Z lower-cased (SQL); ``lower`` alone would change other letters as well."""
+    ascii_only = f"octet_length({word}) = char_length({word})"
+    return f"IF({ascii_only}, lower({word}), translate({word}, '{UPPER}', '{LOWER}'))"
+
+
 class WordHashes(dict):
     """XXH64 of byte words, remembered up to a bound."""
 
