@@ -32,15 +32,20 @@ from sojourn.operators.distribute import lookup_join
 from sojourn.session import materialise, stored
 
 WINDOW = 10
-# Runs of word characters before lower-casing.
-WORDS = r"[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+# What stands between words, before lower-casing.
+BETWEEN = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 # Bytes of test words up to which they are broadcast, if they are also few enough.
 BROADCAST_BYTES = 64 << 20
 
 
+def split_words(text: str) -> str:
+    """The words of a text, not yet lower-cased (SQL)."""
+    return f"array_remove(split(coalesce({text}, ''), '{BETWEEN}'), '')"
+
+
 def tokens(rows: DataFrame, *kept: str, text: str = "text") -> DataFrame:
     """``kept, pos, term``: the words of each text in order, and an empty term at its end."""
-    found = f"array_append(regexp_extract_all(coalesce({text}, ''), '{WORDS}', 0), '')"
+    found = f"array_append({split_words(text)}, '')"
     exploded = rows.selectExpr(*kept, f"posexplode_outer({found}) AS (pos, term)")
     return exploded.selectExpr(*kept, "pos", f"{common.lowered('term')} AS term")
 
@@ -48,9 +53,8 @@ def tokens(rows: DataFrame, *kept: str, text: str = "text") -> DataFrame:
 def numbered_items(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
     """``seq, item_id, words``: the distinct word sequences of a test set, numbered, with the id of
     each row that has them. Stored, since the numbers must not change."""
-    named = items.selectExpr(f"{item_id} AS item_id", f"coalesce({text}, '') AS text")
-    found = f"regexp_extract_all(text, '{WORDS}', 0)"
-    words = named.selectExpr("item_id", f"transform({found}, w -> {common.lowered('w')}) AS words")
+    found = f"transform({split_words(text)}, w -> {common.lowered('w')})"
+    words = items.selectExpr(f"{item_id} AS item_id", f"{found} AS words")
     words = stored(words.where("size(words) > 0"))
     seqs = words.select("words").distinct().withColumn("seq", F.monotonically_increasing_id())
     return stored(words.join(stored(seqs), "words").select("seq", "item_id", "words"))
@@ -71,7 +75,7 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     most = common.BROADCAST_ROWS if size <= BROADCAST_BYTES else 0
     known = lookup_join(tokens(rows, "doc_id", "doc"), terms, "term", "inner", most, computed=True)
     made = known.selectExpr("t", "doc", "pos", "IF(t = 0, doc_id, NULL) AS doc_id")
-    return stored(made.sortWithinPartitions("t", "doc", "pos"))
+    return stored(made.sortWithinPartitions("t"))
 
 
 def rarity(postings: DataFrame, terms: DataFrame) -> DataFrame:

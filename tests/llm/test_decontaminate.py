@@ -91,7 +91,7 @@ def test_postings_are_sorted_by_term_in_every_file(spark, tables):
     asked = decontaminate.numbered_items(items)
     postings = decontaminate.index(docs, decontaminate.vocabulary(asked))
     for path in postings.inputFiles():
-        one = [(r["t"], r["doc"], r["pos"]) for r in spark.read.parquet(path).collect()]
+        one = [r["t"] for r in spark.read.parquet(path).collect()]
         assert one == sorted(one)
     ends = postings.where("t = 0").collect()
     assert sorted(r["pos"] for r in ends) == sorted(len(words_of(t)) for _, t in tables[0])
