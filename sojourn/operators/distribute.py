@@ -48,21 +48,27 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large side to a lookup side that has one row per ``key``.
 
-    The lookup is computed once (unless it is ``computed`` already) and counted. Up to ``max_broadcast`` rows it is broadcast and the
-    large side does not move. Beyond that the rows of heavy keys, at most ``shares`` keys, are
-    joined by broadcast and only the rest is shuffled.
+    The lookup is computed once (unless it is ``computed`` already) and counted. Up to
+    ``max_broadcast`` rows it is broadcast and the large side does not move. Beyond that the rows of
+    heavy keys, at most ``shares`` keys, are joined by broadcast and only the rest is shuffled.
+    Rows without a key find nothing and never meet in a task.
     """
     if not computed:
         small = materialise(small)
     if small.count() <= max_broadcast:
         return big.join(F.broadcast(small), key, how)
-    counts = big.where(f"{key} IS NOT NULL").groupBy(key).agg(F.expr("count(*) AS n"))
+    keyed = big.where(f"{key} IS NOT NULL")
+    counts = keyed.groupBy(key).agg(F.expr("count(*) AS n"))
     heavy = [row[key] for row in heavy_keys(counts)]
-    if not heavy:
-        return big.join(small, key, how)
-    in_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    hot = big.where(in_heavy).join(F.broadcast(small.where(in_heavy)), key, how)
-    return hot.unionByName(big.where(~in_heavy).join(small, key, how))
+    if heavy:
+        in_heavy = F.col(key).isin(heavy)
+        hot = keyed.where(in_heavy).join(F.broadcast(small.where(in_heavy)), key, how)
+        out = hot.unionByName(keyed.where(~in_heavy).join(small, key, how))
+    else:
+        out = keyed.join(small, key, how)
+    if how in ("left", "left_anti"):
+        out = out.unionByName(big.where(f"{key} IS NULL"), allowMissingColumns=True)
+    return out
 
 
 def numbered(df: DataFrame, order: str, bucket: str, name: str = "row_id") -> DataFrame:

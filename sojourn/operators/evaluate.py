@@ -2,22 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sojourn import schema as S
-from sojourn.functions.seeded import hash32, poisson_of
+from sojourn.functions.seeded import poisson_cuts
 from sojourn.functions.tokens import cases, text
 from sojourn.operators.cohort import years_of
-from sojourn.operators.distribute import LANE_ROWS, lanes_by_value, running_before
+from sojourn.operators.distribute import LANE_ROWS, lanes_by_value, range_lanes, running_before
 from sojourn.operators.prs import any_nonzero
-from sojourn.session import materialise
+from sojourn.session import materialise, stored
 
 # Rounds of further replicates, each doubling those tried, before a short group is an error.
 REDRAW_ROUNDS = 6
-DRAWS_PER_TASK = 50_000_000
+# Rows of a lane that one task draws replicates for at a time.
+DRAW_ROWS = 4096
+PIECES_PER_TASK = 6
+# Weights that a task holds at a time.
+DRAW_CELLS = 1 << 18
 
 
 def aggregated(scores: str, how: str = "mean") -> str:
@@ -67,12 +75,15 @@ def prs_presence(prs: DataFrame) -> DataFrame:
 
 
 def score_cells(df: DataFrame, score: str, label: str, groups: Sequence[str]) -> DataFrame:
-    """``groups, score, neg, pos``: class counts per distinct score."""
-    scored = df.where(f"{score} IS NOT NULL").selectExpr(
-        *groups, f"{score} AS score", f"{label} AS _label"
-    )
+    """``groups, score, neg, pos, odd``: class counts per distinct score, and rows without a score
+    (null or NaN) or with a label other than 0 and 1."""
+    scored = df.selectExpr(*groups, f"{score} AS score", f"{label} AS _label")
+    odd = "NOT coalesce(NOT isnan(score) AND _label IN (0, 1), false)"
+    sound = "score IS NOT NULL AND NOT isnan(score)"
     return scored.groupBy(*groups, "score").agg(
-        F.expr("count_if(_label = 0) AS neg"), F.expr("count_if(_label = 1) AS pos")
+        F.expr(f"count_if(_label = 0 AND {sound}) AS neg"),
+        F.expr(f"count_if(_label = 1 AND {sound}) AS pos"),
+        F.expr(f"count_if(score IS NULL OR {odd}) AS odd"),
     )
 
 
@@ -99,54 +110,147 @@ def roc_auc(
     label: str = "label_token",
     groups: Sequence[str] = (),
     lane_rows: int = LANE_ROWS,
+    allow_missing: bool = False,
 ) -> DataFrame:
-    """``groups, n_pos, n_neg, auc``. Exact, with ties; many scores are ordered lane by lane."""
-    cells = materialise(score_cells(df, score, label, groups))
-    return pair_auc(lanes_by_value(cells, "score", groups, lane_rows), groups)
-
+    """``groups, n_pos, n_neg, auc``. Exact, with ties; many scores are ordered lane by lane.
 
-def draw_tasks(rows: DataFrame, replicates: int) -> int:
-    """Tasks for drawing replicates of all rows: every core, and a bounded number of draws each."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return max(cores, -(-rows.count() * replicates // DRAWS_PER_TASK))
+    Scores that are null or NaN and labels other than 0 and 1 are an error, unless
+    ``allow_missing``: then such rows are left out. They are counted with the cells, in one pass.
+    """
+    cells = materialise(score_cells(df, score, label, groups))
+    sound = cells.where("neg + pos > 0").drop("odd")
+    if not allow_missing:
+        size = cells.selectExpr("sum(odd) AS odd", "sum(neg + pos) AS n").first()
+        if size["odd"]:
+            raise ValueError(
+                f"only {size['n']} of {size['n'] + size['odd']} rows have score and label"
+            )
+    return pair_auc(lanes_by_value(sound, "score", groups, lane_rows), groups)
 
 
-def replicate_aucs(
+def score_lanes(
     df: DataFrame,
-    replicates: tuple[int, int],
     key: str = "subject_id",
     score: str = "probability_agg",
     label: str = "label_token",
     groups: Sequence[str] = (),
-    seed=0,
-    lane_rows: int = LANE_ROWS,
+    lane_rows: int = DRAW_ROWS,
 ) -> DataFrame:
-    """``groups, b, auc`` of Poisson bootstrap replicates ``first ≤ b < last``.
+    """``groups, at, inner, rows``: pieces of the sample in score order, for :func:`replicate_aucs`.
 
-    Each row enters each replicate Poisson(1) times, drawn from its key, so replicates need no
-    common order of rows. Draws are summed per (replicate, score) before the shuffle. Lanes cut
-    from the whole sample's scores serve every replicate.
+    The rows are range-partitioned by score and key, so a mass of equal scores spreads out as well,
+    and each lane becomes three pieces: the rows of its lowest score, those between (``inner``), and
+    those of its highest. Lowest and highest scores may go on in other lanes. ``rows`` are
+    ``(opens, label, suffix)`` in order; ``opens`` marks the first of a score, ``suffix`` is the
+    end of the text that the row's draws are digests of.
     """
-    rows = df.where(f"{score} IS NOT NULL").selectExpr(
-        *groups, f"{key} AS _key", f"{score} AS score", f"{label} AS _label"
+    whole = df.where(f"{score} IS NOT NULL").selectExpr(
+        *groups,
+        f"{score} AS _score",
+        f"{label} AS _label",
+        f"concat_ws('', IF({key} IS NULL, NULL, '|'), cast({key} as string)) AS _suffix",
     )
-    scores = materialise(rows.select("score").distinct())
-    laned = lanes_by_value(scores, "score", (), lane_rows)
-    # Each row becomes a thousand, so even a small table is spread over all cores first.
-    spread = rows.repartition(draw_tasks(rows, replicates[1] - replicates[0]))
-    drawn = (
-        spread.selectExpr("*", f"explode(sequence({replicates[0]}, {replicates[1] - 1})) AS b")
-        .selectExpr("*", f"{hash32(seed, 'b', '_key')} AS h")
-        .selectExpr(*groups, "b", "score", "_label", f"{poisson_of('h')} AS w")
-        .where("w > 0")
-        .groupBy(*groups, "b", "score")
-        .agg(
-            F.expr("sum(IF(_label = 0, w, 0)) AS neg"), F.expr("sum(IF(_label = 1, w, 0)) AS pos")
+    whole = materialise(whole)
+    # Even a small sample is drawn on every core.
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    n = whole.count()
+    lanes = range_lanes(whole, [*groups, "_score", "_suffix"], n, max(1, min(lane_rows, n // (4 * cores))))
+    lists = lanes.groupBy(*groups, "lane").agg(
+        F.expr("sort_array(collect_list(struct(_score, _label, _suffix))) AS rows"),
+        F.expr("min(_score) AS low"),
+        F.expr("max(_score) AS high"),
+    )
+    flagged = "transform(rows, (e, i) -> struct(e._score AS score, i = 0 OR e._score <> "
+    flagged += "rows[greatest(i - 1, 0)]._score AS opens, e._label AS label, e._suffix AS suffix))"
+    pieces = {
+        ("low", "false"): "e.score = low",
+        ("low", "true"): "e.score > low AND e.score < high",
+        ("high", "false"): "e.score = high AND high > low",
+    }
+    cut = ", ".join(
+        f"struct({at} AS at, {inner} AS inner, filter(flagged, e -> {test}) AS rows)"
+        for (at, inner), test in pieces.items()
+    )
+    marked = lists.selectExpr(*groups, "low", "high", f"{flagged} AS flagged")
+    return stored(marked.selectExpr(*groups, f"inline(array({cut}))").where("size(rows) > 0"))
+
+
+def _drawn(pieces: DataFrame, first: int, last: int, groups: Sequence[str], seed) -> DataFrame:
+    """``groups, b, at, inner, neg, pos, twice``: the totals of each piece in each replicate.
+
+    A task holds the weights of one piece in some replicates as a matrix; the negatives seen so far
+    are prefix sums along its rows.
+    """
+    kept, cuts = [*groups, "at", "inner"], poisson_cuts()
+    fields = [pieces.schema[c] for c in kept]
+    more = T.StructType.fromDDL("b int, neg bigint, pos bigint, twice bigint")
+    cells = DRAW_CELLS
+
+    def totals(rows: pa.StructArray, replicates: range) -> list[np.ndarray]:
+        label = rows.field("label").to_numpy(zero_copy_only=False)
+        opens = rows.field("opens").to_numpy(zero_copy_only=False)
+        suffixes = [s.encode() for s in rows.field("suffix").to_pylist()]
+        starts = np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
+        digests = (
+            hashlib.md5(prefix + suffix).digest()[:4]
+            for prefix in (f"{seed}|{b}".encode() for b in replicates)
+            for suffix in suffixes
         )
+        drawn = np.frombuffer(b"".join(digests), ">u4").reshape(len(replicates), len(label))
+        weights = np.searchsorted(cuts, drawn, side="right")
+        pos = weights * (label == 1)
+        seen = np.zeros((len(replicates), len(label) + 1), np.int64)
+        np.cumsum(weights * (label == 0), axis=1, out=seen[:, 1:])
+        twice = (pos * (seen[:, starts] + seen[:, 1:])).sum(1)
+        return [seen[:, -1], pos.sum(1), twice]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows = batch["rows"].slice(i, 1).flatten()
+                step = max(1, cells // len(rows))
+                for at in range(first, last, step):
+                    replicates = range(at, min(at + step, last))
+                    same = pa.array(np.full(len(replicates), i))
+                    own = [batch[c].take(same) for c in kept]
+                    found = [pa.array(v, pa.int64()) for v in totals(rows, replicates)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*own, pa.array(replicates, pa.int32()), *found], names=[*kept, *more.names]
+                    )
+
+    return pieces.select(*kept, "rows").mapInArrow(run, T.StructType([*fields, *more.fields]))
+
+
+def replicate_aucs(
+    lanes: DataFrame, replicates: tuple[int, int], groups: Sequence[str] = (), seed=0
+) -> DataFrame:
+    """``groups, b, auc`` of Poisson bootstrap replicates ``first ≤ b < last`` of :func:`score_lanes`.
+
+    Each row enters each replicate Poisson(1) times, drawn from its key, so replicates need no
+    common order of rows. A piece of a lane hands on three totals per replicate: its negatives, its
+    positives, and twice its own rightly ordered pairs. Only these are exchanged; no draw leaves its
+    task, so what is shuffled does not grow with rows times replicates.
+    """
+    # A piece is little to read and long to draw from: spread them by number, not by bytes.
+    cores = lanes.sparkSession.sparkContext.defaultParallelism
+    spread = lanes.repartition(max(cores, lanes.count() // PIECES_PER_TASK))
+    each = _drawn(spread, *replicates, groups, seed)
+    # One exchange serves the sums of scores in several lanes and the order of all pieces.
+    met = each.repartition(*groups, "b").groupBy(*groups, "b", "at", "inner").agg(
+        F.expr("sum(neg) AS neg"), F.expr("sum(pos) AS pos"), F.expr("sum(twice) AS twice")
     )
-    if "lane" in laned.columns:
-        drawn = drawn.join(laned, "score")
-    return pair_auc(drawn, [*groups, "b"]).select(*groups, "b", "auc")
+    order = f"PARTITION BY {', '.join([*groups, 'b'])} ORDER BY at, inner"
+    placed = met.selectExpr("*", f"sum(neg) OVER ({order}) - neg AS before")
+    wide = "cast({} as decimal(19,0))"
+    own = f"IF(inner, {wide.format('twice')}, {wide.format('pos')} * {wide.format('neg')})"
+    pairs = f"{own} + {wide.format('pos')} * {wide.format('2 * before')}"
+    sums = placed.groupBy(*groups, "b").agg(
+        F.expr(f"cast(sum({pairs}) as double) AS u"),
+        F.expr("sum(pos) AS n_pos"),
+        F.expr("sum(neg) AS n_neg"),
+    )
+    auc = "u / (2.0D * cast(n_pos as double) * cast(n_neg as double)) AS auc"
+    return sums.where("n_pos > 0 AND n_neg > 0").selectExpr(*groups, "b", auc)
 
 
 def _short_groups(
@@ -165,6 +269,7 @@ def bootstrap_interval(
     iterations: int = 1000,
     confidence: float = 0.95,
     groups: Sequence[str] = (),
+    seed=0,
     **options,
 ) -> DataFrame:
     """``groups, n_valid, ci_low, ci_high``: percentile interval over the bootstrap AUCs.
@@ -173,14 +278,15 @@ def bootstrap_interval(
     Groups must hold both classes. One that stays short of ``iterations`` is an error.
     """
     wanted = materialise(df.selectExpr(*groups, "1 AS _one").distinct())
-    aucs = materialise(replicate_aucs(df, (0, iterations), groups=groups, **options))
+    lanes = score_lanes(df, groups=groups, **options)
+    aucs = materialise(replicate_aucs(lanes, (0, iterations), groups, seed))
     upto = iterations
     for _ in range(REDRAW_ROUNDS):
         short = _short_groups(wanted, aucs, groups, iterations)
         if short.isEmpty():
             break
-        some = df.join(F.broadcast(short), [*groups], "left_semi") if groups else df
-        more = replicate_aucs(some, (upto, 2 * upto), groups=groups, **options)
+        some = lanes.join(F.broadcast(short), [*groups], "left_semi") if groups else lanes
+        more = replicate_aucs(some, (upto, 2 * upto), groups, seed)
         aucs = materialise(aucs.union(more))
         upto *= 2
     if not _short_groups(wanted, aucs, groups, iterations).isEmpty():
@@ -217,14 +323,10 @@ def report(
     groups = [strata] if strata else []
     if strata:
         df = df.where(f"{strata} IS NOT NULL")
-    sound = f"coalesce({score} IS NOT NULL AND NOT isnan({score}) AND {label} IN (0, 1), false)"
-    df = materialise(df.selectExpr(*groups, key, score, label, f"{sound} AS _sound"))
-    size = df.selectExpr("count(*) AS n_total", "count_if(_sound) AS n_scored").first()
-    if size["n_scored"] < size["n_total"] and not allow_missing:
-        raise ValueError(f"only {size['n_scored']} of {size['n_total']} rows have score and label")
-    df = df.where("_sound").drop("_sound")
-    points = roc_auc(df, score, label, groups).withColumn("n", F.expr("n_pos + n_neg"))
-    points = materialise(points)
+    df = materialise(df.selectExpr(*groups, key, score, label))
+    points = roc_auc(df, score, label, groups, allow_missing=allow_missing)
+    points = materialise(points.withColumn("n", F.expr("n_pos + n_neg")))
+    df = df.where(f"coalesce(NOT isnan({score}) AND {label} IN (0, 1), false)")
     if points.isEmpty():  # one class only: nothing to draw
         none = "cast(NULL AS double)"
         return points.selectExpr(

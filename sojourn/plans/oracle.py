@@ -644,7 +644,8 @@ FINAL: dict[str, str] = {
         "age_bucket",
     ),
     "report_by_prs": report_sql(
-        "(SELECT subject_id, label, list_max(scores) AS score, has_prs FROM subject_preds JOIN presence USING (subject_id))",
+        "(SELECT subject_id, label, list_max(scores) AS score, coalesce(has_prs, false) AS has_prs "
+        "FROM subject_preds LEFT JOIN presence USING (subject_id))",
         "subject_id",
         "has_prs",
     ),

@@ -622,10 +622,12 @@ def report_by_age(spark, sf_dir):
 
 @query
 def report_by_prs(spark, sf_dir):
+    # Every prediction counts: a subject without scores has none above zero.
     predictions = materialise(_subject_predictions(spark, sf_dir))
-    known = V.prs_view(spark, sf_dir).join(predictions, "subject_id", "left_semi")
-    scored = predictions.join(known, "subject_id", "left_semi")
-    rows = evaluate.prepared(scored, "max", known)
+    known = V.prs_view(spark, sf_dir)
+    scores = predictions.select("subject_id").join(known, "subject_id", "left")
+    scores = scores.selectExpr("subject_id", "coalesce(prs, array(array(0.0D))) AS prs")
+    rows = evaluate.prepared(predictions, "max", scores)
     return _rounded(evaluate.report(rows, "has_prs", ITERATIONS, seed=5), "has_prs")
 
 

@@ -1,8 +1,10 @@
+import hashlib
 import random
 import statistics
 
 import pytest
 
+from sojourn.functions.seeded import poisson_cuts
 from sojourn.operators import evaluate, prs
 from sojourn.plans import jobs
 
@@ -125,6 +127,50 @@ def test_missing_scores_and_single_class(spark, monkeypatch):
     assert not drawn
 
 
+def test_auc_refuses_missing_scores(spark):
+    rows = [(0.1, 0), (0.9, 1), (None, 1), (float("nan"), 0), (0.5, None), (0.4, 3)]
+    df = spark.createDataFrame(rows, "s double, y int")
+    for odd in rows[2:]:
+        with pytest.raises(ValueError, match="only 2 of 3"):
+            evaluate.roc_auc(spark.createDataFrame([*rows[:2], odd], "s double, y int"), "s", "y")
+    row = evaluate.roc_auc(df, "s", "y", allow_missing=True).first()
+    assert (row["n_pos"], row["n_neg"], row["auc"]) == (1, 1, 1.0)
+
+
+def brute_replicate(rows, b, seed):
+    cuts, drawn = poisson_cuts(), []
+    for i, score, label in rows:
+        text = f"{seed}|{b}" if i is None else f"{seed}|{b}|{i}"
+        h = int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+        drawn += [(score, label)] * sum(h >= c for c in cuts)
+    return brute_auc(drawn)
+
+
+@pytest.mark.parametrize("lane_rows", [4096, 3])
+def test_replicates_are_those_of_plain_draws(spark, lane_rows, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(6) / 5, int(rng.random() < 0.4)) for i in range(90)]
+    rows += [(i, 0.4, i % 2) for i in range(100, 140)] + [(None, 0.2, 1), (7, 0.2, 0)]
+    df = spark.createDataFrame(rows, "k int, s double, y int")
+    monkeypatch.setattr(evaluate, "DRAW_CELLS", 50)
+    lanes = evaluate.score_lanes(df, "k", "s", "y", lane_rows=lane_rows)
+    got = {r["b"]: r["auc"] for r in evaluate.replicate_aucs(lanes, (3, 40), (), 8).collect()}
+    assert got == {b: pytest.approx(brute_replicate(rows, b, 8)) for b in range(3, 40)}
+
+
+def test_totals_per_piece_are_exchanged_not_draws(spark):
+    def exchanged(n, replicates):
+        df = spark.range(n).selectExpr("id AS k", "id / 7 AS s", "cast(id % 2 as int) AS y")
+        lanes = evaluate.score_lanes(df, "k", "s", "y", lane_rows=n)
+        pieces = lanes.count()
+        assert lanes.selectExpr("sum(size(rows))").first()[0] == n
+        return evaluate._drawn(lanes, 0, replicates, (), 0).count(), pieces
+
+    few, pieces = exchanged(400, 20)
+    many, more_pieces = exchanged(4000, 20)
+    assert few == pieces * 20 and many == more_pieces * 20 and more_pieces <= 2 * pieces
+
+
 def test_prs_rows_must_match_by_subject(spark):
     rows = [(1, "AGE_3", [0.5], 0), (2, "AGE_3", [0.5], 1)]
     kind = "subject_id int, original_text string, probability_scores array<double>, label_token int"
