@@ -4,17 +4,24 @@ Vectors become whole numbers, ``floor(256 * x)``. One more coordinate lifts all
 (the queries keep 0 there), where the largest inner product is the least distance. Every vector's
 distances to fixed pivots are computed once, as its row of the pivot table. For a query and a
 candidate, the largest difference of the two rows bounds their distance from below, hence the score
-from above. Each block of candidates is visited in the order of that bound and left when the k-th
-best score lies above the bound of all the rest, so results are exact.
-
-Queries and candidates meet block by block: a task holds one block of each, and hands on its best k
-per query. Vectors that are null or hold null or non-finite components take no part, nor do rows
-without id. Repeats of an id count as one vector, the least. Only vectors of equal length are
-compared. Scores beyond a long are held at its ends.
+from above.
+
+Candidates are range-partitioned by nearest pivot and distance to it into blocks, and a block's rows,
+in that order, into rings; the intervals of a ring's or block's pivot distances bound all of its rows at
+once. A query first visits the block it stands in itself, which gives it a k-th best score. It is then
+sent only to the other blocks whose bound reaches that score. Within a block, rings are evaluated in the
+order of their bounds, each for the queries whose k-th score its bound still reaches, so results are
+exact. Candidates are stored once and copied only per ``QUERY_BLOCK`` queries.
+
+Vectors that are null or hold null or non-finite components take no part, nor do rows without id.
+Every row is a candidate, also several of one id; a query's own id is none. Query rows of one id
+share one list. Only vectors of equal length are compared. Scores beyond a long are held at its ends.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,22 +31,23 @@ from sojourn.llm import common
 from sojourn.session import stored
 
 PIVOTS = 24
-QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 8192
-# Candidates evaluated between two looks at the bound.
+# Queries and candidates that a task holds.
+QUERY_BLOCK = 1 << 15
+CANDIDATE_BLOCK = 1 << 15
+LEAST_BLOCKS = 12
+# Candidates of a ring, which are evaluated between two looks at the bound.
 STEP = 256
 LONG_ENDS = (-(2**63), 2**63 - 1)
 
 
 def whole_vectors(vectors: DataFrame) -> DataFrame:
-    """``vec_id, dim, v`` with ``v = floor(256 * x)`` as doubles, one row per id."""
+    """``vec_id, dim, v`` with ``v = floor(256 * x)`` as doubles, for every row that takes part."""
     sound = "embedding IS NOT NULL AND vec_id IS NOT NULL AND forall(embedding, "
     sound += "x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity'))"
     # A double of 2^53 or more is a whole number already.
     whole = "transform(transform(embedding, x -> 256D * double(x)), "
     whole += "y -> IF(abs(y) < 9e15D, double(floor(y)), y))"
     rows = vectors.where(sound).selectExpr("vec_id", "embedding")
-    rows = rows.groupBy("vec_id").agg(F.expr("min(embedding) AS embedding"))
     return rows.selectExpr("vec_id", "size(embedding) AS dim", f"{whole} AS v")
 
 
@@ -66,46 +74,64 @@ def _distances(lifted: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def block_top(queries, query_ids, rows_q, cands, cand_ids, rows_c, radius2: float, k: int):
-    """Best ``k`` of one candidate block for each query: (query, candidate, score) lists.
+def _bounds(scale: np.ndarray, rows_q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The largest score each query can have with any candidate within the pivot intervals.
 
-    ``rows_q`` and ``rows_c`` are rows of the pivot table, ``radius2`` the squared radius.
+    ``scale`` is a query's squared length and the squared radius together; one row of ``low`` and
+    ``high`` per group of candidates.
     """
-    out = ([], [], [])
-    norms = (queries**2).sum(1)
-    order = np.argsort(cand_ids, kind="stable")
+    lower = np.zeros((len(rows_q), len(low)))
+    for p in range(rows_q.shape[1]):
+        mine = rows_q[:, p, None]
+        np.maximum(lower, low[:, p] - mine, out=lower)
+        np.maximum(lower, mine - high[:, p], out=lower)
+    return (scale[:, None] - lower**2) / 2 + 1e-6 * (scale[:, None] + 1)  # room for rounding
+
+
+def block_top(queries, query_ids, rows_q, floors, cands, cand_ids, rows_c, radius2: float, k: int):
+    """Best ``k`` of one candidate block for each query: (query, candidate, score) lists, and the
+    number of pairs that were evaluated.
+
+    ``rows_q`` and ``rows_c`` are rows of the pivot table, ``radius2`` the squared radius. ``floors``
+    are scores that a query has ``k`` candidates for already.
+    """
+    near = rows_c.argmin(1)
+    order = np.lexsort((cand_ids, rows_c.min(1), near))
     cands, cand_ids, rows_c = cands[order], cand_ids[order], rows_c[order]
-    for i, query in enumerate(queries):
-        lower = np.zeros(len(cands))
-        for p in range(rows_c.shape[1]):
-            np.maximum(lower, np.abs(rows_c[:, p] - rows_q[i, p]), out=lower)
-        scale = norms[i] + radius2
-        upper = (scale - lower**2) / 2 + 1e-6 * (scale + 1)  # room for rounding
-        upper[cand_ids == query_ids[i]] = -np.inf
-        visit = np.argsort(-upper, kind="stable")
-        best_ids = np.empty(0, np.int64)
-        best = np.empty(0, object)
-        for at in range(0, len(visit), STEP):
-            some = visit[at : at + STEP]
-            if len(best) == k and float(best[-1]) > upper[some[0]]:
-                break
-            some = some[upper[some] > -np.inf]
-            found = _scores(query[None], cands[some])[0]
-            ids = np.concatenate((best_ids, cand_ids[some]))
-            scores = np.concatenate((best, found))
-            top = np.lexsort((ids, -scores))[:k] if scores.dtype != object else np.array(
-                sorted(range(len(ids)), key=lambda j: (-scores[j], ids[j]))[:k], int
-            )
-            best_ids, best = ids[top], scores[top]
-        out[0].extend([query_ids[i]] * len(best_ids))
-        out[1].extend(best_ids.tolist())
-        out[2].extend(int(s) for s in best)
-    return out
-
-
-def search(vectors: DataFrame, queries: str, k: int = 5) -> DataFrame:
+    starts = np.arange(0, len(cands), STEP)
+    low, high = (f.reduceat(rows_c, starts) for f in (np.minimum, np.maximum))
+    upper = _bounds((queries**2).sum(1) + radius2, rows_q, low, high)
+    best: list[list[tuple[int, int]]] = [[] for _ in queries]
+    least = floors.astype(float)
+    evaluated = 0
+    for ring in np.argsort(-upper.max(0), kind="stable").tolist():
+        active = np.flatnonzero(upper[:, ring] >= least)
+        if not len(active):
+            continue
+        some = slice(starts[ring], starts[ring] + STEP)
+        found, ids = _scores(queries[active], cands[some]), cand_ids[some]
+        evaluated += found.size
+        wanted = (found >= least[active, None]) & (query_ids[active, None] != ids)
+        for row in np.flatnonzero(wanted.any(1)).tolist():
+            q, hits = active[row], np.flatnonzero(wanted[row])
+            new = [(-int(found[row, j]), int(ids[j])) for j in hits.tolist()]
+            best[q] = sorted(best[q] + new)[:k]
+            if len(best[q]) == k:
+                least[q] = max(least[q], float(-best[q][-1][0]))
+    out = ([], [], [])
+    for q, rows in enumerate(best):
+        out[0].extend([int(query_ids[q])] * len(rows))
+        out[1].extend(i for _, i in rows)
+        out[2].extend(-s for s, _ in rows)
+    return out, evaluated
+
+
+def search(vectors: DataFrame, queries: str, k: int = 5, counted: bool = False) -> DataFrame:
     """``query_id, rank, vec_id, score``: the best ``k`` of all other rows for each row that
-    satisfies ``queries`` (SQL), ties to the smaller id."""
+    satisfies ``queries`` (SQL), ties to the smaller id.
+
+    ``counted`` gives ``pairs, evaluated`` instead: how many scores there are and were computed.
+    """
     whole = stored(whole_vectors(vectors))
     size = whole.selectExpr(
         "count(*) AS n",
@@ -114,12 +140,12 @@ def search(vectors: DataFrame, queries: str, k: int = 5) -> DataFrame:
     ).first()
     if not size["q"]:
         return whole.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0L AS score").limit(0)
-    query_blocks = -(-size["q"] // QUERY_BLOCK)
-    cand_blocks = max(8, -(-size["n"] // CANDIDATE_BLOCK))
+    chunks = -(-size["q"] // QUERY_BLOCK)
+    blocks = max(LEAST_BLOCKS, -(-size["n"] // CANDIDATE_BLOCK))
     radius2 = float(size["radius2"])
     # Pivots are a few rows in a seeded random order, with their own lift.
     seen = whole.selectExpr("dim", "v", "xxhash64(vec_id, 7) AS draw")
-    picked = seen.orderBy("draw").limit(PIVOTS).collect()
+    picked = seen.orderBy("draw", "v").limit(PIVOTS).collect()
     pivots = [(r["dim"], np.array([float(x) for x in r["v"]])) for r in picked]
 
     def lifted(v: np.ndarray, is_query: bool) -> np.ndarray:
@@ -130,21 +156,7 @@ def search(vectors: DataFrame, queries: str, k: int = 5) -> DataFrame:
         mine = [p for dim, p in pivots if dim == v.shape[1]] or [np.zeros(v.shape[1])]
         return _distances(lifted(v, is_query), lifted(np.array(mine), False))
 
-    as_double = "vec_id, dim, transform(v, x -> double(x)) AS v"
-    block = "pmod(xxhash64(vec_id), {n})"
-    cands = whole.selectExpr(
-        *as_double.split(", ", 2),
-        f"{block.format(n=cand_blocks)} AS c",
-        f"explode(sequence(0, {query_blocks - 1})) AS q",
-    )
-    asked = whole.where(queries).selectExpr(
-        *as_double.split(", ", 2),
-        f"{block.format(n=query_blocks)} AS q",
-        f"explode(sequence(0, {cand_blocks - 1})) AS c",
-    )
-    tabled = "vec_id bigint, dim int, v array<double>, c bigint, q bigint, d array<double>"
-
-    def table(df: DataFrame, is_query: bool) -> DataFrame:
+    def tabled(df: DataFrame, is_query: bool) -> DataFrame:
         def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
             dims = np.array(batch["dim"].to_pylist(), int)
             rows_of: list = [None] * batch.num_rows
@@ -154,18 +166,29 @@ def search(vectors: DataFrame, queries: str, k: int = 5) -> DataFrame:
                 for i, d in zip(at.tolist(), distances(v, is_query), strict=True):
                     rows_of[i] = d
             made = pa.array(rows_of, pa.list_(pa.float64()))
-            cast = [batch[n].cast(t) for n, t in (("vec_id", "int64"), ("dim", "int32"))]
-            return pa.RecordBatch.from_arrays(
-                [*cast, batch["v"], batch["c"].cast("int64"), batch["q"].cast("int64"), made],
-                names=["vec_id", "dim", "v", "c", "q", "d"],
-            )
+            return pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "d"])
 
-        return common.per_batch(df, rows, tabled)
+        return common.per_batch(df, rows, common.plus(df, d="array<double>"))
+
+    placed = tabled(whole, False).selectExpr(
+        "*", "cast(array_position(d, array_min(d)) as int) AS near", "array_min(d) AS far"
+    )
+    ranged = placed.repartitionByRange(blocks, "dim", "near", "far", "vec_id")
+    cands = stored(ranged.drop("near", "far").withColumn("c", F.spark_partition_id()))
+    spans = cands.selectExpr("dim", "c", "posexplode(d) AS (p, x)").groupBy("dim", "c", "p")
+    spans = spans.agg(F.expr("min(x) AS low"), F.expr("max(x) AS high")).groupBy("dim", "c")
+    spans = spans.agg(F.expr("sort_array(collect_list(struct(p, low, high))) AS s"))
+    # One row of a few hundred bytes per block of candidates.
+    table: dict[int, list] = {}
+    for r in spans.orderBy("dim", "c").collect():
+        ends = np.array([(e["low"], e["high"]) for e in r["s"]])
+        table.setdefault(r["dim"], []).append((r["c"], ends))
+    chunk = f"cast(pmod(xxhash64(vec_id, 3), {chunks}) as int) AS q"
+    asked = stored(tabled(cands.where(queries).select("vec_id", "dim", "v", "c"), True).selectExpr("*", chunk))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            found = ([], [], [])
-        else:
+        found, evaluated = ([], [], []), 0
+        if left.num_rows and right.num_rows:
             dim = left["dim"][0].as_py()
             parts = []
             for side in (left, right):
@@ -174,13 +197,55 @@ def search(vectors: DataFrame, queries: str, k: int = 5) -> DataFrame:
                     side["vec_id"].to_numpy(),
                     _matrix(side["d"], len(side["d"][0].as_py())),
                 ]
-            found = block_top(*parts, radius2, k)
-        names = ["query_id", "vec_id", "score"]
-        return pa.table([pa.array(f, pa.int64()) for f in found], names=names)
+                if side is left:
+                    parts.append(side["floor"].to_numpy())
+            found, evaluated = block_top(*parts, radius2, k)
+        columns = [*found, [None] * len(found[0])]
+        if counted:
+            columns = [[*c, v] for c, v in zip(columns, (None, None, None, evaluated), strict=True)]
+        names = ["query_id", "vec_id", "score", "evaluated"]
+        return pa.table([pa.array(f, pa.int64()) for f in columns], names=names)
 
     keys = ["dim", "c", "q"]
-    met = table(asked, True).groupBy(*keys).cogroup(table(cands, False).groupBy(*keys))
-    best = met.applyInArrow(meet, "query_id bigint, vec_id bigint, score bigint")
+    copies = cands.selectExpr("*", f"explode(sequence(0, {chunks - 1})) AS q").groupBy(*keys)
+
+    def visited(rows: DataFrame) -> DataFrame:
+        met = rows.select("vec_id", "v", "d", "floor", *keys).groupBy(*keys).cogroup(copies)
+        return met.applyInArrow(meet, "query_id bigint, vec_id bigint, score bigint, evaluated bigint")
+
     order = "PARTITION BY query_id ORDER BY score DESC, vec_id"
-    ranked = best.selectExpr("*", f"cast(row_number() OVER ({order}) as int) AS rank")
-    return ranked.where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        rows = found.selectExpr("*", f"cast(row_number() OVER ({order}) as int) AS rank")
+        return rows.where(f"rank <= {k}")
+
+    lowest = "double('-infinity')"
+    own = asked.selectExpr("*", f"{lowest} AS floor")
+    first = stored(visited(own))
+    full = ranked(first.where("query_id IS NOT NULL")).groupBy("query_id")
+    full = full.agg(F.expr(f"IF(count(*) = {k}, double(min(score)), NULL) AS reached"))
+    # Compared as doubles, so a floor must not be rounded up.
+    floor = f"coalesce(reached - abs(reached) * 1e-15D, {lowest}) AS floor"
+    known = asked.join(full.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+    known = known.selectExpr("vec_id", "dim", "v", "c", "d", "q", floor)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, dim in enumerate(batch["dim"].to_pylist()):
+                v, d = (np.array(batch[c][i].as_py(), float) for c in ("v", "d"))
+                others = [e for e in table[dim] if e[0] != batch["c"][i].as_py()]
+                if not others:
+                    continue
+                low, high = (np.array([e[1][:, j] for e in others]) for j in (0, 1))
+                upper = _bounds(np.array([(v**2).sum() + radius2]), d[None], low, high)[0]
+                reach = np.flatnonzero(upper >= batch["floor"][i].as_py())
+                row = batch.take(pa.array(np.full(len(reach), i)))
+                c = pa.array([others[j][0] for j in reach], pa.int32())
+                yield row.set_column(row.schema.get_field_index("c"), "c", c)
+
+    more = visited(known.mapInArrow(common.tidied(sent), known.schema))
+    if counted:
+        total = first.unionByName(more).agg(F.expr("sum(evaluated) AS evaluated"))
+        return total.selectExpr(f"{size['q']}L * {size['n']}L AS pairs", "evaluated")
+    kept = ranked(first.unionByName(more).where("query_id IS NOT NULL"))
+    return kept.select("query_id", "rank", "vec_id", "score")

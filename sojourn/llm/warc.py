@@ -8,7 +8,7 @@ locate the two members, and read the index and single records by range; nothing
 Payloads that occur several times are stored once: of records with equal payloads of at least
 ``revisit_bytes`` bytes the one with the largest page id is the response, and the others are revisit
 records that name it. A repeated page id is written once per row. Null html is an empty payload.
-Rows without id get the id -1 in their record and are null again when read.
+Rows without id have a record without the id's header and are null again when read.
 
 Tasks write packages into a folder that all executors share, under names of their own attempt; only
 the packages that a finished task has reported are read, so a repeated task leaves no doubles.
@@ -181,7 +181,7 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _uri(page: int | None) -> str:
-    return f"urn:page:{-1 if page is None else page}"
+    return "-" if page is None else f"urn:page:{page}"
 
 
 def _page_record(page, url: str, payload: bytes, digest: bytes, refers_to) -> bytes:
@@ -190,7 +190,7 @@ def _page_record(page, url: str, payload: bytes, digest: bytes, refers_to) -> by
         ("WARC-Type", kind),
         ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page}|{digest.hex()}')}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Page-ID", _uri(page)),
+        *([] if page is None else [("WARC-Page-ID", _uri(page))]),
         ("WARC-Target-URI", " ".join(url.split())),
         ("WARC-Payload-Digest", f"sha1:{base64.b32encode(digest).decode()}"),
         ("WARC-Payload-Length", str(len(payload))),
@@ -309,8 +309,7 @@ def read(places: DataFrame, folder: str) -> DataFrame:
     made += "payload_bytes bigint, payload_digest string"
 
     def page(uri: str | None) -> int | None:
-        found = int(uri.rsplit(":", 1)[1]) if uri else -1
-        return None if found == -1 else found
+        return int(uri.rsplit(":", 1)[1]) if uri else None
 
     def one(data: bytes) -> dict:
         fields, content = parsed(data)
@@ -320,9 +319,9 @@ def read(places: DataFrame, folder: str) -> DataFrame:
         if kind == "response":
             payload = content.partition(CRLF + CRLF)[2]
             if hashlib.sha1(payload).hexdigest() != digest or len(payload) != size:
-                raise ValueError(f"the payload of {fields['warc-page-id']} does not fit its digest")
+                raise ValueError(f"the payload of {fields['warc-record-id']} does not fit its digest")
         return {
-            "page_id": page(fields["warc-page-id"]),
+            "page_id": page(fields.get("warc-page-id")),
             "record_type": kind,
             "refers_to": page(fields.get("warc-refers-to-page")),
             "payload": payload,

@@ -88,13 +88,16 @@ def vectors(spark, rows):
 def test_top_k_is_exact(spark):
     draw = np.random.default_rng(5)
     rows = [(i, draw.normal(size=8).tolist(), 1, "x") for i in range(300)]
-    rows += [(1000, rows[0][1], 1, "x"), (1000, rows[0][1], 1, "x"), (1001, None, 1, "x")]
+    rows += [(1000, rows[0][1], 1, "x"), (1000, rows[0][1], 1, "x")]  # a repeated query
+    rows += [(7, (4 * np.array(rows[0][1])).tolist(), 1, "x")] * 2  # unequal vectors of one id, and a copy
+    rows += [(2000 + i, rows[50][1], 1, "x") for i in range(9)]  # ties beyond the fifth
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float))) for i, v, _, _ in rows]
+    rows += [(1001, None, 1, "x")]
     rows += [(1002, [1.0, None], 1, "x"), (1003, [math.nan] * 8, 1, "x"), (None, [0.0] * 8, 1, "x")]
-    whole = {i: np.floor(256 * np.array(v, np.float32).astype(float)) for i, v, _, _ in rows[:301]}
     want = []
-    for q in (i for i in whole if i % 50 == 0):
-        found = sorted((-int(whole[q] @ v), i) for i, v in whole.items() if i != q)[:5]
-        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
+    for q in sorted({i for i, _ in whole if i % 50 == 0}):
+        scores = [(-int(u @ v), i) for j, u in whole if j == q for i, v in whole if i != q]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:5])]
     got = topk.search(vectors(spark, rows), "vec_id % 50 = 0")
     assert by_id(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
     assert topk.search(vectors(spark, []), "vec_id % 50 = 0").count() == 0
@@ -102,6 +105,27 @@ def test_top_k_is_exact(spark):
     assert topk.search(vectors(spark, huge), "vec_id = 0").first()["score"] == 2**63 - 1
 
 
+def test_top_k_skips_what_cannot_reach(spark):
+    draw = np.random.default_rng(9)
+    rows = []
+    for i in range(40):  # vectors in distant bundles
+        center = draw.normal(size=6)
+        center *= 10 / np.linalg.norm(center)  # of equal length, where distances tell most
+        rows += [(100 * i + j, (center + 0.1 * draw.normal(size=6)).tolist(), 1, "x") for j in range(100)]
+    whole = np.array([np.floor(256 * np.array(v, np.float32).astype(float)) for _, v, _, _ in rows])
+    ids = np.array([i for i, *_ in rows])
+    table = vectors(spark, rows)
+    got = topk.search(table, "vec_id % 50 = 0")
+    want = []
+    for q in np.flatnonzero(ids % 50 == 0):
+        scores = whole @ whole[q]
+        top = [j for j in np.lexsort((ids, -scores)) if j != q][:5]
+        want += [(int(ids[q]), n + 1, int(ids[j]), int(scores[j])) for n, j in enumerate(top)]
+    assert by_id(got, "query_id", "rank", "vec_id", "score") == sorted(want, key=repr)
+    work = topk.search(table, "vec_id % 50 = 0", counted=True).first()
+    assert work["pairs"] == 80 * 4000 and work["evaluated"] < work["pairs"] / 2
+
+
 def test_embedding_links(spark):
     draw = np.random.default_rng(8)
     rows = []
@@ -419,3 +443,28 @@ def test_two_texts_of_one_id_are_both_looked_up(spark):
     parts = spark.sparkContext.parallelize(rows, 2)  # the early rows in one task, the late in another
     got = substring.removed(spark.createDataFrame(parts, "doc_id bigint, text string")).collect()
     assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (1, 0), (9, 13), (10, 13)]
+
+
+def test_warc_keeps_negative_and_missing_ids(spark):
+    common.ship(spark)
+    same = "x" * 1200
+    rows = [(-1, "u", same), (-3, "u", same), (None, "u", same), (-7, None, "short"), (None, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = by_id(warc.round_trip(pages), "page_id", "payload_bytes", "record_type", "refers_to")
+    want = [(-1, 1200, "response", None), (-3, 1200, "revisit", -1), (None, 1200, "revisit", -1)]
+    want += [(-7, 5, "response", None), (None, 0, "response", None)]
+    assert got == sorted(want, key=repr)
+
+
+def test_every_query_has_sql_or_a_brute_force_test():
+    """Operators that SQL cannot express, and the test that holds them against something plainer."""
+    tested = {
+        "op1_bpe": test_bpe_is_the_library_and_round_trips,
+        "op3_toxicity": test_toxicity_learns_and_holds_out,
+        "op4_simhash": test_simhash_groups,
+        "op6_pii": test_base_rules_on_odd_strings,
+        "op7_embeddings": test_embedding_links,
+        "op8_mixing": test_mixing_meets_targets,
+        "op10_lm": test_losses_leave_the_document_out,
+    }
+    assert set(queries.QUERIES) == set(queries.STATEMENTS) | set(tested)
