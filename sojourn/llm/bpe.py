@@ -14,13 +14,14 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from sojourn.llm import common
 
@@ -29,7 +30,8 @@ NO_RANK = np.int32(2**31 - 1)
 CELLS = 1 << 20
 LONG = 512
 # Distinct pieces a task remembers; pieces of one text that are looked at together.
-CACHE = 500_000
+CACHE = 100_000
+CACHE_BYTES = 16 << 20  # of pieces and their ids
 PIECES = 1 << 17
 # Texts whose pieces are held at once.
 TEXT_BYTES = 1 << 21
@@ -232,7 +234,7 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.known = vocabulary, {}
+        self.vocabulary, self.known, self.held = vocabulary, {}, 0
         self.one = [np.int32(i).tobytes() for i in range(len(vocabulary.bytes))]
         # White space as Unicode's property has it, as tokenizers do.
         self.pattern = regex.compile(with_sets(pattern, {r"\s": SPACES}))
@@ -246,9 +248,10 @@ class Encoder:
 
     def _learn(self, pieces: set) -> None:
         new = list(pieces.difference(self.known))
-        if len(self.known) + len(new) > CACHE:
+        if len(self.known) + len(new) > CACHE or self.held > CACHE_BYTES:
             self.known.clear()
-            new = list(pieces)
+            new, self.held = list(pieces), 0
+        self.held += 3 * sum(map(len, new))
         ids, open_, open_bytes = self.vocabulary.ids, [], []
         for piece in new:
             raw = piece.encode() if isinstance(piece, str) else piece
@@ -286,16 +289,16 @@ def with_column(batch: pa.RecordBatch, column: pa.Array, name: str) -> pa.Record
     return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
 
 
-def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", name: str = "ids"
-) -> DataFrame:
-    """All columns of ``docs`` and the ids of ``text``, each match of ``pattern`` by itself.
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
-    The rank file, whose size does not depend on the data, is broadcast.
-    """
+
+def _shared(df: DataFrame, ranks_path: str):
+    """The rank file, whose size does not depend on the data, as a broadcast."""
     with open(ranks_path, "rb") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+        return df.sparkSession.sparkContext.broadcast(file.read())
 
+
+def _encoding(shared, pattern: str, text: str, name: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(Vocabulary(shared.value), pattern)
         for batch in batches:
@@ -305,14 +308,10 @@ def encode(
                 values = np.concatenate(ids) if ids else np.empty(0, np.int32)
                 yield with_column(part, pa.ListArray.from_arrays(ends, values), name)
 
-    return docs.mapInArrow(common.tidied(run), common.plus(docs, **{name: "array<int>"}))
-
+    return run
 
-def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """All columns of ``docs`` and the bytes that ``ids`` stand for; null ids give none."""
-    with open(ranks_path, "rb") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
+def _decoding(shared, ids: str, name: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = Vocabulary(shared.value).bytes.__getitem__
         for batch in batches:
@@ -321,10 +320,25 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", name: str = "deco
                 found = [b"".join(map(token, v.tolist())) for v in id_arrays(part[ids])]
                 yield with_column(part, pa.array(found, pa.binary()), name)
 
+    return run
+
+
+def encode(
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", name: str = "ids"
+) -> DataFrame:
+    """All columns of ``docs`` and the ids of ``text``, each match of ``pattern`` by itself."""
+    run = _encoding(_shared(docs, ranks_path), pattern, text, name)
+    return docs.mapInArrow(common.tidied(run), common.plus(docs, **{name: "array<int>"}))
+
+
+def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """All columns of ``docs`` and the bytes that ``ids`` stand for; null ids give none."""
+    run = _decoding(_shared(docs, ranks_path), ids, name)
     return docs.mapInArrow(common.tidied(run), common.plus(docs, **{name: "binary"}))
 
 
 DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
+DIGEST_KINDS = dict(zip(DIGESTS, ("bigint", "string", "string"), strict=True))
 
 
 def id_arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
@@ -334,11 +348,7 @@ def id_arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
         yield values[offsets[i] : offsets[i + 1]].to_numpy(False) if valid else np.empty(0, int)
 
 
-def digests(
-    coded: DataFrame, ids: str = "ids", decoded: str = "decoded", keep: tuple[str, ...] = ("doc_id",)
-) -> DataFrame:
-    """The columns to ``keep``, ``n_tokens``, and SHA-256 of the decimal ids and of the decoded bytes."""
-
+def _digesting(ids: str, decoded: str, keep: tuple[str, ...]) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decimal: list[bytes] = []
         for batch in batches:
@@ -353,6 +363,39 @@ def digests(
             made = [pa.array(sizes, pa.int64()), pa.array(hashes), pa.array(whole)]
             yield pa.record_batch([batch[c] for c in keep] + made, names=[*keep, *DIGESTS])
 
-    made = dict(zip(DIGESTS, ("bigint", "string", "string"), strict=True))
-    schema = common.plus(coded.select(*keep), **made)
+    return run
+
+
+def digests(
+    coded: DataFrame, ids: str = "ids", decoded: str = "decoded", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The columns to ``keep``, ``n_tokens``, and SHA-256 of the decimal ids and of the decoded bytes."""
+    run = _digesting(ids, decoded, keep)
+    schema = common.plus(coded.select(*keep), **DIGEST_KINDS)
     return coded.select(*dict.fromkeys((*keep, ids, decoded))).mapInArrow(common.tidied(run), schema)
+
+
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """:func:`digests` of :func:`decode` of :func:`encode`, in one worker per task.
+
+    ``keep`` may name ``ids``. Each step in a map of its own would hold a worker of its own.
+    """
+    shared = _shared(docs, ranks_path)
+    kept = [c for c in keep if c != "ids"]
+    steps = [
+        _encoding(shared, pattern, text, "ids"),
+        _decoding(shared, "ids", "decoded"),
+        _digesting("ids", "decoded", keep),
+    ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        yield from batches
+
+    rows = docs.select(*dict.fromkeys((*kept, text)))
+    kinds = {c: "array<int>" if c == "ids" else docs.schema[c].dataType.simpleString() for c in keep}
+    schema = StructType.fromDDL(", ".join(f"`{c}` {kind}" for c, kind in (kinds | DIGEST_KINDS).items()))
+    return rows.mapInArrow(common.tidied(run), schema)

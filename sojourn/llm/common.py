@@ -23,8 +23,9 @@ from sojourn.session import materialise, stored
 
 # Lookup sides are broadcast up to this many counted rows of a few numbers each.
 BROADCAST_ROWS = 200_000
-# Rows that a worker gets at once.
+# Rows that a worker gets at once, and their bytes; a longer row comes alone.
 ARROW_ROWS = 1000
+ARROW_BYTES = 2 << 20
 # A worker's cache of word hashes is emptied at this size.
 CACHE_WORDS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, and keep Arrow batches small.
 
-    Texts differ much in length, so batches are bounded by rows; workers hold a few MB of text.
+    Texts differ much in length, so batches are bounded by rows and by bytes, in the JVM as well as
+    in the workers.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     context = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     name = os.path.basename(root)
@@ -149,7 +152,7 @@ def crc_of(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of each batch of edges, every edge pointing to its tree's least vertex."""
     for batch in batches:
         parent: dict[int, int] = {}
@@ -191,14 +194,18 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return tied.where("a > b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, reduced: bool = False) -> DataFrame:
     """``vertex, component`` (the least vertex reachable) of every vertex of ``edges(a, b)``.
 
+    ``reduced`` edges come as :func:`forests` already, from the map that made them.
+
     Alternating star contraction; each round is written out, and the rounds end when nothing
     changes, after about log(n)^2 rounds at worst. Loops are ignored; no edges give no rows.
     """
     edges = edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").where("a > b")
-    edges = stored(edges.mapInArrow(tidied(_forests), "a bigint, b bigint").distinct())
+    if not reduced:
+        edges = edges.mapInArrow(tidied(forests), "a bigint, b bigint")
+    edges = stored(edges.distinct())
     before = None
     while True:
         edges = stored(_stars(_stars(edges, large=True), large=False))

@@ -28,8 +28,7 @@ def _query(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
 @_query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, RANKS, PATTERN).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(coded, RANKS))
+    return bpe.round_trip(docs, RANKS, PATTERN)
 
 
 @_query

@@ -21,8 +21,8 @@ not belong to one group already.
 Equal sets are one row. Where many share a segment, pairs would grow with their square. Such a cell
 elects leaders: the first member, then the first that is far from all leaders, and so on. Members are
 compared with the leaders of this cell and those around it first, and then with all members that are
-not in their tree yet, in bounded pieces. A place of more than ``ROWS`` rows is written to a local
-file in blocks, and each block meets itself and every later one.
+not in their tree yet, in bounded pieces. A place of more than ``ROWS`` rows is dealt into blocks, and
+each block meets itself and every other one in a group of rows of its own.
 
 Null text counts as empty; texts without words are copies of one another. A text of fewer than five
 words is one shingle. Rows with a null id stay if their whole group has none. Documents with
@@ -31,8 +31,6 @@ clashing hashes of their sets would share a group; of 10^8 sets that is one case
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +42,7 @@ from pyspark.sql import functions as F
 from sojourn.llm import common
 from sojourn.llm.simhash import shingle_hashes
 from sojourn.operators.distribute import lookup_join
-from sojourn.session import stored
+from sojourn.session import materialise, stored
 
 SHINGLE_WORDS = 5
 MOST_BITS = 58
@@ -55,7 +53,7 @@ HALF = SEGMENT // 2
 # Cells of up to this many fingerprints are compared pair by pair.
 CELL = 64
 # Rows that a task looks through at once, and of a block of a longer place.
-ROWS = 1 << 17
+ROWS = 1 << 16
 SHINGLES = 1 << 14
 # Sets, and shingles of all of them, that a task compares with one another.
 BLOCK = 256
@@ -247,62 +245,56 @@ class _Meeting:
         return pa.record_batch({"a": pa.array(ends[0]), "b": pa.array(ends[1])})
 
 
-class _Block:
-    """Rows of a place in a local file."""
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links among rows sorted by place and part; whole parts are looked through together."""
+    held: list[tuple[np.ndarray, ...]] = []
+    many = 0
 
-    def __init__(self, folder: str, number: int, rows: tuple[np.ndarray, ...]):
-        self.path = os.path.join(folder, f"{number}.npz")
-        np.savez(self.path, *rows)
+    def together() -> tuple[np.ndarray, ...]:
+        return tuple(map(np.concatenate, zip(*held, strict=True)))
 
-    def rows(self) -> tuple[np.ndarray, ...]:
-        with np.load(self.path) as held:
-            return tuple(held[k] for k in held.files)
+    for batch in batches:
+        names = ("place", "part", "rest", "id")
+        held.append((*(batch[c].to_numpy() for c in names), _words(batch)))
+        many += batch.num_rows
+        if many < ROWS:
+            continue
+        rows = together()
+        ends = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])) + 1
+        if len(ends):  # the last part may go on
+            place, _, *others = (c[: ends[-1]] for c in rows)
+            yield _Meeting(place, *others).links()
+            rows = tuple(c[ends[-1] :] for c in rows)
+        held, many = [rows], len(rows[0])
+    if many:
+        place, _, *others = together()
+        yield _Meeting(place, *others).links()
 
 
-def _together(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    return tuple(map(np.concatenate, zip(a, b, strict=True)))
+def place_counts(fps: DataFrame, first: int = 0, last: int = TABLES) -> DataFrame:
+    """``place, n``: the fingerprints that each place of the tables gets."""
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for dealt in _dealt(batches, first, last):
+            place, n = np.unique(dealt["place"].to_numpy(), return_counts=True)
+            yield pa.record_batch({"place": pa.array(place), "n": pa.array(n.astype(np.int64))})
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among rows sorted by place; of a long place every two blocks of rows meet."""
-    held, blocks = None, []
-    with tempfile.TemporaryDirectory(prefix="sojourn-places-") as folder:
+    rows = fps.mapInArrow(common.tidied(counted), "place int, n bigint")
+    return rows.groupBy("place").agg(F.expr("sum(n) AS n"))
 
-        def ended(rows: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            if len(rows[0]):
-                yield _Meeting(*rows).links()
-            for block in blocks:
-                yield _Meeting(*_together(block.rows(), rows)).links()
 
-        for batch in batches:
-            rows = (batch["place"].to_numpy(), batch["rest"].to_numpy(), batch["id"].to_numpy(), _words(batch))
-            held = rows if held is None else _together(held, rows)
-            if len(held[0]) < ROWS:
-                continue
-            if blocks and held[0][0] != blocks[0].place:
-                blocks = []
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            if blocks or not last:
-                # the first place of these rows is long, or goes on from blocks
-                first = int(np.searchsorted(held[0], held[0][0], side="right"))
-                yield from ended(tuple(c[:first] for c in held))
-                if first == len(held[0]):
-                    blocks.append(_Block(folder, len(blocks), held))
-                    blocks[0].place = held[0][0]
-                    held = None
-                    continue
-                blocks, held = [], tuple(c[first:] for c in held)
-                last = int(np.searchsorted(held[0], held[0][-1]))
-            if last:
-                yield _Meeting(*(c[:last] for c in held)).links()
-                held = tuple(c[last:] for c in held)
-        if held is not None and len(held[0]):
-            if blocks and held[0][0] == blocks[0].place:
-                first = int(np.searchsorted(held[0], held[0][0], side="right"))
-                yield from ended(tuple(c[:first] for c in held))
-                held = tuple(c[first:] for c in held)
-            if len(held[0]):
-                yield _Meeting(*held).links()
+def by_part(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """``rows`` with a ``part`` of their place, of about ``2 * most`` rows at most.
+
+    The rows of a longer place are dealt into blocks, and every two blocks, or one alone, are a part.
+    """
+    longer = materialise(counts.where(f"n > {most}").selectExpr("place", f"int(ceil(n / {most})) AS m"))
+    if longer.isEmpty():
+        return rows.selectExpr("*", "0L AS part")
+    known = lookup_join(rows, longer, "place", "left", common.BROADCAST_ROWS, computed=True)
+    dealt = known.selectExpr("*", "coalesce(pmod(xxhash64(id, f0, f1, f2, f3), m), 0L) AS block")
+    pairs = "transform(sequence(0, coalesce(m, 1) - 1), j -> least(j, block) * coalesce(m, 1) + greatest(j, block))"
+    return dealt.selectExpr(*rows.columns, f"explode({pairs}) AS part")
 
 
 def links(fps: DataFrame, first: int = 0, last: int = TABLES) -> DataFrame:
@@ -318,8 +310,13 @@ def links(fps: DataFrame, first: int = 0, last: int = TABLES) -> DataFrame:
         common.tidied(dealt),
         "place int, rest smallint, id bigint, f0 bigint, f1 bigint, f2 bigint, f3 bigint",
     )
-    rows = rows.repartition("place").sortWithinPartitions("place")
-    return rows.mapInArrow(common.tidied(_met), "a bigint, b bigint")
+    rows = by_part(rows, place_counts(fps, first, last), ROWS)
+    rows = rows.repartition("place", "part").sortWithinPartitions("place", "part")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from common.forests(_met(batches))
+
+    return rows.mapInArrow(common.tidied(met), "a bigint, b bigint")
 
 
 def linked(fps: DataFrame) -> DataFrame:
@@ -328,11 +325,11 @@ def linked(fps: DataFrame) -> DataFrame:
     The first tables link most of a large group. The others then look at whole components, so that
     its members are not tied to one another once more in every table.
     """
-    tied = common.components(links(fps, 0, FIRST_TABLES))
+    tied = common.components(links(fps, 0, FIRST_TABLES), reduced=True)
     joined = fps.join(tied, F.expr("id = vertex"), "left")
     early = stored(joined.selectExpr("id", "coalesce(component, id) AS early", *WORDS))
     rest = links(early.selectExpr("early AS id", *WORDS), FIRST_TABLES, TABLES)
-    tied = common.components(rest)
+    tied = common.components(rest, reduced=True)
     return early.join(tied, F.expr("early = vertex"), "left").selectExpr(
         "id", "coalesce(component, early) AS component"
     )

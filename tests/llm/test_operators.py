@@ -69,6 +69,9 @@ def test_bpe_is_the_library_and_round_trips(docs, empty, texts):
         want.append((i, len(ids), joined, hashlib.sha256((text or "").encode()).hexdigest()))
     columns = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert by_id(run(docs), *columns) == sorted(want, key=repr)
+    at_once = bpe.round_trip(docs, queries.RANKS, queries.PATTERN, keep=("doc_id", "source", "ids"))
+    assert at_once.columns == ["doc_id", "source", "ids", *bpe.DIGESTS]
+    assert by_id(at_once, *columns) == sorted(want, key=repr)
     assert run(empty).count() == 0
 
 

@@ -72,8 +72,18 @@ def test_distance_follows_similarity():
     assert np.bitwise_count(similar.wide(a) ^ similar.wide(other)).sum() > 90
 
 
+def parted(spark, fps, size, tables=similar.TABLES):
+    """Rows of the first tables, split into parts and sorted as a task gets them."""
+    table = spark.createDataFrame(fps.to_pandas())
+    dealt = pa.Table.from_batches(list(similar._dealt(fps.to_batches(), 0, tables)))
+    rows = spark.createDataFrame(dealt.to_pandas())
+    common.ship(spark)
+    split = similar.by_part(rows, similar.place_counts(table, 0, tables), size)
+    return split.toArrow().sort_by([("place", "ascending"), ("part", "ascending")]).combine_chunks()
+
+
 @pytest.mark.parametrize("cell,size", [(64, 1 << 17), (2, 1 << 17), (2, 40)])
-def test_crowded_cells_and_long_places(monkeypatch, cell, size):
+def test_crowded_cells_and_long_places(spark, monkeypatch, cell, size):
     monkeypatch.setattr(similar, "CELL", cell)
     monkeypatch.setattr(similar, "ROWS", size)
     draw = np.random.default_rng(2)
@@ -86,8 +96,7 @@ def test_crowded_cells_and_long_places(monkeypatch, cell, size):
     batch = {"id": pa.array(np.arange(len(fps)))} | {
         w: pa.array(np.ascontiguousarray(signed[:, k])) for k, w in enumerate(similar.WORDS)
     }
-    dealt = pa.Table.from_batches(list(similar._dealt([pa.record_batch(batch)])))
-    dealt = dealt.sort_by("place").combine_chunks()
+    dealt = parted(spark, pa.table(batch), size)
     own = list(range(len(fps)))
     for found in similar._met(dealt.to_batches(max_chunksize=16)):
         for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True):
@@ -98,6 +107,19 @@ def test_crowded_cells_and_long_places(monkeypatch, cell, size):
     assert own == [25 * (i // 25) for i in range(len(fps))]
 
 
+def test_parts_hold_every_pair_of_a_place(spark):
+    rows = spark.range(100).selectExpr("int(id % 2) AS place", "id", "id AS f0", "id AS f1", "id AS f2", "id AS f3")
+    counts = rows.groupBy("place").count().withColumnRenamed("count", "n")
+    met = set()
+    parts = {}
+    for r in similar.by_part(rows, counts, 9).collect():
+        parts.setdefault((r["place"], r["part"]), []).append(r["id"])
+    for ids in parts.values():
+        met.update((a, b) for a in ids for b in ids)
+    assert met == {(a, b) for a in range(100) for b in range(100) if a % 2 == b % 2}
+    assert max(map(len, parts.values())) <= 40
+
+
 def jaccard(a, b):
     a, b = (similar.shingle_set(t.encode()) for t in (a, b))
     both = len(np.intersect1d(a, b))
@@ -132,7 +154,7 @@ def test_groups_are_those_of_all_pairs_of_shingle_sets(spark, monkeypatch, block
 
 
 @pytest.mark.parametrize("cell,size", [(64, 1 << 17), (2, 1 << 17), (2, 40)])
-def test_chains_around_distant_leaders(monkeypatch, cell, size):
+def test_chains_around_distant_leaders(spark, monkeypatch, cell, size):
     """Neighbours whose leaders differ, all of one cell, and more of them than a block of rows."""
     monkeypatch.setattr(similar, "CELL", cell)
     monkeypatch.setattr(similar, "ROWS", size)
@@ -154,8 +176,7 @@ def test_chains_around_distant_leaders(monkeypatch, cell, size):
     batch = {"id": pa.array(np.arange(len(signed)))} | {
         w: pa.array(np.ascontiguousarray(signed[:, k])) for k, w in enumerate(similar.WORDS)
     }
-    dealt = pa.Table.from_batches(list(similar._dealt([pa.record_batch(batch)], 0, 1)))
-    dealt = dealt.sort_by("place").combine_chunks()
+    dealt = parted(spark, pa.table(batch), size, 1)
     own = list(range(len(signed)))
     for found in similar._met(dealt.to_batches(max_chunksize=16)):
         for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist(), strict=True):
