@@ -53,8 +53,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids per document, and digests of the ids and of the text they decode to."""
     common.ship(spark)
     rows = docs.select("doc_id", "source", "text")
-    coded = bpe.encode(rows, queries.RANKS, queries.PATTERN).drop("text")
-    return bpe.digests(bpe.decode(coded, queries.RANKS), keep=("doc_id", "source", "ids"))
+    return bpe.round_trip(rows, queries.RANKS, queries.PATTERN, keep=("doc_id", "source", "ids"))
 
 
 STAGES = [
