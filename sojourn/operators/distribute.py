@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sojourn.functions.seeded import digest
-from sojourn.session import materialise
+from sojourn.session import materialise, stored
 
 # A side is broadcast only when counted at or below this many rows. Lookup rows here are at most
 # a key and nine doubles, so this stays within some 150 MB.
 BROADCAST_ROWS = 1_000_000
 # A key is heavy from this many rows on, if it also holds 1/shares of all rows.
 HEAVY_ROWS = 1_000_000
+# Rows, of any width, that one task numbers.
+NUMBER_ROWS = 50_000
 # Rows that one window task may order.
 LANE_ROWS = 1_000_000
 
@@ -71,25 +73,29 @@ def lookup_join(
     return out
 
 
-def numbered(df: DataFrame, order: str, bucket: str, name: str = "row_id") -> DataFrame:
-    """0-based global position by ``order`` without ordering everything in one task.
+def numbered(
+    df: DataFrame, order: str, name: str = "row_id", lane_rows: int = NUMBER_ROWS
+) -> DataFrame:
+    """0-based global position by ``order``, an SQL expression that should tell rows apart.
 
-    ``bucket``, an SQL expression, must grow with ``order``; rows are ordered inside their bucket
-    and shifted by the number of rows in earlier buckets. Only the bucket counts meet in one task.
+    Range partitioning samples the order and cuts it into lanes of about ``lane_rows`` rows, whatever
+    the values are; rows are ordered inside their lane and shifted by the number of rows in earlier
+    lanes. Only the lanes' counts meet in one task. The rows are written out before, as sampling reads
+    them once more, and after, as the borders must not change.
     """
-    df = df.withColumn("_bucket", F.expr(bucket))
+    rows = stored(df)
+    lanes = max(1, -(-rows.count() // lane_rows))
+    ranged = rows.repartitionByRange(lanes, F.expr(order)) if lanes > 1 else rows.coalesce(1)
+    laned = stored(ranged.withColumn("_lane", F.spark_partition_id()))
     offsets = (
-        df.groupBy("_bucket")
+        laned.groupBy("_lane")
         .agg(F.expr("count(*) AS _n"))
-        .selectExpr("_bucket", "sum(_n) OVER (ORDER BY _bucket) - _n AS _before")
-    )
-    rank = f"row_number() OVER (PARTITION BY _bucket ORDER BY {order})"
-    return (
-        df.withColumn("_rank", F.expr(rank))
-        .join(offsets, "_bucket")
-        .withColumn(name, F.expr("_before + _rank - 1"))
-        .drop("_bucket", "_before", "_rank")
+        .selectExpr("_lane", "sum(_n) OVER (ORDER BY _lane) - _n AS _before")
     )
+    rank = f"row_number() OVER (PARTITION BY _lane ORDER BY {order})"
+    ranked = laned.withColumn("_rank", F.expr(rank))
+    joined = lookup_join(ranked, offsets, "_lane")
+    return joined.selectExpr(*df.columns, f"_before + _rank - 1 AS {name}")
 
 
 def digest_cutoff(ids: DataFrame, key: str, seed, keep: int) -> str | None:

@@ -47,7 +47,7 @@ def with_special_tokens(words: DataFrame) -> DataFrame:
 def vocabulary(events: DataFrame, specials: bool = True) -> DataFrame:
     """``token, token_id``: fixed tokens, then the sorted codes, then the special tokens."""
     fixed = ordered_fixed_tokens()
-    codes = numbered(distinct_codes(events), "code", "substr(code, 1, 8)")
+    codes = numbered(distinct_codes(events), "code")
     words = numbered_list(events.sparkSession, fixed).union(
         codes.selectExpr("code", f"row_id + {len(fixed)}")
     )
@@ -141,10 +141,10 @@ def training_examples(
 ) -> DataFrame:
     """``row_id, input_ids`` cut to ``seq_len``, numbered in key order or in seeded order."""
     if shuffle_seed is None:
-        ordered = numbered(rows, key, f"{key} div 10000")
+        ordered = numbered(rows, key)
     else:
         drawn = rows.withColumn("_d", F.expr(digest(shuffle_seed, key)))
-        ordered = numbered(drawn, "_d", "substr(_d, 1, 4)")
+        ordered = numbered(drawn, "_d")
     return ordered.selectExpr("row_id", f"slice(input_ids, 1, {seq_len}) AS input_ids")
 
 

@@ -325,7 +325,7 @@ def shifted_batches(spark, sf_dir):
 @query
 def causal_batches(spark, sf_dir):
     rows, words = encoded_rows(spark, sf_dir)
-    ordered = numbered(rows, "subject_id", "subject_id div 10000")
+    ordered = numbered(rows, "subject_id")
     batches = vocab.causal_batches(ordered, BATCH, vocab.special_ids(words)[S.PAD], "left")
     return batches.selectExpr(
         "batch_id",

@@ -29,7 +29,7 @@ def test_lookup_join_without_broadcast(spark, monkeypatch, how):
 def test_numbered_is_the_global_order(spark):
     words = [f"{random.Random(i).randint(0, 999)}x{i}" for i in range(50)]
     df = spark.createDataFrame([(w,) for w in words], "w string")
-    got = {r["w"]: r["row_id"] for r in D.numbered(df, "w", "substr(w, 1, 1)").collect()}
+    got = {r["w"]: r["row_id"] for r in D.numbered(df, "w").collect()}
     assert got == {w: i for i, w in enumerate(sorted(words))}
 
 
@@ -61,3 +61,29 @@ def test_running_totals(spark, lane_rows):
         group = {v: n for (g, v), n in cells.items() if g == r["g"]}
         assert r["before"] == sum(n for v, n in group.items() if v < r["v"])
         assert r["total"] == sum(group.values())
+
+
+def test_numbering_spreads_sparse_ids(spark):
+    """63-bit ids and ids that share their upper digits stand in lanes of bounded size."""
+    ids = [int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i in range(900)]
+    ids += [7_000_000_000 + i for i in range(900)] + list(range(-50, 50))
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(5)
+    got = D.numbered(df, "id", lane_rows=100)
+    assert {r["id"]: r["row_id"] for r in got.collect()} == {v: n for n, v in enumerate(sorted(ids))}
+    assert D.numbered(df.where("false"), "id").count() == 0
+
+
+def test_lanes_are_of_bounded_size(spark, monkeypatch):
+    sizes = []
+    kept = D.stored
+
+    def seen(df):
+        out = kept(df)
+        if "_lane" in out.columns:
+            sizes.extend(r["count"] for r in out.groupBy("_lane").count().collect())
+        return out
+
+    monkeypatch.setattr(D, "stored", seen)
+    df = spark.range(2000).selectExpr("(id * id * 7919) % 1000003 * 4000000000000 + id AS id")
+    D.numbered(df, "id", lane_rows=100).count()
+    assert len(sizes) >= 15 and max(sizes) <= 300
