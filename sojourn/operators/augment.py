@@ -12,9 +12,16 @@ from sojourn.operators import prs as P
 from sojourn.operators.export import split_events
 
 
-def split_rows(rows: DataFrame, seed=S.ROW_SPLIT_SEED) -> DataFrame:
-    """90/10 train/test split of rows that hold one subject each."""
-    return split_events(rows, rows.select("subject_id"), S.ROW_TEST_FRACTION, seed)
+def split_rows(
+    rows: DataFrame, seed=S.ROW_SPLIT_SEED, subjects: DataFrame | None = None
+) -> DataFrame:
+    """90/10 train/test split of rows that hold one subject each.
+
+    ``subjects``, if given, is the rows' list of subjects; the rows are then not computed for it.
+    """
+    if subjects is None:
+        subjects = rows.select("subject_id")
+    return split_events(rows, subjects, S.ROW_TEST_FRACTION, seed)
 
 
 def with_visit_spans(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -66,49 +73,59 @@ def without_spans(tokens: str, spans: str) -> str:
 
 
 def visit_dropped_copies(
-    rows: DataFrame, settings: S.Augmentation = S.Augmentation(), seed=0
+    rows: DataFrame, settings: S.Augmentation = S.Augmentation(), seed=0, which: str = "true"
 ) -> DataFrame:
     """``copies`` variants of each row, numbered by ``copy``, with random visits removed.
 
-    Time tokens between visits stay. Other columns repeat.
+    Time tokens between visits stay. ``word_ids``, if there, are cut at the same places as the text;
+    other columns repeat. Rows for which ``which`` (SQL) does not hold pass once and whole, so that a
+    dataset of both kinds is a single pass.
     """
     drawn = digest(f"{seed}|visit", "subject_id", "copy", "i")
     extra = draw_below(settings.max_extra_visits + 2, f"{seed}|extra", "subject_id", "copy")
-    spanned = with_visit_spans(rows.withColumn("tokens", F.expr("split(text, ' ')")))
+    spanned = with_visit_spans(
+        rows.selectExpr("*", f"coalesce({which}, false) AS varied", "split(text, ' ') AS tokens")
+    )
+    copies = f"IF(varied, sequence(0, {settings.copies - 1}), array(0))"
     counted = (
-        spanned.selectExpr("*", f"explode(sequence(0, {settings.copies - 1})) AS copy")
+        spanned.selectExpr("*", f"explode({copies}) AS copy")
         .selectExpr(
             "*",
-            f"{extra} AS extra",
-            "sort_array(transform(spans, (s, i) -> "
-            f"struct({drawn} AS d, s.first AS first, s.last AS last))) AS drawn",
+            f"IF(varied, {extra}, 0) AS extra",
+            "IF(varied, sort_array(transform(spans, (s, i) -> "
+            f"struct({drawn} AS d, s.first AS first, s.last AS last))), array()) AS drawn",
         )
         .selectExpr("*", "transform(drawn, s -> s.last - s.first + 1) AS sizes")
     )
     n = drop_count("sizes", "size(tokens)", settings.target_tokens, "extra")
     dropped = f"sort_array(transform(slice(drawn, 1, {n}), s -> struct(s.first, s.last)))"
-    others = [c for c in rows.columns if c != "text"]
-    return counted.selectExpr(*others, "copy", "tokens", f"{dropped} AS dropped").selectExpr(
-        *others, "copy", f"array_join({without_spans('tokens', 'dropped')}, ' ') AS text"
-    )
+    made = {"text": f"array_join({without_spans('tokens', 'dropped')}, ' ') AS text"}
+    if "word_ids" in rows.columns:
+        made["word_ids"] = f"{without_spans('word_ids', 'dropped')} AS word_ids"
+    others = [c for c in rows.columns if c not in made]
+    whole = [c for c in made if c != "text"]
+    # The generator keeps the drop list from being derived once per column that it cuts.
+    return counted.selectExpr(
+        *others, "copy", "tokens", *whole, X.once(f"{dropped} AS dropped")
+    ).selectExpr(*others, "copy", *made.values())
+
 
+def with_zero_prs_copies(rows: DataFrame, which: str = "true") -> DataFrame:
+    """Each row, and for a row with any nonzero score a copy with all scores zero.
 
-def with_zero_prs_copies(rows: DataFrame) -> DataFrame:
-    """Each row, and for a row with any nonzero score a copy with all scores zero."""
-    variants = f"IF({P.any_nonzero('prs')}, array(prs, {P.zeros_like('prs')}), array(prs))"
+    Rows for which ``which`` (SQL) does not hold pass once.
+    """
+    copied = f"({which}) AND {P.any_nonzero('prs')}"
+    variants = f"IF({copied}, array(prs, {P.zeros_like('prs')}), array(prs))"
     others = [c for c in rows.columns if c != "prs"]
     return rows.selectExpr(*others, f"posexplode({variants}) AS (zeroed, prs)")
 
 
 def augmented(rows: DataFrame, settings: S.Augmentation = S.Augmentation(), seed=0) -> DataFrame:
-    """Variants of the training rows; test rows pass unchanged as copy 0."""
-    train = rows.where("split = 'train'")
-    test = rows.where("split <> 'train'").withColumn("copy", F.lit(0))
+    """Variants of the training rows; other rows pass unchanged as copy 0. The rows are read once."""
+    train = "split = 'train'"
     if settings.drops_visits:
-        train = visit_dropped_copies(train, settings, seed)
+        out = visit_dropped_copies(rows, settings, seed, train)
     else:
-        train = train.withColumn("copy", F.lit(0))
-    if settings.zero_prs_copy:
-        train = with_zero_prs_copies(train)
-        test = test.withColumn("zeroed", F.lit(0))
-    return train.unionByName(test)
+        out = rows.withColumn("copy", F.lit(0))
+    return with_zero_prs_copies(out, train) if settings.zero_prs_copy else out

@@ -8,6 +8,7 @@ lane border are filled in from the lanes' first and last rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from sojourn.functions import tokens as X
 from sojourn.operators.distribute import HEAVY_ROWS, heavy_keys, range_lanes
 from sojourn.operators.filters import frequency_filter
 from sojourn.operators.quantiles import decile_breaks, with_decile_tokens
+from sojourn.operators.vocab import event_encoder, vocabulary
 from sojourn.session import materialise, stored
 
 # Events per text row where a subject is not bounded by the activity filter.
@@ -158,10 +160,13 @@ def head(text: str, max_tokens: int) -> str:
 
 
 def _joined(frame: DataFrame, *keys: str) -> DataFrame:
-    listed = "sort_array(collect_list(struct(pos, event_text)))"
-    return frame.groupBy(*keys).agg(
-        F.expr(f"array_join(transform({listed}, e -> e.event_text), ' ') AS text")
-    )
+    """Texts of events in order, and the ids of their words if the events have them."""
+    fields = [c for c in ("event_text", "word_ids") if c in frame.columns]
+    listed = f"sort_array(collect_list(struct(pos, {', '.join(fields)}))) AS _listed"
+    made = ["array_join(transform(_listed, e -> e.event_text), ' ') AS text"]
+    if "word_ids" in fields:
+        made.append("flatten(transform(_listed, e -> e.word_ids)) AS word_ids")
+    return frame.groupBy(*keys).agg(F.expr(listed)).selectExpr(*keys, *made)
 
 
 def sequences(
@@ -170,9 +175,12 @@ def sequences(
     max_tokens: int | None = S.WINDOW_TOKENS,
     bounded: bool = False,
     heavy_rows: int = HEAVY_ROWS,
+    encoder: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One text row per subject: its events' texts in order.
 
+    An ``encoder`` of events adds ``word_ids``, the ids per token of the text.
+
     Every event yields a token, so the first ``max_tokens`` events are all that a head of that
     many tokens can need; the rest is dropped before texts are collected. ``max_tokens=None`` is
     for subjects bounded by the activity filter; use :func:`sequence_parts` for others.
@@ -183,9 +191,11 @@ def sequences(
     for frame in event_token_frames(events, breaks, bounded, heavy_rows):
         if max_tokens is not None:
             frame = frame.where(f"pos <= {max_tokens}")
-        joined = _joined(frame, "subject_id")
+        joined = _joined(encoder(frame) if encoder else frame, "subject_id")
         if max_tokens is not None:
             joined = joined.withColumn("text", F.expr(head("text", max_tokens)))
+            if encoder:
+                joined = joined.withColumn("word_ids", F.expr(f"slice(word_ids, 1, {max_tokens})"))
         out.append(joined)
     return reduce(DataFrame.unionByName, out)
 
@@ -219,10 +229,28 @@ def curated(
     ``limits=None`` skips the filters. Kept events are computed once; the deciles and the
     sequences both read them.
     """
+    kept, bounded = _kept(events, limits)
+    return kept, sequences(kept, decile_breaks(kept), max_tokens, bounded)
+
+
+def curated_ids(
+    events: DataFrame,
+    limits: S.Thresholds | None = S.Thresholds(),
+    max_tokens: int | None = S.WINDOW_TOKENS,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`curated`, with the ids of the vocabulary of the kept events beside the texts.
+
+    Returns kept events, ``subject_id, text, word_ids`` and the vocabulary. ``word_ids`` has one list
+    per token of the text, so that both can be cut alike; flattened, it is the encoded text.
+    """
+    kept, bounded = _kept(events, limits)
+    words = materialise(vocabulary(kept))
+    encoder = event_encoder(kept, words)
+    rows = sequences(kept, decile_breaks(kept), max_tokens, bounded, encoder=encoder)
+    return kept, rows, words
+
+
+def _kept(events: DataFrame, limits: S.Thresholds | None) -> tuple[DataFrame, bool]:
     if limits is None:
-        kept = events
-    else:
-        kept = stored(frequency_filter(events, limits))
-    bounded = limits is not None and not limits.codes_only
-    text = sequences(kept, decile_breaks(kept), max_tokens, bounded)
-    return kept, text
+        return events, False
+    return stored(frequency_filter(events, limits)), not limits.codes_only

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sojourn import schema as S
 from sojourn.functions.seeded import digest
-from sojourn.functions.tokens import text_array
+from sojourn.functions.tokens import text, text_array
 from sojourn.operators.distribute import lookup_join, numbered
-from sojourn.session import stored
+from sojourn.session import materialise, stored
 
 # Runs of word characters, or runs of other visible characters.
 PIECES = r"(?U)\\w+|[^\\w\\s]+"
@@ -69,6 +69,88 @@ def pieces_of(rows: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     return exploded.where("token IS NOT NULL")
 
 
+def listed_ids(known: DataFrame, keys: Sequence[str], unknown: int) -> DataFrame:
+    """``keys, ids``: the ids of looked-up pieces in order, ``unknown`` for those without one."""
+    named = f"struct(pos, coalesce(token_id, {unknown}L) AS id)"
+    return known.groupBy(*keys).agg(
+        F.expr(f"transform(sort_array(collect_list({named})), e -> e.id) AS ids")
+    )
+
+
+def code_words(events: DataFrame, vocab: DataFrame, unknown: int) -> DataFrame:
+    """``code, word_map``: one row per distinct code, from its words to the ids of their pieces.
+
+    A code is one word, unless it holds spaces. A word without pieces has no entry.
+    """
+    words = distinct_codes(events).selectExpr(
+        "code", "explode(array_distinct(split(code, ' '))) AS word"
+    )
+    pieces = pieces_of(words, ["code", "word"], "word")
+    known = lookup_join(pieces, vocab.select("token", "token_id"), "token", "left")
+    entries = "map_from_entries(collect_list(struct(word, ids))) AS word_map"
+    return listed_ids(known, ["code", "word"], unknown).groupBy("code").agg(F.expr(entries))
+
+
+def fixed_words(vocab: DataFrame, unknown: int) -> str:
+    """Map (SQL) from the tokens that curation writes around codes to their ids.
+
+    Their number is fixed by the schema, and each is a single piece.
+    """
+    fixed = [*ordered_fixed_tokens(), S.UNMAPPED_VISIT]
+    rows = vocab.where(f"array_contains({text_array(fixed)}, token)").collect()
+    ids = {r["token"]: r["token_id"] for r in rows}
+    entries = (f"{text(t)}, array({ids.get(t, unknown)}L)" for t in fixed)
+    return f"map({', '.join(entries)})"
+
+
+def event_encoder(events: DataFrame, vocab: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``word_ids`` to frames of these events: per word of ``event_text`` its pieces' ids.
+
+    Pieces never reach across spaces, so the ids of a sequence are those of its words one after the
+    other. The text of an event consists of fixed tokens and its code; the pieces of a code are looked
+    up once per distinct code, and events join that list, by broadcast up to the counted limit. No
+    single token is ever shuffled.
+    """
+    unknown = special_ids(vocab)[S.UNKNOWN]
+    dictionary = materialise(code_words(events, vocab, unknown))
+    fixed = fixed_words(vocab, unknown)
+    found = f"coalesce(try_element_at(word_map, w), try_element_at({fixed}, w), array())"
+    ids = f"transform(split(event_text, ' '), w -> {found}) AS word_ids"
+
+    def add(frame: DataFrame) -> DataFrame:
+        joined = lookup_join(frame, dictionary, "code", "left", computed=True)
+        return joined.selectExpr(*frame.columns, ids)
+
+    return add
+
+
+def finished(
+    rows: DataFrame,
+    ids: str,
+    specials: dict[str, int],
+    add_eos: bool = False,
+    pad_to: int | None = None,
+    columns: Sequence[str] | None = None,
+) -> DataFrame:
+    """``columns`` (all) with ``input_ids`` and ``attention_mask`` made of the array ``ids`` (SQL).
+
+    ``add_eos`` appends the end token. ``pad_to`` cuts to that length on the right and pads on the
+    left.
+    """
+    end = f"array({specials[S.EOS]}L)" if add_eos else "array()"
+    out = rows.withColumn("_ids", F.expr(f"concat(coalesce({ids}, array()), {end})"))
+    if pad_to is None:
+        made = ["_ids AS input_ids", "array_repeat(1, size(_ids)) AS attention_mask"]
+    else:
+        pad, missing = specials[S.PAD], f"greatest({pad_to} - size(_ids), 0)"
+        made = [
+            f"concat(array_repeat({pad}L, {missing}), slice(_ids, 1, {pad_to})) AS input_ids",
+            f"concat(array_repeat(0, {missing}), array_repeat(1, {pad_to} - {missing})) "
+            "AS attention_mask",
+        ]
+    return out.selectExpr(*(columns or rows.columns), *made)
+
+
 def encode(
     rows: DataFrame,
     vocab: DataFrame,
@@ -78,10 +160,10 @@ def encode(
     pad_to: int | None = None,
     keep_text: bool = True,
 ) -> DataFrame:
-    """Add ``input_ids`` and ``attention_mask``.
+    """Add ``input_ids`` and ``attention_mask`` to any texts, as :func:`finished` makes them.
 
-    ``add_eos`` appends the end token. ``pad_to`` cuts to that length on the right and pads on the
-    left. ``keys`` identify a row. Only keys and single tokens are exploded for the lookup, not
+    For texts whose events are at hand, :func:`event_encoder` needs no token rows. ``keys`` identify
+    a row. Only keys and single tokens are exploded for the lookup, not
     the texts; the rows, read for both, are stored first. ``keep_text=False`` drops the text and
     the keys.
     """
@@ -89,24 +171,9 @@ def encode(
     rows = stored(rows)
     exploded = pieces_of(rows, keys, text)
     known = lookup_join(exploded, vocab.select("token", "token_id"), "token", "left")
-    named = f"struct(pos, coalesce(token_id, {ids[S.UNKNOWN]}L) AS id)"
-    encoded = known.groupBy(*keys).agg(
-        F.expr(f"transform(sort_array(collect_list({named})), e -> e.id) AS _ids")
-    )
-    end = f"array({ids[S.EOS]}L)" if add_eos else "array()"
-    out = rows.join(encoded, list(keys), "left").withColumn(
-        "_ids", F.expr(f"concat(coalesce(_ids, array()), {end})")
-    )
-    if pad_to is None:
-        made = ["_ids AS input_ids", "array_repeat(1, size(_ids)) AS attention_mask"]
-    else:
-        missing = f"greatest({pad_to} - size(_ids), 0)"
-        made = [
-            f"concat(array_repeat({ids[S.PAD]}L, {missing}), slice(_ids, 1, {pad_to})) AS input_ids",
-            f"concat(array_repeat(0, {missing}), array_repeat(1, {pad_to} - {missing})) "
-            "AS attention_mask",
-        ]
-    out = out.selectExpr(*rows.columns, *made)
+    encoded = listed_ids(known, keys, ids[S.UNKNOWN]).withColumnRenamed("ids", "_found")
+    out = rows.join(encoded, list(keys), "left")
+    out = finished(out, "_found", ids, add_eos, pad_to, rows.columns)
     return out if keep_text else out.drop(text, *keys)
 
 

@@ -21,15 +21,26 @@ def export_job(tables: ClinicalTables, path: str, form: str = "parquet", egress:
 
 
 def encoded_dataset(
-    sequences: DataFrame,
-    vocabulary: DataFrame,
+    rows: DataFrame,
+    specials: dict[str, int],
     settings: S.Augmentation = S.Augmentation(),
     seed=0,
+    subjects: DataFrame | None = None,
+    prs: DataFrame | None = None,
 ) -> DataFrame:
-    """Sequences split, the training part augmented, and all encoded without cut or padding."""
-    rows = augment.augmented(augment.split_rows(sequences), settings, seed)
-    keys = ("subject_id", "copy", "zeroed") if settings.zero_prs_copy else ("subject_id", "copy")
-    return vocab.encode(rows, vocabulary, keys=keys)
+    """Sequences with ``word_ids`` split, the training part augmented, ids neither cut nor padded.
+
+    One pass over the rows: texts and ids are cut together. ``subjects`` are those of the rows. With
+    ``prs`` (``subject_id, prs``, one row per subject) every row gets its subject's scores, null
+    without any, and ``settings.zero_prs_copy`` adds the copies without scores.
+    """
+    if settings.zero_prs_copy and prs is None:
+        raise ValueError("copies with zeroed scores need the PRS rows")
+    split = augment.split_rows(rows, subjects=subjects)
+    if prs is not None:
+        split = split.join(prs.select("subject_id", "prs"), "subject_id", "left")
+    made = augment.augmented(split, settings, seed)
+    return vocab.finished(made, "flatten(word_ids)", specials).drop("word_ids")
 
 
 def curation_job(
@@ -39,24 +50,25 @@ def curation_job(
     max_tokens: int = S.WINDOW_TOKENS,
     settings: S.Augmentation = S.Augmentation(),
     egress: Egress = CLOSED,
+    prs: DataFrame | None = None,
 ) -> None:
     """Sequences (text, CSV, unsplit dataset), vocabulary and encoded dataset under ``path``.
 
-    Code rarity and deciles are taken over all events at once. An empty result is an error.
+    Code rarity and deciles are taken over all events at once. An empty result is an error. The
+    encoded dataset carries ``prs`` where given.
     """
     egress.admit(path)
-    kept, texts = curate.curated(events, limits, max_tokens)
-    texts = stored(texts)
+    _, rows, words = curate.curated_ids(events, limits, max_tokens)
+    rows = stored(rows)
+    texts = rows.drop("word_ids")
     if texts.isEmpty():
         raise ValueError("no sequences were generated; try lower filter thresholds")
-    words = materialise(vocab.vocabulary(kept))
     files.write_sequence_text(texts, f"{path}/sequences_text", egress=egress)
     files.write_sequence_csv(texts, f"{path}/sequences_csv", egress=egress)
     files.write_vocabulary(words, f"{path}/vocabulary", egress=egress)
     files.write_dataset(texts, f"{path}/dataset_unsplit", (), egress=egress)
-    files.write_dataset(
-        encoded_dataset(texts, words, settings), f"{path}/dataset", ("split",), egress=egress
-    )
+    dataset = encoded_dataset(rows, vocab.special_ids(words), settings, prs=prs)
+    files.write_dataset(dataset, f"{path}/dataset", ("split",), egress=egress)
 
 
 def evaluation_set_job(

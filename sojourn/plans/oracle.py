@@ -549,6 +549,7 @@ FINAL: dict[str, str] = {
     SELECT subject_id, z AS zeroed, array_to_string(list_transform(prs, lambda x:
         cast(round(CASE WHEN z = 1 THEN 0 ELSE x END * 1e9) AS bigint)), ' ') AS prs
     FROM prs JOIN presence USING (subject_id), (SELECT unnest([0, 1])::bigint AS z) WHERE z = 0 OR has_prs""",
+    "encoded_texts": f"SELECT subject_id, {ids_text('ids')} AS input_ids FROM enc",
     "augmented_dataset": r"""
     WITH r AS (
       SELECT subject_id, split, copy, c.text FROM copies c JOIN rows_split USING (subject_id) WHERE split = 'train'
@@ -561,6 +562,22 @@ FINAL: dict[str, str] = {
       SELECT subject_id, copy, string_agg(coalesce(token_id, (SELECT id FROM id_unk))::varchar, ' ' ORDER BY pos)
         AS input_ids
       FROM w LEFT JOIN vocab USING (token) GROUP BY ALL) USING (subject_id, copy)""",
+    "augmented_prs_dataset": r"""
+    WITH r AS (
+      SELECT subject_id, split, copy, c.text FROM copies c JOIN rows_split USING (subject_id) WHERE split = 'train'
+      UNION ALL SELECT subject_id, split, 0, text FROM seqs JOIN rows_split USING (subject_id) WHERE split = 'test'),
+    w AS (
+      SELECT subject_id, copy, unnest(list) AS token, generate_subscripts(list, 1) AS pos
+      FROM (SELECT *, regexp_extract_all(text, '\w+|[^\w\s]+') AS list FROM r))
+    SELECT r.subject_id, split, cast(r.copy AS integer) AS copy, z AS zeroed, text, input_ids,
+      array_to_string(list_transform(prs, lambda x:
+        cast(round(CASE WHEN z = 1 THEN 0 ELSE x END * 1e9) AS bigint)), ' ') AS prs
+    FROM r JOIN (
+      SELECT subject_id, copy, string_agg(coalesce(token_id, (SELECT id FROM id_unk))::varchar, ' ' ORDER BY pos)
+        AS input_ids
+      FROM w LEFT JOIN vocab USING (token) GROUP BY ALL) USING (subject_id, copy)
+    LEFT JOIN prs USING (subject_id) LEFT JOIN presence USING (subject_id), (SELECT unnest([0, 1])::bigint AS z)
+    WHERE z = 0 OR (has_prs AND split = 'train')""",
     "scaled_prs": """
     SELECT subject_id, array_to_string(list_transform(prs, lambda x:
         cast(round(greatest(least(x, 0.1::double), -0.1::double) / 0.1::double * 1e9) AS bigint)), ' ') AS features,

@@ -7,6 +7,7 @@ doubles rounded to nine places, so that results compare across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,7 @@ FOLLOWUP = cohort.Task(
     targets=TARGETS, followup_targets=("CDzz50005",), horizon_days=730, stop="first_target"
 )
 DROPS = S.Augmentation(target_tokens=60, copies=3, max_extra_visits=3)
+PRS_DROPS = replace(DROPS, zero_prs_copy=True)
 LOGIT_TARGETS = [3, 17, 40]
 ITERATIONS = 1000
 
@@ -79,9 +81,9 @@ def curated_texts(spark: SparkSession, sf_dir: str, max_tokens: int = S.WINDOW_T
 
 
 def encoded_rows(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, DataFrame]:
-    kept, texts = curated_texts(spark, sf_dir)
-    words = materialise(vocab.vocabulary(kept))
-    return vocab.encode(texts, words, **options), words
+    _, rows, words = curate.curated_ids(V.events_view(spark, sf_dir), V.LIMITS)
+    ids = vocab.special_ids(words)
+    return vocab.finished(rows, "flatten(word_ids)", ids, **options).drop("word_ids"), words
 
 
 # ---- Export ----
@@ -366,12 +368,41 @@ def zero_prs_copies(spark, sf_dir):
 
 
 @query
-def augmented_dataset(spark, sf_dir):
+def encoded_texts(spark, sf_dir):
+    # Any texts and a vocabulary, without the events that the texts came from.
     kept, texts = curated_texts(spark, sf_dir)
-    encoded = jobs.encoded_dataset(texts, materialise(vocab.vocabulary(kept)), DROPS, seed=11)
+    rows = vocab.encode(texts, materialise(vocab.vocabulary(kept)))
+    return rows.selectExpr("subject_id", listed("input_ids"))
+
+
+def _augmented(spark, sf_dir, settings: S.Augmentation, prs: DataFrame | None = None) -> DataFrame:
+    kept, rows, words = curate.curated_ids(V.events_view(spark, sf_dir), V.LIMITS)
+    subjects = kept.select("subject_id").distinct()
+    return jobs.encoded_dataset(
+        rows, vocab.special_ids(words), settings, seed=11, subjects=materialise(subjects), prs=prs
+    )
+
+
+@query
+def augmented_dataset(spark, sf_dir):
+    encoded = _augmented(spark, sf_dir, DROPS)
     return encoded.selectExpr("subject_id", "split", "copy", "text", listed("input_ids"))
 
 
+@query
+def augmented_prs_dataset(spark, sf_dir):
+    encoded = _augmented(spark, sf_dir, PRS_DROPS, V.prs_view(spark, sf_dir))
+    return encoded.selectExpr(
+        "subject_id",
+        "split",
+        "copy",
+        "cast(zeroed as bigint) AS zeroed",
+        "text",
+        listed("input_ids"),
+        rounded_list("flatten(prs)", "prs"),
+    )
+
+
 @query
 def scaled_prs(spark, sf_dir):
     # A small clip, so that clipping shows on values around one.

@@ -92,6 +92,21 @@ def test_only_training_rows_are_augmented(spark):
     assert plain.count() == 3
 
 
+def test_ids_are_cut_like_the_text(spark, sample):
+    rows = spark.createDataFrame(
+        [(i, t, "train" if i % 3 else None, [[i, k] for k, _ in enumerate(t.split(" "))]) for i, t in sample.items()],
+        "subject_id bigint, text string, split string, word_ids array<array<bigint>>",
+    )
+    got = augment.augmented(rows, Augmentation(8, copies=2, max_extra_visits=1), seed=3).collect()
+    assert len(got) == sum(2 if i % 3 else 1 for i in sample)
+    for r in got:
+        before = sample[r["subject_id"]].split(" ")
+        at = [k for _, k in r["word_ids"]]
+        assert " ".join(before[k] for k in at) == r["text"] and at == sorted(at)
+        want = drop_loop(before, r["subject_id"], r["copy"], 8, 1, 3) if r["split"] else " ".join(before)
+        assert r["text"] == want
+
+
 def test_row_split_sizes(texts):
     rows = augment.split_rows(texts(*[(i, "x") for i in range(25)]))
     assert rows.where("split = 'train'").count() == int(0.9 * 25)

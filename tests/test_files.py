@@ -84,6 +84,15 @@ def test_jobs_end_to_end(spark, events, tmp_path):
     back = spark.read.parquet(f"{path}/eval").where("task = 'u' AND label_time_range = 730")
     row = back.first()
     assert row["label_token"] == 0 and len(row["input_ids"]) == row["stopping_time"]
+    scores = spark.createDataFrame([(3, [[1.0]]), (4, [[0.0]])], "subject_id bigint, prs array<array<double>>")
+    with_scores = S.Augmentation(None, 1, 0, zero_prs_copy=True)
+    jobs.curation_job(events(*rows), f"{path}2", S.Thresholds(2, 5, 50), settings=with_scores, prs=scores)
+    made = spark.read.parquet(f"{path}2/dataset")
+    split = {r["subject_id"]: r["split"] for r in made.collect()}
+    assert made.where("prs IS NULL").count() == 10
+    assert made.where("subject_id = 3").count() == (2 if split[3] == "train" else 1)
+    with pytest.raises(ValueError, match="need the PRS rows"):
+        jobs.curation_job(events(*rows), f"{path}3", S.Thresholds(2, 5, 50), settings=with_scores)
     with pytest.raises(ValueError, match="no sequences"):
         jobs.curation_job(events(*rows), path, S.Thresholds(50, 5, 50))
 

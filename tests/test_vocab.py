@@ -1,7 +1,7 @@
 import pytest
 
 from sojourn import schema as S
-from sojourn.operators import vocab
+from sojourn.operators import curate, vocab
 
 
 @pytest.fixture
@@ -42,6 +42,55 @@ def test_padding_and_end_token(texts, words):
     assert bare.columns == ["input_ids", "attention_mask"]
 
 
+CODES = ["CDzz9", "CD-zz 1", " lead", "tail ", "two  gaps", "", None, "\t", "é+ü", "VIER", "<unk>", " "]
+
+
+@pytest.fixture
+def odd_events(events):
+    """Codes with spaces, signs and nothing at all, at every place of a visit."""
+    rows = []
+    for s in range(1, 6):
+        for i, code in enumerate(CODES[s:] + CODES[:s]):
+            value = float(i) if i % 3 else None
+            visit = s * 100 + i // 4 if i % 5 else None
+            rows.append((s, i * 40000.0 * s, code, value, visit, ["Office Visit", "Inpatient", None][s % 3]))
+    return events(*rows, (6, 0.0, "", None, None, None), (None, 0.0, "CDzz9", None, None, None))
+
+
+@pytest.mark.parametrize("max_tokens", [3, 7, 2048])
+def test_event_ids_equal_those_of_the_texts(odd_events, max_tokens):
+    _, rows, words = curate.curated_ids(odd_events, None, max_tokens)
+    ids = vocab.special_ids(words)
+    got = {r["subject_id"]: r for r in vocab.finished(rows, "flatten(word_ids)", ids).collect()}
+    texts = rows.select("subject_id", "text")
+    want = {r["subject_id"]: r for r in vocab.encode(texts.where("subject_id > 0"), words).collect()}
+    assert len(got) == 7 and len(want) == 6
+    for subject, row in want.items():
+        assert got[subject]["text"] == row["text"]
+        assert got[subject]["input_ids"] == row["input_ids"], row["text"]
+        assert len(got[subject]["word_ids"]) == len(row["text"].split(" "))
+    cut = curate.sequences(odd_events, None, max_tokens)
+    assert {(r[0], r[1]) for r in cut.collect()} == {(s, r["text"]) for s, r in got.items()}
+
+
+def test_encoded_sequences_move_no_tokens(odd_events):
+    """From the events on there is one exchange, by subject, as for the texts alone."""
+    moved = {}
+    for name, rows in [
+        ("ids", curate.curated_ids(odd_events, None)[1]),
+        ("texts", curate.curated(odd_events, None)[1]),
+    ]:
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan
+        moved[name] = rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert moved == {"ids": 1, "texts": 1}
+
+
+def test_ids_of_no_events(events):
+    _, rows, words = curate.curated_ids(events(), None)
+    assert rows.count() == 0 and words.count() > 60
+
+
 def test_unknown_tokens(texts, words):
     rows = texts((1, "CDzz9 new <unk> new"), (2, "CDzz10"))
     got = {(r["subject_id"], r["token"], r["n"]) for r in vocab.unknown_tokens(rows, words).collect()}
