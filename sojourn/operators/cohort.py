@@ -40,6 +40,10 @@ class Task:
             raise ValueError(f"unknown match: {self.match}")
 
 
+# Task codes that may become part of a plan, and tokens of an index over them.
+MAX_TARGETS = 10_000
+INDEX_TOKENS = 10_000
+
 # Columns that label building works with; evaluation sets do not keep them.
 HELPERS = ("tokens", "gaps", "visit_ends")
 
@@ -258,13 +262,17 @@ def _labelled(
     )
     out = out.selectExpr("*", X.once(f"{stop} AS stopping_time"))
     out = out.where("stopping_time > 0 AND stopping_time < len")
-    out = out.selectExpr("*", f"{label} AS label_token")
+    return cut_at_stop(out.selectExpr("*", f"{label} AS label_token"), eos_id)
+
+
+def cut_at_stop(rows: DataFrame, eos_id: int | None) -> DataFrame:
+    """Encoded columns, if there are any, cut to the stopping time."""
     for column in ("input_ids", "attention_mask"):
-        if column in out.columns:
-            out = out.withColumn(column, F.expr(f"slice({column}, 1, stopping_time)"))
-    if eos_id is not None and "input_ids" in out.columns:
-        out = out.withColumn("input_ids", F.expr(checked_tail("input_ids", eos_id)))
-    return out
+        if column in rows.columns:
+            rows = rows.withColumn(column, F.expr(f"slice({column}, 1, stopping_time)"))
+    if eos_id is not None and "input_ids" in rows.columns:
+        rows = rows.withColumn("input_ids", F.expr(checked_tail("input_ids", eos_id)))
+    return rows
 
 
 def fits_window(df: DataFrame, window: int = S.WINDOW_TOKENS, new: int = S.NEW_TOKENS) -> DataFrame:
@@ -282,6 +290,93 @@ def evaluation_set(
     return fits_window(labelled(rows, task, eos_id=eos_id), window, new_tokens).drop(*HELPERS)
 
 
+def collected_tasks(task_codes: DataFrame) -> dict[str, list[str]]:
+    """Targets per task, at most ``MAX_TARGETS`` of them: they become part of the plan."""
+    n = task_codes.distinct().count()
+    if n > MAX_TARGETS:
+        raise ValueError(f"{n} task codes, of at most {MAX_TARGETS} that definitions may have")
+    return {r["task"]: r["targets"] for r in task_targets(task_codes).orderBy("task").collect()}
+
+
+def tokens_of(rows: DataFrame) -> DataFrame:
+    """The distinct tokens of texts; equal ones of a task are merged before they move."""
+    return rows.selectExpr("explode(array_distinct(split(text, ' '))) AS token").distinct()
+
+
+def target_index(
+    defined: dict[str, list[str]], task: Task, tokens: DataFrame
+) -> dict[str, tuple[list[int], list[int]]] | None:
+    """Per token the numbers of the tasks that it is a target of, and of those that it counts for.
+
+    A token counts for a task if it contains (or is) one of its later targets. That is decided once
+    per distinct token, not in every text. None if more than ``INDEX_TOKENS`` tokens would count.
+    """
+    later = {name: list(task.followup_targets) or targets for name, targets in defined.items()}
+    every = sorted({t for targets in later.values() for t in targets})
+    counting = {t: {t} for t in every}
+    if task.match == "contains" and every:
+        found = tokens.select("token").distinct().selectExpr(
+            "token", f"filter({X.text_array(every)}, x -> contains(token, x)) AS found"
+        )
+        rows = found.where("size(found) > 0").limit(INDEX_TOKENS + 1).collect()
+        if len(rows) > INDEX_TOKENS:
+            return None
+        counting = {r["token"]: set(r["found"]) for r in rows}
+    firsts = {t for targets in defined.values() for t in targets}
+    index = {}
+    for token in sorted(firsts | set(counting)):
+        near = set() if token.startswith("TIME_") else counting.get(token, set())
+        index[token] = (
+            [n for n, targets in enumerate(defined.values()) if token in targets],
+            [n for n, targets in enumerate(later.values()) if near.intersection(targets)],
+        )
+    return index
+
+
+def _answered(
+    found: DataFrame,
+    names: list[str],
+    index: dict[str, tuple[list[int], list[int]]],
+    task: Task,
+) -> DataFrame:
+    """Rows and tasks with a stopping time; one scan of a text finds the hits of all tasks.
+
+    Stops of all tasks are a short list per row. Only what has one becomes a row, so texts are not
+    copied for tasks that leave them out.
+    """
+
+    def numbers(values: list[int]) -> str:
+        return f"cast(array({', '.join(map(str, values))}) as array<int>)"
+
+    entries = ", ".join(
+        f"{X.text(t)}, struct({numbers(first)} AS first, {numbers(near)} AS near)"
+        for t, (first, near) in index.items()
+    )
+    known = f"t IN ({', '.join(X.text(t) for t in index)})"
+    hit = f"struct(i AS at, try_element_at(map({entries}), t) AS tasks)"
+    hits = f"array_compact(transform(tokens, (t, i) -> IF({known}, {hit}, NULL))) AS hits"
+    mine = "transform(filter(hits, h -> array_contains(h.tasks.first, n)), h -> h.at)"
+    tasks = ", ".join(f"struct({X.text(name)} AS task, {n} AS n)" for n, name in enumerate(names))
+    firsts = (
+        f"transform(array({tasks}), k -> transform(array(k.n), n -> "
+        f"struct(k.task AS task, n AS task_number, int(coalesce(array_min({mine}), -1)) AS first_target))[0])"
+    )
+    stop = stopping_point(task.stop, task, "a.first_target")
+    stops = (
+        f"transform({firsts}, a -> struct(a.task, a.task_number, a.first_target, "
+        f"int({stop}) AS stopping_time))"
+    )
+    valid = f"filter({stops}, a -> a.stopping_time > 0 AND a.stopping_time < len)"
+    out = found.selectExpr("*", X.once(hits)).selectExpr("*", f"inline({valid})")
+    end = horizon_end("gaps", "stopping_time", "len", task.horizon_days)
+    within = (
+        "exists(hits, h -> h.at >= stopping_time AND h.at < e "
+        "AND array_contains(h.tasks.near, task_number))"
+    )
+    label = f"IF(transform(array({end}), e -> {within})[0], 1, 0) AS label_token"
+    return out.selectExpr("*", label).drop("hits", "task_number")
+
+
 def evaluation_sets(
     rows: DataFrame,
     task_codes: DataFrame,
@@ -289,27 +384,44 @@ def evaluation_sets(
     eos_id: int | None = None,
     window: int = S.WINDOW_TOKENS,
     new_tokens: int = S.NEW_TOKENS,
+    tokens: DataFrame | None = None,
 ) -> DataFrame:
     """Evaluation rows of every task in ``task_codes`` in one pass, with a ``task`` column.
 
-    Task lists are small definitions; they become a literal that each row is expanded by.
+    ``tokens`` has a column ``token`` with all tokens that can occur, such as a vocabulary of codes
+    without spaces; without it, the distinct tokens of the rows are taken. Beyond ``INDEX_TOKENS``
+    tokens that count for some task, texts are matched by patterns, task by task.
     """
-    defined = task_targets(task_codes).orderBy("task").collect()
+    defined = collected_tasks(task_codes)
+    found = candidates(rows, task.min_years)
+    index = target_index(defined, task, tokens_of(rows) if tokens is None else tokens)
+    if defined and index is not None:
+        out = cut_at_stop(_answered(found, list(defined), index, task), eos_id)
+    else:
+        out = _matched(found, defined, task, eos_id)
+    return fits_window(out, window, new_tokens).drop(*HELPERS)
+
+
+def _matched(
+    found: DataFrame, defined: dict[str, list[str]], task: Task, eos_id: int | None
+) -> DataFrame:
+    """The same rows by patterns, for definitions that a great part of all tokens counts for."""
     entries = ", ".join(
-        f"named_struct('task', {X.text(r['task'])}, 'targets', {X.text_array(r['targets'])})"
-        for r in defined
+        f"named_struct('task', {X.text(name)}, 'targets', {X.text_array(targets)})"
+        for name, targets in defined.items()
     )
+    if not defined:
+        entries = "cast(NULL as struct<task: string, targets: array<string>>)"
+        found = found.where("false")
 
     def hit(window: str) -> str:
         if task.followup_targets or not defined:
             return has_target(window, task.followup_targets, task.match)
         tests = [
-            (f"task = {X.text(r['task'])}", has_target("w", r["targets"], task.match))
-            for r in defined
+            (f"task = {X.text(name)}", has_target("w", targets, task.match))
+            for name, targets in defined.items()
         ]
         return f"transform(array({window}), w -> {X.cases(tests, 'false')})[0]"
 
-    found = candidates(rows, task.min_years)
     flat = found.selectExpr("*", f"inline(array({entries}))")
-    out = _labelled(flat, task, "targets", hit, False, eos_id)
-    return fits_window(out, window, new_tokens).drop("targets", *HELPERS)
+    return _labelled(flat, task, "targets", hit, False, eos_id).drop("targets")

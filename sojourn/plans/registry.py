@@ -494,8 +494,9 @@ def followup_evaluation_set(spark, sf_dir):
 
 @query
 def task_evaluation_sets(spark, sf_dir):
-    rows = curated_sequences(spark, sf_dir)
-    out = cohort.evaluation_sets(rows, V.task_view(spark, sf_dir), cohort.Task())
+    kept, rows = curated_texts(spark, sf_dir)
+    tasks = V.task_view(spark, sf_dir)
+    out = cohort.evaluation_sets(rows, tasks, cohort.Task(), tokens=kept.selectExpr("code AS token"))
     return out.select("subject_id", "task", "first_target", "stopping_time", "label_token")
 
 

@@ -164,6 +164,36 @@ def test_all_tasks_in_one_pass(spark, rows):
     assert want and sorted(map(tuple, many.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("match", ["contains", "exact"])
+@pytest.mark.parametrize("stop", sorted(cohort.STOPS))
+def test_index_and_patterns_answer_alike(spark, rows, monkeypatch, match, stop):
+    codes = spark.createDataFrame([("x", 1), ("y", 3), ("y", 12), ("it's", 999)], S.TASK_CODES)
+    task = cohort.Task(match=match, stop=stop, horizon_days=200)
+    by_index = cohort.evaluation_sets(rows, codes, task)
+    given = cohort.evaluation_sets(rows, codes, task, tokens=cohort.tokens_of(rows))
+    monkeypatch.setattr(cohort, "target_index", lambda *_: None)
+    by_pattern = cohort.evaluation_sets(rows, codes, task)
+    assert set(by_index.columns) == set(by_pattern.columns)
+    order = sorted(by_pattern.columns)
+    want = sorted(map(str, by_pattern.select(*order).collect()))
+    assert want and sorted(map(str, by_index.select(*order).collect())) == want
+    assert sorted(map(str, given.select(*order).collect())) == want
+
+
+def test_index_has_a_limit_and_needs_no_tasks(spark, rows, monkeypatch):
+    defined, tokens = {"x": ["CDzz1"]}, cohort.tokens_of(rows)
+    index = cohort.target_index(defined, cohort.Task(), tokens)
+    assert index["CDzz1"] == ([0], [0]) and index["CDzz12"] == ([], [0])
+    monkeypatch.setattr(cohort, "INDEX_TOKENS", len(index) - 1)
+    assert cohort.target_index(defined, cohort.Task(), tokens) is None
+    none = spark.createDataFrame([], S.TASK_CODES)
+    assert cohort.evaluation_sets(rows, none, cohort.Task()).count() == 0
+    two = spark.createDataFrame([("x", 1), ("y", 3)], S.TASK_CODES)
+    monkeypatch.setattr(cohort, "MAX_TARGETS", 1)
+    with pytest.raises(ValueError, match="2 task codes"):
+        cohort.evaluation_sets(rows, two, cohort.Task())
+
+
 @pytest.mark.parametrize("match", ["contains", "exact"])
 def test_known_targets_match_like_a_column_of_targets(rows, match):
     for targets in (("CDzz1", "Q.1"), ("it's", "a\\d", "[x"), ("TIME_1",), ()):
