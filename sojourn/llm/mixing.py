@@ -32,6 +32,8 @@ SHARD_BLOCKS = 64
 BLOCK_DOCS = 1000
 SEED = 11
 DRAW = f"xxhash64({SEED}L, doc_id, text)"
+# A block of a source as one key.
+RANKED = "concat(rank, ':', s)"
 WORDS = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -132,25 +134,47 @@ def drawn(docs: DataFrame, most: int = MOST, block_docs: int = BLOCK_DOCS) -> Da
     )
 
 
-# One hypergeometric draw by inversion: the logarithms of the outcomes' weights follow from the ratio
-# of neighbours; the first outcome whose running weight passes the uniform number is drawn.
+# One hypergeometric draw by inversion, outward from the likeliest outcome, whose weight is set to 1:
+# first upward, then downward, each weight following from its neighbour by a ratio. Folds keep a
+# running weight and no list. Outcomes further than 20 roots of the smaller count away have, by
+# Hoeffding's bound, less than exp(-800) of the mass, which no double holds beside 1.
 def _left_share(k: str, n: str, total: str, uniform: str) -> str:
     """SQL for the number among ``n`` blocks drawn from ``total`` that belong to a source of ``k``."""
-    low, high = f"greatest(0L, {n} - ({total} - {k}))", f"least({n}, {k})"
-    # Logarithms of the weights of low..high, relative to the first.
-    logs = (
-        f"aggregate(sequence({low}, {high}), array(double(0)), (a, x) -> IF(x = {low}, a, "
-        f"array_append(a, element_at(a, -1) + ln(double({k} - x + 1)) + ln(double({n} - x + 1)) "
-        f"- ln(double(x)) - ln(double({total} - {k} - {n} + x)))))"
-    )
-    scaled = f"transform(array({logs}), l -> transform(l, v -> exp(v - array_max(l))))[0]"
-    mass = "aggregate(w, 0D, (s, v) -> s + v)"
+    # Every lambda names what the next one reads, so that nothing is spelled out twice.
+    mode = f"greatest({{low}}, least({{high}}, bigint(floor(double({n} + 1) * ({k} + 1) / ({total} + 2)))))"
+    reach = f"bigint(20 * sqrt(double(least({n}, {k}))) + 1)"
+    ends = f"struct(greatest(0L, {n} - ({total} - {k})) AS low, least({n}, {k}) AS high)"
+    middle = f"struct(b.low AS low, b.high AS high, {mode.format(low='b.low', high='b.high')} AS mid)"
+    near = f"struct(greatest(m.low, m.mid - {reach}) AS low, least(m.high, m.mid + {reach}) AS high, m.mid AS mid)"
+    up = f"(double({k} - x + 1) * ({n} - x + 1)) / (double(x) * ({total} - {k} - {n} + x))"
+    down = f"(double(x + 1) * ({total} - {k} - {n} + x + 1)) / (double({k} - x) * ({n} - x))"
+    above = "IF(r.mid < r.high, sequence(r.mid + 1, r.high), cast(array() as array<bigint>))"
+    below = "IF(r.mid > r.low, sequence(r.mid - 1, r.low, -1L), cast(array() as array<bigint>))"
+
+    def mass(steps: str, ratio: str) -> str:
+        step = f"struct(a.w * {ratio} AS w, a.total + a.w * {ratio} AS total)"
+        return f"aggregate({steps}, struct(1D AS w, 0D AS total), (a, x) -> {step}, a -> a.total)"
+
+    def walk(steps: str, ratio: str, left: str) -> str:
+        # ``left`` is what of the uniform number lies beyond the outcomes so far.
+        step = (
+            f"IF(a.at IS NOT NULL, a, struct(a.w * {ratio} AS w, a.left - a.w * {ratio} AS left, "
+            f"IF(a.left < a.w * {ratio}, x, NULL) AS at))"
+        )
+        start = f"struct(1D AS w, {left} AS left, cast(NULL as bigint) AS at)"
+        return f"aggregate({steps}, {start}, (a, x) -> {step}, a -> a.at)"
+
+    masses = f"struct({mass(above, up)} AS above, {mass(below, down)} AS below)"
+    drawn = f"({uniform}) * (1 + w.above + w.below)"
+    # Rounding may leave a rest behind the last outcome; the likeliest one takes it.
     picked = (
-        f"aggregate(w, struct({uniform} * {mass} AS left, 0L AS x), (s, v) -> "
-        "IF(s.left < v OR s.left < 0, struct(-1D AS left, s.x AS x), "
-        "struct(s.left - v AS left, s.x + 1 AS x)), s -> s.x)"
+        f"CASE WHEN d < 1 THEN r.mid WHEN d - 1 < w.above THEN coalesce({walk(above, up, 'd - 1')}, r.mid) "
+        f"ELSE coalesce({walk(below, down, 'd - 1 - w.above')}, r.mid) END"
     )
-    return f"{low} + least({high} - {low}, transform(array({scaled}), w -> {picked})[0])"
+    out = f"transform(array({drawn}), d -> {picked})[0]"
+    for value, name in ((masses, "w"), (near, "r"), (middle, "m"), (ends, "b")):
+        out = f"transform(array({value}), {name} -> {out})[0]"
+    return out
 
 
 def _halved(nodes: DataFrame, level: int) -> DataFrame:
@@ -207,16 +231,18 @@ def mixed(docs: DataFrame, most: int = MOST, shards: int | None = None) -> DataF
     quotas = materialise(quotas)
     blocks = quotas.selectExpr("bigint(coalesce(sum(k), 0)) AS n").first()["n"]
     ranges = split(quotas, shards or max(SHARDS, -(-blocks // SHARD_BLOCKS)))
-    by_source = materialise(
-        ranges.groupBy("s").agg(F.expr("array_sort(collect_list(struct(hi, shard))) AS cuts"))
+    # One row per block taken, a thousandth of the documents; a document finds its shard by its block.
+    dealt = materialise(
+        ranges.selectExpr("s", "shard", "explode(sequence(lo, hi - 1)) AS rank").selectExpr(
+            f"{RANKED} AS ranked", "shard"
+        )
     )
     takes = rows.selectExpr(
         "*", "explode_outer(IF(full + extra = 0, NULL, sequence(0L, full + extra - 1))) AS pass"
     ).selectExpr("*", "pass * blocks + block AS rank")
-    # Stretches end at ``hi``, in order, so the first that ends behind the rank has the block.
-    return lookup_join(takes, by_source, "s", "left", computed=True).selectExpr(
-        "doc_id", "source", "s", "size", "draw", "source_size", "target", "pass",
-        "get(filter(cuts, c -> c.hi > rank), 0).shard AS shard",
+    takes = takes.selectExpr("*", f"IF(pass IS NULL, NULL, {RANKED}) AS ranked")
+    return lookup_join(takes, dealt, "ranked", "left", computed=True).selectExpr(
+        "doc_id", "source", "s", "size", "draw", "source_size", "target", "pass", "shard",
         f"IF(pass IS NULL, NULL, xxhash64({SEED}L, draw, pass)) AS place",
     )
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -302,6 +303,53 @@ def test_splitting_tree_keeps_quotas(spark):
     assert sum(sizes) == 80 and max(sizes) - min(sizes) <= 2
 
 
+@pytest.mark.parametrize("k, n, total", [(30, 20, 70), (5, 60, 64), (1, 1, 2), (0, 3, 9), (40, 40, 40), (900, 700, 1500)])
+def test_draws_are_hypergeometric(spark, k, n, total):
+    """A grid of uniform numbers meets each outcome as often as its probability says."""
+    grid = 20_000
+    share = mixing._left_share("k", "n", "total", "u")
+    rows = spark.range(grid).selectExpr(
+        f"(id + 0.5D) / {grid} AS u", f"{k}L AS k", f"{n}L AS n", f"{total}L AS total"
+    )
+    got = dict(rows.selectExpr(f"{share} AS x").groupBy("x").count().collect())
+    ways = {x: math.comb(k, x) * math.comb(total - k, n - x) for x in range(max(0, n - total + k), min(n, k) + 1)}
+    assert set(got) <= set(ways) and sum(got.values()) == grid
+    for x, w in ways.items():
+        assert abs(got.get(x, 0) - grid * w / math.comb(total, n)) <= 2, x
+
+
+def test_large_quotas_split_whole(spark):
+    quotas = spark.createDataFrame([("a", 300_000), ("b", 200_000), ("c", 7)], "s string, k bigint")
+    rows = mixing.split(quotas, 4).collect()
+    assert {s: sum(r["hi"] - r["lo"] for r in rows if r["s"] == s) for s in "abc"} == {"a": 300_000, "b": 200_000, "c": 7}
+    parts = [r["hi"] - r["lo"] for r in rows if r["s"] == "a"]
+    assert len(parts) == 4 and all(abs(p - 75_000) < 2000 for p in parts)
+
+
+def filled(sizes, weights, most):
+    """Reshare what lies above the caps until no target does."""
+    targets, room = {}, float(sum(sizes.values()))
+    while True:
+        free = [s for s in sizes if s not in targets]
+        each = room / (sum(weights[s] for s in free) or 1)
+        above = [s for s in free if each * weights[s] > most * sizes[s]]
+        if not above:
+            return targets | {s: each * weights[s] for s in free}
+        for s in above:
+            targets[s] = float(most * sizes[s])
+            room -= targets[s]
+
+
+def test_targets_against_resharing(spark):
+    rng = random.Random(8)
+    for _ in range(4):
+        sizes = {f"s{i}": rng.choice([0, 1, 5, 40, 300, 2500]) for i in range(9)}
+        rows = spark.createDataFrame([(f"1{s}", s, n) for s, n in sizes.items()], "s string, source string, size bigint")
+        want = filled(sizes, {s: 1 + i % 3 for i, s in enumerate(sorted(sizes))}, 3)
+        got = {r["s"][1:]: r["target"] for r in mixing.targets(rows).collect()}
+        assert got == pytest.approx(want)
+
+
 def test_archives_round_trip(spark):
     common.ship(spark)
     long = "<p>" + "ä" * 2000
