@@ -14,18 +14,21 @@ from pyspark.sql import functions as F
 
 from sojourn import schema as S
 from sojourn.functions import tokens as X
-from sojourn.operators.cohort import horizon_label
+from sojourn.operators.cohort import Task, has_target, horizon_label
+from sojourn.operators.distribute import lookup_join
 from sojourn.operators.vocab import IS_SPECIAL
 
 LABEL_USED = f"label <> {S.IGNORED_LABEL}"
 
 
 def target_mass(logits: str, target_ids: Sequence[int]) -> str:
-    """Softmax mass of the target ids (SQL); ids outside the vocabulary add nothing."""
-    top = f"array_max({logits})"
-    total = f"aggregate({logits}, 0.0D, (a, x) -> a + exp(x - {top}))"
-    hit = " + ".join(f"coalesce(exp(get({logits}, {i}) - {top}), 0.0D)" for i in target_ids)
-    return f"({hit}) / {total}"
+    """Softmax mass of the target ids (SQL); ids outside the vocabulary add nothing.
+
+    The largest logit is bound to a variable: named inside the sum it would be sought per element.
+    """
+    total = f"aggregate({logits}, 0.0D, (a, x) -> a + exp(x - top))"
+    hit = " + ".join(f"coalesce(exp(get({logits}, {i}) - top), 0.0D)" for i in target_ids)
+    return f"transform(array(array_max({logits})), top -> ({hit}) / {total})[0]"
 
 
 def first_hit_probability(
@@ -65,13 +68,89 @@ def with_predicted_label(
     return texts.withColumn("pred_label", F.expr(label))
 
 
+def target_ids(words: DataFrame, targets: Sequence[str]) -> list[int]:
+    """Ids of the targets that are in the vocabulary, at most one per target."""
+    known = words.where(f"array_contains({X.text_array(targets)}, token)") if targets else None
+    rows = known.select("token_id").distinct().collect() if known is not None else []
+    return sorted(r["token_id"] for r in rows)
+
+
+def decoded_steps(steps: DataFrame, words: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """``subject_id, seq, step, token, p`` of generated ids with the logits they were drawn from.
+
+    The mass of the targets is taken where the logits lie, so that a step moves on as one number,
+    whatever the size of the vocabulary. Without a target in the vocabulary it is 0. An id that the
+    vocabulary lacks has no token.
+    """
+    ids = target_ids(words, targets)
+    mass = target_mass("logits", ids) if ids else "0.0D"
+    sparse = steps.selectExpr("subject_id", "seq", "step", "token_id", f"{mass} AS p")
+    named = lookup_join(sparse, words.select("token", "token_id"), "token_id", "left")
+    return named.select("subject_id", "seq", "step", "token", "p")
+
+
+def _folded(listed: str, horizon_days: int, time_bound: bool) -> str:
+    """One pass over a sequence's steps: label and the chance of a hit (SQL).
+
+    The state holds the days before a step, the chance that no step before it hit, and the results so
+    far. A step counts while the days before it do not exceed the horizon, which for the step that
+    passes the horizon is still so.
+    """
+    early = f"s.days <= {horizon_days}"
+    counts = early if time_bound else "true"
+    unlisted = "cast(raise_error('unknown gap token') as int)"
+    label = f"IF({early}, IF(e.unlisted, {unlisted}, IF(e.hit, 1, s.label)), s.label)"
+    state = "named_struct('days', 0L, 'miss', 1.0D, 'score', 0.0D, 'label', 0)"
+    step = (
+        "named_struct('days', s.days + e.days, "
+        f"'miss', IF({counts}, s.miss * (1 - e.p), s.miss), "
+        f"'score', IF({counts}, s.score + s.miss * e.p, s.score), "
+        f"'label', {label})"
+    )
+    return f"aggregate({listed}, {state}, (s, e) -> {step})"
+
+
 def scored_sequences(
-    steps: DataFrame, targets: Sequence[str], horizon_days: int, time_bound: bool = True
+    steps: DataFrame,
+    targets: Sequence[str],
+    horizon_days: int,
+    time_bound: bool = True,
+    match: str = "contains",
 ) -> DataFrame:
-    """``subject_id, seq, generated_text, pred_label, score``."""
-    texts = with_predicted_label(generated_texts(steps), targets, horizon_days)
-    scores = first_hit_probability(steps, horizon_days, time_bound)
-    return texts.join(scores, ["subject_id", "seq"], "left")
+    """``subject_id, seq, generated_text, pred_label, score``.
+
+    What :func:`generated_texts`, :func:`with_predicted_label` and :func:`first_hit_probability` say
+    of a sequence, from one fold over its steps. Steps are dealt by subject and move once: the lists
+    of a subject and a join with subjects can use the same dealing. A subject has as many steps as
+    the model was allowed to generate for it.
+
+    Gaps and target hits are found per step before that. A target is a single token or a part of one.
+    A step without ``p`` adds nothing; ``p`` of 1 or more is certain.
+    """
+    shown = f"IF({IS_SPECIAL}, NULL, token)"
+    days = X.gap_days("token")
+    is_gap = f"coalesce(startswith({shown}, 'TIME_'), false)"
+    named = steps.selectExpr(
+        "subject_id",
+        "seq",
+        "struct(step, "
+        f"{shown} AS token, "
+        "least(coalesce(cast(p as double), 0.0D), 1.0D) AS p, "
+        f"coalesce(cast({days} as bigint), 0L) AS days, "
+        f"({is_gap} AND {days} IS NULL) AS unlisted, "
+        f"coalesce({has_target(shown, targets, match)}, false) AS hit) AS e",
+    )
+    dealt = named.repartition("subject_id")
+    whole = dealt.groupBy("subject_id", "seq").agg(F.expr("sort_array(collect_list(e)) AS steps"))
+    found = whole.selectExpr(
+        "subject_id",
+        "seq",
+        "array_join(transform(steps, e -> e.token), ' ') AS generated_text",
+        X.once(f"{_folded('steps', horizon_days, time_bound)} AS state"),
+    )
+    return found.selectExpr(
+        "subject_id", "seq", "generated_text", "state.label AS pred_label", "state.score AS score"
+    )
 
 
 def regrouped(scored: DataFrame) -> DataFrame:
@@ -111,6 +190,33 @@ def prediction_rows(
     )
 
 
+def scored_predictions(
+    evaluation: DataFrame,
+    steps: DataFrame,
+    words: DataFrame,
+    task: Task,
+    num_predictions: int,
+    max_new_tokens: int,
+    model_name: str,
+    time_bound: bool = True,
+) -> DataFrame:
+    """Prediction rows of an evaluation set from the ids and logits that a model generated for it.
+
+    ``evaluation`` has ``subject_id, text, stopping_time, label_token`` and one row per subject,
+    ``steps`` ``subject_id, seq, step, token_id, logits``, ``words`` ``token, token_id``. The original
+    text ends at the stopping time. Steps of other subjects are left out.
+    """
+    targets = list(task.followup_targets or task.targets)
+    subjects = evaluation.selectExpr(
+        "subject_id",
+        "array_join(slice(split(text, ' '), 1, stopping_time), ' ') AS original_text",
+        "label_token",
+    )
+    made = decoded_steps(steps, words, targets)
+    scored = scored_sequences(made, targets, task.horizon_days, time_bound, task.match)
+    return prediction_rows(subjects, scored, num_predictions, max_new_tokens, model_name)
+
+
 def mean_validation_loss(losses: DataFrame, column: str = "loss") -> DataFrame:
     """One row: mean of the losses that are numbers, and a message if there are none."""
     number = f"nanvl({column}, NULL)"

@@ -1,4 +1,4 @@
-"""The three batch jobs: export and curate, build evaluation sets, evaluate predictions."""
+"""The batch jobs: export and curate, build evaluation sets, score what was generated, evaluate."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn import schema as S
-from sojourn.operators import augment, cohort, curate, evaluate, export, vocab
+from sojourn.operators import augment, cohort, curate, evaluate, export, score, vocab
 from sojourn.session import materialise, stored
 from sojourn.sources import files
 from sojourn.sources.clinical import ClinicalTables
@@ -81,6 +81,31 @@ def evaluation_set_job(
     files.write_evaluation_set(rows, path, egress=egress)
 
 
+def scoring_job(
+    evaluation: DataFrame,
+    steps: DataFrame,
+    words: DataFrame,
+    path: str,
+    task: cohort.Task,
+    num_predictions: int,
+    max_new_tokens: int,
+    model_name: str,
+    losses: DataFrame | None = None,
+    time_bound: bool = True,
+    egress: Egress = CLOSED,
+) -> DataFrame | None:
+    """The predictions file of one task's evaluation set, as :func:`score.scored_predictions`.
+
+    With ``losses`` (a column ``loss`` per batch) returns their mean, or why there is none.
+    """
+    egress.admit(path)
+    made = score.scored_predictions(
+        evaluation, steps, words, task, num_predictions, max_new_tokens, model_name, time_bound
+    )
+    files.write_predictions(made, path, egress=egress)
+    return None if losses is None else score.mean_validation_loss(losses)
+
+
 def evaluation_job(
     predictions: DataFrame,
     prs: DataFrame | None = None,

@@ -345,6 +345,28 @@ CTES["generated"] = f"""
       max(CASE WHEN {targets_hit('token', R.TARGETS)} AND earlier + days <= 1000 THEN 1 ELSE 0 END)
         AS pred_label
     FROM step_days GROUP BY subject_id, seq"""
+CTES["logit_steps"] = f"""
+    SELECT event_id // 128 AS subject_id, event_id // 32 % 4 AS seq, event_id % 32 AS step,
+      (event_id * 7919 + user_id) % (SELECT count(*) FROM vocab) AS token_id,
+      list_transform(range((SELECT count(*) FROM vocab)),
+        lambda i: (cast(round(value * 100) AS bigint) * (i + 3)) % 997 / 100.0::double) AS logits,
+      (SELECT list(token_id) FROM vocab WHERE token IN {in_list(R.TARGETS)}) AS goal_ids
+    FROM events"""
+CTES["named_steps"] = """
+    SELECT subject_id, seq, step, token, coalesce(days, 0) AS days,
+      CASE WHEN token NOT IN ('<unk>', '<s>', '</s>', '<pad>') THEN token END AS shown,
+      coalesce(list_sum(list_transform(goal_ids, lambda g: exp(logits[g + 1]))), 0)
+        / list_sum(list_transform(logits, lambda x: exp(x))) AS p
+    FROM logit_steps JOIN vocab USING (token_id) LEFT JOIN daycuts USING (token)"""
+CTES["logit_days"] = """
+    SELECT *, coalesce(sum(days) OVER (PARTITION BY subject_id, seq ORDER BY step
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM named_steps"""
+CTES["logit_scores"] = f"""
+    SELECT subject_id, seq, string_agg(shown, ' ' ORDER BY step) AS generated_text,
+      max(CASE WHEN {targets_hit('shown', R.TARGETS)} AND earlier <= {R.TASK.horizon_days}
+        THEN 1 ELSE 0 END) AS pred_label,
+      1 - product(1 - p) FILTER (earlier <= {R.TASK.horizon_days}) AS score
+    FROM logit_days GROUP BY subject_id, seq"""
 CTES["losses"] = """
     SELECT event_id // 32 AS subject_id, event_id // 128 AS batch_id,
       CASE WHEN event_id % 7 = 0 THEN -100 ELSE user_id END AS label, value / 100 AS loss
@@ -637,6 +659,17 @@ FINAL: dict[str, str] = {
       coalesce(array_to_string(list_transform(scores, lambda x: cast(round(x * 1e9) AS bigint)), ' '), '')
         AS probability_scores,
       4 AS num_predictions, 32 AS max_new_tokens, 'steps' AS model_name FROM preds""",
+    "scored_predictions": """
+    SELECT l.subject_id, l.label AS label_token,
+      length(array_to_string(list_slice(tokens, 1, end_visit), ' '))::int AS n_original,
+      coalesce(texts, '') AS generated_text, coalesce(labels, '') AS pred_labels,
+      round(probability, 9) AS probability, coalesce(scores, '') AS probability_scores
+    FROM one_label l JOIN one_valid v USING (subject_id) JOIN birth_rows b USING (subject_id)
+    LEFT JOIN (
+      SELECT subject_id AS sid, string_agg(generated_text, '|' ORDER BY seq) AS texts,
+        string_agg(pred_label::varchar, ' ' ORDER BY seq) AS labels, avg(pred_label) AS probability,
+        string_agg(cast(round(score * 1e9) AS bigint)::varchar, ' ' ORDER BY seq) AS scores
+      FROM logit_scores GROUP BY subject_id) g ON g.sid = l.subject_id""",
     "validation_loss": "SELECT round(avg(loss), 9) AS avg_loss, NULL::varchar AS message FROM losses WHERE label <> -100",
     "example_losses": """
     SELECT subject_id, round(coalesce(sum(loss) FILTER (label <> -100), 0) / greatest(count(*) FILTER (label <> -100), 1), 9)

@@ -556,6 +556,23 @@ def prediction_rows(spark, sf_dir):
     )
 
 
+@query
+def scored_predictions(spark, sf_dir):
+    rows, words = encoded_rows(spark, sf_dir)
+    steps = V.logit_steps_view(spark, sf_dir, words.count())
+    found = cohort.labelled(rows, TASK)
+    out = score.scored_predictions(found, steps, words, TASK, 4, 32, "steps")
+    return out.selectExpr(
+        "subject_id",
+        "label_token",
+        "length(original_text) AS n_original",
+        "array_join(generated_text, '|') AS generated_text",
+        listed("pred_labels"),
+        nine("probability"),
+        rounded_list("probability_scores"),
+    )
+
+
 @query
 def validation_loss(spark, sf_dir):
     rows = V.loss_view(spark, sf_dir).selectExpr("IF(label = -100, double('NaN'), loss) AS loss")

@@ -145,6 +145,23 @@ def steps_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def logit_steps_view(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """Generated ids of a vocabulary of ``size`` tokens with their logits, from the event log.
+
+    Sequences are those of :func:`steps_view`. Ids and logits are arithmetic on the event, so that
+    ids of all kinds occur, special and gap tokens among them.
+    """
+    logits = f"transform(sequence(0, {size} - 1), i -> (cents * (i + 3L)) % 997L / 100.0D)"
+    cents = "cast(round(value * 100) as bigint) AS cents"
+    return table(spark, sf_dir, "events").selectExpr("*", cents).selectExpr(
+        "event_id div 128 AS subject_id",
+        "event_id div 32 % 4 AS seq",
+        "event_id % 32 AS step",
+        f"(event_id * 7919L + user_id) % {size}L AS token_id",
+        f"{logits} AS logits",
+    )
+
+
 def loss_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token losses with labels, from the event log; every seventh label is ignored."""
     return table(spark, sf_dir, "events").selectExpr(
