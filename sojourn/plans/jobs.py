@@ -1,4 +1,4 @@
-"""The batch jobs: export and curate, build evaluation sets, score what was generated, evaluate."""
+"""The batch jobs: export, curate, evaluation sets, scores of what was generated, reports, one subject."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sojourn import schema as S
-from sojourn.operators import augment, cohort, curate, evaluate, export, score, vocab
+from sojourn.operators import augment, cohort, curate, evaluate, export, filters, quantiles, score, vocab
 from sojourn.session import materialise, stored
-from sojourn.sources import files
+from sojourn.sources import files, subjects
 from sojourn.sources.clinical import ClinicalTables
 from sojourn.sources.guard import CLOSED, Egress
 
@@ -124,3 +124,63 @@ def evaluation_job(
     if by_prs:
         out["prs"] = evaluate.report(rows, "has_prs", iterations).orderBy("has_prs")
     return out
+
+
+def subject_store_job(
+    events: DataFrame,
+    path: str,
+    version: str,
+    limits: S.Thresholds | None = S.Thresholds(),
+    n_buckets: int = subjects.BUCKETS,
+    egress: Egress = CLOSED,
+) -> None:
+    """A version of the subject store: all events, deciles and vocabulary of those that curation keeps."""
+    egress.admit(path)
+    kept = stored(events if limits is None else filters.frequency_filter(events, limits))
+    breaks, words = quantiles.decile_breaks(kept), vocab.vocabulary(kept)
+    subjects.write_subject_store(events, breaks, words, path, version, n_buckets, egress)
+
+
+def single_subject_job(
+    store: subjects.SubjectStore,
+    subject_id: int,
+    cutoff: float | None = None,
+    window: int = S.WINDOW_TOKENS,
+) -> dict[str, DataFrame]:
+    """A model's input for one subject, with the deciles and the vocabulary of the store's version.
+
+    ``sequence`` is a row ``subject_id, n_events, n_tokens, text, input_ids, attention_mask``: how long
+    the whole sequence is, its last ``window`` tokens and their last ``window`` ids. ``unknown`` has
+    ``token, n`` of all its tokens that the vocabulary lacks. ``cutoff`` keeps undated events and those
+    before it. Without events both are empty.
+
+    Every event yields a token, so the last ``window`` events hold all of the tail; only they are
+    collected, however many events the subject has.
+    """
+    if window < 1:
+        raise ValueError(f"a window has at least one token, not {window}")
+    events = store.events_of(subject_id)
+    if cutoff is not None:
+        events = export.before_cutoff(events, cutoff)
+    texts = curate.tokenised_events(events, store.breaks)
+    texts = materialise(texts.select("subject_id", "pos", "event_text"))
+    n_tokens = "sum(size(split(event_text, ' '))) AS n_tokens"
+    sizes = texts.groupBy("subject_id").agg(F.expr("count(*) AS n_events"), F.expr(n_tokens))
+    n_events = texts.count()
+    listed = "sort_array(collect_list(struct(pos, event_text)))"
+    whole = f"array_join(transform({listed}, e -> e.event_text), ' ') AS text"
+    tail = texts.where(f"pos > {n_events - window}").groupBy("subject_id").agg(F.expr(whole))
+    tail = tail.withColumn("text", F.expr(f"substring_index(text, ' ', -{window})"))
+    # Tail and sizes are one row each.
+    row = vocab.encode(tail.join(sizes, "subject_id"), store.words)
+    ids = vocab.last_tokens("input_ids", window)
+    row = row.selectExpr(
+        "subject_id",
+        "n_events",
+        "n_tokens",
+        "text",
+        f"{ids} AS input_ids",
+        f"array_repeat(1, size({ids})) AS attention_mask",
+    )
+    unknown = vocab.unknown_tokens(texts, store.words, text="event_text")
+    return {"sequence": row, "unknown": unknown.select("token", "n")}

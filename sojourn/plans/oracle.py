@@ -73,8 +73,8 @@ def person_branch(prefix: str, concept: str) -> str:
     FROM person"""
 
 
-def tokenised(source: str) -> str:
-    """Token columns of an event relation, by windows."""
+def tokenised(source: str, learnt: str | None = None) -> str:
+    """Token columns of an event relation, by windows; deciles are those of ``learnt``, or its own."""
     v = "coalesce(visit_id, 0)"
     gap = case(
         (f"gap >= {size}", f"'TIME_{unit}_' || least(gap // {size}, {top})")
@@ -100,7 +100,7 @@ def tokenised(source: str) -> str:
           {v} - lag({v}) OVER w AS vd, lead({v}) OVER w - {v} AS vn
         FROM {source} e LEFT JOIN (
           SELECT code, quantile_cont(numeric_value, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS breaks
-          FROM {source} WHERE numeric_value IS NOT NULL GROUP BY code) USING (code)
+          FROM {learnt or source} WHERE numeric_value IS NOT NULL GROUP BY code) USING (code)
         WINDOW w AS (PARTITION BY subject_id ORDER BY {EVENT_SORT})))"""
 
 
@@ -367,6 +367,21 @@ CTES["logit_scores"] = f"""
         THEN 1 ELSE 0 END) AS pred_label,
       1 - product(1 - p) FILTER (earlier <= {R.TASK.horizon_days}) AS score
     FROM logit_days GROUP BY subject_id, seq"""
+CTES["one_ev"] = f"""
+    SELECT * FROM ev WHERE subject_id = {R.SUBJECT} AND (time IS NULL OR time < {R.CUTOFF})"""
+CTES["one_ev_tok"] = tokenised("one_ev", "kept")
+CTES["one_all"] = f"SELECT * FROM ev WHERE subject_id = {R.SUBJECT}"
+CTES["one_all_tok"] = tokenised("one_all", "kept")
+CTES["one_words"] = f"""
+    SELECT subject_id, n_events, len(list) AS n_tokens, list[-{R.SUBJECT_WINDOW}:] AS list
+    FROM (SELECT subject_id, count(*) AS n_events,
+        string_split(string_agg(event_text, ' ' ORDER BY pos), ' ') AS list
+      FROM one_ev_tok GROUP BY subject_id)"""
+CTES["one_ids"] = r"""
+    SELECT pos, coalesce(v.token_id, (SELECT id FROM id_unk)) AS id
+    FROM (SELECT unnest(list) AS token, generate_subscripts(list, 1) AS pos
+      FROM (SELECT regexp_extract_all(array_to_string(list, ' '), '\w+|[^\w\s]+') AS list FROM one_words))
+    LEFT JOIN vocab v USING (token)"""
 CTES["losses"] = """
     SELECT event_id // 32 AS subject_id, event_id // 128 AS batch_id,
       CASE WHEN event_id % 7 = 0 THEN -100 ELSE user_id END AS label, value / 100 AS loss
@@ -659,6 +674,16 @@ FINAL: dict[str, str] = {
       coalesce(array_to_string(list_transform(scores, lambda x: cast(round(x * 1e9) AS bigint)), ' '), '')
         AS probability_scores,
       4 AS num_predictions, 32 AS max_new_tokens, 'steps' AS model_name FROM preds""",
+    "single_subject_sequence": f"""
+    SELECT subject_id, n_events, n_tokens::bigint AS n_tokens, array_to_string(list, ' ') AS text,
+      (SELECT string_agg(id::varchar, ' ' ORDER BY pos) FROM (
+        SELECT * FROM one_ids ORDER BY pos DESC LIMIT {R.SUBJECT_WINDOW})) AS input_ids,
+      (SELECT string_agg('1', ' ') FROM (SELECT * FROM one_ids LIMIT {R.SUBJECT_WINDOW})) AS attention_mask
+    FROM one_words""",
+    "single_subject_unknown": r"""
+    SELECT token, count(*) AS n FROM (
+      SELECT unnest(regexp_extract_all(event_text, '\w+|[^\w\s]+')) AS token FROM one_all_tok)
+    WHERE token NOT IN (SELECT token FROM vocab WHERE token <> '<unk>') GROUP BY token""",
     "scored_predictions": """
     SELECT l.subject_id, l.label AS label_token,
       length(array_to_string(list_slice(tokens, 1, end_visit), ' '))::int AS n_original,

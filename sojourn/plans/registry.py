@@ -32,11 +32,12 @@ from sojourn.operators.distribute import numbered
 from sojourn.plans import jobs
 from sojourn.plans import views as V
 from sojourn.session import materialise, new_folder
-from sojourn.sources import files
+from sojourn.sources import files, subjects
 
 TARGETS = ("CDzz50003", "CDzz50017")
 CUTOFF = 915148800.0  # 1999-01-01
 SUBJECT = 42
+SUBJECT_WINDOW = 24
 SAMPLE = 200
 PAD_TO = 128
 TAIL = 100
@@ -505,6 +506,28 @@ def seeded_sample(spark, sf_dir):
     return export.seeded_sample(curated_sequences(spark, sf_dir), SAMPLE).select("subject_id")
 
 
+# ---- One subject ----
+
+
+def _subject_store(spark, sf_dir) -> subjects.SubjectStore:
+    path = new_folder(spark)
+    jobs.subject_store_job(V.events_view(spark, sf_dir), path, "v1", V.LIMITS, n_buckets=16)
+    return subjects.open_subject_store(spark, path)
+
+
+@query
+def single_subject_sequence(spark, sf_dir):
+    made = jobs.single_subject_job(_subject_store(spark, sf_dir), SUBJECT, CUTOFF, SUBJECT_WINDOW)
+    return made["sequence"].selectExpr(
+        "subject_id", "n_events", "n_tokens", "text", listed("input_ids"), listed("attention_mask")
+    )
+
+
+@query
+def single_subject_unknown(spark, sf_dir):
+    return jobs.single_subject_job(_subject_store(spark, sf_dir), SUBJECT)["unknown"]
+
+
 # ---- Prediction scoring ----
 
 
