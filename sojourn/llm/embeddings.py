@@ -120,7 +120,7 @@ class Found:
             return
         a, b = (np.concatenate(x) for x in zip(*self.edges, strict=True))
         edges = pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
-        forest = next(common._forests(iter([edges])))
+        forest = next(common.forests(iter([edges])))
         where, size = (np.concatenate(x) for x in zip(*self.counts, strict=True))
         ids, at = np.unique(where, return_inverse=True)
         totals = np.zeros(len(ids), np.int64)
