@@ -15,7 +15,9 @@ do not name a component.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,11 @@ from sojourn.operators.distribute import lookup_join
 from sojourn.session import stored
 
 COSINE = 0.93
-TABLES = 24
-BITS = 13
+# The chance that a pair at the limit meets in some table; pairs above it meet more often.
+RECALL = 0.993
+# Classes that a bucket holds by chance. Hashes are whole numbers of 13 to 31 bits.
+LOAD = 0.5
+BITS = (13, 31)
 SEED = 20
 # Classes of one bucket that one task compares with another such block.
 BLOCK = 1024
@@ -50,9 +55,27 @@ def classes(vectors: DataFrame) -> DataFrame:
     return rows
 
 
-def signatures(dim: int) -> np.ndarray:
-    """Normals of all tables' hyperplanes; the same on every machine."""
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, TABLES * BITS))
+@dataclass(frozen=True)
+class Scheme:
+    """Bits of a hash, and in how many tables vectors meet."""
+
+    bits: int
+
+    @classmethod
+    def of(cls, n: int) -> Scheme:
+        """For ``n`` classes in the largest label."""
+        least, most = BITS
+        return cls(min(max(math.ceil(math.log2(max(n, 1) / LOAD)), least), most))
+
+    @property
+    def tables(self) -> int:
+        meet = (1 - math.acos(COSINE) / math.pi) ** self.bits
+        return math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
+
+    def planes(self, dim: int) -> np.ndarray:
+        """Normals of all tables' hyperplanes; the same on every machine."""
+        draw = np.random.default_rng([SEED, dim])
+        return draw.standard_normal((dim, self.tables * self.bits))
 
 
 def _units(column: pa.Array, dim: int) -> np.ndarray:
@@ -61,33 +84,38 @@ def _units(column: pa.Array, dim: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
-def _hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Adds one whole-number hash per table, as bytes of int16 and as a list."""
-    planes: dict[int, np.ndarray] = {}
-    weights = 1 << np.arange(BITS)
-    hashes = np.zeros((batch.num_rows, TABLES), np.int16)
-    dims = np.array(batch["dim"].to_pylist(), int)
-    for dim in set(dims.tolist()):
-        planes = signatures(dim)
-        at = np.flatnonzero(dims == dim)
-        units = _units(batch["v"].take(pa.array(at)), dim)
-        # One row at a time, so that equal vectors hash alike in any batch.
-        signs = np.array([u @ planes >= 0 for u in units]).reshape(-1, TABLES, BITS)
-        hashes[at] = signs @ weights
-    return pa.RecordBatch.from_arrays(
-        [
-            batch["class"],
-            pa.array([row.tobytes() for row in hashes], pa.binary()),
-            pa.array(hashes.astype(np.int32).tolist(), pa.list_(pa.int32())),
-        ],
-        names=["class", "h", "buckets"],
-    )
+def _hashed(scheme: Scheme) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """Adds one whole-number hash per table, as bytes of int32 and as a list."""
+    bits, tables = scheme.bits, scheme.tables
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        hashes = np.zeros((batch.num_rows, tables), np.int32)
+        dims = np.array(batch["dim"].to_pylist(), int)
+        for dim in set(dims.tolist()):
+            planes = scheme.planes(dim)
+            at = np.flatnonzero(dims == dim)
+            units = _units(batch["v"].take(pa.array(at)), dim)
+            # One row at a time, so that equal vectors hash alike in any batch.
+            signs = np.array([u @ planes >= 0 for u in units]).reshape(-1, tables, bits)
+            hashes[at] = signs @ weights
+        return pa.RecordBatch.from_arrays(
+            [
+                batch["class"],
+                pa.array([row.tobytes() for row in hashes], pa.binary()),
+                pa.array(hashes.tolist(), pa.list_(pa.int32())),
+            ],
+            names=["class", "h", "buckets"],
+        )
+
+    return add
 
 
 class Found:
     """Links of one task: neighbours counted per class, and edges."""
 
-    def __init__(self):
+    def __init__(self, tables: int):
+        self.tables = tables
         self.counts: list[tuple[np.ndarray, np.ndarray]] = []
         self.edges: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -97,7 +125,7 @@ class Found:
         t, dim, n = rows["t"][0].as_py(), rows["dim"][0].as_py(), rows.num_rows
         ids, sizes = rows["class"].to_numpy(), rows["size"].to_numpy()
         u = _units(rows["v"].combine_chunks(), dim)
-        h = np.frombuffer(b"".join(rows["h"].to_pylist()), np.int16).reshape(n, TABLES)[:, :t]
+        h = np.frombuffer(b"".join(rows["h"].to_pylist()), np.int32).reshape(n, self.tables)[:, :t]
         side, own = rows["side"].to_numpy().astype(bool), rows["own"][0].as_py()
         right = np.arange(n) if own else np.flatnonzero(side)
         for part in np.array_split(np.flatnonzero(~side), -(-n // 256)):
@@ -132,36 +160,48 @@ class Found:
         self.edges, self.counts = [], []
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Rows come sorted by ``meet``; those of one value are compared together."""
-    found, held, key = Found(), [], None
-    for batch in batches:
-        keys = batch["meet"].to_pylist()
-        cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
-        for start, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
-            if keys[start] != key:
-                if held:
-                    found.compare(pa.Table.from_batches(held))
-                held, key = [], keys[start]
-            held.append(batch.slice(start, end - start))
-        if sum(len(a) for a, _ in found.edges) > 1 << 20:
-            yield from found.batches()
-    if held:
-        found.compare(pa.Table.from_batches(held))
-    yield from found.batches()
-
-
-def near_duplicates(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` per row; ``kept`` marks the least id of a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, key = Found(scheme.tables), [], None
+        for batch in batches:
+            keys = batch["meet"].to_pylist()
+            cuts = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+            for start, end in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if keys[start] != key:
+                    if held:
+                        found.compare(pa.Table.from_batches(held))
+                    held, key = [], keys[start]
+                held.append(batch.slice(start, end - start))
+            if sum(len(a) for a, _ in found.edges) > 1 << 20:
+                yield from found.batches()
+        if held:
+            found.compare(pa.Table.from_batches(held))
+        yield from found.batches()
+
+    return run
+
+
+def near_duplicates(
+    vectors: DataFrame, block: int = BLOCK, scheme: Scheme | None = None
+) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` per row; ``kept`` marks the least id of a group.
+
+    ``scheme`` is chosen by the size of the largest label if not given.
+    """
     rows = stored(classes(vectors))
     found = rows.where("key IS NOT NULL").groupBy("label", "key").agg(
         F.expr("min(vec_id) AS least"), F.expr("count(*) AS size"), F.expr("min(v) AS v")
     )
     found = stored(found.withColumn("class", F.expr("monotonically_increasing_id()")))
     sound = found.selectExpr("class", "string(label) AS label", "size", "v", "size(v) AS dim")
+    if scheme is None:
+        sizes = found.groupBy("label").agg(F.expr("count(*) AS n"))
+        scheme = Scheme.of(sizes.selectExpr("coalesce(max(n), 0L) AS n").first()["n"])
     hashed = stored(
         common.per_batch(
-            sound.select("class", "dim", "v"), _hashed, "class bigint, h binary, buckets array<int>"
+            sound.select("class", "dim", "v"), _hashed(scheme), "class bigint, h binary, buckets array<int>"
         )
     )
     keys = ["label", "dim", "t", "bucket"]
@@ -191,7 +231,7 @@ def near_duplicates(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
         "class", "size", "dim", "v", "h", "inline(ms)"
     )
     met = met.repartition("meet").sortWithinPartitions("meet")
-    met = stored(met.mapInArrow(common.tidied(_linked), "a bigint, b bigint, n bigint"))
+    met = stored(met.mapInArrow(common.tidied(_linked(scheme)), "a bigint, b bigint, n bigint"))
     linked = met.where("n IS NOT NULL").groupBy("a").agg(F.expr("sum(n) AS links"))
     tied = common.components(met.where("b IS NOT NULL").select("a", "b"))
     named = (

@@ -162,6 +162,41 @@ def test_embedding_links(spark):
     assert embeddings.near_duplicates(vectors(spark, [])).count() == 0
 
 
+def pairs_at(cosine, n, dim, seed):
+    """``n`` pairs of vectors with that cosine, far from all others."""
+    draw = np.random.default_rng(seed)
+    a = draw.normal(size=(n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = draw.normal(size=(n, dim))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return np.concatenate([a, cosine * a + math.sqrt(1 - cosine**2) * b])
+
+
+@pytest.mark.parametrize("bits", [13, 20])
+def test_embedding_recall(spark, bits):
+    """Isolated pairs just above the limit against all pairs, with as many bits as large tables get."""
+    scheme, n = embeddings.Scheme(bits), 400
+    v = pairs_at(0.932, n, 64, bits).astype(np.float32)
+    rows = [(i, x.tolist(), 1, "x") for i, x in enumerate(v)]
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert links.sum() == 2 * n
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(vectors(spark, rows), 1024, scheme).collect()}
+    assert all(r["n_links"] <= links[i] for i, r in got.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.97 * links.sum()
+    assert all(r["component_id"] == i % n for i, r in got.items() if r["n_links"])
+
+
+def test_embedding_scheme_grows():
+    schemes = [embeddings.Scheme.of(n) for n in (0, 1, 4096, 10**6, 10**9)]
+    assert [s.bits for s in schemes] == [13, 13, 13, 21, 31]
+    for scheme in schemes:
+        meet = (1 - math.acos(0.93) / math.pi) ** scheme.bits
+        assert 1 - (1 - meet) ** scheme.tables >= embeddings.RECALL
+    assert schemes[0].tables == 24
+
+
 def test_toxicity_learns_and_holds_out(spark, empty):
     common.ship(spark)
     rows = [(i, prose(i, 30) + (" vile scum here" if i % 4 == 0 else ""), "en", "s", 1, 7, "o") for i in range(400)]
