@@ -7,6 +7,7 @@ an ``egress`` policy, which judges the target before any work.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,6 +133,14 @@ def write_evaluation_set(
     write_dataset(rows, path, ("task", "label_time_range"), egress=egress)
 
 
+def split_names(spark: SparkSession, path: str) -> list[str]:
+    """Splits of a dataset: the names of its folders; no row is read."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    entries = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = (entry.getPath().getName() for entry in entries if entry.isDirectory())
+    return sorted(unquote(n.removeprefix("split=")) for n in names if n.startswith("split="))
+
+
 def read_dataset(
     spark: SparkSession,
     path: str,
@@ -141,12 +150,14 @@ def read_dataset(
 ) -> DataFrame:
     """A dataset's rows: one split, or ``all``; an unsplit dataset has no choice.
 
+    The splits are the folders that :func:`write_dataset` made of them.
+
     ``sample_size`` takes that many rows of each split by seeded order. Rows are subjects here, so
     the order is by ``subject_id``.
     """
     rows = spark.read.parquet(path)
     if "split" in rows.columns:
-        names = sorted(r["split"] for r in rows.select("split").distinct().collect())
+        names = split_names(spark, path)
         if split != "all":
             if split not in names:
                 raise ValueError(f"split {split!r} not found; available: {names}")

@@ -57,8 +57,13 @@ def test_dataset_splits(spark, texts, tmp_path):
     assert files.read_dataset(spark, path).count() == 4
     assert files.read_dataset(spark, path, "all").count() == 20
     assert files.read_dataset(spark, path, "all", sample_size=3).count() == 6
-    with pytest.raises(ValueError, match="available"):
+    with pytest.raises(ValueError, match=r"available: \['test', 'train'\]"):
         files.read_dataset(spark, path, "dev")
+    plan = files.read_dataset(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "Exchange" not in plan
+    files.write_dataset(rows.selectExpr("*", "'a b/c' AS split"), path + "_named")
+    assert files.split_names(spark, path + "_named") == ["a b/c"]
+    assert files.read_dataset(spark, path + "_named", "a b/c").count() == 20
     files.write_dataset(rows, path + "_unsplit", ())
     assert files.read_dataset(spark, path + "_unsplit").count() == 20
 
