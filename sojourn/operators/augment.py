@@ -28,22 +28,33 @@ def with_visit_spans(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
     """Add ``spans``: the ``(first, last)`` token positions of the visits, in order.
 
     A visit opens at a visit token when none is open and closes at the next end token, or with the
-    sequence. Among the visit marks alone, an opening is thus one whose predecessor is an end.
+    sequence. Among the visit marks alone, an opening is thus one whose predecessor is an end, and
+    the end that closes it is the next one whose predecessor is not: the n-th of both belong together.
     """
     mark = f"IF(startswith(t, 'VI'), struct(i AS at, t = '{S.VISIT_END}' AS closes), NULL)"
     opening = "NOT m.closes AND (i = 0 OR get(marks, i - 1).closes)"
-    last = f"coalesce(array_min(filter(ends, e -> e > m.at)), size({tokens}) - 1)"
-    ends = X.all_positions(tokens, f"t = '{S.VISIT_END}'")
+    closing = "m.closes AND i > 0 AND NOT get(marks, i - 1).closes"
+    # The generators keep filters on spans, which readers of their rows imply, from repeating all this.
     return (
         rows.selectExpr(
             "*",
-            f"array_compact(transform({tokens}, (t, i) -> {mark})) AS marks",
-            f"{ends} AS ends",
+            X.once(
+                f"array_compact(transform({tokens}, (t, i) -> {mark})) AS marks",
+                f"size({tokens}) - 1 AS end",
+            ),
         )
-        .selectExpr("*", f"filter(marks, (m, i) -> {opening}) AS openings")
         .selectExpr(
             *rows.columns,
-            f"transform(openings, m -> struct(m.at AS first, {last} AS last)) AS spans",
+            "end",
+            f"filter(marks, (m, i) -> {opening}) AS openings",
+            f"filter(marks, (m, i) -> {closing}) AS closings",
+        )
+        .selectExpr(
+            *rows.columns,
+            X.once(
+                "transform(openings, (m, i) -> struct(m.at AS first, "
+                "coalesce(get(closings, i).at, end) AS last)) AS spans"
+            ),
         )
     )
 

@@ -36,6 +36,15 @@ def test_spans_against_a_scan(texts, sample):
         assert [tuple(s) for s in r["spans"]] == spans_of(r["tokens"])
 
 
+def test_spans_are_made_once_however_they_are_read(texts, sample):
+    rows = texts(*sample.items()).selectExpr("subject_id", "split(text, ' ') AS tokens")
+    spans = augment.with_visit_spans(rows).selectExpr("subject_id", "inline(spans)")
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(text") == 1 and plan.count("VIEnd") == 1
+    want = [(i, *s) for i, text in sample.items() for s in spans_of(text.split(" "))]
+    assert sorted(tuple(r) for r in spans.collect()) == sorted(want)
+
+
 def digest(*parts):
     return hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
 
