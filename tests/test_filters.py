@@ -51,3 +51,30 @@ def test_limits_are_inclusive(events):
     assert {r["subject_id"] for r in got.collect()} == {2, 3}
     assert filters.rare_code_filter(rows, 4).count() == 10
     assert filters.rare_code_filter(rows, 5).count() == 0
+
+
+def test_counting_keeps_no_pairs_where_events_are_read(events):
+    rows = events(*[(s, float(i), f"C{i % 3}") for s in range(6) for i in range(s)], (1, 0.0, None))
+    counts = filters.subject_code_counts(rows)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    # Every aggregation lies above the exchange, that is before it in the text.
+    assert plan.rindex("HashAggregate") < plan.index("Exchange")
+    assert {(r[0], r[1]): r[2] for r in counts.collect()} == {
+        (s, f"C{k}"): n for s in range(6) for k in range(3) if (n := len(range(k, s, 3)))
+    }
+
+
+def test_activity_counts_hold_no_codes(events, monkeypatch):
+    seen = []
+
+    def watched(counts, low, high):
+        seen.append(counts)
+        return found(counts, low, high)
+
+    found = filters.active_subjects
+    monkeypatch.setattr(filters, "active_subjects", watched)
+    rows = events(*[(s, float(i), f"C{i}") for s in (1, 2, 3) for i in range(s)], (1, 9.0, None))
+    got = filters.subject_activity_filter(rows, 1, 2)
+    assert sorted(r["subject_id"] for r in got.collect()) == [1, 1, 2, 2]
+    assert seen[0].columns == ["subject_id", "n"]
