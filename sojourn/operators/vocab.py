@@ -16,6 +16,8 @@ from sojourn.session import materialise, stored
 # Runs of word characters, or runs of other visible characters.
 PIECES = r"(?U)\\w+|[^\\w\\s]+"
 SPECIALS = [S.UNKNOWN, S.BOS, S.EOS, S.PAD]
+# Tokens of a vocabulary that may become part of a plan.
+LISTED_TOKENS = 10_000
 IS_SPECIAL = f"token IN ({', '.join(repr(t) for t in SPECIALS)})"
 
 
@@ -177,10 +179,30 @@ def encode(
     return out if keep_text else out.drop(text, *keys)
 
 
+def token_list(vocab: DataFrame) -> str | None:
+    """Array (SQL) of the tokens by id, null for special ones; None if ids have gaps or are many."""
+    found = vocab.select("token", "token_id").limit(LISTED_TOKENS + 1).collect()
+    tokens = {r["token_id"]: r["token"] for r in found}
+    if len(found) > LISTED_TOKENS or set(tokens) != set(range(len(found))):
+        return None
+    hidden = (None, *SPECIALS)
+    shown = (tokens[i] for i in range(len(found)))
+    return f"array({', '.join('NULL' if t in hidden else text(t) for t in shown)})"
+
+
 def decode(
     rows: DataFrame, vocab: DataFrame, keys: tuple[str, ...] = ("subject_id",), ids: str = "input_ids"
 ) -> DataFrame:
-    """``keys, text``: token texts in order without special tokens."""
+    """``keys, text``: token texts in order without special tokens.
+
+    ``keys`` identify a row; rows without ids are left out. With up to ``LISTED_TOKENS`` tokens,
+    numbered without gaps, ids are replaced where they lie, so that no token becomes a row. Other
+    vocabularies are joined to the exploded ids.
+    """
+    listed = token_list(vocab)
+    if listed is not None:
+        shown = f"transform({ids}, x -> get({listed}, try_cast(x as int)))"
+        return rows.where(f"size({ids}) > 0").selectExpr(*keys, f"array_join({shown}, ' ') AS text")
     exploded = rows.selectExpr(*keys, f"posexplode({ids}) AS (pos, token_id)")
     named = lookup_join(exploded, vocab.select("token", "token_id"), "token_id", "left")
     listed = f"sort_array(collect_list(IF({IS_SPECIAL}, NULL, struct(pos, token))))"

@@ -30,6 +30,37 @@ def test_encode_and_decode(texts, words):
     assert back[1] == "CDzz9 TIME_D_1 CDzz10"
 
 
+@pytest.mark.parametrize("limit", [10_000, 3])
+def test_decoding_moves_no_tokens(spark, words, monkeypatch, limit):
+    monkeypatch.setattr(vocab, "LISTED_TOKENS", limit)
+    ids = {r["token"]: r["token_id"] for r in words.collect()}
+    rows = spark.createDataFrame(
+        [
+            (1, [ids["CDzz9"], ids["<pad>"], 10**12, ids["Q3"], -1, ids["<unk>"], ids["CDzz10"]]),
+            (2, [ids["</s>"]]),
+            (3, []),
+            (4, None),
+            (5, [None, ids["VIER"], ids["VIER"]]),
+        ],
+        "subject_id bigint, input_ids array<bigint>",
+    )
+    back = vocab.decode(rows, words)
+    assert {r["subject_id"]: r["text"] for r in back.collect()} == {
+        1: "CDzz9 Q3 CDzz10",
+        2: "",
+        5: "VIER VIER",
+    }
+    if limit > 3:
+        plan = back._jdf.queryExecution().executedPlan().toString()
+        assert not any(step in plan for step in ("Generate", "Exchange", "Aggregate"))
+
+
+def test_decoding_by_ids_with_gaps(spark):
+    words = spark.createDataFrame([("a", 0), ("b", 7), ("it's", 3)], "token string, token_id bigint")
+    rows = spark.createDataFrame([(1, [7, 3, 0, 5])], "subject_id bigint, input_ids array<bigint>")
+    assert vocab.decode(rows, words).first()["text"] == "b it's a"
+
+
 def test_padding_and_end_token(texts, words):
     ids = {r["token"]: r["token_id"] for r in words.collect()}
     rows = texts((1, "CDzz9 CDzz10"), (2, "CDzz9 CDzz9 CDzz10 CDzz9 CDzz9"))
