@@ -581,7 +581,9 @@ def prediction_rows(spark, sf_dir):
 
 @query
 def scored_predictions(spark, sf_dir):
-    rows, words = encoded_rows(spark, sf_dir)
+    # Labels and original texts are read from the texts, so these are not encoded.
+    kept, rows = curated_texts(spark, sf_dir)
+    words = materialise(vocab.vocabulary(kept))
     steps = V.logit_steps_view(spark, sf_dir, words.count())
     found = cohort.labelled(rows, TASK)
     out = score.scored_predictions(found, steps, words, TASK, 4, 32, "steps")
