@@ -160,13 +160,16 @@ def head(text: str, max_tokens: int) -> str:
 
 
 def _joined(frame: DataFrame, *keys: str) -> DataFrame:
-    """Texts of events in order, and the ids of their words if the events have them."""
+    """Texts of events in order, and the ids of their words if the events have them.
+
+    They come from a generator: a filter on a text would else be pushed below and join it again.
+    """
     fields = [c for c in ("event_text", "word_ids") if c in frame.columns]
     listed = f"sort_array(collect_list(struct(pos, {', '.join(fields)}))) AS _listed"
     made = ["array_join(transform(_listed, e -> e.event_text), ' ') AS text"]
     if "word_ids" in fields:
         made.append("flatten(transform(_listed, e -> e.word_ids)) AS word_ids")
-    return frame.groupBy(*keys).agg(F.expr(listed)).selectExpr(*keys, *made)
+    return frame.groupBy(*keys).agg(F.expr(listed)).selectExpr(*keys, X.once(*made))
 
 
 def sequences(
@@ -193,9 +196,10 @@ def sequences(
             frame = frame.where(f"pos <= {max_tokens}")
         joined = _joined(encoder(frame) if encoder else frame, "subject_id")
         if max_tokens is not None:
-            joined = joined.withColumn("text", F.expr(head("text", max_tokens)))
+            heads = [f"{head('text', max_tokens)} AS text"]
             if encoder:
-                joined = joined.withColumn("word_ids", F.expr(f"slice(word_ids, 1, {max_tokens})"))
+                heads.append(f"slice(word_ids, 1, {max_tokens}) AS word_ids")
+            joined = joined.selectExpr("subject_id", X.once(*heads))
         out.append(joined)
     return reduce(DataFrame.unionByName, out)
 

@@ -75,15 +75,23 @@ def target_ids(words: DataFrame, targets: Sequence[str]) -> list[int]:
     return sorted(r["token_id"] for r in rows)
 
 
-def decoded_steps(steps: DataFrame, words: DataFrame, targets: Sequence[str]) -> DataFrame:
+def decoded_steps(
+    steps: DataFrame, words: DataFrame, targets: Sequence[str], shared: DataFrame | None = None
+) -> DataFrame:
     """``subject_id, seq, step, token, p`` of generated ids with the logits they were drawn from.
 
     The mass of the targets is taken where the logits lie, so that a step moves on as one number,
     whatever the size of the vocabulary. Without a target in the vocabulary it is 0. An id that the
     vocabulary lacks has no token.
+
+    Steps may share logits: they then have ``logits_id`` instead, a key of ``shared`` (``logits_id,
+    logits``), and the mass is taken once per list. A step without such a list has no ``p``.
     """
     ids = target_ids(words, targets)
     mass = target_mass("logits", ids) if ids else "0.0D"
+    if shared is not None:
+        masses = shared.selectExpr("logits_id", f"{mass} AS p")
+        steps, mass = lookup_join(steps, masses, "logits_id", "left"), "p"
     sparse = steps.selectExpr("subject_id", "seq", "step", "token_id", f"{mass} AS p")
     named = lookup_join(sparse, words.select("token", "token_id"), "token_id", "left")
     return named.select("subject_id", "seq", "step", "token", "p")
@@ -199,20 +207,22 @@ def scored_predictions(
     max_new_tokens: int,
     model_name: str,
     time_bound: bool = True,
+    shared: DataFrame | None = None,
 ) -> DataFrame:
     """Prediction rows of an evaluation set from the ids and logits that a model generated for it.
 
     ``evaluation`` has ``subject_id, text, stopping_time, label_token`` and one row per subject,
     ``steps`` ``subject_id, seq, step, token_id, logits``, ``words`` ``token, token_id``. The original
-    text ends at the stopping time. Steps of other subjects are left out.
+    text ends at the stopping time. Steps of other subjects are left out. Steps that share logits name
+    them as :func:`decoded_steps` says.
     """
     targets = list(task.followup_targets or task.targets)
     subjects = evaluation.selectExpr(
         "subject_id",
-        "array_join(slice(split(text, ' '), 1, stopping_time), ' ') AS original_text",
+        "substring_index(text, ' ', stopping_time) AS original_text",
         "label_token",
     )
-    made = decoded_steps(steps, words, targets)
+    made = decoded_steps(steps, words, targets, shared)
     scored = scored_sequences(made, targets, task.horizon_days, time_bound, task.match)
     return prediction_rows(subjects, scored, num_predictions, max_new_tokens, model_name)
 

@@ -584,9 +584,10 @@ def scored_predictions(spark, sf_dir):
     # Labels and original texts are read from the texts, so these are not encoded.
     kept, rows = curated_texts(spark, sf_dir)
     words = materialise(vocab.vocabulary(kept))
-    steps = V.logit_steps_view(spark, sf_dir, words.count())
+    size = words.count()
+    steps, lists = V.drawn_steps_view(spark, sf_dir, size), V.logits_view(spark, size)
     found = cohort.labelled(rows, TASK)
-    out = score.scored_predictions(found, steps, words, TASK, 4, 32, "steps")
+    out = score.scored_predictions(found, steps, words, TASK, 4, 32, "steps", shared=lists)
     return out.selectExpr(
         "subject_id",
         "label_token",

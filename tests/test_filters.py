@@ -78,3 +78,43 @@ def test_activity_counts_hold_no_codes(events, monkeypatch):
     got = filters.subject_activity_filter(rows, 1, 2)
     assert sorted(r["subject_id"] for r in got.collect()) == [1, 1, 2, 2]
     assert seen[0].columns == ["subject_id", "n"]
+
+
+@pytest.mark.parametrize("needed", [1, 3, 40, 2000])
+def test_frequent_codes_equal_counts(events, needed):
+    rows = [(s, 0.0, f"C{k}") for k in (1, 2, 3, 39, 40, 41, 90) for s in range(k)]
+    rows += [(7, float(i), "repeated") for i in range(2500)] + [(None, 0.0, "C2"), (1, 0.0, None)]
+    seen = {}
+    for subject, _, code in rows:
+        seen.setdefault(code, set()).add(subject)
+    want = sorted(c for c, subjects in seen.items() if c and len(subjects) >= needed)
+    assert sorted(r["code"] for r in filters.frequent_codes(events(*rows), needed).collect()) == want
+
+
+def test_common_codes_need_no_pairs(events, monkeypatch):
+    def refused(rows):
+        raise AssertionError("pairs were counted")
+
+    monkeypatch.setattr(filters, "subject_code_counts", refused)
+    rows = [(s, float(i), f"C{i}") for s in range(200) for i in range(4)] + [(1, 9.0, "rare")]
+    got = filters.frequency_filter(events(*rows), Thresholds(5, 2, 9))
+    assert got.count() == 800 and "rare" not in {r["code"] for r in got.collect()}
+
+
+@pytest.mark.parametrize("outside, how", [(2, "LeftAnti"), (20, "LeftSemi")])
+def test_subjects_are_selected_by_the_shorter_list(events, monkeypatch, outside, how):
+    rounds, found = [], filters.frequent_codes
+
+    def watched(live, needed):
+        rounds.append(live)
+        return found(live, needed)
+
+    monkeypatch.setattr(filters, "frequent_codes", watched)
+    rows = [(s, float(i), f"C{i}") for s in range(10) for i in range(4)]
+    rows += [(100 + s, 0.0, "C0") for s in range(outside)] + [(None, 0.0, "C1")]
+    got = filters.frequency_filter(events(*rows), Thresholds(5, 2, 9, rounds=5))
+    joins = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [k for k in ("LeftAnti", "LeftSemi") if f"Join {k}, (subject_id" in joins] == [how]
+    assert sorted({r["subject_id"] for r in got.collect()}) == list(range(10)) and got.count() == 40
+    # The second round finds the codes of the first, so the other three do not run.
+    assert len(rounds) == 2

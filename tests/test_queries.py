@@ -80,6 +80,14 @@ def test_scoring_encodes_no_texts(spark, con):
     assert verdict.startswith("ok"), verdict
 
 
+def test_scoring_moves_no_logits_and_joins_texts_once(spark):
+    made = entry.queries()["scored_predictions"](spark, SF_DIR)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "logits#" not in plan and "logits_id#" in plan
+    # A text is neither joined again for the filter on it nor split again for the original text.
+    assert plan.count("transform(_listed") == 1 and plan.count("split(") == 1
+
+
 @pytest.mark.parametrize(
     "name", ["decoded_sequences", "visit_spans", "subject_activity_filter", "rare_code_filter"]
 )

@@ -128,6 +128,18 @@ def test_fold_equals_step_by_step(spark, words, bound):
         assert got[key]["score"] == pytest.approx(hit, abs=1e-12)
 
 
+def test_shared_logits_equal_own(spark, words):
+    lists = spark.sql("SELECT * FROM VALUES (1L, array(1.0D, 0.5D, -2.0D)), (2L, array(0.0D, 3.0D, 1.0D)) "
+                      "AS t(logits_id, logits)")
+    drawn = spark.sql("SELECT id AS subject_id, 0L seq, 0L step, id % 3 AS token_id, "
+                      "IF(id = 6, NULL, id % 2 + 1 + id div 7) AS logits_id FROM range(8)")
+    own = score.decoded_steps(drawn.join(lists, "logits_id", "left"), words, ["A"])
+    shared = score.decoded_steps(drawn, words, ["A"], lists)
+    want = {r["subject_id"]: tuple(r) for r in own.collect()}
+    assert len(want) == 8 and sum(r[4] is None for r in want.values()) == 2
+    assert {r["subject_id"]: tuple(r) for r in shared.collect()} == want
+
+
 def test_fold_edges(spark, words, steps):
     rows = steps(
         (1, 0, [("TIME_Y_1", None), ("A", 0.5)]),
